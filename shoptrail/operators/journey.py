@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import money_total, ratio
-from ..functions.stats import two_proportions, wilson
+from ..functions.stats import with_two_proportions, with_wilson
 
 # Funnel step labels with their flag (the first step is every session).
 STEPS = (("Started a visit", None), ("Viewed products", "f_view_item"), ("Added to basket", "f_add_to_cart"),
@@ -95,8 +95,8 @@ def checkout_by_device(sessions: DataFrame) -> DataFrame:
     """Of the sessions that began checkout, how many took each later step, per device."""
     rows = (sessions.where("has_begin_checkout").groupBy("device_category")
             .agg(F.count(F.lit(1)).alias("began_checkout"), F.count_if("has_shipping").alias("added_delivery"),
-                 F.count_if("has_payment").alias("added_payment"), F.count_if("has_purchase").alias("purchased"))
-            .withColumn("ci", wilson(F.col("purchased"), F.col("began_checkout"))))
+                 F.count_if("has_payment").alias("added_payment"), F.count_if("has_purchase").alias("purchased")))
+    rows = with_wilson(rows, "ci", "purchased", "began_checkout")
     later = ("added_delivery", "added_payment", "purchased")
     return rows.select("device_category", "began_checkout", *later,
                        *[ratio(F.col(c), F.col("began_checkout")).alias(f"{c}_rate") for c in later],
@@ -106,10 +106,9 @@ def checkout_by_device(sessions: DataFrame) -> DataFrame:
 def mobile_vs_desktop(checkout: DataFrame) -> DataFrame:
     """Checkout completion on mobile against desktop; no row unless both exist."""
     pick = lambda device, c: F.max(F.when(F.col("device_category") == device, F.col(c)))
-    return (checkout.agg(pick("mobile", "purchased").alias("x1"), pick("mobile", "began_checkout").alias("n1"),
-                         pick("desktop", "purchased").alias("x0"), pick("desktop", "began_checkout").alias("n0"))
-            .withColumn("t", two_proportions(F.col("x1"), F.col("n1"), F.col("x0"), F.col("n0")))
-            .where("t IS NOT NULL")
+    pair = checkout.agg(pick("mobile", "purchased").alias("x1"), pick("mobile", "began_checkout").alias("n1"),
+                        pick("desktop", "purchased").alias("x0"), pick("desktop", "began_checkout").alias("n0"))
+    return (with_two_proportions(pair, "t", "x1", "n1", "x0", "n0").where("t IS NOT NULL")
             .select(F.col("t.p1").alias("mobile"), F.col("t.p0").alias("desktop"), F.col("n1").alias("mobile_n"),
                     F.col("n0").alias("desktop_n"), "t.diff", "t.lo", "t.hi", "t.p_value", "t.rel"))
 
@@ -124,8 +123,8 @@ def segments(sessions: DataFrame, rules=SEGMENTS) -> DataFrame:
             F.count_if(match).alias("sessions"), F.count_if(match & F.col("has_purchase")).alias("purchasing_sessions"),
             money_total(F.when(match, F.col("revenue_usd"))).alias("revenue_usd")))
     rows = (sessions.agg(F.count(F.lit(1)).alias("total"), F.array(*parts).alias("parts"))
-            .select("total", F.inline("parts"))
-            .withColumn("ci", wilson(F.col("purchasing_sessions"), F.col("sessions"))))
+            .select("total", F.inline("parts")))
+    rows = with_wilson(rows, "ci", "purchasing_sessions", "sessions")
     return rows.select(
         "segment_order", "segment", "definition", "sessions", ratio(F.col("sessions"), F.col("total")).alias("share_of_sessions"),
         "purchasing_sessions", F.col("ci.p").alias("conversion"), F.col("ci.lo").alias("conversion_lo"),

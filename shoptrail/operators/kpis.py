@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import money_total, ratio, week_start
-from ..functions.stats import two_proportions
+from ..functions.stats import with_two_proportions
 
 PURCHASE_METRICS = ("purchase_events", "purchases_missing_id", "empty_purchase_events", "repeat_purchase_events",
                     "orders_without_id")
@@ -72,16 +72,15 @@ def compare_windows(daily: DataFrame, trading_windows: DataFrame, gate: DataFram
              .agg(F.count_if(used).alias("days"), F.count_if(~used).alias("days_excluded"),
                   *[F.coalesce(F.sum(F.when(used, F.col(c))), F.lit(0)).alias(c) for c in WINDOW_SUMS],
                   money_total(F.when(used, F.col("revenue_usd"))).alias("revenue")))
-    baseline = (spans.where("role = 'baseline'")
-                .agg(F.min_by(F.struct(*WINDOW_SUMS), F.struct("start_date", "window_name")).alias("b")))
+    # One row per configured window, so the unpartitioned window that shares the first baseline holds only those.
+    first_baseline = F.when(F.col("role") == "baseline", F.struct("start_date", "window_name"))
     missing = F.raise_error(F.lit("trading_windows has no baseline window"))
-    rows = (spans.withColumn("b", baseline.scalar())
+    rows = (spans.withColumn("b", F.min_by(F.struct(*WINDOW_SUMS), first_baseline).over(Window.partitionBy()))
             .withColumn("b", F.when(F.col("b").isNull(), missing).otherwise(F.col("b")))
-            .withColumn("conv", two_proportions(F.col("purchasing_sessions"), F.col("sessions"),
-                                                F.col("b.purchasing_sessions"), F.col("b.sessions")))
-            .withColumn("comp", F.when(F.col("start_date") >= journey_start.select("start").scalar(), two_proportions(
-                F.col("checkout_completed"), F.col("checkout_sessions"),
-                F.col("b.checkout_completed"), F.col("b.checkout_sessions")))))
+            .withColumn("tracked", F.col("start_date") >= journey_start.select("start").scalar()))
+    rows = with_two_proportions(rows, "conv", "purchasing_sessions", "sessions", "b.purchasing_sessions", "b.sessions")
+    rows = with_two_proportions(rows, "comp", "checkout_completed", "if(tracked, checkout_sessions, 0)",
+                                "b.checkout_completed", "b.checkout_sessions")
     return rows.select(
         F.col("window_name").alias("window"), "role", F.col("start_date").alias("start"), F.col("end_date").alias("end"),
         "days", "days_excluded",

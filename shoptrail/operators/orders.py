@@ -5,6 +5,8 @@ carries revenue, and is empty otherwise.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..contract import MONEY, MONEY_TOTAL, valid_id
@@ -13,14 +15,15 @@ from ..functions.columns import one_row, ratio
 PURCHASE_KEY = ("user_pseudo_id", "ga_session_id", "event_ts", "event_date", "transaction_id", "purchase_revenue_usd")
 
 
-def purchases(events: DataFrame) -> DataFrame:
+def purchases(events: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Distinct purchase events with how often each was sent (`n_events`) and what became of those events.
 
     Identical events are merged before anything is shuffled, and the first event of each (ID, user) is an aggregate
-    joined back on the complete row, so neither a hot order ID nor a pile of copies lands in one task.
+    joined back on the complete row, so neither a hot order ID nor a pile of copies lands in one task. `keep` may
+    store the merged events, a thousandth of all events, which are read twice.
     """
-    rows = (events.where(F.col("event_name") == "purchase")
-            .groupBy(*PURCHASE_KEY).agg(F.count(F.lit(1)).alias("n_events")))
+    rows = keep(events.where(F.col("event_name") == "purchase")
+                .groupBy(*PURCHASE_KEY).agg(F.count(F.lit(1)).alias("n_events")))
     # Earliest, then dearest, then lowest session; NULLs last throughout.
     order = F.struct(
         F.col("event_ts").isNull().alias("no_ts"), "event_ts",

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import ratio, week_start
-from ..functions.stats import n_per_arm, standardised_difference, two_proportions
+from ..functions.stats import standardised_difference, with_n_per_arm, with_two_proportions
 from .kpis import window_days
 
 # Known before a visit's first search, so they can confound search without being caused by it.
@@ -34,14 +34,13 @@ def search_vs_intent(cells: DataFrame) -> DataFrame:
     strata = ("n_search", "x_search", "n_other", "x_other")
     # Product-view rates count every session; the comparison leaves out NULL devices.
     known = F.col("device_category").isNotNull()
-    n1, x1, n0, x0 = (F.when(known, F.col(c)) for c in strata)
-    totals = cells.agg(*[F.coalesce(F.sum(F.when(known, F.col(c))), F.lit(0)).alias(c) for c in strata],
-                       standardised_difference(n1, x1, n0, x0).alias("adj"),
-                       F.count_if(known).alias("strata_total"),
-                       ratio(F.sum("v_search"), F.sum("n_search")).alias("product_view_rate_search"),
-                       ratio(F.sum("v_other"), F.sum("n_other")).alias("product_view_rate_other"))
-    rows = totals.withColumn("naive", two_proportions(
-        F.col("x_search"), F.col("n_search"), F.col("x_other"), F.col("n_other")))
+    cells = cells.withColumns({f"all_{c}": F.col(c) for c in ("n_search", "n_other")})
+    cells = cells.withColumns({c: F.when(known, F.col(c)) for c in strata})
+    totals = cells.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in strata],
+                       standardised_difference("n_search", "x_search", "n_other", "x_other").alias("adj"),
+                       ratio(F.sum("v_search"), F.sum("all_n_search")).alias("product_view_rate_search"),
+                       ratio(F.sum("v_other"), F.sum("all_n_other")).alias("product_view_rate_other"))
+    rows = with_two_proportions(totals, "naive", "x_search", "n_search", "x_other", "n_other")
     return rows.select(
         (F.col("n_search") >= MIN_SEARCHES).alias("enough"),
         F.col("n_search").alias("search_sessions"), F.col("n_other").alias("other_sessions"),
@@ -51,7 +50,8 @@ def search_vs_intent(cells: DataFrame) -> DataFrame:
         F.col("naive.p_value").alias("naive_p_value"), F.col("naive.rel").alias("naive_rel"),
         F.col("adj.diff").alias("adjusted_diff"), F.col("adj.se").alias("adjusted_se"),
         F.col("adj.lo").alias("adjusted_lo"), F.col("adj.hi").alias("adjusted_hi"),
-        F.col("adj.coverage").alias("coverage"), F.col("adj.strata_used").alias("strata_used"), "strata_total",
+        F.col("adj.coverage").alias("coverage"), F.col("adj.strata_used").alias("strata_used"),
+        F.col("adj.strata_total").alias("strata_total"),
         (1.0 - F.try_divide(F.col("adj.diff"), F.col("naive.diff"))).alias("share_explained"),
         "product_view_rate_search", "product_view_rate_other")
 
@@ -94,10 +94,10 @@ def experiment_sizing(sessions: DataFrame, trading_windows: DataFrame, lifts=LIF
         F.struct(F.lit(1).alias("metric_order"), F.lit(SAW_PRODUCTS).alias("metric"),
                  ratio(F.col("viewers"), F.col("searchers")).alias("baseline")))
     p1 = F.col("baseline") * (1.0 + F.col("relative_lift"))
-    return (base.select("sizing_weeks", "searchers", "buyers", "weekly_searching_users", F.inline(metrics))
-            .withColumn("relative_lift", F.explode(F.array(*[F.lit(x) for x in lifts])))
-            .where((p1 > 0) & (p1 < 1))
-            .withColumn("users_per_arm", n_per_arm(F.col("baseline"), F.col("relative_lift")))
+    plans = (base.select("sizing_weeks", "searchers", "buyers", "weekly_searching_users", F.inline(metrics))
+             .withColumn("relative_lift", F.explode(F.array(*[F.lit(x) for x in lifts])))
+             .where((p1 > 0) & (p1 < 1)))
+    return (with_n_per_arm(plans, "users_per_arm", "baseline", "relative_lift")
             .withColumn("weeks", F.ceil(ratio(2 * F.col("users_per_arm"), F.col("weekly_searching_users"))).cast("long")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import money_total, ratio
 from ..functions.skew import salted_left_join
-from ..functions.stats import wilson
+from ..functions.stats import with_wilson
 from .orders import session_orders
 
 SESSION_KEY = ("user_pseudo_id", "ga_session_id")
@@ -26,6 +26,14 @@ NESTED_STEPS = (("f_view_item", "has_view_item"), ("f_add_to_cart", "has_add_to_
                 ("f_payment", "has_payment"), ("f_purchase", "has_purchase"))
 
 
+def _step_bit(name: Column) -> Column:
+    """One bit per step event: a single narrow buffer carries all step flags through the aggregates."""
+    bit = F.lit(0)
+    for i, event in enumerate(STEP_EVENTS.values()):
+        bit = F.when(name == event, 1 << i).otherwise(bit)
+    return bit
+
+
 def _slices(events: DataFrame) -> DataFrame:
     """Events of a session that agree on day, device, country and medium, merged.
 
@@ -39,7 +47,7 @@ def _slices(events: DataFrame) -> DataFrame:
                  F.min("ga_session_number").alias("ga_session_number"),
                  *[F.count_if(name == e).alias(c) for c, e in COUNTED_EVENTS.items()],
                  F.bool_or(F.col("session_engaged") == "1").alias("engaged"),
-                 *[F.bool_or(name == e).alias(c) for c, e in STEP_EVENTS.items()]))
+                 F.bit_or(_step_bit(name)).alias("steps")))
 
 
 def _first_known(column: str) -> Column:
@@ -58,8 +66,9 @@ def session_core(events: DataFrame, purchases: DataFrame) -> DataFrame:
         F.min("ga_session_number").alias("ga_session_number"),
         *[F.sum(c).alias(c) for c in COUNTED_EVENTS],
         F.bool_or("engaged").alias("engaged"),
-        *[F.bool_or(c).alias(c) for c in STEP_EVENTS])
-    return (merged.join(session_orders(purchases), list(SESSION_KEY), "left")
+        F.bit_or("steps").alias("steps"))
+    flags = {c: F.col("steps").bitwiseAND(1 << i) != 0 for i, c in enumerate(STEP_EVENTS)}
+    return (merged.withColumns(flags).drop("steps").join(session_orders(purchases), list(SESSION_KEY), "left")
             .withColumn("orders", F.coalesce("orders", F.lit(0).cast("long")))
             .withColumn("revenue_usd", F.coalesce("revenue_usd", F.lit(0.0)))
             .withColumn("has_purchase", F.col("orders") > 0))
@@ -115,8 +124,7 @@ def overview(sessions: DataFrame, n_events: DataFrame) -> DataFrame:
         F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),
         money_total(F.col("revenue_usd")).alias("revenue_usd"),
         F.count_if("has_search").alias("searching"), F.count_if("is_engaged").alias("engaged"))
-    return (row.withColumn("events", n_events.scalar())
-            .withColumn("ci", wilson(F.col("purchasing_sessions"), F.col("sessions")))
+    return (with_wilson(row.withColumn("events", n_events.scalar()), "ci", "purchasing_sessions", "sessions")
             .select("first_day", "last_day", "events", "sessions", "users", "purchasing_sessions", "orders", "revenue_usd",
                     F.col("ci.p").alias("conversion"), F.col("ci.lo").alias("conversion_lo"),
                     F.col("ci.hi").alias("conversion_hi"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import iso_week, money_total, ratio, week_start
-from ..functions.stats import two_proportions, wilson
+from ..functions.stats import with_two_proportions, with_wilson
 
 # Fixed values of the gate: points above the median of the trailing weeks that hold a week.
 MAX_EMPTY_RISE = 0.10
@@ -94,9 +94,9 @@ def weekly_report(weekly: DataFrame, gate: DataFrame) -> DataFrame:
              .withColumn("before", F.lag("values").over(_BY_WEEK))
              .withColumn("x0", F.lag("purchasing_sessions").over(_BY_WEEK))
              .withColumn("n0", F.lag("sessions").over(_BY_WEEK))
-             .withColumn("ci", wilson(F.col("purchasing_sessions"), F.col("sessions")))
-             .withColumn("test", two_proportions(F.col("purchasing_sessions"), F.col("sessions"), F.col("x0"), F.col("n0")))
              .join(gate.select("week", "held"), "week"))
+    weeks = with_wilson(weeks, "ci", "purchasing_sessions", "sessions")
+    weeks = with_two_proportions(weeks, "test", "purchasing_sessions", "sessions", "x0", "n0")
     rows = (weeks.select("week", "previous_week", "held", "days", "ci", "test", "before", F.explode("values").alias("v"))
             .withColumn("previous", F.get("before", F.col("v.metric_order"))["current"]))
     change = F.col("v.current") - F.col("previous")

@@ -26,7 +26,8 @@ class Workspace:
 
     @cached_property
     def purchases(self) -> DataFrame:
-        return self._keep(orders.purchases(self.tables.events), "purchases")
+        return self._keep(orders.purchases(
+            self.tables.events, lambda df: self._keep(df, "purchase_rows")), "purchases")
 
     @cached_property
     def session_core(self) -> DataFrame:
@@ -50,17 +51,17 @@ class Workspace:
         return self._keep(
             kpis.daily_kpis(self.sessions, self.purchases, self.tables.calendar, self.timeline), "daily_kpis")
 
-    @property
+    @cached_property
     def weekly(self) -> DataFrame:
-        return weekly.weekly_kpis(self.daily)
+        return self._keep(weekly.weekly_kpis(self.daily), "weekly_kpis")
 
-    @property
+    @cached_property
     def gate(self) -> DataFrame:
-        return weekly.weekly_gate(self.weekly)
+        return self._keep(weekly.weekly_gate(self.weekly), "weekly_gate")
 
-    @property
+    @cached_property
     def window(self) -> DataFrame:
-        return tracking.journey_window(self.timeline)
+        return self._keep(tracking.journey_window(self.timeline), "journey_window")
 
     @cached_property
     def analysis_days(self) -> DataFrame:

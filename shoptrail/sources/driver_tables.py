@@ -66,9 +66,13 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source events with k and their day."""
-    return (spark.read.parquet(f"{sf_dir}/events.parquet")
-            .select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                    F.get_json_object("props", "$.k").cast("long").alias("k"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:
+        # A single file with one row group is one task; at scale the files are many and nothing is shuffled here.
+        events = events.repartition(cores, "event_id")
+    return (events.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                          F.get_json_object("props", "$.k").cast("long").alias("k"))
             .withColumn("day", F.to_date("ts")))
 
 

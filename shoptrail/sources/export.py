@@ -72,15 +72,15 @@ def flatten_items(export: DataFrame) -> DataFrame:
         ITEMS, "items")
 
 
-def param_inventory(export: DataFrame) -> DataFrame:
-    """Which parameters each event carries, and how often with a value in any slot."""
+def param_inventory(export: DataFrame, per_day: bool = False) -> DataFrame:
+    """Which parameters each event carries, and how often with a value in any slot; `per_day` splits the counts by day."""
+    day = [_day()] if per_day else []
     value = F.col("p.value")
     filled = F.coalesce(*[value[s].cast("string") for s in ("string_value", "int_value", "double_value", "float_value")])
-    return require_columns(
-        export.select("event_name", F.explode("event_params").alias("p"))
-        .groupBy("event_name", F.col("p.key").alias("param_key"))
-        .agg(F.count(F.lit(1)).alias("n_present"), F.count(filled).alias("n_nonnull")),
-        INVENTORY, "parameter inventory")
+    counted = (export.select(*day, "event_name", F.explode("event_params").alias("p"))
+               .groupBy(*[F.col("event_date") for _ in day], "event_name", F.col("p.key").alias("param_key"))
+               .agg(F.count(F.lit(1)).alias("n_present"), F.count(filled).alias("n_nonnull")))
+    return counted if per_day else require_columns(counted, INVENTORY, "parameter inventory")
 
 
 def repeated_params(export: DataFrame) -> DataFrame:

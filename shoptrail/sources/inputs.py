@@ -40,7 +40,7 @@ class FlatInputs:
         self.events = tables.read_table(spark, f"{raw}/events", EVENTS, "events")
         self.items = tables.read_table(spark, f"{raw}/items", ITEMS, "items")
         self.inventory = tables.read_table(spark, f"{raw}/param_inventory", INVENTORY, "parameter inventory")
-        self.calendar = tables.read_calendar(spark, f"{reference}/calendar.csv")
+        self.calendar = tables.unique_dates(tables.read_calendar(spark, f"{reference}/calendar.csv"))
         self.trading_windows = tables.read_trading_windows(spark, f"{reference}/trading_windows.csv")
 
 

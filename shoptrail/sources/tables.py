@@ -3,23 +3,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..contract import CALENDAR, TRADING_WINDOWS, require_columns
+from ..contract import CALENDAR, EXPORT, TRADING_WINDOWS, require_columns
 
 
 class EmptyInputError(FileNotFoundError):
     pass
 
 
-def read_table(spark: SparkSession, path: str, contract: T.StructType, what: str) -> DataFrame:
-    """All Parquet files below `path`, matched by column name against the contract."""
-    merged = spark.read.option("mergeSchema", True).parquet(path)
-    if not merged.inputFiles():
-        raise EmptyInputError(f"no Parquet files for {what} in {path}")
-    return require_columns(merged, contract, what)
+def read_table(spark: SparkSession, path: str, contract: T.StructType, what: str, merge: bool = False) -> DataFrame:
+    """All Parquet files below `path`, matched to the contract by column name.
+
+    With `merge` the schemas of all files are merged and checked first. Without it the contract is the schema, which
+    spares reading every footer; the flatten jobs have checked what they wrote.
+    """
+    reader = spark.read.option("mergeSchema", True) if merge else spark.read.schema(contract)
+    table = reader.parquet(path)
+    if table.isEmpty():
+        raise EmptyInputError(f"no Parquet rows for {what} in {path}")
+    return require_columns(table, contract, what)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """The nested export: a folder with one `event_date=YYYYMMDD` partition per day, or plain files with that column."""
+    days = spark.read.schema(EXPORT).parquet(path)
+    return days.withColumn("event_date", F.col("event_date").cast("string"))
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
-    return unique_dates(spark.read.csv(path, header=True, schema=CALENDAR))
+    return spark.read.csv(path, header=True, schema=CALENDAR)
 
 
 def read_trading_windows(spark: SparkSession, path: str) -> DataFrame:
