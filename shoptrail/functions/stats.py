@@ -65,7 +65,7 @@ def with_two_proportions(df: DataFrame, name: str, x1: str, n1: str, x0: str, n0
     df = with_erfc(df, f"{w}p", f"{w}.z")
     return df.withColumn(name, F.expr(
         f"CASE WHEN {w}.diff IS NOT NULL THEN named_struct('p1', {w}.p1, 'p0', {w}.p0, 'diff', {w}.diff, "
-        f"'lo', {w}.diff - {w}.half, 'hi', {w}.diff + {w}.half, 'p_value', coalesce({w}p, 1D), "
+        f"'lo', {w}.diff - {w}.half, 'hi', {w}.diff + {w}.half, 'p_value', least(1D, coalesce({w}p, 1D)), "
         f"'rel', CASE WHEN {w}.p0 > 0 THEN try_divide({w}.diff, {w}.p0) END) END")).drop(w, f"{w}p")
 
 

@@ -27,36 +27,31 @@ def event_profile(events: DataFrame) -> DataFrame:
         F.count_if(blank(F.col("page_location"))).alias("no_location"))
 
 
-# The tables below have one row per day or week: the unpartitioned windows hold the calendar, not the data.
-_BY_DAY = Window.orderBy("date")
-_LAST_3 = _BY_DAY.rowsBetween(-2, 0)
-_ALL_DAYS = Window.partitionBy()
-
-
 def tracking_timeline(sessions: DataFrame, profile: DataFrame) -> DataFrame:
     """Per day with sessions: journey events, their rates, whether all are tracked, and the journey window."""
     name = F.col("event_name")
     per_day = profile.groupBy("date").agg(
-        *[F.sum(F.when(name == e, F.col("n"))).alias(e) for e in JOURNEY_EVENTS],
+        *[F.expr(f"sum(n) FILTER (WHERE event_name = '{e}')").alias(e) for e in JOURNEY_EVENTS],
         F.sum(F.when(name == "purchase", F.col("with_id"))).alias("purchases_with_id"),
         F.sum(F.when(name == "begin_checkout", F.col("with_items"))).alias("checkouts_with_items"))
     counts = [*JOURNEY_EVENTS, "purchases_with_id", "checkouts_with_items"]
     days = (sessions.groupBy(F.col("session_date").alias("date")).agg(F.count(F.lit(1)).alias("sessions"))
             .join(per_day, "date", "left").fillna(0, counts))
-    rolling = {f"rate_{e}": ratio(F.sum(e).over(_LAST_3), F.sum("sessions").over(_LAST_3)) for e in JOURNEY_EVENTS}
-    typical = {f"typical_{e}": F.percentile(f"rate_{e}", F.lit(0.5)).over(_ALL_DAYS) for e in JOURNEY_EVENTS}
-    tracked = F.lit(True)
-    for e in JOURNEY_EVENTS:
-        tracked = tracked & (F.col(f"typical_{e}") > 0) & (F.col(f"rate_{e}") >= TRACKED_SHARE * F.col(f"typical_{e}"))
-    last_failing = F.max(F.when(~F.col("all_journey_events_tracked"), F.col("date"))).over(_ALL_DAYS)
+    # One row per day: the unpartitioned windows below hold the calendar, not the data. Both count days present.
+    last_3, all_days = "(ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", Window.partitionBy()
+    rolling = {f"rate_{e}": F.expr(f"try_divide(sum({e}) OVER {last_3}, sum(sessions) OVER {last_3})") for e in JOURNEY_EVENTS}
+    typical = {f"typical_{e}": F.expr(f"percentile(rate_{e}, 0.5) OVER ()") for e in JOURNEY_EVENTS}
+    tracked = F.expr(" AND ".join(
+        f"typical_{e} > 0 AND rate_{e} >= {TRACKED_SHARE} * typical_{e}" for e in JOURNEY_EVENTS))
+    last_failing = F.max(F.when(~F.col("all_journey_events_tracked"), F.col("date"))).over(all_days)
     in_last_run = F.col("last_failing").isNull() | (F.col("date") > F.col("last_failing"))
     return (days.withColumns(rolling).withColumns(typical)
             .withColumn("all_journey_events_tracked", tracked)
             .withColumn("last_failing", last_failing)
-            .withColumn("run_start", F.min(F.when(in_last_run, F.col("date"))).over(_ALL_DAYS))
+            .withColumn("run_start", F.min(F.when(in_last_run, F.col("date"))).over(all_days))
             .withColumn("in_journey_window", F.coalesce(F.col("date") >= F.col("run_start"), F.lit(True)))
             .select("date", "sessions", *counts,
-                    *[ratio(100 * F.col(e), F.col("sessions")).alias(f"{e}_per_100_sessions") for e in JOURNEY_EVENTS],
+                    *[F.expr(f"try_divide(100D * {e}, sessions)").alias(f"{e}_per_100_sessions") for e in JOURNEY_EVENTS],
                     "all_journey_events_tracked", "in_journey_window"))
 
 
@@ -89,7 +84,8 @@ def analysis_summary(analysis: DataFrame, window: DataFrame, gate: DataFrame) ->
 
 def weekly_completeness(timeline: DataFrame) -> DataFrame:
     """Per week, never starting before the data does: identified purchases, itemised checkouts, events firing."""
-    week = F.greatest(week_start(F.col("date")), F.min("date").over(_ALL_DAYS))
+    # One row per day, so the unpartitioned window finding the first one is small.
+    week = F.greatest(week_start(F.col("date")), F.min("date").over(Window.partitionBy()))
     per_100 = lambda num, den: ratio(100 * F.sum(num), F.sum(den))
     return (timeline.withColumn("week_start", week).groupBy("week_start").agg(
         per_100("purchases_with_id", "purchase").alias("pct_purchases_with_id"),

@@ -1,7 +1,7 @@
 """Weekly KPIs, the data-quality gate and the week-on-week report, all weeks in one pass over the daily table."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.columns import iso_week, money_total, ratio, week_start
 from ..functions.stats import with_two_proportions, with_wilson
@@ -15,9 +15,10 @@ COUNTS = ("sessions", "purchasing_sessions", "orders", "search_sessions", "produ
           "checkout_sessions", "checkout_completed", "purchase_events", "purchases_missing_id", "empty_purchase_events",
           "repeat_purchase_events", "orders_without_id", "sessions_missing_start")
 
-# One row per week: these windows hold the weeks of the calendar, whatever the size of the data.
-_BY_WEEK = Window.orderBy("week_start")
-_HISTORY = _BY_WEEK.rowsBetween(-TRAILING_WEEKS, -1)
+
+def _by_week() -> WindowSpec:
+    """One row per week: the window holds the weeks of the calendar, whatever the size of the data."""
+    return Window.orderBy("week_start")
 
 
 def weekly_kpis(daily: DataFrame) -> DataFrame:
@@ -30,8 +31,10 @@ def weekly_kpis(daily: DataFrame) -> DataFrame:
 
 def weekly_gate(weekly: DataFrame) -> DataFrame:
     """Hold a week that is materially worse than the median of the up to four weeks present before it."""
+    history = _by_week().rowsBetween(-TRAILING_WEEKS, -1)
+
     def baseline(rate: str) -> Column:
-        return F.coalesce(F.percentile(rate, F.lit(0.5)).over(_HISTORY), F.lit(0.0))
+        return F.coalesce(F.percentile(rate, F.lit(0.5)).over(history), F.lit(0.0))
 
     return (weekly
             .withColumn("empty_rate", F.coalesce(ratio(F.col("empty_purchase_events"), F.col("purchase_events")), F.lit(0.0)))
@@ -89,11 +92,12 @@ def weekly_report(weekly: DataFrame, gate: DataFrame) -> DataFrame:
     """
     values = F.array(*[F.struct(F.lit(i).alias("metric_order"), F.lit(name).alias("metric"), value().alias("current"),
                                 F.lit(kind).alias("change_kind")) for i, (name, value, kind) in enumerate(REPORT)])
+    order = _by_week()
     weeks = (weekly.withColumn("values", values)
-             .withColumn("previous_week", F.lag("week").over(_BY_WEEK))
-             .withColumn("before", F.lag("values").over(_BY_WEEK))
-             .withColumn("x0", F.lag("purchasing_sessions").over(_BY_WEEK))
-             .withColumn("n0", F.lag("sessions").over(_BY_WEEK))
+             .withColumn("previous_week", F.lag("week").over(order))
+             .withColumn("before", F.lag("values").over(order))
+             .withColumn("x0", F.lag("purchasing_sessions").over(order))
+             .withColumn("n0", F.lag("sessions").over(order))
              .join(gate.select("week", "held"), "week"))
     weeks = with_wilson(weeks, "ci", "purchasing_sessions", "sessions")
     weeks = with_two_proportions(weeks, "test", "purchasing_sessions", "sessions", "x0", "n0")

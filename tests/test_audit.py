@@ -1,0 +1,116 @@
+import math
+
+import pytest
+
+from shoptrail.operators import audit, orders, sessions, tracking
+from shoptrail.sources import export
+
+T = dict(transaction_id="T", purchase_revenue_usd=10.0, n_items=1)
+
+
+@pytest.fixture(scope="module")
+def faulty(spark, make_events, make_items):
+    """A hundred sound sessions and a known number of each fault."""
+    rows, items = [], []
+    for i in range(100):
+        u = f"u{i:03d}"
+        rows += [(u, 1, 0, "session_start", {}), (u, 1, 1, "page_view", dict(page_location="/a", page_title="A")),
+                 (u, 1, 2, "view_item", dict(n_items=1)), (u, 1, 3, "begin_checkout", dict(n_items=1)),
+                 (u, 1, 4, "purchase", dict(T, transaction_id=f"T{i}"))]
+        items.append((u, 1, 4, "purchase", 10.0))
+    sound = len(rows)
+    rows += [("f", None, 0, "page_view", dict(page_location="/a"))] * 3                      # no session
+    rows += [(f"n{i}", 1, 0, "page_view", dict(page_location="/a")) for i in range(4)]       # no start
+    rows += [("r", 1, 0, "session_start", {})] * 2                                           # start twice
+    rows += [("r", 1, 1, "page_view", dict(page_location=""))] * 2                           # no page
+    rows += [("r", 1, 2, "view_search_results", dict(search_term=t)) for t in ("x", "", None, "<Other>")]
+    rows += [("r", 1, 3, "add_to_cart", dict(n_items=n)) for n in (1, 6, 0, None)]
+    rows += [("u000", 1, 5, "purchase", dict(T, transaction_id="T0"))]                       # repeat, no items known
+    rows += [("r", 1, 6, "purchase", dict(T, transaction_id="")), ("r", 1, 7, "purchase", dict(T, transaction_id="R", purchase_revenue_usd=0.0))]
+    items += [("r", 1, 6, "purchase", 8.0), ("r", 1, 7, "purchase", None)]
+    events, lines = make_events(rows), make_items(items)
+    bought = orders.purchases(events)
+    profile = tracking.event_profile(events)
+    params = "ga_session_id ga_session_number page_location page_title search_term".split()
+    inventory = spark.createDataFrame([("page_view", "page_title", 100, 95), ("page_view", "ga_session_id", 106, 106)]
+                                      + [("session_start", p, 102, 102) for p in params[:2]],
+                                      "event_name string, param_key string, n_present long, n_nonnull long")
+    coverage = audit.tracking_coverage(spark, profile, inventory)
+    pairs = audit.revenue_pairs(bought, lines)
+    card = audit.audit_scorecard(spark, profile, sessions.sessions(events, bought), bought, pairs, coverage)
+    return {r["check"]: r for r in card.collect()}, {(r.event, r.field): r for r in coverage.collect()}, card, pairs, sound
+
+
+@pytest.mark.parametrize("check, numerator, denominator, status", [
+    ("events_missing_session_id", 3, None, "fail"),
+    ("sessions_without_session_start", 4, 105, "fail"),
+    ("sessions_with_repeated_session_start", 1, 105, "pass"),
+    ("purchases_missing_transaction_id", 1, 103, "fail"),
+    ("duplicate_purchase_events", 1, 103, "fail"),
+    ("purchases_without_revenue", 1, 103, "fail"),
+    ("ecommerce_events_without_items", 2, 307, "pass"),
+    ("add_to_cart_with_many_products", 1, 4, "fail"),
+    ("purchase_sessions_without_checkout", 1, 101, "pass"),
+    ("searches_without_term", 2, 4, "fail"),
+    ("search_terms_obfuscated", 1, 4, "info"),
+    ("page_views_without_location", 2, 109, "fail"),
+    ("purchase_revenue_mismatch", 1, 101, "info"),
+])
+def test_each_fault_is_found_at_exactly_its_count(faulty, check, numerator, denominator, status):
+    r = faulty[0][check]
+    assert (r.numerator, r.status) == (numerator, status)
+    if denominator is not None:
+        assert r.denominator == denominator
+    assert math.isclose(r.rate, r.numerator / r.denominator)
+
+
+def test_coverage_statuses(faulty):
+    _, cov, _, _, _ = faulty
+    assert len(cov) == len(audit.PLAN)
+    assert cov["page_view", "page_title"].n_ok == 95 and cov["page_view", "page_title"].status == "fail"
+    assert cov["page_view", "ga_session_id"].status == "pass"
+    assert cov["add_payment_info", "ga_session_id"].status == "not tracked" and cov["add_payment_info", "ga_session_id"].coverage is None
+    assert cov["purchase", "transaction_id"].n_ok == 102 and cov["purchase", "purchase_revenue_in_usd"].n_ok == 102
+
+
+def test_derived_check_counts_failed_and_untracked_fields(faulty):
+    card, cov, _, _, _ = faulty
+    below = sum(r.status != "pass" for r in cov.values())
+    r = card["tracking_plan_fields_below_target"]
+    assert (r.numerator, r.denominator, r.status) == (below, 15, "fail")
+
+
+def test_failures_come_most_severe_first(faulty):
+    got = [r.severity for r in audit.audit_failures(faulty[2]).collect()]
+    assert got == sorted(got, key=["high", "medium", "info"].index) and got[0] == "high" and got[-1] == "medium"
+
+
+def test_revenue_gap_and_verdict(faulty):
+    g = audit.revenue_gap(faulty[3])
+    r = g.first()
+    assert (r["match"], r.above, r.below) == (100, 1, 0) and math.isclose(r.median_gap, 0.25)
+    v = audit.revenue_gap_verdict(g).first()
+    assert (v.comparable, v.mismatches, v.share_above, v.verdict) == (101, 1, 1.0, "one-sided")
+
+
+@pytest.mark.parametrize("above, below, verdict", [(0, 0, "all match"), (5, 5, "noise"), (35, 65, "noise"), (34, 66, "one-sided")])
+def test_verdicts(spark, above, below, verdict):
+    g = spark.createDataFrame([(10, above, below, 0.1)], "match long, above long, below long, median_gap double")
+    assert audit.revenue_gap_verdict(g).first().verdict == verdict
+
+
+def test_two_purchases_at_one_time_both_meet_the_items(make_events, make_items):
+    events = make_events([("u", 1, 4, "purchase", dict(T, transaction_id=t)) for t in ("A", "B")])
+    pairs = audit.revenue_pairs(orders.purchases(events), make_items([("u", 1, 4, "purchase", 4.0), ("u", 1, 4, "purchase", 6.0)]))
+    assert pairs.agg({"n_events": "sum"}).first()[0] == 2
+    assert audit.revenue_gap(pairs).first()["match"] == 2
+
+
+def test_an_empty_input_gives_not_applicable(spark, make_events, make_items):
+    events, lines = make_events([("u", 1, 0, "page_view", {})]).where("false"), make_items([("u", 1, 4, "purchase", 4.0)]).where("false")
+    bought, profile = orders.purchases(events), tracking.event_profile(events)
+    inventory = export.param_inventory(spark.createDataFrame([], export.EXPORT))
+    card = audit.audit_scorecard(spark, profile, sessions.sessions(events, bought), bought, audit.revenue_pairs(bought, lines),
+                                 audit.tracking_coverage(spark, profile, inventory)).collect()
+    assert len(card) == 14
+    assert {r["check"]: r.status for r in card if r.status != "n/a"} == {"tracking_plan_fields_below_target": "fail"}

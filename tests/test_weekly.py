@@ -1,0 +1,123 @@
+import datetime as dt
+
+import pytest
+
+from shoptrail.operators import kpis, weekly
+
+MONDAY = dt.date(2020, 11, 30)
+
+
+def daily(spark, weeks, last_days=7):
+    """One dict of daily values per week, the same on each of its days."""
+    base = dict(sessions=100, purchasing_sessions=5, orders=5, revenue_usd=50.0, search_sessions=10, product_view_sessions=40,
+                basket_sessions=20, checkout_sessions=10, checkout_completed=5, purchase_events=10, purchases_missing_id=0,
+                empty_purchase_events=0, repeat_purchase_events=0, orders_without_id=0, sessions_missing_start=0, journey_tracked=True)
+    rows = []
+    for w, change in enumerate(weeks):
+        for d in range(last_days if w == len(weeks) - 1 else 7):
+            r = {**base, **change}
+            rows.append((MONDAY + dt.timedelta(days=7 * w + d), *[r[k] for k in base]))
+    types = ", ".join(f"{k} {'double' if k == 'revenue_usd' else 'boolean' if k == 'journey_tracked' else 'long'}" for k in base)
+    return spark.createDataFrame(rows, f"date date, {types}")
+
+
+def gate(df):
+    w = weekly.weekly_kpis(df)
+    return w, weekly.weekly_gate(w)
+
+
+def test_only_the_incident_week_is_held(spark):
+    w, g = gate(daily(spark, [{}, {}, dict(empty_purchase_events=3), {}, {}]))
+    assert [r.week for r in weekly.held_weeks(g).collect()] == ["2020-W51"]
+
+
+def test_a_chronic_problem_is_a_note_not_a_hold(spark):
+    w, g = gate(daily(spark, [dict(orders_without_id=1, empty_purchase_events=1)] * 4))
+    # exactly ten points in the first week, with no history: not above the limit
+    assert weekly.held_weeks(g).isEmpty()
+    notes = weekly.weekly_notes(w, g).collect()
+    assert all(n.orders_without_id == 7 and n.empty_events_not_counted == 7 and not n.journey_not_fully_tracked for n in notes)
+
+
+def test_first_week_is_judged_against_zero_and_history_includes_held_weeks(spark):
+    w, g = gate(daily(spark, [dict(empty_purchase_events=2)] * 3))
+    rows = g.orderBy("week").collect()
+    assert [r.held for r in rows] == [True, False, False]
+    assert [round(r.empty_baseline, 6) for r in rows] == [0.0, 0.2, 0.2]
+    assert weekly.weekly_notes(w, g).where("held").first().empty_events_not_counted is None
+
+
+def test_baseline_is_the_median_of_the_last_four_weeks(spark):
+    rates = [0, 1, 2, 3, 4, 5]
+    _, g = gate(daily(spark, [dict(sessions_missing_start=r) for r in rates]))
+    got = [r.missing_start_baseline for r in g.orderBy("week").collect()]
+    assert [round(x * 100, 6) for x in got] == [0, 0, 0.5, 1, 1.5, 2.5]
+
+
+def test_missing_starts_hold_a_week(spark):
+    _, g = gate(daily(spark, [{}, dict(sessions_missing_start=6), dict(sessions_missing_start=5)]))
+    assert [(r.held, r.held_missing_start, r.held_empty) for r in g.orderBy("week").collect()] == [
+        (False, False, False), (True, True, False), (False, False, False)]
+
+
+def test_latest_full_week(spark):
+    assert weekly.latest_full_week(gate(daily(spark, [{}, {}], last_days=3))[0]).first().week == "2020-W49"
+    assert weekly.latest_full_week(gate(daily(spark, [{}], last_days=2))[0]).first().week == "2020-W49"
+
+
+def test_report_compares_with_the_previous_present_week(spark):
+    w, g = gate(daily(spark, [{}, dict(sessions=200, purchasing_sessions=20, orders=10, revenue_usd=150.0, checkout_sessions=0)]))
+    rows = {(r.week, r.metric): r for r in weekly.weekly_report(w, g).collect()}
+    assert len(rows) == 18
+    first = rows["2020-W49", "Sessions"]
+    assert first.previous_week is None and first.previous is None and first.change is None
+    assert rows["2020-W50", "Sessions"].change == 1.0 and rows["2020-W50", "Revenue (USD)"].change == 2.0
+    conv = rows["2020-W50", "Session conversion"]
+    assert conv.previous_week == "2020-W49" and round(conv.change, 6) == 0.05 and conv.significant
+    assert conv.interval_lo < 0.1 < conv.interval_hi
+    assert rows["2020-W50", "Checkout completion"].current is None and rows["2020-W50", "Checkout completion"].change is None
+
+
+def test_iso_labels_around_new_year(spark):
+    from pyspark.sql import functions as F
+    from shoptrail.functions.columns import iso_week
+    days = [dt.date(2021, 1, 1), dt.date(2021, 1, 4), dt.date(2024, 12, 30), dt.date(2020, 12, 28)]
+    df = spark.createDataFrame([(d,) for d in days], "d date").select("d", iso_week(F.col("d")).alias("w"))
+    for r in df.collect():
+        y, w, _ = r.d.isocalendar()
+        assert r.w == f"{y}-W{w:02d}"
+
+
+WINDOWS = [("Quiet", MONDAY, MONDAY + dt.timedelta(days=6), "baseline"),
+           ("Peak", MONDAY + dt.timedelta(days=7), MONDAY + dt.timedelta(days=15), "event"),
+           ("Empty", MONDAY + dt.timedelta(days=100), MONDAY + dt.timedelta(days=101), "event"),
+           ("Sizing", MONDAY, MONDAY, "sizing")]
+SCHEMA = "window_name string, start_date date, end_date date, role string"
+
+
+def test_windows_leave_out_held_days_and_blank_untracked_checkout(spark):
+    d = daily(spark, [{}, dict(purchasing_sessions=10), dict(empty_purchase_events=9), {}])
+    _, g = gate(d)
+    start = spark.createDataFrame([(MONDAY + dt.timedelta(days=3),)], "start date")
+    rows = {r.window: r for r in kpis.compare_windows(d, spark.createDataFrame(WINDOWS, SCHEMA), g, start).collect()}
+    assert set(rows) == {"Quiet", "Peak", "Empty"}
+    quiet, peak, empty = rows["Quiet"], rows["Peak"], rows["Empty"]
+    assert (peak.days, peak.days_excluded) == (7, 2) and (quiet.days, quiet.days_excluded) == (7, 0)
+    assert quiet.checkout_completion is None and quiet.conversion_change_pp == 0 and quiet.conversion_p_value == 1.0
+    assert peak.checkout_completion == 0.5 and peak.conversion == 0.1 and round(peak.conversion_change_rel, 6) == 1.0
+    assert empty.days == 0 and empty.conversion is None and empty.sessions_per_day is None and empty.revenue_per_order is None
+
+
+def test_a_missing_baseline_is_a_clear_error(spark):
+    d = daily(spark, [{}])
+    _, g = gate(d)
+    start = spark.createDataFrame([(MONDAY,)], "start date")
+    with pytest.raises(Exception, match="no baseline window"):
+        kpis.compare_windows(d, spark.createDataFrame(WINDOWS[1:], SCHEMA), g, start).collect()
+
+
+def test_conversion_trend_needs_four_days(spark):
+    rows = [(MONDAY + dt.timedelta(days=n), n / 10, None) for n in range(9)]
+    got = kpis.conversion_trend(spark.createDataFrame(rows, "date date, conversion double, calendar_label string")).orderBy("date").collect()
+    assert [r.conversion_7_day is None for r in got] == [True] * 3 + [False] * 6
+    assert round(got[3].conversion_7_day, 6) == 0.15 and round(got[8].conversion_7_day, 6) == 0.5
