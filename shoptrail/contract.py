@@ -1,7 +1,7 @@
 """Table contracts and the fixed vocabulary the operators share."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 EVENTS = T.StructType([
     T.StructField("event_date", T.DateType()),
@@ -123,9 +123,6 @@ def require_columns(df: DataFrame, contract: T.StructType, what: str) -> DataFra
     return df.select(*contract.fieldNames())
 
 
-def valid_id(transaction_id: Column) -> Column:
-    return transaction_id.isNotNull() & ~transaction_id.isin(*MISSING_IDS)
-
-
-def blank(text: Column) -> Column:
-    return text.isNull() | (text == "")
+def valid_id(transaction_id: str) -> str:
+    """SQL test: a usable transaction ID."""
+    return f"({transaction_id} IS NOT NULL AND {transaction_id} NOT IN ({', '.join(repr(v) for v in MISSING_IDS)}))"

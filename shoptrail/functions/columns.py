@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..contract import MONEY, MONEY_TOTAL
+from ..contract import MONEY_TOTAL
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -11,13 +11,14 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def money(amount: Column) -> Column:
-    return amount.cast(MONEY)
+def total_sql(amount: str) -> str:
+    """Order-independent sum of a money expression as SQL text, 0 when nothing was added."""
+    return f"CAST(coalesce(sum(CAST({amount} AS {MONEY_TOTAL})), 0) AS DOUBLE)"
 
 
-def money_total(amount: Column) -> Column:
-    """Order-independent sum of money, 0 when nothing was added."""
-    return F.coalesce(F.sum(amount.cast(MONEY_TOTAL)), F.lit(0).cast(MONEY_TOTAL)).cast("double")
+def exprs(columns: dict[str, str]) -> list[Column]:
+    """SQL expressions by result name."""
+    return [F.expr(sql).alias(name) for name, sql in columns.items()]
 
 
 def iso_week(date: Column) -> Column:
@@ -32,4 +33,4 @@ def week_start(date: Column) -> Column:
 
 def one_row(df: DataFrame) -> Column:
     """A one-row frame as a struct-valued scalar subquery, so no join is needed to attach it."""
-    return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
+    return df.select(F.struct("*")).scalar()

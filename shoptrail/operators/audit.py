@@ -1,10 +1,10 @@
 """The tracking audit: each check is a share of faulty rows judged against a threshold."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contract import ECOMMERCE_EVENTS, MONEY, MONEY_TOTAL
-from ..functions.columns import ratio
+from ..functions.columns import exprs
 from ..functions.skew import exact_median, salted_left_join
 
 COVERAGE_TARGET = 0.95
@@ -72,112 +72,98 @@ def revenue_pairs(purchases: DataFrame, items: DataFrame) -> DataFrame:
     Item revenue is one row per (user, session, time) before it is joined; NULL sessions never match.
     """
     key = ["user_pseudo_id", "ga_session_id", "event_ts"]
-    item = F.col("item_revenue_usd")
-    lines = (items.where((F.col("event_name") == "purchase") & item.isNotNull())
-             .groupBy(*key).agg(F.sum(item.cast(MONEY).cast(MONEY_TOTAL)).cast("double").alias("items_usd")))
-    orders = (purchases.where(F.col("purchase_revenue_usd").isNotNull())
-              .select(*key, "transaction_id", F.col("purchase_revenue_usd").alias("order_usd"), "n_events"))
+    known = f"CAST(CAST(item_revenue_usd AS {MONEY}) AS {MONEY_TOTAL})"
+    lines = (items.where("event_name = 'purchase' AND item_revenue_usd IS NOT NULL")
+             .groupBy(*key).agg(F.expr(f"CAST(sum({known}) AS DOUBLE) AS items_usd")))
+    orders = (purchases.where("purchase_revenue_usd IS NOT NULL")
+              .selectExpr(*key, "transaction_id", "purchase_revenue_usd AS order_usd", "n_events"))
     joined = salted_left_join(orders, lines, key, ["transaction_id", "order_usd"], how="inner")
-    limit = TOLERANCE * F.greatest(F.abs("items_usd"), F.lit(0.01))
-    return joined.select("n_events", "items_usd", (F.col("order_usd") - F.col("items_usd")).alias("gap"), limit.alias("limit"))
+    return joined.selectExpr("n_events", "items_usd", "order_usd - items_usd AS gap",
+                             f"{TOLERANCE}D * greatest(abs(items_usd), 0.01D) AS limit")
 
 
 def revenue_gap(pairs: DataFrame) -> DataFrame:
     """Pairs that match, order above items, order below items, and the median relative gap of the mismatches."""
-    gap, limit, n = F.col("gap"), F.col("limit"), F.col("n_events")
-    total = lambda rule: F.coalesce(F.sum(F.when(rule, n)), F.lit(0))
-    relative = F.try_divide(F.abs(gap), F.abs("items_usd"))
-    median = exact_median(pairs.where(F.abs(gap) > limit), relative, n, "median_gap")
-    return (pairs.agg(total(F.abs(gap) <= limit).alias("match"), total(gap > limit).alias("above"),
-                      total(-gap > limit).alias("below"))
+    total = lambda rule: f"coalesce(sum(n_events) FILTER (WHERE {rule}), 0L)"
+    median = exact_median(pairs.where("abs(gap) > limit"), F.expr("try_divide(abs(gap), abs(items_usd))"),
+                          F.col("n_events"), "median_gap")
+    return (pairs.agg(*exprs({"match": total("abs(gap) <= limit"), "above": total("gap > limit"), "below": total("-gap > limit")}))
             .withColumn("median_gap", median.scalar()))
 
 
 def revenue_gap_verdict(gap: DataFrame) -> DataFrame:
     """Gaps both ways look like noise; gaps mostly one way suggest charges inside the order value."""
-    mismatches = F.col("above") + F.col("below")
-    share = ratio(F.col("above"), mismatches)
-    return gap.select(
-        (F.col("match") + mismatches).alias("comparable"), mismatches.alias("mismatches"), share.alias("share_above"),
-        F.when(mismatches == 0, "all match").when(share.between(*NOISE_BAND), "noise").otherwise("one-sided").alias("verdict"))
+    low, high = NOISE_BAND
+    return (gap.selectExpr("match + above + below AS comparable", "above + below AS mismatches",
+                           "try_divide(above, above + below) AS share_above")
+            .selectExpr("*", f"CASE WHEN mismatches = 0 THEN 'all match' WHEN share_above BETWEEN {low}D AND {high}D THEN 'noise' "
+                        "ELSE 'one-sided' END AS verdict"))
 
 
 def tracking_coverage(spark: SparkSession, profile: DataFrame, inventory: DataFrame) -> DataFrame:
     """Per plan row: the share of the event's rows that carry the field."""
     totals = profile.groupBy(F.col("event_name").alias("event")).agg(
-        *[F.sum(c).alias(c) for c in ("n", "with_items", "with_id", "with_revenue")])
+        *exprs({c: f"sum({c})" for c in ("n", "with_items", "with_id", "with_revenue")}))
     filled = inventory.groupBy(F.col("event_name").alias("event"), F.col("param_key").alias("field")).agg(
-        F.sum("n_nonnull").alias("n_nonnull"))
-    source, field = F.col("source"), F.col("field")
-    ok = (F.when(source == "event_param", F.col("n_nonnull")).when(source == "items", F.col("with_items"))
-          .when(field == "transaction_id", F.col("with_id")).when(field == "purchase_revenue_in_usd", F.col("with_revenue")))
-    share = ratio(F.col("n_ok"), F.col("n_events"))
+        F.expr("sum(n_nonnull) AS n_nonnull"))
+    ok = ("CASE WHEN source = 'event_param' THEN n_nonnull WHEN source = 'items' THEN with_items "
+          "WHEN field = 'transaction_id' THEN with_id WHEN field = 'purchase_revenue_in_usd' THEN with_revenue END")
     return (tracking_plan(spark).join(totals, "event", "left").join(filled, ["event", "field"], "left")
-            .withColumn("n_ok", F.coalesce(ok, F.lit(0))).withColumn("n_events", F.coalesce("n", F.lit(0)))
-            .select("plan_order", "stage", "event", "field", "source", "n_ok", "n_events", share.alias("coverage"),
-                    F.lit(COVERAGE_TARGET).alias("target"),
-                    F.when(F.col("n_events") == 0, "not tracked").when(share >= COVERAGE_TARGET, "pass")
-                    .otherwise("fail").alias("status")))
+            .selectExpr("plan_order", "stage", "event", "field", "source", f"coalesce({ok}, 0L) AS n_ok", "coalesce(n, 0L) AS n_events")
+            .selectExpr("*", "try_divide(n_ok, n_events) AS coverage", f"{COVERAGE_TARGET}D AS target")
+            .selectExpr("*", "CASE WHEN n_events = 0 THEN 'not tracked' WHEN coverage >= target THEN 'pass' ELSE 'fail' END AS status"))
 
 
-def _long(df: DataFrame, measured: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """One aggregate row -> one row per check."""
-    zero = F.lit(0).cast("long")
-    row = df.agg(F.array(*[F.struct(F.lit(check).alias("check"), F.coalesce(num.cast("long"), zero).alias("numerator"),
-                                    F.coalesce(den.cast("long"), zero).alias("denominator"))
-                           for check, (num, den) in measured.items()]).alias("checks"))
-    return row.select(F.inline("checks"))
+def _long(df: DataFrame, measured: dict[str, tuple[str, str]]) -> DataFrame:
+    """Numerator and denominator aggregates by check -> one row per check, all from one pass."""
+    checks = ", ".join(f"named_struct('check', '{check}', 'numerator', CAST(coalesce({num}, 0) AS BIGINT), "
+                       f"'denominator', CAST(coalesce({den}, 0) AS BIGINT))" for check, (num, den) in measured.items())
+    return df.agg(F.expr(f"array({checks}) AS checks")).selectExpr("inline(checks)")
 
 
 def audit_scorecard(spark: SparkSession, profile: DataFrame, sessions: DataFrame, purchases: DataFrame,
                     pairs: DataFrame, coverage: DataFrame) -> DataFrame:
     """All checks: one pass over each source, and the event-level ones only over the per-day event counts."""
-    name = F.col("event_name")
+    def tally(column: str, *events: str) -> str:
+        return f"sum({column}) FILTER (WHERE event_name IN ({', '.join(repr(e) for e in events)}))"
 
-    def tally(column: str, *events: str) -> Column:
-        return F.sum(F.when(name.isin(*events), F.col(column)) if events else F.col(column))
-
-    sent = tally("n", "purchase")
     event_checks = _long(profile, {
-        "events_missing_session_id": (tally("no_session"), tally("n")),
-        "purchases_missing_transaction_id": (sent - tally("with_id", "purchase"), sent),
-        "purchases_without_revenue": (sent - tally("with_revenue", "purchase"), sent),
-        "ecommerce_events_without_items": (tally("n", *ECOMMERCE_EVENTS) - tally("with_items", *ECOMMERCE_EVENTS),
-                                           tally("n", *ECOMMERCE_EVENTS)),
+        "events_missing_session_id": ("sum(no_session)", "sum(n)"),
+        "purchases_missing_transaction_id": (tally("n - with_id", "purchase"), tally("n", "purchase")),
+        "purchases_without_revenue": (tally("n - with_revenue", "purchase"), tally("n", "purchase")),
+        "ecommerce_events_without_items": (tally("n - with_items", *ECOMMERCE_EVENTS), tally("n", *ECOMMERCE_EVENTS)),
         "add_to_cart_with_many_products": (tally("many_items", "add_to_cart"), tally("n", "add_to_cart")),
         "searches_without_term": (tally("no_term", "view_search_results"), tally("n", "view_search_results")),
         "search_terms_obfuscated": (tally("placeholder_term", "view_search_results"), tally("n", "view_search_results")),
         "page_views_without_location": (tally("no_location", "page_view"), tally("n", "page_view")),
     })
-    n = F.count(F.lit(1))
     session_checks = _long(sessions, {
-        "sessions_without_session_start": (F.count_if(F.col("n_session_start") == 0), n),
-        "sessions_with_repeated_session_start": (F.count_if(F.col("n_session_start") > 1), n),
+        "sessions_without_session_start": ("count_if(n_session_start = 0)", "count(*)"),
+        "sessions_with_repeated_session_start": ("count_if(n_session_start > 1)", "count(*)"),
         "purchase_sessions_without_checkout": (
-            F.count_if(F.col("has_purchase") & ~F.col("has_begin_checkout")), F.count_if("has_purchase")),
+            "count_if(has_purchase AND NOT has_begin_checkout)", "count_if(has_purchase)"),
     })
     purchase_checks = _long(purchases, {
-        "duplicate_purchase_events": (F.sum("n_repeats"), F.sum("n_events")),
+        "duplicate_purchase_events": ("sum(n_repeats)", "sum(n_events)"),
     })
     pair_checks = _long(pairs, {
-        "purchase_revenue_mismatch": (F.sum(F.when(F.abs("gap") > F.col("limit"), F.col("n_events"))), F.sum("n_events")),
+        "purchase_revenue_mismatch": ("sum(n_events) FILTER (WHERE abs(gap) > limit)", "sum(n_events)"),
     })
     plan_checks = _long(coverage, {
-        "tracking_plan_fields_below_target": (F.count_if(F.col("status") != "pass"), n),
+        "tracking_plan_fields_below_target": ("count_if(status <> 'pass')", "count(*)"),
     })
     measured = (event_checks.unionByName(session_checks).unionByName(purchase_checks)
                 .unionByName(pair_checks).unionByName(plan_checks))
-    rate = ratio(F.col("numerator"), F.col("denominator"))
     return (measured.join(F.broadcast(_checks(spark)), "check")
-            .select("check_order", "check", "question", "owner", "severity", "numerator", "denominator",
-                    rate.alias("rate"), "threshold",
-                    F.when(F.col("denominator") == 0, "n/a").when(F.col("threshold").isNull(), "info")
-                    .when(rate > F.col("threshold"), "fail").otherwise("pass").alias("status")))
+            .selectExpr("check_order", "check", "question", "owner", "severity", "numerator", "denominator",
+                        "try_divide(numerator, denominator) AS rate", "threshold")
+            .selectExpr("*", "CASE WHEN denominator = 0 THEN 'n/a' WHEN threshold IS NULL THEN 'info' "
+                        "WHEN rate > threshold THEN 'fail' ELSE 'pass' END AS status"))
 
 
 def audit_failures(scorecard: DataFrame) -> DataFrame:
     """Failed checks, most severe first."""
-    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return (scorecard.where("status = 'fail'").withColumn("severity_rank", rank)
-            .select("severity_rank", "check_order", "check", "severity", "owner", "numerator", "denominator", "rate", "threshold")
+    return (scorecard.where("status = 'fail'")
+            .selectExpr("CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS severity_rank", "check_order", "check",
+                        "severity", "owner", "numerator", "denominator", "rate", "threshold")
             .orderBy("severity_rank", "check_order"))

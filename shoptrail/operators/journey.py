@@ -1,9 +1,9 @@
 """Funnel, checkout and segments over a session table."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import money_total, ratio
+from ..functions.columns import exprs, total_sql
 from ..functions.stats import with_two_proportions, with_wilson
 
 # Funnel step labels with their flag (the first step is every session).
@@ -34,99 +34,85 @@ def funnel(sessions: DataFrame) -> DataFrame:
     small result, so no session row is repeated. A NULL group stays NULL.
     """
     dims = [column for _, column in BREAKDOWNS if column]
-    reached = [F.count(F.lit(1)) if flag is None else F.count_if(flag) for _, flag in STEPS]
-    counts = [f"s{i}" for i in range(len(STEPS))]
-    cells = sessions.groupBy(*dims).agg(*[n.alias(c) for n, c in zip(reached, counts)])
+    counts = {f"s{i}": f"count_if({flag or 'true'})" for i, (_, flag) in enumerate(STEPS)}
+    cells = sessions.groupBy(*dims).agg(*exprs(counts))
     sets = cells.groupingSets([[F.col(column)] if column else [] for _, column in BREAKDOWNS], *[F.col(d) for d in dims]).agg(
-        *[F.grouping(d).alias(f"no_{d}") for d in dims], *[F.sum(c).alias(c) for c in counts])
-    breakdown, group = F.lit("overall"), F.lit("all sessions")
-    for label, column in BREAKDOWNS:
-        if column:
-            breakdown = F.when(F.col(f"no_{column}") == 0, label).otherwise(breakdown)
-            group = F.when(F.col(f"no_{column}") == 0, F.col(column)).otherwise(group)
-    labels = F.array(*[F.lit(label) for label, _ in STEPS])
-    rows = sets.where(F.col("s0").isNotNull()).select(
-        breakdown.alias("breakdown"), group.alias("group"), F.array(*counts).alias("all_steps"),
-        F.posexplode(F.array(*counts)).alias("step_order", "sessions"))
-    return rows.select(
-        "breakdown", "group", "step_order", F.get(labels, F.col("step_order")).alias("step"), "sessions",
-        ratio(F.col("sessions"), F.get("all_steps", F.lit(0))).alias("rate_from_start"),
-        ratio(F.col("sessions"), F.get("all_steps", F.greatest(F.col("step_order") - 1, F.lit(0)))).alias("rate_from_previous"))
-
-
-def _overall() -> Column:
-    """The overall funnel as an array in step order; seven elements."""
-    return F.array_sort(F.collect_list(F.struct("step_order", "step", "sessions", "rate_from_previous"))).alias("steps")
+        *exprs({f"no_{d}": f"grouping({d})" for d in dims}), *exprs({c: f"sum({c})" for c in counts}))
+    # grouping() tells a NULL group from a rolled-up column.
+    own = [(label, column) for label, column in BREAKDOWNS if column]
+    breakdown = " ".join(f"WHEN no_{column} = 0 THEN '{label}'" for label, column in own)
+    group = " ".join(f"WHEN no_{column} = 0 THEN {column}" for _, column in own)
+    labels = ", ".join(f"'{label}'" for label, _ in STEPS)
+    rows = sets.where("s0 IS NOT NULL").selectExpr(
+        f"CASE {breakdown} ELSE 'overall' END AS breakdown", f"CASE {group} ELSE 'all sessions' END AS `group`",
+        f"array({', '.join(counts)}) AS reached", f"posexplode(array({', '.join(counts)})) AS (step_order, sessions)")
+    return rows.selectExpr(
+        "breakdown", "`group`", "step_order", f"array({labels})[step_order] AS step", "sessions",
+        "try_divide(sessions, reached[0]) AS rate_from_start",
+        "try_divide(sessions, reached[greatest(step_order - 1, 0)]) AS rate_from_previous")
+
+
+def _overall(funnel: DataFrame) -> DataFrame:
+    """The overall funnel as one row: an array of its seven steps in order."""
+    return funnel.where("breakdown = 'overall'").agg(
+        F.expr("array_sort(collect_list(struct(step_order, step, sessions, rate_from_previous))) AS steps"))
 
 
 def biggest_drop(funnel: DataFrame) -> DataFrame:
     """The overall step that keeps the smallest share of the step before; the earlier one on ties."""
-    steps = funnel.where("breakdown = 'overall'").agg(_overall())
-    worst = F.array_min(F.transform(
-        F.filter("steps", lambda s: (s["step_order"] > 0) & s["rate_from_previous"].isNotNull()),
-        lambda s: F.struct(s["rate_from_previous"].alias("kept"), s["step_order"].alias("step_order"))))
-    before, after = F.get("steps", F.col("worst.step_order") - 1), F.get("steps", F.col("worst.step_order"))
-    return steps.withColumn("worst", worst).where("worst IS NOT NULL").select(
-        before["step"].alias("from_step"), after["step"].alias("to_step"), F.col("worst.kept").alias("kept"),
-        before["sessions"].alias("sessions_before"), after["sessions"].alias("sessions_after"))
+    worst = ("array_min(transform(filter(steps, s -> s.step_order > 0 AND s.rate_from_previous IS NOT NULL), "
+             "s -> struct(s.rate_from_previous AS kept, s.step_order AS step_order)))")
+    return (_overall(funnel).withColumn("worst", F.expr(worst)).where("worst IS NOT NULL")
+            .selectExpr("worst.kept AS kept", "get(steps, worst.step_order - 1) AS b", "get(steps, worst.step_order) AS a")
+            .selectExpr("b.step AS from_step", "a.step AS to_step", "kept", "b.sessions AS sessions_before",
+                        "a.sessions AS sessions_after"))
 
 
 def automatic_steps(funnel: DataFrame) -> DataFrame:
     """Neighbouring steps after the first with equal counts: the second is probably sent with the first."""
-    steps = funnel.where("breakdown = 'overall'").agg(_overall())
-    pairs = F.explode(F.arrays_zip(F.slice("steps", F.lit(2), F.size("steps") - 2).alias("before"),
-                                   F.slice("steps", F.lit(3), F.size("steps") - 2).alias("after")))
-    return (steps.select(pairs.alias("p"))
-            .select(F.col("p.before.step").alias("from_step"), F.col("p.after.step").alias("to_step"),
-                    F.col("p.before.sessions").alias("sessions"), F.col("p.after.sessions").alias("sessions_after"))
-            .where((F.col("sessions") >= MIN_AUTOMATIC) & (F.col("sessions") == F.col("sessions_after")))
-            .drop("sessions_after"))
+    return (_overall(funnel).selectExpr("steps", "explode(slice(steps, 2, size(steps) - 2)) AS b")
+            .selectExpr("b", "get(steps, b.step_order + 1) AS a")
+            .where(f"b.sessions >= {MIN_AUTOMATIC} AND a.sessions = b.sessions")
+            .selectExpr("b.step AS from_step", "a.step AS to_step", "b.sessions AS sessions"))
 
 
 def untracked_orders(sessions: DataFrame) -> DataFrame:
     """Ordering sessions that miss an earlier tracked step, so they count in conversion but not in the funnel."""
-    return (sessions.agg(F.count_if("has_purchase").alias("ordering_sessions"),
-                         F.count_if("f_purchase").alias("funnel_sessions"))
-            .withColumn("missing_a_step", F.col("ordering_sessions") - F.col("funnel_sessions"))
-            .withColumn("share_missing", ratio(F.col("missing_a_step"), F.col("ordering_sessions"))))
+    return (sessions.agg(F.expr("count_if(has_purchase) AS ordering_sessions"), F.expr("count_if(f_purchase) AS funnel_sessions"))
+            .selectExpr("*", "ordering_sessions - funnel_sessions AS missing_a_step")
+            .selectExpr("*", "try_divide(missing_a_step, ordering_sessions) AS share_missing"))
 
 
 def checkout_by_device(sessions: DataFrame) -> DataFrame:
     """Of the sessions that began checkout, how many took each later step, per device."""
+    later = {"added_delivery": "has_shipping", "added_payment": "has_payment", "purchased": "has_purchase"}
     rows = (sessions.where("has_begin_checkout").groupBy("device_category")
-            .agg(F.count(F.lit(1)).alias("began_checkout"), F.count_if("has_shipping").alias("added_delivery"),
-                 F.count_if("has_payment").alias("added_payment"), F.count_if("has_purchase").alias("purchased")))
-    rows = with_wilson(rows, "ci", "purchased", "began_checkout")
-    later = ("added_delivery", "added_payment", "purchased")
-    return rows.select("device_category", "began_checkout", *later,
-                       *[ratio(F.col(c), F.col("began_checkout")).alias(f"{c}_rate") for c in later],
-                       F.col("ci.lo").alias("completion_lo"), F.col("ci.hi").alias("completion_hi"))
+            .agg(F.expr("count(*) AS began_checkout"), *exprs({c: f"count_if({flag})" for c, flag in later.items()})))
+    return with_wilson(rows, "ci", "purchased", "began_checkout").selectExpr(
+        "device_category", "began_checkout", *later, *[f"try_divide({c}, began_checkout) AS {c}_rate" for c in later],
+        "ci.lo AS completion_lo", "ci.hi AS completion_hi")
 
 
 def mobile_vs_desktop(checkout: DataFrame) -> DataFrame:
     """Checkout completion on mobile against desktop; no row unless both exist."""
-    pick = lambda device, c: F.max(F.when(F.col("device_category") == device, F.col(c)))
-    pair = checkout.agg(pick("mobile", "purchased").alias("x1"), pick("mobile", "began_checkout").alias("n1"),
-                        pick("desktop", "purchased").alias("x0"), pick("desktop", "began_checkout").alias("n0"))
+    pick = lambda device, c: f"max({c}) FILTER (WHERE device_category = '{device}')"
+    pair = checkout.agg(*exprs({"x1": pick("mobile", "purchased"), "n1": pick("mobile", "began_checkout"),
+                                "x0": pick("desktop", "purchased"), "n0": pick("desktop", "began_checkout")}))
     return (with_two_proportions(pair, "t", "x1", "n1", "x0", "n0").where("t IS NOT NULL")
-            .select(F.col("t.p1").alias("mobile"), F.col("t.p0").alias("desktop"), F.col("n1").alias("mobile_n"),
-                    F.col("n0").alias("desktop_n"), "t.diff", "t.lo", "t.hi", "t.p_value", "t.rel"))
+            .selectExpr("t.p1 AS mobile", "t.p0 AS desktop", "n1 AS mobile_n", "n0 AS desktop_n",
+                        "t.diff", "t.lo", "t.hi", "t.p_value", "t.rel"))
 
 
 def segments(sessions: DataFrame, rules=SEGMENTS) -> DataFrame:
     """Overlapping segments in one scan: every rule is a conditional aggregate, so empty segments still appear."""
-    parts = []
-    for i, (name, rule) in enumerate(rules):
-        match = F.expr(rule)
-        parts.append(F.struct(
-            F.lit(i).alias("segment_order"), F.lit(name).alias("segment"), F.lit(rule).alias("definition"),
-            F.count_if(match).alias("sessions"), F.count_if(match & F.col("has_purchase")).alias("purchasing_sessions"),
-            money_total(F.when(match, F.col("revenue_usd"))).alias("revenue_usd")))
-    rows = (sessions.agg(F.count(F.lit(1)).alias("total"), F.array(*parts).alias("parts"))
-            .select("total", F.inline("parts")))
-    rows = with_wilson(rows, "ci", "purchasing_sessions", "sessions")
-    return rows.select(
-        "segment_order", "segment", "definition", "sessions", ratio(F.col("sessions"), F.col("total")).alias("share_of_sessions"),
-        "purchasing_sessions", F.col("ci.p").alias("conversion"), F.col("ci.lo").alias("conversion_lo"),
-        F.col("ci.hi").alias("conversion_hi"), "revenue_usd",
-        ratio(F.col("revenue_usd"), F.col("sessions")).alias("revenue_per_session"))
+    parts = [F.struct(F.lit(i).alias("segment_order"), F.lit(name).alias("segment"), F.lit(rule).alias("definition"), *exprs({
+        "sessions": f"count_if({rule})",
+        "purchasing_sessions": f"count_if(({rule}) AND has_purchase)",
+        "revenue_usd": total_sql(f"CASE WHEN {rule} THEN revenue_usd END"),
+    })) for i, (name, rule) in enumerate(rules)]
+    rows = (sessions.agg(F.expr("count(*) AS total"), F.array(*parts).alias("parts"))
+            .selectExpr("total", "inline(parts)"))
+    return with_wilson(rows, "ci", "purchasing_sessions", "sessions").selectExpr(
+        "segment_order", "segment", "definition", "sessions", "try_divide(sessions, total) AS share_of_sessions",
+        "purchasing_sessions", "ci.p AS conversion", "ci.lo AS conversion_lo", "ci.hi AS conversion_hi", "revenue_usd",
+        "try_divide(revenue_usd, sessions) AS revenue_per_session")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import money_total, ratio, week_start
+from ..functions.columns import exprs, total_sql, week_start
 from ..functions.stats import with_two_proportions
 
 PURCHASE_METRICS = ("purchase_events", "purchases_missing_id", "empty_purchase_events", "repeat_purchase_events",
@@ -12,32 +12,34 @@ PURCHASE_METRICS = ("purchase_events", "purchases_missing_id", "empty_purchase_e
 
 def daily_kpis(sessions: DataFrame, purchases: DataFrame, calendar: DataFrame, timeline: DataFrame) -> DataFrame:
     """One row per day with sessions. Session metrics use the session's day, purchase metrics the event's."""
-    visits = sessions.groupBy(F.col("session_date").alias("date")).agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.count_distinct("user_pseudo_id").alias("users"),
-        F.count_if("has_purchase").alias("purchasing_sessions"),
-        F.sum("orders").alias("orders"),
-        money_total(F.col("revenue_usd")).alias("revenue_usd"),
-        F.count_if("has_search").alias("search_sessions"),
-        F.count_if("has_view_item").alias("product_view_sessions"),
-        F.count_if("has_add_to_cart").alias("basket_sessions"),
-        F.count_if("has_begin_checkout").alias("checkout_sessions"),
-        F.count_if(F.col("has_begin_checkout") & F.col("has_purchase")).alias("checkout_completed"),
-        F.count_if(F.col("n_session_start") == 0).alias("sessions_missing_start"))
-    sent = purchases.groupBy(F.col("event_date").alias("date")).agg(
-        F.sum("n_events").alias("purchase_events"),
-        F.sum(F.when(~F.col("has_valid_id"), F.col("n_events"))).alias("purchases_missing_id"),
-        F.sum(F.when(F.col("is_empty"), F.col("n_events"))).alias("empty_purchase_events"),
-        F.sum("n_repeats").alias("repeat_purchase_events"),
-        F.sum(F.when(~F.col("has_valid_id"), F.col("n_orders"))).alias("orders_without_id"))
+    visits = sessions.groupBy(F.col("session_date").alias("date")).agg(*exprs({
+        "sessions": "count(*)",
+        "users": "count(DISTINCT user_pseudo_id)",
+        "purchasing_sessions": "count_if(has_purchase)",
+        "orders": "sum(orders)",
+        "revenue_usd": total_sql("revenue_usd"),
+        "search_sessions": "count_if(has_search)",
+        "product_view_sessions": "count_if(has_view_item)",
+        "basket_sessions": "count_if(has_add_to_cart)",
+        "checkout_sessions": "count_if(has_begin_checkout)",
+        "checkout_completed": "count_if(has_begin_checkout AND has_purchase)",
+        "sessions_missing_start": "count_if(n_session_start = 0)",
+    }))
+    sent = purchases.groupBy(F.col("event_date").alias("date")).agg(*exprs({
+        "purchase_events": "sum(n_events)",
+        "purchases_missing_id": "sum(n_events) FILTER (WHERE NOT has_valid_id)",
+        "empty_purchase_events": "sum(n_events) FILTER (WHERE is_empty)",
+        "repeat_purchase_events": "sum(n_repeats)",
+        "orders_without_id": "sum(n_orders) FILTER (WHERE NOT has_valid_id)",
+    }))
     return (visits.join(sent, "date", "left").fillna(0, list(PURCHASE_METRICS))
             .join(calendar.withColumnRenamed("label", "calendar_label"), "date", "left")
-            .join(timeline.select("date", F.col("in_journey_window").alias("journey_tracked")), "date", "left")
-            .withColumn("conversion", ratio(F.col("purchasing_sessions"), F.col("sessions")))
-            .withColumn("checkout_completion", ratio(F.col("checkout_completed"), F.col("checkout_sessions")))
-            .withColumn("search_share", ratio(F.col("search_sessions"), F.col("sessions")))
-            .select("date", *[c for c in visits.columns if c != "date"], *PURCHASE_METRICS, "calendar_label",
-                    "conversion", "checkout_completion", "search_share", "journey_tracked"))
+            .join(timeline.selectExpr("date", "in_journey_window AS journey_tracked"), "date", "left")
+            .select("date", *[c for c in visits.columns if c != "date"], *PURCHASE_METRICS, "calendar_label", *exprs({
+                "conversion": "try_divide(purchasing_sessions, sessions)",
+                "checkout_completion": "try_divide(checkout_completed, checkout_sessions)",
+                "search_share": "try_divide(search_sessions, sessions)",
+            }), "journey_tracked"))
 
 
 def conversion_trend(daily: DataFrame) -> DataFrame:
@@ -65,13 +67,15 @@ def compare_windows(daily: DataFrame, trading_windows: DataFrame, gate: DataFram
     held = gate.where("held").select("week_start", F.lit(True).alias("in_held_week"))
     days = (daily.withColumn("week_start", week_start(F.col("date")))
             .join(held, "week_start", "left").withColumn("used", F.col("in_held_week").isNull()))
-    used = F.col("used")
     spans = (window_days(trading_windows.where(F.col("role").isin("baseline", "event")))
              .join(days, "date", "left")
              .groupBy("window_name", "role", "start_date", "end_date")
-             .agg(F.count_if(used).alias("days"), F.count_if(~used).alias("days_excluded"),
-                  *[F.coalesce(F.sum(F.when(used, F.col(c))), F.lit(0)).alias(c) for c in WINDOW_SUMS],
-                  money_total(F.when(used, F.col("revenue_usd"))).alias("revenue")))
+             .agg(*exprs({
+                 "days": "count_if(used)",
+                 "days_excluded": "count_if(NOT used)",
+                 **{c: f"coalesce(sum({c}) FILTER (WHERE used), 0)" for c in WINDOW_SUMS},
+                 "revenue": total_sql("CASE WHEN used THEN revenue_usd END"),
+             })))
     # One row per configured window, so the unpartitioned window that shares the first baseline holds only those.
     first_baseline = F.when(F.col("role") == "baseline", F.struct("start_date", "window_name"))
     missing = F.raise_error(F.lit("trading_windows has no baseline window"))
@@ -81,14 +85,13 @@ def compare_windows(daily: DataFrame, trading_windows: DataFrame, gate: DataFram
     rows = with_two_proportions(rows, "conv", "purchasing_sessions", "sessions", "b.purchasing_sessions", "b.sessions")
     rows = with_two_proportions(rows, "comp", "checkout_completed", "if(tracked, checkout_sessions, 0)",
                                 "b.checkout_completed", "b.checkout_sessions")
-    return rows.select(
-        F.col("window_name").alias("window"), "role", F.col("start_date").alias("start"), F.col("end_date").alias("end"),
-        "days", "days_excluded",
-        ratio(F.col("sessions"), F.col("days")).alias("sessions_per_day"),
-        F.col("conv.p1").alias("conversion"), F.col("conv.diff").alias("conversion_change_pp"),
-        F.col("conv.rel").alias("conversion_change_rel"), F.col("conv.p_value").alias("conversion_p_value"),
-        ratio(F.col("revenue"), F.col("orders")).alias("revenue_per_order"),
-        ratio(F.col("orders_without_id"), F.col("orders")).alias("share_orders_without_id"),
-        F.col("comp.p1").alias("checkout_completion"), F.col("comp.diff").alias("checkout_completion_change_pp"),
-        F.col("comp.p_value").alias("checkout_completion_p_value"),
-        ratio(F.col("search_sessions"), F.col("sessions")).alias("search_share"))
+    return rows.selectExpr(
+        "window_name AS `window`", "role", "start_date AS `start`", "end_date AS `end`", "days", "days_excluded",
+        "try_divide(sessions, days) AS sessions_per_day",
+        "conv.p1 AS conversion", "conv.diff AS conversion_change_pp", "conv.rel AS conversion_change_rel",
+        "conv.p_value AS conversion_p_value",
+        "try_divide(revenue, orders) AS revenue_per_order",
+        "try_divide(orders_without_id, orders) AS share_orders_without_id",
+        "comp.p1 AS checkout_completion", "comp.diff AS checkout_completion_change_pp",
+        "comp.p_value AS checkout_completion_p_value",
+        "try_divide(search_sessions, sessions) AS search_share")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..contract import MONEY, MONEY_TOTAL, valid_id
-from ..functions.columns import one_row, ratio
+from ..functions.columns import exprs, one_row
 
 PURCHASE_KEY = ("user_pseudo_id", "ga_session_id", "event_ts", "event_date", "transaction_id", "purchase_revenue_usd")
 
@@ -25,26 +25,21 @@ def purchases(events: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda
     rows = keep(events.where(F.col("event_name") == "purchase")
                 .groupBy(*PURCHASE_KEY).agg(F.count(F.lit(1)).alias("n_events")))
     # Earliest, then dearest, then lowest session; NULLs last throughout.
-    order = F.struct(
-        F.col("event_ts").isNull().alias("no_ts"), "event_ts",
-        F.col("purchase_revenue_usd").isNull().alias("no_revenue"), (-F.col("purchase_revenue_usd")).alias("dearest"),
-        F.col("ga_session_id").isNull().alias("no_session"), "ga_session_id", "event_date")
-    first = (rows.groupBy("transaction_id", "user_pseudo_id").agg(F.min(order).alias("f"))
-             .select(F.col("transaction_id").alias("f_id"), F.col("user_pseudo_id").alias("f_user"),
-                     F.col("f.event_ts").alias("f_ts"), (-F.col("f.dearest")).alias("f_revenue"),
-                     F.col("f.ga_session_id").alias("f_session"), F.col("f.event_date").alias("f_date")))
-    same = (F.col("transaction_id").eqNullSafe(F.col("f_id")) & F.col("user_pseudo_id").eqNullSafe(F.col("f_user"))
-            & F.col("event_ts").eqNullSafe(F.col("f_ts")) & F.col("purchase_revenue_usd").eqNullSafe(F.col("f_revenue"))
-            & F.col("ga_session_id").eqNullSafe(F.col("f_session")) & F.col("event_date").eqNullSafe(F.col("f_date")))
-    valid = F.col("has_valid_id")
-    return (rows.join(first.withColumn("found", F.lit(True)), same, "left")
-            .withColumn("has_valid_id", valid_id(F.col("transaction_id")))
-            .withColumn("is_first", valid & F.coalesce("found", F.lit(False)))
-            .withColumn("is_empty", ~valid & (F.coalesce("purchase_revenue_usd", F.lit(0.0)) <= 0))
-            .withColumn("n_repeats", F.when(valid, F.col("n_events") - F.col("is_first").cast("long")).otherwise(F.lit(0).cast("long")))
-            .withColumn("n_orders", F.when(valid, F.col("is_first").cast("long"))
-                        .when(F.col("is_empty"), F.lit(0).cast("long")).otherwise(F.col("n_events")))
-            .select(*PURCHASE_KEY, "n_events", "has_valid_id", "is_first", "is_empty", "n_repeats", "n_orders"))
+    order = ("struct(event_ts IS NULL AS no_ts, event_ts, purchase_revenue_usd IS NULL AS no_revenue, "
+             "-purchase_revenue_usd AS dearest, ga_session_id IS NULL AS no_session, ga_session_id, event_date)")
+    first = (rows.groupBy("transaction_id", "user_pseudo_id").agg(F.expr(f"min({order}) AS f"))
+             .selectExpr("transaction_id AS f_id", "user_pseudo_id AS f_user", "f.event_ts AS f_ts",
+                         "-f.dearest AS f_revenue", "f.ga_session_id AS f_session", "f.event_date AS f_date", "true AS found"))
+    same = F.expr("transaction_id <=> f_id AND user_pseudo_id <=> f_user AND event_ts <=> f_ts AND "
+                  "purchase_revenue_usd <=> f_revenue AND ga_session_id <=> f_session AND event_date <=> f_date")
+    return (rows.join(first, same, "left")
+            .withColumn("has_valid_id", F.expr(valid_id("transaction_id")))
+            .withColumn("is_first", F.expr("has_valid_id AND coalesce(found, false)"))
+            .withColumn("is_empty", F.expr("NOT has_valid_id AND coalesce(purchase_revenue_usd, 0D) <= 0"))
+            .select(*PURCHASE_KEY, "n_events", "has_valid_id", "is_first", "is_empty", *exprs({
+                "n_repeats": "CASE WHEN has_valid_id THEN n_events - CAST(is_first AS BIGINT) ELSE 0L END",
+                "n_orders": "CASE WHEN has_valid_id THEN CAST(is_first AS BIGINT) WHEN is_empty THEN 0L ELSE n_events END",
+            })))
 
 
 def purchase_events(purchases: DataFrame) -> DataFrame:
@@ -58,24 +53,24 @@ def purchase_events(purchases: DataFrame) -> DataFrame:
 
 def session_orders(purchases: DataFrame) -> DataFrame:
     """Orders and order revenue per session."""
-    spent = F.when(F.col("n_orders") > 0, F.col("purchase_revenue_usd").cast(MONEY) * F.col("n_orders"))
-    return (purchases.where(F.col("ga_session_id").isNotNull())
+    spent = f"CAST(CAST(purchase_revenue_usd AS {MONEY}) * n_orders AS {MONEY_TOTAL})"
+    return (purchases.where("ga_session_id IS NOT NULL")
             .groupBy("user_pseudo_id", "ga_session_id")
-            .agg(F.sum("n_orders").alias("orders"), F.sum(spent.cast(MONEY_TOTAL)).cast("double").alias("revenue_usd")))
+            .agg(*exprs({"orders": "sum(n_orders)",
+                         "revenue_usd": f"CAST(sum({spent}) FILTER (WHERE n_orders > 0) AS DOUBLE)"})))
 
 
 def order_summary(purchases: DataFrame, sessions: DataFrame) -> DataFrame:
     """How purchase events became orders, and session conversion with and without the order rule."""
-    counted = purchases.agg(
-        F.coalesce(F.sum("n_events"), F.lit(0)).alias("purchase_events"),
-        F.coalesce(F.sum("n_repeats"), F.lit(0)).alias("repeats"),
-        F.coalesce(F.sum(F.when(F.col("is_empty"), F.col("n_events"))), F.lit(0)).alias("empty"),
-        F.coalesce(F.sum("n_orders"), F.lit(0)).alias("orders"),
-        F.coalesce(F.sum(F.when(~F.col("has_valid_id"), F.col("n_orders"))), F.lit(0)).alias("orders_without_id"))
-    n = F.count(F.lit(1))
-    converted = sessions.agg(
-        ratio(F.count_if("has_purchase"), n).alias("conversion_orders"),
-        ratio(F.count_if("has_purchase_event"), n).alias("conversion_raw_events"))
-    return (counted.withColumn("c", one_row(converted))
-            .select("purchase_events", "repeats", "empty", "orders", "orders_without_id",
-                    "c.conversion_orders", "c.conversion_raw_events"))
+    counted = purchases.agg(*exprs({
+        "purchase_events": "coalesce(sum(n_events), 0L)",
+        "repeats": "coalesce(sum(n_repeats), 0L)",
+        "empty": "coalesce(sum(n_events) FILTER (WHERE is_empty), 0L)",
+        "orders": "coalesce(sum(n_orders), 0L)",
+        "orders_without_id": "coalesce(sum(n_orders) FILTER (WHERE NOT has_valid_id), 0L)",
+    }))
+    converted = sessions.agg(*exprs({
+        "conversion_orders": "try_divide(count_if(has_purchase), count(*))",
+        "conversion_raw_events": "try_divide(count_if(has_purchase_event), count(*))",
+    }))
+    return counted.withColumn("c", one_row(converted)).select("*", "c.*").drop("c")

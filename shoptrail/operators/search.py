@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import ratio, week_start
+from ..functions.columns import exprs, week_start
 from ..functions.stats import standardised_difference, with_n_per_arm, with_two_proportions
 from .kpis import window_days
 
@@ -16,11 +16,14 @@ BOUGHT, SAW_PRODUCTS = "Bought within the week", "Saw products in a search sessi
 
 def search_cells(sessions: DataFrame) -> DataFrame:
     """Counts per stratum for searching and other sessions, NULL devices included."""
-    search, bought, saw = F.col("has_search"), F.col("has_purchase"), F.col("has_view_item")
-    return sessions.groupBy(*STRATA).agg(
-        F.count_if(search).alias("n_search"), F.count_if(search & bought).alias("x_search"),
-        F.count_if(~search).alias("n_other"), F.count_if(~search & bought).alias("x_other"),
-        F.count_if(search & saw).alias("v_search"), F.count_if(~search & saw).alias("v_other"))
+    return sessions.groupBy(*STRATA).agg(*exprs({
+        "n_search": "count_if(has_search)",
+        "x_search": "count_if(has_search AND has_purchase)",
+        "n_other": "count_if(NOT has_search)",
+        "x_other": "count_if(NOT has_search AND has_purchase)",
+        "v_search": "count_if(has_search AND has_view_item)",
+        "v_other": "count_if(NOT has_search AND has_view_item)",
+    }))
 
 
 def search_strata(cells: DataFrame) -> DataFrame:
@@ -33,40 +36,37 @@ def search_vs_intent(cells: DataFrame) -> DataFrame:
     """Naive and like-for-like difference in conversion between searching and other sessions."""
     strata = ("n_search", "x_search", "n_other", "x_other")
     # Product-view rates count every session; the comparison leaves out NULL devices.
-    known = F.col("device_category").isNotNull()
-    cells = cells.withColumns({f"all_{c}": F.col(c) for c in ("n_search", "n_other")})
-    cells = cells.withColumns({c: F.when(known, F.col(c)) for c in strata})
-    totals = cells.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in strata],
-                       standardised_difference("n_search", "x_search", "n_other", "x_other").alias("adj"),
-                       ratio(F.sum("v_search"), F.sum("all_n_search")).alias("product_view_rate_search"),
-                       ratio(F.sum("v_other"), F.sum("all_n_other")).alias("product_view_rate_other"))
+    cells = cells.selectExpr("n_search AS all_search", "n_other AS all_other", "v_search", "v_other",
+                             *[f"CASE WHEN device_category IS NOT NULL THEN {c} END AS {c}" for c in strata])
+    totals = cells.agg(*exprs({
+        **{c: f"coalesce(sum({c}), 0L)" for c in strata},
+        "product_view_rate_search": "try_divide(sum(v_search), sum(all_search))",
+        "product_view_rate_other": "try_divide(sum(v_other), sum(all_other))",
+    }), standardised_difference(*strata).alias("adj"))
     rows = with_two_proportions(totals, "naive", "x_search", "n_search", "x_other", "n_other")
-    return rows.select(
-        (F.col("n_search") >= MIN_SEARCHES).alias("enough"),
-        F.col("n_search").alias("search_sessions"), F.col("n_other").alias("other_sessions"),
-        ratio(F.col("n_search"), F.col("n_search") + F.col("n_other")).alias("search_share"),
-        F.col("naive.p1").alias("conversion_search"), F.col("naive.p0").alias("conversion_other"),
-        F.col("naive.diff").alias("naive_diff"), F.col("naive.lo").alias("naive_lo"), F.col("naive.hi").alias("naive_hi"),
-        F.col("naive.p_value").alias("naive_p_value"), F.col("naive.rel").alias("naive_rel"),
-        F.col("adj.diff").alias("adjusted_diff"), F.col("adj.se").alias("adjusted_se"),
-        F.col("adj.lo").alias("adjusted_lo"), F.col("adj.hi").alias("adjusted_hi"),
-        F.col("adj.coverage").alias("coverage"), F.col("adj.strata_used").alias("strata_used"),
-        F.col("adj.strata_total").alias("strata_total"),
-        (1.0 - F.try_divide(F.col("adj.diff"), F.col("naive.diff"))).alias("share_explained"),
+    return rows.selectExpr(
+        f"n_search >= {MIN_SEARCHES} AS enough", "n_search AS search_sessions", "n_other AS other_sessions",
+        "try_divide(n_search, n_search + n_other) AS search_share",
+        "naive.p1 AS conversion_search", "naive.p0 AS conversion_other", "naive.diff AS naive_diff", "naive.lo AS naive_lo",
+        "naive.hi AS naive_hi", "naive.p_value AS naive_p_value", "naive.rel AS naive_rel",
+        "adj.diff AS adjusted_diff", "adj.se AS adjusted_se", "adj.lo AS adjusted_lo", "adj.hi AS adjusted_hi",
+        "adj.coverage AS coverage", "adj.strata_used AS strata_used", "adj.strata_total AS strata_total",
+        "1D - try_divide(adj.diff, naive.diff) AS share_explained",
         "product_view_rate_search", "product_view_rate_other")
 
 
 def search_verdict(summary: DataFrame) -> DataFrame:
     """What the comparison allows to be said."""
-    share, naive, adjusted = F.col("share_explained"), F.col("naive_diff"), F.col("adjusted_diff")
-    verdict = (F.when(~F.col("enough"), "too few searches")
-               .when((F.col("adjusted_lo") <= 0) & (F.col("adjusted_hi") >= 0), "indistinguishable from zero")
-               .when(adjusted > 0, "positive difference remains").otherwise("negative difference"))
-    explained = (F.when(~F.col("enough") | share.isNull() | (naive <= 0), F.lit(None))
-                 .when(share >= 1, "all").when(share <= 0.05, "none").otherwise("part"))
-    gap = F.when(adjusted > naive, "slightly larger").otherwise("about the same")
-    return summary.select(verdict.alias("verdict"), explained.alias("explained"), share.alias("share_explained"),
-                          F.when(explained == "none", gap).alias("like_for_like_gap"))
+    return summary.selectExpr(
+        "adjusted_diff", "naive_diff", "share_explained",
+        "CASE WHEN NOT enough THEN 'too few searches' "
+        "WHEN adjusted_lo <= 0 AND adjusted_hi >= 0 THEN 'indistinguishable from zero' "
+        "WHEN adjusted_diff > 0 THEN 'positive difference remains' ELSE 'negative difference' END AS verdict",
+        "CASE WHEN NOT enough OR share_explained IS NULL OR naive_diff <= 0 THEN NULL "
+        "WHEN share_explained >= 1 THEN 'all' WHEN share_explained <= 0.05 THEN 'none' ELSE 'part' END AS explained",
+    ).selectExpr(
+        "verdict", "explained", "share_explained",
+        "CASE WHEN explained = 'none' THEN if(adjusted_diff > naive_diff, 'slightly larger', 'about the same') END AS like_for_like_gap")
 
 
 def experiment_sizing(sessions: DataFrame, trading_windows: DataFrame, lifts=LIFTS) -> DataFrame:
@@ -79,33 +79,26 @@ def experiment_sizing(sessions: DataFrame, trading_windows: DataFrame, lifts=LIF
             .select(F.col("date").alias("session_date")).distinct())
     user_weeks = (sessions.join(F.broadcast(days), "session_date", "left_semi")
                   .groupBy(week_start(F.col("session_date")).alias("week_start"), "user_pseudo_id")
-                  .agg(F.bool_or("has_search").alias("searched"), F.bool_or("has_purchase").alias("bought"),
-                       F.bool_or(F.col("has_search") & F.col("has_view_item")).alias("saw_products")))
-    weeks = user_weeks.groupBy("week_start").agg(
-        F.count_if("searched").alias("searchers"), F.count_if(F.col("searched") & F.col("bought")).alias("buyers"),
-        F.count_if("saw_products").alias("viewers"))
-    base = (weeks.agg(F.sum("searchers").alias("searchers"), F.sum("buyers").alias("buyers"),
-                      F.sum("viewers").alias("viewers"), F.count(F.lit(1)).alias("sizing_weeks"))
+                  .agg(*exprs({"searched": "bool_or(has_search)", "bought": "bool_or(has_purchase)",
+                               "saw_products": "bool_or(has_search AND has_view_item)"})))
+    weeks = user_weeks.groupBy("week_start").agg(*exprs({
+        "searchers": "count_if(searched)", "buyers": "count_if(searched AND bought)", "viewers": "count_if(saw_products)"}))
+    base = (weeks.agg(*exprs({"searchers": "sum(searchers)", "buyers": "sum(buyers)", "viewers": "sum(viewers)",
+                              "sizing_weeks": "count(*)"}))
             .where("searchers > 0 AND buyers > 0")
-            .withColumn("weekly_searching_users", ratio(F.col("searchers"), F.col("sizing_weeks"))))
-    metrics = F.array(
-        F.struct(F.lit(0).alias("metric_order"), F.lit(BOUGHT).alias("metric"),
-                 ratio(F.col("buyers"), F.col("searchers")).alias("baseline")),
-        F.struct(F.lit(1).alias("metric_order"), F.lit(SAW_PRODUCTS).alias("metric"),
-                 ratio(F.col("viewers"), F.col("searchers")).alias("baseline")))
-    p1 = F.col("baseline") * (1.0 + F.col("relative_lift"))
-    plans = (base.select("sizing_weeks", "searchers", "buyers", "weekly_searching_users", F.inline(metrics))
+            .selectExpr("*", "try_divide(searchers, sizing_weeks) AS weekly_searching_users"))
+    metrics = (f"inline(array(struct(0 AS metric_order, '{BOUGHT}' AS metric, try_divide(buyers, searchers) AS baseline), "
+               f"struct(1 AS metric_order, '{SAW_PRODUCTS}' AS metric, try_divide(viewers, searchers) AS baseline)))")
+    plans = (base.selectExpr("sizing_weeks", "searchers", "buyers", "weekly_searching_users", metrics)
              .withColumn("relative_lift", F.explode(F.array(*[F.lit(x) for x in lifts])))
-             .where((p1 > 0) & (p1 < 1)))
+             .where("baseline * (1 + relative_lift) > 0 AND baseline * (1 + relative_lift) < 1"))
     return (with_n_per_arm(plans, "users_per_arm", "baseline", "relative_lift")
-            .withColumn("weeks", F.ceil(ratio(2 * F.col("users_per_arm"), F.col("weekly_searching_users"))).cast("long")))
+            .selectExpr("*", "CAST(ceil(try_divide(2D * users_per_arm, weekly_searching_users)) AS BIGINT) AS weeks"))
 
 
 def primary_metric(plans: DataFrame, lift: float = 0.10) -> DataFrame:
     """Which metric is practical at this traffic: seeing products when it needs fewer weeks than buying."""
-    at = F.abs(F.col("relative_lift") - lift) < 1e-9
-    weeks = lambda metric: F.max(F.when(at & (F.col("metric") == metric), F.col("weeks")))
-    row = plans.agg(weeks(BOUGHT).alias("weeks_bought"), weeks(SAW_PRODUCTS).alias("weeks_saw_products"))
-    better = F.col("weeks_saw_products") < F.col("weeks_bought")
-    return row.select("weeks_bought", "weeks_saw_products",
-                      F.when(better, SAW_PRODUCTS).when(F.col("weeks_bought").isNotNull(), BOUGHT).alias("primary_metric"))
+    weeks = lambda metric: f"max(weeks) FILTER (WHERE metric = '{metric}' AND abs(relative_lift - {lift}) < 1e-9)"
+    row = plans.agg(*exprs({"weeks_bought": weeks(BOUGHT), "weeks_saw_products": weeks(SAW_PRODUCTS)}))
+    return row.selectExpr("*", f"CASE WHEN weeks_saw_products < weeks_bought THEN '{SAW_PRODUCTS}' "
+                          f"WHEN weeks_bought IS NOT NULL THEN '{BOUGHT}' END AS primary_metric")

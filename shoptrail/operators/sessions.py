@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import money_total, ratio
+from ..functions.columns import exprs, ratio, total_sql
 from ..functions.skew import salted_left_join
 from ..functions.stats import with_wilson
 from .orders import session_orders
@@ -21,68 +21,56 @@ CHANNELS = (("organic", "organic search"), ("cpc", "paid search"), ("referral",
 OTHER_CHANNEL = "other or unknown"
 
 # Funnel column -> the last step flag it adds; each one also needs every earlier step.
-NESTED_STEPS = (("f_view_item", "has_view_item"), ("f_add_to_cart", "has_add_to_cart"),
-                ("f_checkout", "has_begin_checkout"), ("f_shipping", "has_shipping"),
-                ("f_payment", "has_payment"), ("f_purchase", "has_purchase"))
-
-
-def _step_bit(name: Column) -> Column:
-    """One bit per step event: a single narrow buffer carries all step flags through the aggregates."""
-    bit = F.lit(0)
-    for i, event in enumerate(STEP_EVENTS.values()):
-        bit = F.when(name == event, 1 << i).otherwise(bit)
-    return bit
+NESTED_STEPS = {"f_view_item": "has_view_item", "f_add_to_cart": "has_add_to_cart", "f_checkout": "has_begin_checkout",
+                "f_shipping": "has_shipping", "f_payment": "has_payment", "f_purchase": "has_purchase"}
 
 
 def _slices(events: DataFrame) -> DataFrame:
     """Events of a session that agree on day, device, country and medium, merged.
 
     Almost every session has one or two slices. The event rows are merged here, map side, by a hash aggregate whose
-    buffers are all fixed width; only the few slices reach the aggregate that has to carry text.
+    buffers are all fixed width, one of them holding a bit per step event; only the few slices reach the aggregate
+    that has to carry text.
     """
-    name = F.col("event_name")
-    return (events.where(F.col("ga_session_id").isNotNull())
+    step_bit = " ".join(f"WHEN '{event}' THEN {1 << i}" for i, event in enumerate(STEP_EVENTS.values()))
+    return (events.where("ga_session_id IS NOT NULL")
             .groupBy(*SESSION_KEY, "event_date", "device_category", "country", "first_medium")
-            .agg(F.min("event_ts").alias("first_ts"),
-                 F.min("ga_session_number").alias("ga_session_number"),
-                 *[F.count_if(name == e).alias(c) for c, e in COUNTED_EVENTS.items()],
-                 F.bool_or(F.col("session_engaged") == "1").alias("engaged"),
-                 F.bit_or(_step_bit(name)).alias("steps")))
+            .agg(*exprs({
+                "first_ts": "min(event_ts)",
+                "ga_session_number": "min(ga_session_number)",
+                **{column: f"count_if(event_name = '{event}')" for column, event in COUNTED_EVENTS.items()},
+                "engaged": "bool_or(session_engaged = '1')",
+                "steps": f"bit_or(CASE event_name {step_bit} ELSE 0 END)",
+            })))
 
 
-def _first_known(column: str) -> Column:
+def _first_known(column: str) -> str:
     """The earliest non-NULL value; equal times give the smallest value."""
-    return F.min(F.when(F.col(column).isNotNull(), F.struct("first_ts", column)))[column]
+    return f"min(struct(first_ts, {column})) FILTER (WHERE {column} IS NOT NULL).{column}"
 
 
 def session_core(events: DataFrame, purchases: DataFrame) -> DataFrame:
     """One row per session: first-touch attributes, counts, step flags, orders and revenue."""
-    merged = _slices(events).groupBy(*SESSION_KEY).agg(
-        F.min("first_ts").alias("start_ts"),
-        _first_known("event_date").alias("session_date"),
-        _first_known("device_category").alias("device_category"),
-        _first_known("country").alias("country"),
-        _first_known("first_medium").alias("first_medium"),
-        F.min("ga_session_number").alias("ga_session_number"),
-        *[F.sum(c).alias(c) for c in COUNTED_EVENTS],
-        F.bool_or("engaged").alias("engaged"),
-        F.bit_or("steps").alias("steps"))
-    flags = {c: F.col("steps").bitwiseAND(1 << i) != 0 for i, c in enumerate(STEP_EVENTS)}
-    return (merged.withColumns(flags).drop("steps").join(session_orders(purchases), list(SESSION_KEY), "left")
-            .withColumn("orders", F.coalesce("orders", F.lit(0).cast("long")))
-            .withColumn("revenue_usd", F.coalesce("revenue_usd", F.lit(0.0)))
-            .withColumn("has_purchase", F.col("orders") > 0))
-
-
-def _visitor_type(number: Column) -> Column:
-    return F.when(number.isNull(), "unknown").when(number == 1, "new").otherwise("returning")
-
-
-def _channel(medium: Column) -> Column:
-    group = F.lit(OTHER_CHANNEL)
-    for value, label in reversed(CHANNELS):
-        group = F.when(medium == value, label).otherwise(group)
-    return group
+    merged = _slices(events).groupBy(*SESSION_KEY).agg(*exprs({
+        "start_ts": "min(first_ts)",
+        "session_date": _first_known("event_date"),
+        "device_category": _first_known("device_category"),
+        "country": _first_known("country"),
+        "first_medium": _first_known("first_medium"),
+        "ga_session_number": "min(ga_session_number)",
+        **{column: f"sum({column})" for column in COUNTED_EVENTS},
+        "engaged": "bool_or(engaged)",
+        "steps": "bit_or(steps)",
+    }))
+    flags = {column: f"steps & {1 << i} <> 0" for i, column in enumerate(STEP_EVENTS)}
+    own = [c for c in merged.columns if c != "steps"]
+    return (merged.join(session_orders(purchases), list(SESSION_KEY), "left")
+            .select(*own, *exprs({
+                **flags,
+                "orders": "coalesce(orders, 0L)",
+                "revenue_usd": "coalesce(revenue_usd, 0D)",
+                "has_purchase": "coalesce(orders, 0L) > 0",
+            })))
 
 
 def first_orders(core: DataFrame) -> DataFrame:
@@ -93,19 +81,17 @@ def first_orders(core: DataFrame) -> DataFrame:
 
 def with_journey(core: DataFrame) -> DataFrame:
     """Visitor type, channel, nested funnel flags and whether the user ordered in an earlier session."""
-    steps, reached = {}, F.lit(True)
-    for column, flag in NESTED_STEPS:
-        reached = F.col(flag) if column == "f_view_item" else reached & F.col(flag)
-        steps[column] = reached
+    flags = list(NESTED_STEPS.values())
+    channel = " ".join(f"WHEN '{medium}' THEN '{label}'" for medium, label in CHANNELS)
     joined = salted_left_join(core, first_orders(core), ["user_pseudo_id"], ["ga_session_id"])
-    return (joined.withColumns({
-        "has_search": F.col("searches") > 0,
-        "is_engaged": F.coalesce("engaged", F.lit(False)),
-        "user_type": _visitor_type(F.col("ga_session_number")),
-        "medium_group": _channel(F.col("first_medium")),
-        **steps,
-        "prior_purchaser": F.coalesce(F.col("start_ts") > F.col("first_order_ts"), F.lit(False)),
-    }).drop("first_order_ts"))
+    return joined.select(*core.columns, *exprs({
+        "has_search": "searches > 0",
+        "is_engaged": "coalesce(engaged, false)",
+        "user_type": "CASE WHEN ga_session_number IS NULL THEN 'unknown' WHEN ga_session_number = 1 THEN 'new' ELSE 'returning' END",
+        "medium_group": f"CASE first_medium {channel} ELSE '{OTHER_CHANNEL}' END",
+        **{column: " AND ".join(flags[:i + 1]) for i, column in enumerate(NESTED_STEPS)},
+        "prior_purchaser": "coalesce(start_ts > first_order_ts, false)",
+    }))
 
 
 def sessions(events: DataFrame, purchases: DataFrame,
@@ -116,21 +102,24 @@ def sessions(events: DataFrame, purchases: DataFrame,
 
 def overview(sessions: DataFrame, n_events: DataFrame) -> DataFrame:
     """One row of headline figures over `sessions`; `n_events` is a one-row frame counting all events."""
-    n = F.count(F.lit(1))
-    row = sessions.agg(
-        F.min("session_date").alias("first_day"), F.max("session_date").alias("last_day"),
-        n.alias("sessions"), F.count_distinct("user_pseudo_id").alias("users"),
-        F.count_if("has_purchase").alias("purchasing_sessions"),
-        F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),
-        money_total(F.col("revenue_usd")).alias("revenue_usd"),
-        F.count_if("has_search").alias("searching"), F.count_if("is_engaged").alias("engaged"))
-    return (with_wilson(row.withColumn("events", n_events.scalar()), "ci", "purchasing_sessions", "sessions")
-            .select("first_day", "last_day", "events", "sessions", "users", "purchasing_sessions", "orders", "revenue_usd",
-                    F.col("ci.p").alias("conversion"), F.col("ci.lo").alias("conversion_lo"),
-                    F.col("ci.hi").alias("conversion_hi"),
-                    ratio(F.col("revenue_usd"), F.col("orders")).alias("revenue_per_order"),
-                    ratio(F.col("searching"), F.col("sessions")).alias("search_share"),
-                    ratio(F.col("engaged"), F.col("sessions")).alias("engaged_share")))
+    row = sessions.agg(*exprs({
+        "first_day": "min(session_date)",
+        "last_day": "max(session_date)",
+        "sessions": "count(*)",
+        "users": "count(DISTINCT user_pseudo_id)",
+        "purchasing_sessions": "count_if(has_purchase)",
+        "orders": "coalesce(sum(orders), 0L)",
+        "revenue_usd": total_sql("revenue_usd"),
+        "searching": "count_if(has_search)",
+        "engaged": "count_if(is_engaged)",
+    }))
+    row = with_wilson(row.withColumn("events", n_events.scalar()), "ci", "purchasing_sessions", "sessions")
+    return row.selectExpr(
+        "first_day", "last_day", "events", "sessions", "users", "purchasing_sessions", "orders", "revenue_usd",
+        "ci.p AS conversion", "ci.lo AS conversion_lo", "ci.hi AS conversion_hi",
+        "try_divide(revenue_usd, orders) AS revenue_per_order",
+        "try_divide(searching, sessions) AS search_share",
+        "try_divide(engaged, sessions) AS engaged_share")
 
 
 def mix(sessions: DataFrame, column: str, top: int = 5) -> DataFrame:

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..contract import JOURNEY_EVENTS, PLACEHOLDERS, blank, valid_id
-from ..functions.columns import one_row, ratio, week_start
+from ..contract import JOURNEY_EVENTS, PLACEHOLDERS, valid_id
+
+from ..functions.columns import exprs, one_row, ratio, week_start
 
 # An event counts as tracked on a day when its rate over the three days to that day is at least this share of typical.
 TRACKED_SHARE = 0.25
@@ -13,18 +14,17 @@ MANY_PRODUCTS = 5
 
 def event_profile(events: DataFrame) -> DataFrame:
     """Per day and event name: every count the timeline, the audit and the coverage table need, in one scan."""
-    n_items = F.coalesce("n_items", F.lit(0))
-    valid, revenue, term = valid_id(F.col("transaction_id")), F.col("purchase_revenue_usd"), F.col("search_term")
-    return events.groupBy(F.col("event_date").alias("date"), "event_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("ga_session_id").isNull()).alias("no_session"),
-        F.count_if(n_items > 0).alias("with_items"),
-        F.count_if(F.col("n_items") > MANY_PRODUCTS).alias("many_items"),
-        F.count_if(valid).alias("with_id"),
-        F.count_if(revenue > 0).alias("with_revenue"),
-        F.count_if(blank(term)).alias("no_term"),
-        F.count_if(term.isin(*PLACEHOLDERS)).alias("placeholder_term"),
-        F.count_if(blank(F.col("page_location"))).alias("no_location"))
+    return events.groupBy(F.col("event_date").alias("date"), "event_name").agg(*exprs({
+        "n": "count(*)",
+        "no_session": "count_if(ga_session_id IS NULL)",
+        "with_items": "count_if(n_items > 0)",
+        "many_items": f"count_if(n_items > {MANY_PRODUCTS})",
+        "with_id": f"count_if({valid_id('transaction_id')})",
+        "with_revenue": "count_if(purchase_revenue_usd > 0)",
+        "no_term": "count_if(coalesce(search_term, '') = '')",
+        "placeholder_term": f"count_if(search_term IN ({', '.join(repr(p) for p in PLACEHOLDERS)}))",
+        "no_location": "count_if(coalesce(page_location, '') = '')",
+    }))
 
 
 def tracking_timeline(sessions: DataFrame, profile: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Weekly KPIs, the data-quality gate and the week-on-week report, all weeks in one pass over the daily table."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
-from ..functions.columns import iso_week, money_total, ratio, week_start
+from ..functions.columns import exprs, iso_week, total_sql, week_start
 from ..functions.stats import with_two_proportions, with_wilson
 
 # Fixed values of the gate: points above the median of the trailing weeks that hold a week.
@@ -23,31 +23,33 @@ def _by_week() -> WindowSpec:
 
 def weekly_kpis(daily: DataFrame) -> DataFrame:
     return (daily.groupBy(week_start(F.col("date")).alias("week_start"))
-            .agg(*[F.sum(c).alias(c) for c in COUNTS], money_total(F.col("revenue_usd")).alias("revenue_usd"),
-                 F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),
-                 F.every("journey_tracked").alias("journey_tracked"))
+            .agg(*exprs({
+                **{c: f"sum({c})" for c in COUNTS},
+                "revenue_usd": total_sql("revenue_usd"),
+                "days": "count(*)",
+                "first_day": "min(date)",
+                "last_day": "max(date)",
+                "journey_tracked": "every(journey_tracked)",
+            }))
             .withColumn("week", iso_week(F.col("week_start"))))
 
 
 def weekly_gate(weekly: DataFrame) -> DataFrame:
     """Hold a week that is materially worse than the median of the up to four weeks present before it."""
-    history = _by_week().rowsBetween(-TRAILING_WEEKS, -1)
-
-    def baseline(rate: str) -> Column:
-        return F.coalesce(F.percentile(rate, F.lit(0.5)).over(history), F.lit(0.0))
-
-    return (weekly
-            .withColumn("empty_rate", F.coalesce(ratio(F.col("empty_purchase_events"), F.col("purchase_events")), F.lit(0.0)))
-            .withColumn("missing_start_rate",
-                        F.coalesce(ratio(F.col("sessions_missing_start"), F.col("sessions")), F.lit(0.0)))
-            .withColumn("empty_baseline", baseline("empty_rate"))
-            .withColumn("missing_start_baseline", baseline("missing_start_rate"))
-            .withColumn("held_empty", F.col("empty_rate") > F.col("empty_baseline") + MAX_EMPTY_RISE)
-            .withColumn("held_missing_start",
-                        F.col("missing_start_rate") > F.col("missing_start_baseline") + MAX_MISSING_START_RISE)
-            .withColumn("held", F.col("held_empty") | F.col("held_missing_start"))
-            .select("week", "week_start", "empty_rate", "empty_baseline", "missing_start_rate",
-                    "missing_start_baseline", "held_empty", "held_missing_start", "held"))
+    history = f"(ORDER BY week_start ROWS BETWEEN {TRAILING_WEEKS} PRECEDING AND 1 PRECEDING)"
+    return (weekly.selectExpr(
+                "week", "week_start",
+                "coalesce(try_divide(empty_purchase_events, purchase_events), 0D) AS empty_rate",
+                "coalesce(try_divide(sessions_missing_start, sessions), 0D) AS missing_start_rate")
+            .selectExpr(
+                "*",
+                f"coalesce(percentile(empty_rate, 0.5) OVER {history}, 0D) AS empty_baseline",
+                f"coalesce(percentile(missing_start_rate, 0.5) OVER {history}, 0D) AS missing_start_baseline")
+            .selectExpr(
+                "*",
+                f"empty_rate > empty_baseline + {MAX_EMPTY_RISE}D AS held_empty",
+                f"missing_start_rate > missing_start_baseline + {MAX_MISSING_START_RISE}D AS held_missing_start")
+            .selectExpr("*", "held_empty OR held_missing_start AS held"))
 
 
 def held_weeks(gate: DataFrame) -> DataFrame:
@@ -56,32 +58,31 @@ def held_weeks(gate: DataFrame) -> DataFrame:
 
 def weekly_notes(weekly: DataFrame, gate: DataFrame) -> DataFrame:
     """Standing notes of each week; a count is NULL when its note does not apply."""
-    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    return weekly.join(gate.select("week", "held"), "week").select(
+    return weekly.join(gate.select("week", "held"), "week").selectExpr(
         "week", "held",
-        positive("orders_without_id").alias("orders_without_id"),
-        positive("repeat_purchase_events").alias("repeats_removed"),
-        F.when(~F.col("held"), positive("empty_purchase_events")).alias("empty_events_not_counted"),
-        (~F.col("journey_tracked")).alias("journey_not_fully_tracked"))
+        "nullif(orders_without_id, 0) AS orders_without_id",
+        "nullif(repeat_purchase_events, 0) AS repeats_removed",
+        "CASE WHEN NOT held THEN nullif(empty_purchase_events, 0) END AS empty_events_not_counted",
+        "NOT journey_tracked AS journey_not_fully_tracked")
 
 
 def latest_full_week(weekly: DataFrame) -> DataFrame:
     """The last week with seven days of data, or the last week when there is none."""
-    label = F.struct("week_start", "week")
-    return weekly.agg(F.coalesce(F.max(F.when(F.col("days") == 7, label)), F.max(label)).alias("l")).select("l.week")
+    return weekly.agg(F.expr(
+        "coalesce(max_by(week, week_start) FILTER (WHERE days = 7), max_by(week, week_start)) AS week"))
 
 
 # Report rows: metric, value of a week, how the change is stated.
 REPORT = (
-    ("Sessions", lambda: F.col("sessions").cast("double"), "relative"),
-    ("Session conversion", lambda: ratio(F.col("purchasing_sessions"), F.col("sessions")), "points"),
-    ("Orders", lambda: F.col("orders").cast("double"), "relative"),
-    ("Revenue (USD)", lambda: F.col("revenue_usd"), "relative"),
-    ("Revenue per order", lambda: ratio(F.col("revenue_usd"), F.col("orders")), "relative"),
-    ("Sessions using search", lambda: ratio(F.col("search_sessions"), F.col("sessions")), "points"),
-    ("Sessions viewing products", lambda: ratio(F.col("product_view_sessions"), F.col("sessions")), "points"),
-    ("Sessions adding to basket", lambda: ratio(F.col("basket_sessions"), F.col("sessions")), "points"),
-    ("Checkout completion", lambda: ratio(F.col("checkout_completed"), F.col("checkout_sessions")), "points"),
+    ("Sessions", "CAST(sessions AS DOUBLE)", "relative"),
+    ("Session conversion", "try_divide(purchasing_sessions, sessions)", "points"),
+    ("Orders", "CAST(orders AS DOUBLE)", "relative"),
+    ("Revenue (USD)", "revenue_usd", "relative"),
+    ("Revenue per order", "try_divide(revenue_usd, orders)", "relative"),
+    ("Sessions using search", "try_divide(search_sessions, sessions)", "points"),
+    ("Sessions viewing products", "try_divide(product_view_sessions, sessions)", "points"),
+    ("Sessions adding to basket", "try_divide(basket_sessions, sessions)", "points"),
+    ("Checkout completion", "try_divide(checkout_completed, checkout_sessions)", "points"),
 )
 
 
@@ -90,8 +91,9 @@ def weekly_report(weekly: DataFrame, gate: DataFrame) -> DataFrame:
 
     Conversion also has its Wilson interval and whether the change is significant at 5%.
     """
-    values = F.array(*[F.struct(F.lit(i).alias("metric_order"), F.lit(name).alias("metric"), value().alias("current"),
-                                F.lit(kind).alias("change_kind")) for i, (name, value, kind) in enumerate(REPORT)])
+    values = F.expr("array({})".format(", ".join(
+        f"named_struct('metric_order', {i}, 'metric', '{name}', 'current', {value}, 'change_kind', '{kind}')"
+        for i, (name, value, kind) in enumerate(REPORT))))
     order = _by_week()
     weeks = (weekly.withColumn("values", values)
              .withColumn("previous_week", F.lag("week").over(order))
@@ -101,15 +103,11 @@ def weekly_report(weekly: DataFrame, gate: DataFrame) -> DataFrame:
              .join(gate.select("week", "held"), "week"))
     weeks = with_wilson(weeks, "ci", "purchasing_sessions", "sessions")
     weeks = with_two_proportions(weeks, "test", "purchasing_sessions", "sessions", "x0", "n0")
-    rows = (weeks.select("week", "previous_week", "held", "days", "ci", "test", "before", F.explode("values").alias("v"))
-            .withColumn("previous", F.get("before", F.col("v.metric_order"))["current"]))
-    change = F.col("v.current") - F.col("previous")
-    conversion = F.col("v.metric") == "Session conversion"
-    return rows.select(
-        "week", "previous_week", "held", "days", F.col("v.metric_order").alias("metric_order"),
-        F.col("v.metric").alias("metric"), F.col("v.current").alias("current"), "previous",
-        F.when(F.col("v.change_kind") == "points", change).otherwise(F.try_divide(change, F.col("previous"))).alias("change"),
-        F.col("v.change_kind").alias("change_kind"),
-        F.when(conversion, F.col("ci.lo")).alias("interval_lo"),
-        F.when(conversion, F.col("ci.hi")).alias("interval_hi"),
-        F.when(conversion, F.col("test.p_value") < 0.05).alias("significant"))
+    rows = (weeks.selectExpr("week", "previous_week", "held", "days", "ci", "test", "before", "inline(values)")
+            .selectExpr("*", "before[metric_order].current AS previous"))
+    conversion = "CASE WHEN metric = 'Session conversion' THEN"
+    return rows.selectExpr(
+        "week", "previous_week", "held", "days", "metric_order", "metric", "current", "previous",
+        "CASE WHEN change_kind = 'points' THEN current - previous ELSE try_divide(current - previous, previous) END AS change",
+        "change_kind", f"{conversion} ci.lo END AS interval_lo", f"{conversion} ci.hi END AS interval_hi",
+        f"{conversion} test.p_value < 0.05 END AS significant")

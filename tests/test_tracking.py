@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shoptrail.contract import JOURNEY_EVENTS
-from shoptrail.operators import tracking, weekly
+from shoptrail.operators import tracking
 
 FIRST = dt.date(2020, 11, 2)   # a Monday
 
