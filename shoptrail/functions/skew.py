@@ -5,21 +5,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 16
+PIECES = 16
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                     salts: int = SALTS, how: str = "left") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str],
+                pieces: int = PIECES, how: str = "left") -> DataFrame:
     """Join `right` (unique per key, narrow) to `left`, whose keys may be hot.
 
-    Each key of `left` is cut into `salts` pieces by the hash of its `spread` columns and `right` is repeated once
-    per piece, so a key with a third of the rows becomes `salts` tasks. Both sides reach the join through a plain
+    Each key of `left` is cut into `pieces` by the hash of its `spread` columns and `right` is repeated once per
+    piece, so a key with a third of the rows becomes as many tasks. Both sides reach the join through a plain
     exchange, which also lets adaptive execution split what is still too large, or broadcast `right` when its
     measured size is small.
     """
-    piece = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
+    piece = F.expr(f"CAST(pmod(xxhash64({', '.join(spread)}), {pieces}) AS INT)")
     cut = left.withColumn("_piece", piece)
-    copies = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     return cut.join(copies, [*keys, "_piece"], how).drop("_piece")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contract import ECOMMERCE_EVENTS, MONEY, MONEY_TOTAL
 from ..functions.columns import exprs
-from ..functions.skew import exact_median, salted_left_join
+from ..functions.skew import exact_median, salted_join
 
 COVERAGE_TARGET = 0.95
 TOLERANCE = 0.01
@@ -77,7 +77,8 @@ def revenue_pairs(purchases: DataFrame, items: DataFrame) -> DataFrame:
              .groupBy(*key).agg(F.expr(f"CAST(sum({known}) AS DOUBLE) AS items_usd")))
     orders = (purchases.where("purchase_revenue_usd IS NOT NULL")
               .selectExpr(*key, "transaction_id", "purchase_revenue_usd AS order_usd", "n_events"))
-    joined = salted_left_join(orders, lines, key, ["transaction_id", "order_usd"], how="inner")
+    # Many orders at one (user, session, time) would be a tracking fault, so few pieces are enough here.
+    joined = salted_join(orders, lines, key, ["transaction_id", "order_usd"], pieces=4, how="inner")
     return joined.selectExpr("n_events", "items_usd", "order_usd - items_usd AS gap",
                              f"{TOLERANCE}D * greatest(abs(items_usd), 0.01D) AS limit")
 

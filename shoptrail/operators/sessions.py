@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import exprs, ratio, total_sql
-from ..functions.skew import salted_left_join
+from ..functions.skew import salted_join
 from ..functions.stats import with_wilson
 from .orders import session_orders
 
@@ -83,7 +83,7 @@ def with_journey(core: DataFrame) -> DataFrame:
     """Visitor type, channel, nested funnel flags and whether the user ordered in an earlier session."""
     flags = list(NESTED_STEPS.values())
     channel = " ".join(f"WHEN '{medium}' THEN '{label}'" for medium, label in CHANNELS)
-    joined = salted_left_join(core, first_orders(core), ["user_pseudo_id"], ["ga_session_id"])
+    joined = salted_join(core, first_orders(core), ["user_pseudo_id"], ["ga_session_id"])
     return joined.select(*core.columns, *exprs({
         "has_search": "searches > 0",
         "is_engaged": "coalesce(engaged, false)",
@@ -124,7 +124,8 @@ def overview(sessions: DataFrame, n_events: DataFrame) -> DataFrame:
 
 def mix(sessions: DataFrame, column: str, top: int = 5) -> DataFrame:
     """The `top` largest groups of a column and their share of all sessions."""
-    total = sessions.agg(F.count(F.lit(1))).scalar()
-    return (sessions.groupBy(F.col(column).alias("grp")).agg(F.count(F.lit(1)).alias("sessions"))
-            .orderBy(F.desc("sessions"), F.asc_nulls_last("grp")).limit(top)
+    groups = sessions.groupBy(F.col(column).alias("grp")).agg(F.count(F.lit(1)).alias("sessions"))
+    # The total adds up the same groups, so both read one exchange and the sessions are scanned once.
+    total = groups.agg(F.sum("sessions")).scalar()
+    return (groups.orderBy(F.desc("sessions"), F.asc_nulls_last("grp")).limit(top)
             .select(F.col("grp").alias("group"), "sessions", ratio(F.col("sessions"), total).alias("share")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import one_row
-from ..operators import audit, journey, kpis, orders, search, sessions, tracking, weekly
+from ..operators import journey, kpis, search, sessions, tracking, weekly
 from .workspace import Workspace
 
 # Mart -> the order of its rows; columns marked with * only carry that order and are dropped.
@@ -22,15 +22,13 @@ MARTS = {
 
 
 def marts(ws: Workspace) -> dict[str, DataFrame]:
-    pairs = audit.revenue_pairs(ws.purchases, ws.tables.items)
-    coverage = audit.tracking_coverage(ws.spark, ws.profile, ws.tables.inventory)
     return {
-        "audit_scorecard": audit.audit_scorecard(ws.spark, ws.profile, ws.sessions, ws.purchases, pairs, coverage),
-        "tracking_coverage": coverage,
+        "audit_scorecard": ws.scorecard,
+        "tracking_coverage": ws.coverage,
         "tracking_timeline": ws.timeline,
-        "funnel": journey.funnel(ws.analysis),
-        "search_strata": search.search_strata(search.search_cells(ws.analysis)),
-        "checkout_by_device": journey.checkout_by_device(ws.analysis),
+        "funnel": ws.funnel,
+        "search_strata": search.search_strata(ws.search_cells),
+        "checkout_by_device": ws.checkout,
         "segments": journey.segments(ws.analysis),
         "daily_kpis": ws.daily,
         "trading_windows": kpis.compare_windows(ws.daily, ws.tables.trading_windows, ws.gate, ws.window),
@@ -56,26 +54,24 @@ def results_document(ws: Workspace, written: dict[str, DataFrame]) -> DataFrame:
     def shares(column: str, source: DataFrame) -> Column:
         return rows(sessions.mix(source, column))
 
-    def described(source: DataFrame) -> Column:
-        base = one_row(sessions.overview(source, ws.n_events))
-        return F.struct(base.alias("totals"), shares("device_category", source).alias("device_mix"),
+    def described(totals: DataFrame, source: DataFrame) -> Column:
+        return F.struct(one_row(totals).alias("totals"), shares("device_category", source).alias("device_mix"),
                         shares("country", source).alias("country_mix"), shares("medium_group", source).alias("channel_mix"))
 
-    pairs = audit.revenue_pairs(ws.purchases, ws.tables.items)
-    summary = search.search_vs_intent(search.search_cells(ws.analysis))
+    summary = search.search_vs_intent(ws.search_cells)
     parts = {
-        "overview": described(ws.sessions),
+        "overview": described(ws.overview, ws.sessions),
         "window": one_row(tracking.analysis_summary(ws.analysis, ws.window, ws.gate)),
-        "window_overview": described(ws.analysis),
-        "orders": one_row(orders.order_summary(ws.purchases, ws.analysis)),
-        "revenue_gap": one_row(audit.revenue_gap(pairs)),
+        "window_overview": described(ws.window_overview, ws.analysis),
+        "orders": one_row(ws.order_summary),
+        "revenue_gap": one_row(ws.revenue_gap),
         "held_weeks": rows(weekly.held_weeks(ws.gate)),
         "audit": rows(written["audit_scorecard"]),
         "funnel_overall": rows(written["funnel"].where("breakdown = 'overall'")),
         "biggest_drop": one_row(journey.biggest_drop(written["funnel"])),
         "search": one_row(summary),
         "search_verdict": one_row(search.search_verdict(summary)),
-        "follow_up": rows(search.experiment_sizing(ws.analysis, ws.tables.trading_windows)),
+        "follow_up": rows(ws.sizing),
         "checkout": one_row(journey.mobile_vs_desktop(written["checkout_by_device"])),
         "windows": rows(written["trading_windows"]),
         "segments": rows(written["segments"]),

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from ..sources import export, tables
 
 
-def extract(nested: DataFrame, out: str, first: dt.date | None = None, last: dt.date | None = None,
-            files_per_day: int = 1) -> None:
+def extract(nested: DataFrame, out: str, first: dt.date | None = None, last: dt.date | None = None) -> None:
     """Write `events`, `items` and `param_inventory` below `out`, each partitioned by day."""
     days = export.in_days(nested, first, last)
-    tables.write_days(export.flatten_events(days), f"{out}/events", files_per_day)
-    tables.write_days(export.flatten_items(days), f"{out}/items", files_per_day)
+    tables.write_days(export.flatten_events(days), f"{out}/events")
+    tables.write_days(export.flatten_items(days), f"{out}/items")
     (export.param_inventory(days, per_day=True).repartition("event_date")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("event_date").parquet(f"{out}/param_inventory"))

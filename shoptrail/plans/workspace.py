@@ -5,7 +5,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import kpis, orders, sessions, tracking, weekly
+from ..operators import audit, journey, kpis, orders, search, sessions, tracking, weekly
 from .stages import Stages
 
 
@@ -72,6 +72,51 @@ class Workspace:
         """Sessions inside the journey window and outside held weeks."""
         return tracking.analysis_sessions(self.sessions, self.analysis_days)
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return self._keep(audit.revenue_pairs(self.purchases, self.tables.items), "revenue_pairs")
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return self._keep(audit.tracking_coverage(self.spark, self.profile, self.tables.inventory), "tracking_coverage")
+
+    @cached_property
+    def scorecard(self) -> DataFrame:
+        return self._keep(audit.audit_scorecard(
+            self.spark, self.profile, self.sessions, self.purchases, self.pairs, self.coverage), "audit_scorecard")
+
+    @cached_property
+    def revenue_gap(self) -> DataFrame:
+        return self._keep(audit.revenue_gap(self.pairs), "revenue_gap")
+
+    @cached_property
+    def overview(self) -> DataFrame:
+        return self._keep(sessions.overview(self.sessions, self.n_events), "overview")
+
+    @cached_property
+    def window_overview(self) -> DataFrame:
+        return self._keep(sessions.overview(self.analysis, self.n_events), "window_overview")
+
+    @cached_property
+    def order_summary(self) -> DataFrame:
+        return self._keep(orders.order_summary(self.purchases, self.analysis), "order_summary")
+
+    @cached_property
+    def funnel(self) -> DataFrame:
+        return self._keep(journey.funnel(self.analysis), "funnel")
+
+    @cached_property
+    def search_cells(self) -> DataFrame:
+        return self._keep(search.search_cells(self.analysis), "search_cells")
+
+    @cached_property
+    def checkout(self) -> DataFrame:
+        return self._keep(journey.checkout_by_device(self.analysis), "checkout_by_device")
+
+    @cached_property
+    def sizing(self) -> DataFrame:
+        return self._keep(search.experiment_sizing(self.analysis, self.tables.trading_windows), "experiment_sizing")
+
     @property
     def n_events(self) -> DataFrame:
         return self.profile.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"))

@@ -9,7 +9,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..contract import CALENDAR, TRADING_WINDOWS
-from ..functions.skew import salted_left_join
+from ..functions.skew import salted_join
 
 FIRST_DAY = dt.date(2024, 1, 1)
 ONSET = dt.date(2024, 1, 5)
@@ -96,7 +96,7 @@ def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         EXPANSION, "event_type string, event_name string, lo long, hi long, after long"))
     hits = (source.join(steps, "event_type").where("k BETWEEN lo AND hi").drop("lo", "hi")
             .where((F.col("event_name") != "add_payment_info") | (F.col("day") >= F.lit(ONSET))))
-    hits = salted_left_join(hits, user_days.select("user_id", "day", "session_number"),
+    hits = salted_join(hits, user_days.select("user_id", "day", "session_number"),
                             ["user_id", "day"], ["event_id"])
     starts = (user_days.where("first.k NOT IN (33, 66)")
               .select("user_id", "day", "session_number", "first.*",

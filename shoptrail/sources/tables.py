@@ -45,14 +45,14 @@ def unique_dates(calendar: DataFrame) -> DataFrame:
         .otherwise(F.min("label")).cast("string").alias("label"))
 
 
-def write_days(df: DataFrame, path: str, files_per_day: int = 1) -> None:
+def write_days(df: DataFrame, path: str) -> None:
     """Write a table partitioned by day. Re-running some days replaces only those days.
 
-    Rows spread over `files_per_day` tasks per day, so one busy day is not one task, and are ordered by event name
-    so a reader filtering on it can skip row groups.
+    The rows are rebalanced by day: adaptive execution packs small days together and splits a busy day over as many
+    tasks and files as its measured size asks for. Inside a file rows are ordered by event name, so a reader
+    filtering on it can skip row groups.
     """
-    rows = df.withColumn("_file", F.pmod(F.xxhash64("user_pseudo_id", "event_ts"), F.lit(files_per_day)))
-    (rows.repartition("event_date", "_file").drop("_file")
+    (df.hint("rebalance", F.col("event_date"))
      .sortWithinPartitions("event_date", "event_name")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("event_date").parquet(path))

@@ -76,7 +76,7 @@ def test_check_one_day(nested):
 
 def test_extract_by_day_and_read_back(spark, nested, tmp_path):
     out = str(tmp_path)
-    extract(nested, out, files_per_day=2)
+    extract(nested, out)
     events = tables.read_table(spark, f"{out}/events", EVENTS, "events")
     assert events.schema == EVENTS and events.exceptAll(export.flatten_events(nested)).isEmpty() and events.count() == 5
     one_day = events.where(F.col("event_date") == dt.date(2020, 12, 2))
@@ -93,6 +93,15 @@ def test_extract_by_day_and_read_back(spark, nested, tmp_path):
     assert inventory.where("event_name = 'purchase'").count() == 1 and inventory.where("event_name = 'page_view'").count() == 5
 
 
+def test_export_days_are_pruned_before_they_are_read(spark, nested, tmp_path):
+    path = str(tmp_path / "export")
+    nested.write.partitionBy("event_date").parquet(path)
+    one = export.in_days(tables.read_export(spark, path), dt.date(2020, 12, 2), dt.date(2020, 12, 2))
+    plan = export.flatten_events(one)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "20201202" in plan
+    assert export.flatten_events(one).collect() == export.flatten_events(nested.where("event_date = '20201202'")).collect()
+
+
 def test_days_are_inclusive(nested):
     assert export.in_days(nested, dt.date(2020, 12, 1), dt.date(2020, 12, 1)).count() == 4
     assert export.in_days(nested, dt.date(2020, 12, 1), dt.date(2020, 12, 2)).count() == 5

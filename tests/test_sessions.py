@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from shoptrail.functions.skew import salted_left_join
+from shoptrail.functions.skew import salted_join
 from shoptrail.operators import orders, sessions
 
 
@@ -62,7 +62,7 @@ def test_salted_join_equals_a_plain_join(spark):
     left = spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
     right = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).where("k <> 4")
     for how in ("left", "inner"):
-        a = salted_left_join(left, right, ["k"], ["id"], how=how).select("k", "id", "v")
+        a = salted_join(left, right, ["k"], ["id"], how=how).select("k", "id", "v")
         b = left.join(right, "k", how).select("k", "id", "v")
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == b.count()
 
