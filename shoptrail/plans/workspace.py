@@ -9,6 +9,11 @@ from ..operators import audit, journey, kpis, orders, search, sessions, tracking
 from .stages import Stages
 
 
+def use_utc(spark: SparkSession) -> None:
+    """Days and timestamps are UTC throughout; expressions take the zone when they are built, so set it first."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 class Workspace:
     """Shared tables over the flat inputs, each built on first use and stored as a stage table.
 
@@ -18,8 +23,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, tables, stages: Stages | None = None):
         self.spark, self.tables = spark, tables
         self.stages = stages or Stages(spark)
-        # Days and timestamps are UTC throughout.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        use_utc(spark)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return self.stages.keep(df, name)
