@@ -102,6 +102,18 @@ def test_export_days_are_pruned_before_they_are_read(spark, nested, tmp_path):
     assert export.flatten_events(one).collect() == export.flatten_events(nested.where("event_date = '20201202'")).collect()
 
 
+def test_flatten_reads_only_the_nested_fields_it_uses(spark, nested, tmp_path):
+    path = str(tmp_path / "export")
+    nested.write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        stored = spark.read.schema(EXPORT).parquet(path)
+        schema = export.flatten_events(stored)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "value:struct<string_value:string,int_value:bigint>" in schema and "items:array<struct<item_id:string>>" in schema
+
+
 def test_days_are_inclusive(nested):
     assert export.in_days(nested, dt.date(2020, 12, 1), dt.date(2020, 12, 1)).count() == 4
     assert export.in_days(nested, dt.date(2020, 12, 1), dt.date(2020, 12, 2)).count() == 5
