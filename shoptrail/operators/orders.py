@@ -42,10 +42,15 @@ def purchases(events: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda
             })))
 
 
-def purchase_events(purchases: DataFrame) -> DataFrame:
-    """One row per purchase event with its flags."""
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_events")))
-    return (purchases.withColumn("copy", copy)
+def purchase_events(purchases: DataFrame, block: int = 10_000) -> DataFrame:
+    """One row per purchase event with its flags.
+
+    Copies are written out in blocks that are spread over the tasks, so an event sent very often neither builds one
+    huge array nor fills one task.
+    """
+    blocks = F.expr(f"explode(sequence(0L, (n_events - 1) DIV {block}))")
+    copies = F.expr(f"explode(sequence(block * {block} + 1, least((block + 1) * {block}, n_events)))")
+    return (purchases.withColumn("block", blocks).repartition(*PURCHASE_KEY, "block").withColumn("copy", copies)
             .withColumn("is_repeat", F.col("has_valid_id") & ~(F.col("is_first") & (F.col("copy") == 1)))
             .withColumn("counts_as_order", ~F.col("is_repeat") & ~F.col("is_empty"))
             .select(*PURCHASE_KEY, "has_valid_id", "is_repeat", "is_empty", "counts_as_order"))

@@ -26,6 +26,7 @@ class Stages:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         if self.root is None:
             return df.persist(StorageLevel.MEMORY_AND_DISK)
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        # A path of its own: frames built on an earlier copy of the same table stay readable.
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -59,6 +59,8 @@ def test_flags_equal_brute_force_with_ties_copies_and_a_hot_order(make_events):
     want = sorted(((r[0], r[1], r[3], r[4], *f) for r, *f in brute_force(rows)), key=key)
     assert got == want
     assert bought.agg({"n_events": "sum"}).first()[0] == len(rows)
+    blocks = orders.purchase_events(bought, block=7)
+    assert blocks.exceptAll(flags).isEmpty() and flags.exceptAll(blocks).isEmpty()
 
 
 def test_a_purchase_without_a_session_is_an_order_but_belongs_to_no_session(make_events):

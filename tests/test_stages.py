@@ -1,0 +1,35 @@
+import __spark_entry__ as registered
+from shoptrail.plans.stages import Stages
+
+
+def test_stage_tables_live_below_the_configured_folder_and_cut_the_plan(spark):
+    stages = Stages(spark)
+    kept = stages.keep(spark.range(10).groupBy().count(), "t")
+    assert stages.root.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert kept.first()[0] == 10 and "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_earlier_copy_stays_readable(spark):
+    stages = Stages(spark)
+    first = stages.keep(spark.range(3), "t")
+    second = stages.keep(spark.range(5), "t")
+    assert (first.count(), second.count()) == (3, 5)
+
+
+def test_a_cluster_without_a_folder_persists_instead(spark):
+    stages = Stages(spark)
+    stages.root = None
+    kept = stages.keep(spark.range(3), "t")
+    assert kept.is_cached and kept.count() == 3
+    kept.unpersist()
+
+
+def test_queries_built_before_any_runs(spark):
+    """Frames of one query built twice, the first collected last."""
+    build = registered.queries()["sessions"]
+    a, b = build(spark, "/root/testdata/sf0.001"), build(spark, "/root/testdata/sf0.001")
+    assert b.count() == a.count() == 397
+
+
+def test_the_workspace_is_shared_within_an_application(spark):
+    assert registered.workspace(spark, "/root/testdata/sf0.001") is registered.workspace(spark, "/root/testdata/sf0.001")
