@@ -111,13 +111,16 @@ class ContractError(ValueError):
 
 
 def require_columns(df: DataFrame, contract: T.StructType, what: str) -> DataFrame:
-    """Check names and types against a contract and select exactly its columns; extra columns are dropped."""
-    have = {f.name: f.dataType for f in df.schema.fields}
+    """Check names and types against a contract and select exactly its columns; extra columns are dropped.
+
+    Nullability is not compared: what a reader or a job can prove about it is not part of the contract.
+    """
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     missing = [f.name for f in contract.fields if f.name not in have]
     if missing:
         raise ContractError(f"{what} is missing columns {missing}; expected {contract.fieldNames()}")
-    wrong = [f"{f.name} is {have[f.name].simpleString()}, expected {f.dataType.simpleString()}"
-             for f in contract.fields if have[f.name] != f.dataType]
+    wrong = [f"{f.name} is {have[f.name]}, expected {f.dataType.simpleString()}"
+             for f in contract.fields if have[f.name] != f.dataType.simpleString()]
     if wrong:
         raise ContractError(f"{what} has wrong types: {'; '.join(wrong)}")
     return df.select(*contract.fieldNames())

@@ -51,8 +51,9 @@ def conversion_trend(daily: DataFrame) -> DataFrame:
 
 
 def window_days(trading_windows: DataFrame) -> DataFrame:
-    """Each window as one row per day, so the date ranges become plain equality joins."""
-    return trading_windows.withColumn("date", F.explode(F.sequence("start_date", "end_date")))
+    """Each window as one row per day, so the date ranges become plain equality joins; NULL for a window without days."""
+    return trading_windows.withColumn("date", F.expr(
+        "explode_outer(CASE WHEN start_date <= end_date THEN sequence(start_date, end_date) END)"))
 
 
 WINDOW_SUMS = ("sessions", "purchasing_sessions", "orders", "orders_without_id", "checkout_sessions",

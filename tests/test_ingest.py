@@ -70,7 +70,10 @@ def test_contract_errors_name_what_is_wrong(spark, nested):
 
 
 def test_check_one_day(nested):
+    from shoptrail.sources.driver_tables import nested_export
     events, items = export.check_day(nested, dt.date(2020, 12, 2))
+    driver, _ = export.check_day(nested_export(nested.sparkSession, "/root/testdata/sf0.001"), dt.date(2024, 1, 2))
+    assert driver.count() > 0
     assert events.count() == 1 and items.count() == 1
 
 

@@ -91,6 +91,7 @@ def test_iso_labels_around_new_year(spark):
 WINDOWS = [("Quiet", MONDAY, MONDAY + dt.timedelta(days=6), "baseline"),
            ("Peak", MONDAY + dt.timedelta(days=7), MONDAY + dt.timedelta(days=15), "event"),
            ("Empty", MONDAY + dt.timedelta(days=100), MONDAY + dt.timedelta(days=101), "event"),
+           ("Backwards", MONDAY + dt.timedelta(days=3), MONDAY, "event"),
            ("Sizing", MONDAY, MONDAY, "sizing")]
 SCHEMA = "window_name string, start_date date, end_date date, role string"
 
@@ -100,7 +101,7 @@ def test_windows_leave_out_held_days_and_blank_untracked_checkout(spark):
     _, g = gate(d)
     start = spark.createDataFrame([(MONDAY + dt.timedelta(days=3),)], "start date")
     rows = {r.window: r for r in kpis.compare_windows(d, spark.createDataFrame(WINDOWS, SCHEMA), g, start).collect()}
-    assert set(rows) == {"Quiet", "Peak", "Empty"}
+    assert set(rows) == {"Quiet", "Peak", "Empty", "Backwards"} and rows["Backwards"].days == 0
     quiet, peak, empty = rows["Quiet"], rows["Peak"], rows["Empty"]
     assert (peak.days, peak.days_excluded) == (7, 2) and (quiet.days, quiet.days_excluded) == (7, 0)
     assert quiet.checkout_completion is None and quiet.conversion_change_pp == 0 and quiet.conversion_p_value == 1.0
