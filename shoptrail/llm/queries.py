@@ -1,12 +1,26 @@
 """The registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import chat, urllists
+from collections.abc import Callable
 
-QUERIES = {
+from pyspark.sql import DataFrame, SparkSession
+
+from . import chat, simhash, urllists
+from .shared import ship
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in {
     "op2_chat_format": chat.op2,
+    "op5_simhash": simhash.op5,
     "op10_url_lists": urllists.op10,
-}
+}.items()}
 
 ORACLE = {
     "op2_chat_format": chat.OP2_SQL,

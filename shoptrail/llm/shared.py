@@ -1,6 +1,8 @@
 """Folders that all executors share, and stage tables in them."""
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,3 +27,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of an application, once."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        into = tempfile.mkdtemp(prefix="ship-")  # the driver's own; Spark sends the file to the executors
+        sc.addPyFile(shutil.make_archive(os.path.join(into, "shoptrail"), "zip", os.path.dirname(package), os.path.basename(package)))
+        _SHIPPED.add(sc.applicationId)
