@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, simhash, urllists, warc
+from . import chat, packing, simhash, tokenfiles, urllists, warc
 from .shared import ship
 
 
@@ -19,7 +19,9 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {name: _shipped(query) for name, query in {
     "op2_chat_format": chat.op2,
     "op3_warc": warc.op3,
+    "op4_packing": packing.op4,
     "op5_simhash": simhash.op5,
+    "op6_token_files": tokenfiles.op6,
     "op10_url_lists": urllists.op10,
 }.items()}
 
