@@ -23,6 +23,7 @@ from .tokens import encoder
 
 CAPACITY = 1024
 END = 2
+SHARE = 0.8          # of the fitted repeats is used, so that the residuals keep short pieces that go with long ones
 BUCKETS = 64         # buckets in which the ranks of a length are counted, at least
 BUCKET_ROWS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -126,11 +127,9 @@ def plan(counts: np.ndarray) -> Counter:
     if left[capacity]:
         out[(capacity,)] = int(left[capacity])
         left[capacity] = 0
-    for _ in range(2):  # the second time for what rounding left
-        rows = patterns(left)
-        if not len(rows):
-            break
-        x = fit(rows, left.astype(float))
+    rows = patterns(left)
+    if len(rows):
+        x = SHARE * fit(rows, left.astype(float))
         for i in np.argsort(-x, kind="stable"):
             if x[i] < 0.5:
                 break

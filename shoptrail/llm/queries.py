@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, simhash, tokenfiles, urllists, warc
+from . import chat, packing, secrets, simhash, sketch, tokenfiles, urllists, warc
 from .shared import ship
 
 
@@ -22,6 +22,8 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op4_packing": packing.op4,
     "op5_simhash": simhash.op5,
     "op6_token_files": tokenfiles.op6,
+    "op7_secrets": secrets.op7,
+    "op9_sketch": sketch.op9,
     "op10_url_lists": urllists.op10,
 }.items()}
 
