@@ -3,9 +3,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shoptrail.llm.decontam import decontaminate_stage
+from shoptrail.llm.packing import pack_stage
+from shoptrail.llm.quality import quality_stage
+from shoptrail.llm.secrets import redact_stage
 from shoptrail.llm.shared import stage
+from shoptrail.llm.simhash import dedup_stage
 
-STAGES = []
+#: (name, function); each function takes (spark, docs, sf_dir) and all but the last return the columns of docs.
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontaminate_stage),
+    ("secrets", redact_stage),
+    ("packing", pack_stage),
+]
 
 #: No SQL expresses a trained classifier, tokenizers or the packing.
 ORACLE_SQL = None

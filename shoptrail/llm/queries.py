@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, secrets, simhash, sketch, tokenfiles, urllists, warc
+from . import chat, decontam, packing, quality, secrets, simhash, sketch, tokenfiles, urllists, warc
 from .shared import ship
 
 
@@ -17,12 +17,14 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {name: _shipped(query) for name, query in {
+    "op1_decontam": decontam.op1,
     "op2_chat_format": chat.op2,
     "op3_warc": warc.op3,
     "op4_packing": packing.op4,
     "op5_simhash": simhash.op5,
     "op6_token_files": tokenfiles.op6,
     "op7_secrets": secrets.op7,
+    "op8_quality": quality.op8,
     "op9_sketch": sketch.op9,
     "op10_url_lists": urllists.op10,
 }.items()}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import stage
+from .shared import ship, stage
 
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 TOP = 6          # levels of the trie above the units
@@ -224,7 +224,7 @@ def near_groups(docs: DataFrame, k: int = 4, budget: int = 4, text: str = "text"
     return own.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, budget: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, budget: int = 6) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id (a null one counts as largest)."""
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     own = stage(fingerprints(keyed.select("doc_id", "_hash", "text"), "text", k, "fp").select("doc_id", "_hash", "fp"), "fingerprints")
@@ -239,3 +239,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group of near-duplicates stays."""
+    ship(spark)
+    return one_of_each(docs)
