@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from .shared import ship
 
 WIDTH, FILTERS, HIDDEN, CHUNK = 6, 16, 16, 128
-SAMPLE, PART, EPOCHS, BATCH, RATE, SEED = 4000, 4096, 6, 64, 0.01, 7
+SAMPLE, PART, STEPS, BATCH, RATE, SEED = 4000, 4096, 400, 64, 0.01, 7
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 BLOCK = 512  # chunks that are answered at once
@@ -100,19 +100,18 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Weig
         docs.append(rows if len(rows) <= most else rows[np.sort(rng.choice(len(rows), most, replace=False))])
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-    steps = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), BATCH):
-            mine = order[at:at + BATCH]
-            grad = gradient(w, [docs[i] for i in mine], labels[mine], weight[mine])
-            steps += 1
-            rate = RATE * (1 - 0.9 * epoch / EPOCHS)
-            for k, g in grad.items():  # Adam
-                m, v = moments[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                w[k] -= (rate * (m / (1 - 0.9 ** steps)) / (np.sqrt(v / (1 - 0.999 ** steps)) + 1e-8)).astype(np.float32)
+    order = np.empty(0, np.int64)
+    for step in range(STEPS):
+        if len(order) < min(BATCH, len(docs)):  # another round over all documents
+            order = np.concatenate((order, rng.permutation(len(docs))))
+        mine, order = order[:BATCH], order[BATCH:]
+        grad = gradient(w, [docs[i] for i in mine], labels[mine], weight[mine])
+        rate = RATE * (1 - 0.9 * step / STEPS)
+        for k, g in grad.items():  # Adam
+            m, v = moments[k]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w[k] -= (rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.999 ** (step + 1))) + 1e-8)).astype(np.float32)
     w["b2"] += np.float32(np.log(share / (1 - share)))
     return w
 
