@@ -1,6 +1,8 @@
 """Table contracts and the fixed vocabulary the operators share."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, types as T
 
 EVENTS = T.StructType([
@@ -126,6 +128,27 @@ def require_columns(df: DataFrame, contract: T.StructType, what: str) -> DataFra
     return df.select(*contract.fieldNames())
 
 
+def covers(have: T.DataType, want: T.DataType) -> bool:
+    """Whether every field of `want`, at any depth, is in `have` with the same type."""
+    if isinstance(want, T.StructType):
+        return isinstance(have, T.StructType) and all(
+            f.name in have.fieldNames() and covers(have[f.name].dataType, f.dataType) for f in want.fields)
+    if isinstance(want, T.ArrayType):
+        return isinstance(have, T.ArrayType) and covers(have.elementType, want.elementType)
+    return have == want
+
+
+def require_stored(have: T.StructType, contract: T.StructType, what: str, free: Sequence[str] = ()) -> None:
+    """Check the schema that files really have against a contract; columns in `free` may be of any type (partition values)."""
+    missing = [f.name for f in contract.fields if f.name not in have.fieldNames()]
+    if missing:
+        raise ContractError(f"{what} is missing columns {missing}; expected {contract.fieldNames()}")
+    wrong = [f"{f.name} is {have[f.name].dataType.simpleString()}, expected {f.dataType.simpleString()}"
+             for f in contract.fields if f.name not in free and not covers(have[f.name].dataType, f.dataType)]
+    if wrong:
+        raise ContractError(f"{what} has wrong types: {'; '.join(wrong)}")
+
+
 def valid_id(transaction_id: str) -> str:
     """SQL test: a usable transaction ID."""
     return f"({transaction_id} IS NOT NULL AND {transaction_id} NOT IN ({', '.join(repr(v) for v in MISSING_IDS)}))"

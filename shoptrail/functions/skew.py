@@ -1,7 +1,7 @@
 """Joins and medians that stay distributed when one key or value holds a large share of the rows."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,37 +23,34 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
     return cut.join(copies, [*keys, "_piece"], how).drop("_piece")
 
 
-def exact_median(df: DataFrame, value: Column, weight: Column, alias: str) -> DataFrame:
-    """One row: the exact interpolated median of a non-negative value, each row counting `weight` times.
+def exact_median(df: DataFrame, value: Column, weight: Column, alias: str,
+                 keep: Callable[[DataFrame, str], DataFrame], ranges: int | None = None) -> DataFrame:
+    """One row: the exact interpolated median of a value, each row counting `weight` times.
 
-    Equal values are merged first. A fixed-size histogram on a log scale finds the bucket holding the middle ranks,
-    a finer histogram inside it narrows further, and only the distinct values left there are ordered. The buckets
-    nest because the finer one multiplies the same logarithm by a power of two.
+    Equal values are merged and the distinct ones cut into ranges of about equal size, whatever their distribution; this
+    table is stored by `keep(df, name)` and so computed once. A count per range tells where the middle ranks lie, and only
+    that range (or the two beside the middle) is ordered, so no task ever holds more than a range. `ranges` is at least
+    the shuffle partitions of the session.
     """
-    merged = (df.select(value.alias("v"), weight.alias("n")).where("v IS NOT NULL")
-              .groupBy("v").agg(F.sum("n").alias("n")))
-    logs = F.when(F.col("v") > 0, F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.ln("v")))).otherwise(F.lit(-60.0))
-    counts = merged.select("v", "n", F.floor(logs * 64.0).alias("b1"), F.floor(logs * 65536.0).alias("b2"))
+    spark = df.sparkSession
+    ranges = ranges or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    merged = keep(df.select(value.alias("v"), weight.alias("n")).where("v IS NOT NULL")
+                  .groupBy("v").agg(F.sum("n").alias("n"))
+                  .repartitionByRange(ranges, "v").withColumn("part", F.spark_partition_id()), "median_values")
 
     def holds_middle(d: DataFrame) -> DataFrame:
         return d.where((F.col("upto") - F.col("n") < F.col("hi_rank")) & (F.col("upto") >= F.col("lo_rank")))
 
-    # At most 7,042 rows whatever the input: the logarithm is clipped to [-60, 50].
-    coarse = holds_middle(
-        counts.groupBy("b1").agg(F.sum("n").alias("n"))
+    # A row per range.
+    middle = holds_middle(
+        merged.groupBy("part").agg(F.sum("n").alias("n"))
         .withColumn("total", F.sum("n").over(Window.partitionBy()))
-        .withColumn("upto", F.sum("n").over(Window.orderBy("b1")))
+        .withColumn("upto", F.sum("n").over(Window.orderBy("part")))
         .withColumn("lo_rank", F.floor((F.col("total") + 1) / 2.0))
         .withColumn("hi_rank", F.ceil((F.col("total") + 1) / 2.0))
-    ).select("b1", "lo_rank", "hi_rank", (F.col("upto") - F.col("n")).alias("before"))
-    # At most two coarse buckets are kept, each with at most 1,024 finer ones.
-    fine = holds_middle(
-        counts.join(F.broadcast(coarse), "b1")
-        .groupBy("b1", "b2", "before", "lo_rank", "hi_rank").agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("b1").orderBy("b2")))
-    ).select("b2", "lo_rank", "hi_rank", (F.col("upto") - F.col("n")).alias("before"))
-    middle = holds_middle(
-        counts.join(F.broadcast(fine), "b2")
-        .withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("b2").orderBy("v")))
+    ).select("part", "lo_rank", "hi_rank", (F.col("upto") - F.col("n")).alias("before"))
+    values = holds_middle(
+        merged.join(F.broadcast(middle), "part")
+        .withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v")))
     )
-    return middle.agg(F.avg("v").alias(alias))
+    return values.agg(F.avg("v").alias(alias))

@@ -1,6 +1,8 @@
 """The tracking audit: each check is a share of faulty rows judged against a threshold."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contract import ECOMMERCE_EVENTS, MONEY, MONEY_TOTAL
@@ -83,11 +85,13 @@ def revenue_pairs(purchases: DataFrame, items: DataFrame) -> DataFrame:
                              f"{TOLERANCE}D * greatest(abs(items_usd), 0.01D) AS limit")
 
 
-def revenue_gap(pairs: DataFrame) -> DataFrame:
-    """Pairs that match, order above items, order below items, and the median relative gap of the mismatches."""
+def revenue_gap(pairs: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs that match, order above items, order below items, and the median relative gap of the mismatches.
+
+    `keep(df, name)` stores the distinct gaps."""
     total = lambda rule: f"coalesce(sum(n_events) FILTER (WHERE {rule}), 0L)"
     median = exact_median(pairs.where("abs(gap) > limit"), F.expr("try_divide(abs(gap), abs(items_usd))"),
-                          F.col("n_events"), "median_gap")
+                          F.col("n_events"), "median_gap", keep)
     return (pairs.agg(*exprs({"match": total("abs(gap) <= limit"), "above": total("gap > limit"), "below": total("-gap > limit")}))
             .withColumn("median_gap", median.scalar()))
 

@@ -63,14 +63,18 @@ WINDOW_SUMS = ("sessions", "purchasing_sessions", "orders", "orders_without_id",
 def compare_windows(daily: DataFrame, trading_windows: DataFrame, gate: DataFrame, journey_start: DataFrame) -> DataFrame:
     """Each trading window against the baseline, held weeks left out but counted.
 
-    Checkout completion is compared only for windows starting inside the journey window.
+    Checkout completion is compared only for windows starting inside the journey window. A window that is configured
+    twice is two rows.
     """
+    # The configuration has a row per window, so numbering it in one task is cheap.
+    asked = (trading_windows.where(F.col("role").isin("baseline", "event"))
+             .withColumn("window_number", F.row_number().over(Window.orderBy("start_date", "window_name", "role", "end_date"))))
     held = gate.where("held").select("week_start", F.lit(True).alias("in_held_week"))
     days = (daily.withColumn("week_start", week_start(F.col("date")))
             .join(held, "week_start", "left").withColumn("used", F.col("in_held_week").isNull()))
-    spans = (window_days(trading_windows.where(F.col("role").isin("baseline", "event")))
+    spans = (window_days(asked)
              .join(days, "date", "left")
-             .groupBy("window_name", "role", "start_date", "end_date")
+             .groupBy("window_number", "window_name", "role", "start_date", "end_date")
              .agg(*exprs({
                  "days": "count_if(used)",
                  "days_excluded": "count_if(NOT used)",

@@ -7,7 +7,7 @@ from ..functions.columns import exprs, week_start
 from ..functions.stats import standardised_difference, with_n_per_arm, with_two_proportions
 from .kpis import window_days
 
-# Known before a visit's first search, so they can confound search without being caused by it.
+# Attributes that are settled when a visit begins: searching cannot have changed them.
 STRATA = ("device_category", "user_type", "medium_group", "prior_purchaser")
 MIN_SEARCHES = 100
 LIFTS = (0.05, 0.10, 0.20)

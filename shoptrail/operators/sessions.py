@@ -45,8 +45,8 @@ def _slices(events: DataFrame) -> DataFrame:
 
 
 def _first_known(column: str) -> str:
-    """The earliest non-NULL value; equal times give the smallest value."""
-    return f"min(struct(first_ts, {column})) FILTER (WHERE {column} IS NOT NULL).{column}"
+    """The earliest non-NULL value of events that have a time; equal times give the smallest value."""
+    return f"min(struct(first_ts, {column})) FILTER (WHERE {column} IS NOT NULL AND first_ts IS NOT NULL).{column}"
 
 
 def session_core(events: DataFrame, purchases: DataFrame) -> DataFrame:

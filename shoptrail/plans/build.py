@@ -36,7 +36,11 @@ def marts(ws: Workspace) -> dict[str, DataFrame]:
 
 
 def write_marts(frames: dict[str, DataFrame], out: str, csv: bool = False) -> None:
-    """One sorted file per mart: same rows, same order on every run. Marts have a row per day, group or check."""
+    """One sorted file per mart: same rows, same order on every run.
+
+    Marts have a row per day, group or check; those by device hold as many rows as the data has device categories, which
+    is what keeps one file enough.
+    """
     for name, df in frames.items():
         keys = [k.lstrip("*") for k in MARTS[name]]
         rows = df.repartition(1).sortWithinPartitions(*keys).drop(*[k[1:] for k in MARTS[name] if k.startswith("*")])
@@ -47,9 +51,11 @@ def write_marts(frames: dict[str, DataFrame], out: str, csv: bool = False) -> No
 
 def results_document(ws: Workspace, written: dict[str, DataFrame]) -> DataFrame:
     """One row holding every result as JSON, undefined values as null. `written` are the stored marts."""
-    def rows(df: DataFrame) -> Column:
-        """A small result table as an array; every table here has a row per group, window or check."""
-        return df.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).scalar()
+    def rows(df: DataFrame, *order: str) -> Column:
+        """A small result table as an array, sorted if asked; every table here has a row per group, window or check."""
+        struct = lambda columns: F.struct(*[F.col(f"`{c}`") for c in columns])
+        listed = F.collect_list(struct([*order, *[c for c in df.columns if c not in order]]))
+        return df.agg(F.array_sort(listed) if order else listed).scalar()
 
     def shares(column: str, source: DataFrame) -> Column:
         return rows(sessions.mix(source, column))
@@ -65,13 +71,13 @@ def results_document(ws: Workspace, written: dict[str, DataFrame]) -> DataFrame:
         "window_overview": described(ws.window_overview, ws.analysis),
         "orders": one_row(ws.order_summary),
         "revenue_gap": one_row(ws.revenue_gap),
-        "held_weeks": rows(weekly.held_weeks(ws.gate)),
+        "held_weeks": rows(weekly.held_weeks(ws.gate), "week"),
         "audit": rows(written["audit_scorecard"]),
         "funnel_overall": rows(written["funnel"].where("breakdown = 'overall'")),
         "biggest_drop": one_row(journey.biggest_drop(written["funnel"])),
         "search": one_row(summary),
         "search_verdict": one_row(search.search_verdict(summary)),
-        "follow_up": rows(ws.sizing),
+        "follow_up": rows(ws.sizing, "metric_order", "relative_lift"),
         "checkout": one_row(journey.mobile_vs_desktop(written["checkout_by_device"])),
         "windows": rows(written["trading_windows"]),
         "segments": rows(written["segments"]),

@@ -91,7 +91,7 @@ class Workspace:
 
     @cached_property
     def revenue_gap(self) -> DataFrame:
-        return self._keep(audit.revenue_gap(self.pairs), "revenue_gap")
+        return self._keep(audit.revenue_gap(self.pairs, self._keep), "revenue_gap")
 
     @cached_property
     def overview(self) -> DataFrame:

@@ -9,7 +9,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..contract import CALENDAR, TRADING_WINDOWS
-from ..functions.skew import salted_join
 
 FIRST_DAY = dt.date(2024, 1, 1)
 ONSET = dt.date(2024, 1, 5)
@@ -67,10 +66,6 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source events with k and their day."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        # A single file with one row group is one task; at scale the files are many and nothing is shuffled here.
-        events = events.repartition(cores, "event_id")
     return (events.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"),
                           F.get_json_object("props", "$.k").cast("long").alias("k"))
             .withColumn("day", F.to_date("ts")))
@@ -96,8 +91,8 @@ def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         EXPANSION, "event_type string, event_name string, lo long, hi long, after long"))
     hits = (source.join(steps, "event_type").where("k BETWEEN lo AND hi").drop("lo", "hi")
             .where((F.col("event_name") != "add_payment_info") | (F.col("day") >= F.lit(ONSET))))
-    hits = salted_join(hits, user_days.select("user_id", "day", "session_number"),
-                            ["user_id", "day"], ["event_id"])
+    # A plain equality join: adaptive execution broadcasts a small side and splits a hot (user, day) over tasks.
+    hits = hits.join(user_days.select("user_id", "day", "session_number"), ["user_id", "day"], "left")
     starts = (user_days.where("first.k NOT IN (33, 66)")
               .select("user_id", "day", "session_number", "first.*",
                       F.explode(F.when(F.col("first.k") == 50, F.expr("array(-1L, -2L)"))

@@ -1,6 +1,7 @@
 """Where the flat inputs of a workspace come from."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,17 @@ from . import driver_tables, export, tables
 
 
 class ExportInputs:
-    """Flat tables flattened from a nested export. `keep(df, name)` stores what more than one reader needs."""
+    """Flat tables flattened from a nested export. `keep(df, name)` stores what more than one reader needs.
 
-    def __init__(self, nested: DataFrame, calendar: DataFrame, trading_windows: DataFrame, keep):
+    The export itself is read where it is; `nested` may be a function that makes it when it is first asked for."""
+
+    def __init__(self, nested: DataFrame | Callable[[], DataFrame], calendar: DataFrame, trading_windows: DataFrame, keep):
         self._nested, self._keep = nested, keep
         self.calendar, self.trading_windows = tables.unique_dates(calendar), trading_windows
 
     @cached_property
     def nested(self) -> DataFrame:
-        return self._keep(self._nested, "export")
+        return self._nested() if callable(self._nested) else self._nested
 
     @cached_property
     def events(self) -> DataFrame:
@@ -39,11 +42,12 @@ class FlatInputs:
     def __init__(self, spark: SparkSession, raw: str, reference: str):
         self.events = tables.read_table(spark, f"{raw}/events", EVENTS, "events")
         self.items = tables.read_table(spark, f"{raw}/items", ITEMS, "items")
-        self.inventory = tables.read_table(spark, f"{raw}/param_inventory", INVENTORY, "parameter inventory")
+        self.inventory = tables.read_or_empty(spark, f"{raw}/param_inventory", INVENTORY, "parameter inventory")
         self.calendar = tables.unique_dates(tables.read_calendar(spark, f"{reference}/calendar.csv"))
         self.trading_windows = tables.read_trading_windows(spark, f"{reference}/trading_windows.csv")
 
 
 def from_driver_tables(spark: SparkSession, sf_dir: str, keep) -> ExportInputs:
-    return ExportInputs(driver_tables.nested_export(spark, sf_dir), driver_tables.calendar(spark),
+    """The mapping computes its export, so this one is stored before several tables are flattened from it."""
+    return ExportInputs(lambda: keep(driver_tables.nested_export(spark, sf_dir), "export"), driver_tables.calendar(spark),
                         driver_tables.trading_windows(spark), keep)

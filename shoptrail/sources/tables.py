@@ -1,9 +1,13 @@
 """Readers and writers of the flat tables and the small reference tables."""
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..contract import CALENDAR, EXPORT, TRADING_WINDOWS, require_columns
+from ..contract import CALENDAR, EXPORT, TRADING_WINDOWS, require_columns, require_stored
 
 
 class EmptyInputError(FileNotFoundError):
@@ -13,18 +17,36 @@ class EmptyInputError(FileNotFoundError):
 def read_table(spark: SparkSession, path: str, contract: T.StructType, what: str, merge: bool = False) -> DataFrame:
     """All Parquet files below `path`, matched to the contract by column name.
 
-    With `merge` the schemas of all files are merged and checked first. Without it the contract is the schema, which
-    spares reading every footer; the flatten jobs have checked what they wrote.
+    The schema the files have is checked first: with `merge` that of all files, else that of one of them, which spares
+    reading every footer. Only then is the contract used as the schema.
     """
-    reader = spark.read.option("mergeSchema", True) if merge else spark.read.schema(contract)
-    table = reader.parquet(path)
+    reader = spark.read.option("mergeSchema", True) if merge else spark.read
+    try:
+        stored = reader.parquet(path)
+    except AnalysisException as failed:
+        if failed.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        raise EmptyInputError(f"no Parquet rows for {what} in {path}") from failed
+    require_stored(stored.schema, contract, what)
+    table = stored if merge else spark.read.schema(contract).parquet(path)
     if table.isEmpty():
         raise EmptyInputError(f"no Parquet rows for {what} in {path}")
     return require_columns(table, contract, what)
 
 
+def read_or_empty(spark: SparkSession, path: str, contract: T.StructType, what: str) -> DataFrame:
+    """As read_table, but no rows are no error: an export without a single parameter has an empty inventory."""
+    try:
+        return read_table(spark, path, contract, what)
+    except EmptyInputError:
+        return spark.createDataFrame([], contract)
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """The nested export: a folder with one `event_date=YYYYMMDD` partition per day, or plain files with that column."""
+    """The nested export: a folder with one `event_date=YYYYMMDD` partition per day, or plain files with that column.
+
+    The files must have every field of the contract, at any depth; the day may be stored as a text or a number."""
+    require_stored(spark.read.parquet(path).schema, EXPORT, "export", free=("event_date",))
     days = spark.read.schema(EXPORT).parquet(path)
     return days.withColumn("event_date", F.col("event_date").cast("string"))
 
@@ -45,8 +67,16 @@ def unique_dates(calendar: DataFrame) -> DataFrame:
         .otherwise(F.min("label")).cast("string").alias("label"))
 
 
+def drop_days(spark: SparkSession, path: str, days: Sequence[dt.date]) -> None:
+    """Delete the partitions of some days, in whatever file system the path is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in days:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"event_date={day.isoformat()}"), True)
+
+
 def write_days(df: DataFrame, path: str) -> None:
-    """Write a table partitioned by day. Re-running some days replaces only those days.
+    """Write a table partitioned by day. Re-running some days replaces only those days that get rows.
 
     The rows are rebalanced by day: adaptive execution packs small days together and splits a busy day over as many
     tasks and files as its measured size asks for. Inside a file rows are ordered by event name, so a reader

@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from shoptrail.plans.stages import Stages
 from shoptrail.operators import audit, orders, sessions, tracking
 from shoptrail.sources import export
 
@@ -86,7 +87,7 @@ def test_failures_come_most_severe_first(faulty):
 
 
 def test_revenue_gap_and_verdict(faulty):
-    g = audit.revenue_gap(faulty[3])
+    g = audit.revenue_gap(faulty[3], Stages(faulty[3].sparkSession).keep)
     r = g.first()
     assert (r["match"], r.above, r.below) == (100, 1, 0) and math.isclose(r.median_gap, 0.25)
     v = audit.revenue_gap_verdict(g).first()
@@ -103,7 +104,7 @@ def test_two_purchases_at_one_time_both_meet_the_items(make_events, make_items):
     events = make_events([("u", 1, 4, "purchase", dict(T, transaction_id=t)) for t in ("A", "B")])
     pairs = audit.revenue_pairs(orders.purchases(events), make_items([("u", 1, 4, "purchase", 4.0), ("u", 1, 4, "purchase", 6.0)]))
     assert pairs.agg({"n_events": "sum"}).first()[0] == 2
-    assert audit.revenue_gap(pairs).first()["match"] == 2
+    assert audit.revenue_gap(pairs, Stages(pairs.sparkSession).keep).first()["match"] == 2
 
 
 def test_an_empty_input_gives_not_applicable(spark, make_events, make_items):

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from shoptrail.contract import CALENDAR, EVENTS, EXPORT, ITEMS, ContractError, require_columns
+from shoptrail.contract import CALENDAR, EVENTS, EXPORT, INVENTORY, ITEMS, ContractError, require_columns
 from shoptrail.plans.extract import extract
 from shoptrail.plans.workspace import Workspace
 from shoptrail.sources import export, tables
@@ -128,9 +128,47 @@ def test_merged_schemas_union_by_name(spark, tmp_path):
     schema = T.StructType([CALENDAR["date"], CALENDAR["label"]])
     spark.createDataFrame([(dt.date(2020, 1, 1), "a")], schema).write.parquet(path)
     spark.createDataFrame([("b", 1)], "label string, extra int").write.mode("append").parquet(path)
-    for merge in (True, False):
-        rows = tables.read_table(spark, path, schema, "t", merge=merge).collect()
-        assert sorted((r.label, r.date) for r in rows) == [("a", dt.date(2020, 1, 1)), ("b", None)]
+    rows = tables.read_table(spark, path, schema, "t", merge=True).collect()
+    assert sorted((r.label, r.date) for r in rows) == [("a", dt.date(2020, 1, 1)), ("b", None)]
+
+
+def test_stored_tables_without_a_column_or_with_another_type_raise(spark, nested, tmp_path):
+    events = export.flatten_events(nested)
+    for name, table, message in (("lacks", events.drop("country", "transaction_id"), r"missing columns \['country', 'transaction_id'\]"),
+                                 ("type", events.withColumn("n_items", F.lit("x")), "n_items is string, expected bigint")):
+        table.write.parquet(f"{tmp_path}/{name}/events")
+        for merge in (True, False):
+            with pytest.raises(ContractError, match=message):
+                tables.read_table(spark, f"{tmp_path}/{name}/events", EVENTS, "events", merge=merge)
+        with pytest.raises(ContractError, match=message):
+            FlatInputs(spark, f"{tmp_path}/{name}", str(tmp_path))
+    nested.select("event_date", "event_name", "event_timestamp").write.parquet(f"{tmp_path}/narrow")
+    no_user = nested.withColumn("geo", F.struct(F.lit("x").alias("city")))
+    no_user.write.partitionBy("event_date").parquet(f"{tmp_path}/inner")
+    for name in ("narrow", "inner"):
+        with pytest.raises(ContractError):
+            export.check_day(tables.read_export(spark, f"{tmp_path}/{name}"), dt.date(2020, 12, 1))
+
+
+def test_a_day_run_again_loses_what_it_no_longer_has(spark, nested, tmp_path):
+    out, day = str(tmp_path), dt.date(2020, 12, 2)
+    count = lambda name, where="true": spark.read.parquet(f"{out}/{name}").where(where).count()
+    extract(nested, out)
+    others = {n: count(n, "event_date <> DATE '2020-12-02'") for n in ("events", "items", "param_inventory")}
+    assert all(count(n, "event_date = DATE '2020-12-02'") > 0 for n in others)
+    bare = nested.withColumn("items", F.lit(None).cast(nested.schema["items"].dataType)).withColumn(
+        "event_params", F.lit(None).cast(nested.schema["event_params"].dataType))
+    extract(bare, out, day, day)
+    assert (count("events", "event_date = DATE '2020-12-02'"), count("items", "event_date = DATE '2020-12-02'"),
+            count("param_inventory", "event_date = DATE '2020-12-02'")) == (1, 0, 0)
+    extract(nested.where("false"), out, day, day)
+    assert {n: count(n) for n in others} == others
+    (tmp_path / "calendar.csv").write_text("date,label\n")
+    (tmp_path / "trading_windows.csv").write_text("window_name,start_date,end_date,role\n")
+    extract(bare, f"{out}/bare")
+    bare_items = nested.limit(0)
+    extract(bare_items, f"{out}/none")
+    assert tables.read_or_empty(spark, f"{out}/bare/param_inventory", INVENTORY, "parameter inventory").count() == 0
 
 
 def test_missing_inputs_raise(spark, tmp_path):

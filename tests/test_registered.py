@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as registered
 from conftest import SF
 
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+QUERIES = {name: query for name, query in registered.queries().items() if name in registered.QUERIES}
+SQL = {name: sql for name, sql in registered.oracle_sql().items() if name in QUERIES}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

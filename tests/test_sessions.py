@@ -71,3 +71,12 @@ def test_mix_is_limited_to_the_largest_groups(spark):
     df = spark.createDataFrame([(c,) for c in "aaaabbbccddeefg"], "country string")
     rows = sessions.mix(df, "country").collect()
     assert [r.group for r in rows] == ["a", "b", "c", "d", "e"] and rows[0].share == 4 / 15
+
+
+def test_events_without_a_time_do_not_name_the_first_touch(make_events):
+    events = make_events([("u", 1, 0, "page_view", dict(country="XX", event_ts=None, device_category="tablet")),
+                          ("u", 1, 9, "page_view", dict(country="FR", device_category=None)),
+                          ("v", 2, 0, "page_view", dict(country="DE", event_ts=None))])
+    table = sessions.sessions(events, orders.purchases(events))
+    got = {r.user_pseudo_id: (r.country, r.device_category, r.session_date, r.start_ts) for r in table.collect()}
+    assert got["u"][:2] == ("FR", None) and got["u"][2] is not None and got["v"] == (None, None, None, None)

@@ -1,3 +1,5 @@
+import os
+
 import __spark_entry__ as registered
 from shoptrail.plans.stages import Stages
 
@@ -9,11 +11,23 @@ def test_stage_tables_live_below_the_configured_folder_and_cut_the_plan(spark):
     assert kept.first()[0] == 10 and "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_an_earlier_copy_stays_readable(spark):
+def test_a_name_is_stored_once_and_close_leaves_nothing(spark):
     stages = Stages(spark)
     first = stages.keep(spark.range(3), "t")
-    second = stages.keep(spark.range(5), "t")
-    assert (first.count(), second.count()) == (3, 5)
+    assert stages.keep(spark.range(5), "t") is first and stages.keep(spark.range(7), "u").count() == 7
+    assert sorted(os.listdir(stages.root)) == ["t", "u"]
+    stages.close()
+    assert not os.path.exists(stages.root)
+    assert stages.keep(spark.range(2), "t").count() == 2
+    stages.close()
+
+
+def test_a_query_built_twice_writes_one_stage(spark):
+    ws = registered.workspace(spark, "/root/testdata/sf0.001")
+    registered.queries()["sessions"](spark, "/root/testdata/sf0.001")
+    before = sorted(os.listdir(ws.stages.root))
+    registered.queries()["sessions"](spark, "/root/testdata/sf0.001")
+    assert sorted(os.listdir(ws.stages.root)) == before
 
 
 def test_a_cluster_without_a_folder_persists_instead(spark):
@@ -21,7 +35,8 @@ def test_a_cluster_without_a_folder_persists_instead(spark):
     stages.root = None
     kept = stages.keep(spark.range(3), "t")
     assert kept.is_cached and kept.count() == 3
-    kept.unpersist()
+    stages.close()
+    assert not kept.is_cached
 
 
 def test_queries_built_before_any_runs(spark):

@@ -5,6 +5,7 @@ import pytest
 
 from shoptrail.functions import stats
 from shoptrail.functions.skew import exact_median
+from shoptrail.plans.stages import Stages
 from pyspark.sql import functions as F
 
 
@@ -65,18 +66,18 @@ def test_sample_size_textbook(spark):
 STRATA = "n1 long, x1 long, n0 long, x0 long"
 
 
-def test_standardisation_removes_a_pure_mix_effect(spark):
-    df = spark.createDataFrame([(100, 10, 900, 90), (900, 450, 100, 50)], STRATA)
+def test_equal_rates_in_every_stratum_leave_no_difference(spark):
+    df = spark.createDataFrame([(40, 8, 360, 72), (160, 96, 20, 12), (25, 5, 75, 15)], STRATA)
     a = df.agg(stats.standardised_difference("n1", "x1", "n0", "x0").alias("a")).first().a
-    assert abs(a["diff"]) < 1e-12 and a.coverage == 1.0 and (a.strata_used, a.strata_total) == (2, 2)
-    totals = spark.createDataFrame([(1000, 460, 1000, 140)], STRATA)
-    assert math.isclose(one(stats.with_two_proportions(totals, "t", "x1", "n1", "x0", "n0"), "t")["diff"], 0.32)
+    assert abs(a["diff"]) < 1e-12 and a.coverage == 1.0 and (a.strata_used, a.strata_total) == (3, 3)
+    pooled = spark.createDataFrame([(225, 109, 455, 99)], STRATA)
+    assert math.isclose(one(stats.with_two_proportions(pooled, "t", "x1", "n1", "x0", "n0"), "t")["diff"], 109 / 225 - 99 / 455)
 
 
-def test_standardisation_reports_strata_it_cannot_compare(spark):
-    df = spark.createDataFrame([(100, 10, 100, 10), (50, 5, 0, 0)], STRATA)
+def test_one_sided_strata_are_left_out_and_counted(spark):
+    df = spark.createDataFrame([(30, 6, 70, 7), (20, 9, 0, 0), (0, 0, 15, 3)], STRATA)
     a = df.agg(stats.standardised_difference("n1", "x1", "n0", "x0").alias("a")).first().a
-    assert math.isclose(a.coverage, 100 / 150) and a.strata_used == 1 and a.strata_total == 2
+    assert math.isclose(a.coverage, 0.6) and (a.strata_used, a.strata_total) == (1, 3) and math.isclose(a["diff"], 0.1)
 
 
 def test_standardisation_without_any_comparable_stratum(spark):
@@ -95,11 +96,25 @@ def test_exact_median_equals_a_full_sort(spark, seed):
     if seed == 3:
         values[:150] = 0.0
     df = spark.createDataFrame([(float(v), int(w)) for v, w in zip(values, weights)] + [(None, 3)], "v double, w long")
-    got = exact_median(df, F.col("v"), F.col("w"), "m").first().m
+    got = exact_median(df, F.col("v"), F.col("w"), "m", Stages(spark).keep).first().m
     assert math.isclose(got, float(np.median(np.repeat(values, weights))))
 
 
 def test_exact_median_between_distant_values_and_of_nothing(spark):
     df = spark.createDataFrame([(0.001, 1), (1000.0, 1)], "v double, w long")
-    assert math.isclose(exact_median(df, F.col("v"), F.col("w"), "m").first().m, 500.0005)
-    assert exact_median(df.where("false"), F.col("v"), F.col("w"), "m").first().m is None
+    assert math.isclose(exact_median(df, F.col("v"), F.col("w"), "m", Stages(spark).keep).first().m, 500.0005)
+    assert exact_median(df.where("false"), F.col("v"), F.col("w"), "m", Stages(spark).keep).first().m is None
+
+
+def test_a_million_gaps_at_one_ratio_are_spread(spark):
+    """Distinct values within a millionth of each other: no range, and so no task of the last step, holds many of them."""
+    df = spark.range(1_000_000).selectExpr("0.2D + id / 1e12D AS v", "1L AS w")
+    kept = {}
+
+    def keep(table, name):
+        kept[name] = Stages(spark).keep(table, name)
+        return kept[name]
+    got = exact_median(df, F.col("v"), F.col("w"), "m", keep, ranges=100)
+    assert math.isclose(got.first().m, 0.2 + 499_999.5 / 1e12, rel_tol=1e-15)
+    sizes = [r["count"] for r in kept["median_values"].groupBy("part").count().collect()]
+    assert sum(sizes) == 1_000_000 and max(sizes) < 30_000

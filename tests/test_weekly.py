@@ -109,6 +109,15 @@ def test_windows_leave_out_held_days_and_blank_untracked_checkout(spark):
     assert empty.days == 0 and empty.conversion is None and empty.sessions_per_day is None and empty.revenue_per_order is None
 
 
+def test_a_window_that_is_configured_twice_is_two_rows(spark):
+    d = daily(spark, [{}, dict(purchasing_sessions=10)])
+    _, g = gate(d)
+    start = spark.createDataFrame([(MONDAY,)], "start date")
+    once = kpis.compare_windows(d, spark.createDataFrame(WINDOWS, SCHEMA), g, start).collect()
+    twice = kpis.compare_windows(d, spark.createDataFrame(WINDOWS + WINDOWS, SCHEMA), g, start).collect()
+    assert sorted(map(str, twice)) == sorted(map(str, once + once))
+
+
 def test_a_missing_baseline_is_a_clear_error(spark):
     d = daily(spark, [{}])
     _, g = gate(d)
