@@ -87,7 +87,7 @@ STEP_ROWS = """('view','page_view',0,99,0),('view','view_item',0,99,1),
 CTES: dict[str, str] = {}
 
 CTES["src"] = """
- SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY day) AS session_number,
+ SELECT *, dense_rank() OVER (PARTITION BY user_id, user_id % 7 = 3 AND day >= DATE '2024-01-22' ORDER BY day) AS session_number,
         row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS nth_of_day
  FROM (SELECT event_id, user_id, event_type, value, ts, CAST(ts AS DATE) AS day,
               CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)"""
@@ -111,18 +111,18 @@ CTES["shaped"] = """
 
 CTES["ev"] = """
  SELECT day AS event_date, ts + to_seconds(after) AS event_ts, event_name, CAST(user_id AS VARCHAR) AS user_pseudo_id,
-  CASE WHEN event_type = 'view' AND k = 97 THEN NULL ELSE CAST(day - DATE '2024-01-01' + 1 AS BIGINT) END AS ga_session_id,
+  CASE WHEN event_type = 'view' AND k = 97 THEN NULL ELSE CAST(CAST(ts - INTERVAL 30 MINUTE AS DATE) - DATE '2024-01-01' + 1 AS BIGINT) END AS ga_session_id,
   session_number AS ga_session_number,
   CASE WHEN event_name = 'page_view' AND k % 50 <> 7 THEN 'https://shop.example/p/' || k END AS page_location,
   CASE WHEN event_name = 'page_view' AND k % 12 <> 0 THEN 'Page ' || k END AS page_title,
   CASE WHEN event_name <> 'view_search_results' OR k % 40 = 5 THEN NULL WHEN k % 10 = 0 THEN '<Other>' ELSE 'term ' || k END AS search_term,
   CASE WHEN event_name = 'user_engagement' THEN 1000 * (k + 1) END AS engagement_time_msec,
   CASE WHEN k % 5 = 0 THEN '0' ELSE '1' END AS session_engaged,
-  CASE WHEN event_name = 'session_start' THEN NULL WHEN dv < 11 THEN 'desktop' WHEN dv < 19 THEN 'mobile' ELSE 'tablet' END AS device_category,
+  CASE WHEN event_name = 'session_start' OR user_id % 97 = 5 THEN NULL WHEN dv < 11 THEN 'desktop' WHEN dv < 19 THEN 'mobile' ELSE 'tablet' END AS device_category,
   n_name AS country,
   CASE WHEN m < 4 THEN 'organic' WHEN m < 6 THEN '(none)' WHEN m < 8 THEN 'referral' WHEN m = 8 THEN 'cpc' ELSE '<Other>' END AS first_medium,
   CASE WHEN m < 4 OR m = 8 THEN 'google' WHEN m < 6 THEN '(direct)' WHEN m < 8 THEN 'partner.example' ELSE '<Other>' END AS first_source,
-  CASE WHEN event_name <> 'purchase' OR lost OR k = 1 THEN NULL WHEN k = 2 THEN '(not set)' WHEN k = 3 THEN ''
+  CASE WHEN event_name <> 'purchase' OR lost OR k = 1 THEN NULL WHEN k = 2 THEN '(not set)' WHEN k = 3 THEN '' WHEN k = 20 THEN 'shared'
        ELSE CAST(event_id AS VARCHAR) END AS transaction_id,
   CASE WHEN event_name = 'purchase' THEN CASE WHEN lost OR k = 3 THEN 0.0 ELSE value END END AS purchase_revenue_usd,
   CAST(n_items AS BIGINT) AS n_items, CAST(n_items AS BIGINT) AS item_quantity, k
@@ -141,6 +141,7 @@ CTES["inv"] = """
   UNION ALL SELECT event_name, 'ga_session_number', CAST(ga_session_number AS VARCHAR) FROM ev
   UNION ALL SELECT event_name, 'page_location', page_location FROM ev WHERE page_location IS NOT NULL
   UNION ALL SELECT event_name, 'page_title', page_title FROM ev WHERE page_title IS NOT NULL
+  UNION ALL SELECT event_name, 'page_title', 'again' FROM ev WHERE event_name = 'page_view' AND k = 13
   UNION ALL SELECT event_name, 'search_term', search_term FROM ev WHERE event_name = 'view_search_results'
   UNION ALL SELECT event_name, 'engagement_time_msec', CAST(engagement_time_msec AS VARCHAR) FROM ev WHERE event_name = 'user_engagement'
   UNION ALL SELECT event_name, 'session_engaged', session_engaged FROM ev)
@@ -477,6 +478,7 @@ CTES["wr"] = f"""
 _rlo, _rhi = wilson("x1", "n1")
 
 QUERIES: dict[str, str] = {
+    "repeated_params": f"SELECT event_name, {big("count_if(event_name = 'page_view' AND k = 13)")} AS n_events_with_repeated_keys FROM ev GROUP BY 1",
     "flatten_events": pick("ev", EVENT_COLS, "purchase_revenue_usd"),
     "flatten_items": pick("it", "event_date event_ts event_name user_pseudo_id ga_session_id item_id item_name item_category quantity",
                           "price_usd item_revenue_usd"),

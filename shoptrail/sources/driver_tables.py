@@ -13,6 +13,13 @@ from ..contract import CALENDAR, TRADING_WINDOWS
 FIRST_DAY = dt.date(2024, 1, 1)
 ONSET = dt.date(2024, 1, 5)
 INCIDENT = (dt.date(2024, 1, 15), dt.date(2024, 1, 21))
+# Users that appear as new visitors again from this day on (their cookie was cleared), and the users concerned.
+CLEARED, CLEARED_USERS = dt.date(2024, 1, 22), "user_id % 7 = 3"
+# Minutes after midnight that still belong to the session of the day before.
+LATE = 30
+# Users whose device is never reported, the k of purchases that all carry one order ID, the k of page views that carry one
+# parameter key twice.
+NO_DEVICE, SHARED_ORDER, REPEATED_KEY = "user_id % 97 = 5", 20, 13
 
 # event_type, event_name, k from, k to, seconds after the source event
 EXPANSION = (
@@ -75,8 +82,9 @@ def _user_days(source: DataFrame) -> DataFrame:
     """One row per user and day: the first event of the day and the running number of the day for that user."""
     first = F.min(F.struct("ts", "event_id", "event_type", "k", "value")).alias("first")
     # A user has at most one row per calendar day here, so the window never holds more than the days of the data.
-    return (source.groupBy("user_id", "day").agg(first)
-            .withColumn("session_number", F.row_number().over(Window.partitionBy("user_id").orderBy("day")).cast("long")))
+    cleared = F.expr(CLEARED_USERS) & (F.col("day") >= F.lit(CLEARED))
+    return (source.groupBy("user_id", "day").agg(first).withColumn("cleared", cleared)
+            .withColumn("session_number", F.row_number().over(Window.partitionBy("user_id", "cleared").orderBy("day")).cast("long")))
 
 
 def _micros(ts: Column) -> Column:
@@ -109,13 +117,13 @@ def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, m = F.pmod(user, F.lit(20)), F.pmod(user + F.floor(user / 20), F.lit(10))
     incident = F.col("day").between(F.lit(INCIDENT[0]), F.lit(INCIDENT[1])) & (k < 12)
     session = F.when((F.col("event_type") == "view") & (k == 97), F.lit(None)).otherwise(
-        F.datediff("day", F.lit(FIRST_DAY)) + 1).cast("long")
+        F.datediff((F.col("ts") - F.expr(f"INTERVAL {LATE} MINUTES")).cast("date"), F.lit(FIRST_DAY)) + 1).cast("long")
     lists_items = name.isin("view_item", "add_to_cart", "begin_checkout", "purchase")
     n_items = F.when(lists_items, F.when(k == 9, 0).when((name == "add_to_cart") & (k >= 92), 9)
                      .otherwise(1 + F.pmod(k, F.lit(4)))).cast("int")
     revenue = F.when(name == "purchase", F.when(incident | (k == 3), 0.0).otherwise(F.col("value")))
     order_id = F.when(name == "purchase", F.when(incident | (k == 1), F.lit(None)).when(k == 2, "(not set)")
-                      .when(k == 3, "").otherwise(F.col("event_id").cast("string")))
+                      .when(k == 3, "").when(k == SHARED_ORDER, "shared").otherwise(F.col("event_id").cast("string")))
     line_revenue = revenue / n_items * F.when(F.pmod(k, F.lit(10)) == 6, 1.2).otherwise(1.0)
 
     def entry(key: str, present: Column, text: Column | None = None, number: Column | None = None) -> Column:
@@ -138,6 +146,7 @@ def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
               text=F.concat(F.lit("https://shop.example/p/"), k.cast("string"))),
         entry("page_title", (name == "page_view") & (F.pmod(k, F.lit(12)) != 0),
               text=F.concat(F.lit("Page "), k.cast("string"))),
+        entry("page_title", (name == "page_view") & (k == REPEATED_KEY), text=F.lit("Page again")),
         entry("search_term", name == "view_search_results", text=term),
         entry("engagement_time_msec", name == "user_engagement", number=1000 * (k + 1)),
         entry("session_engaged", F.lit(True), text=F.when(odd, engaged.cast("string")),
@@ -152,7 +161,7 @@ def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("day", "yyyyMMdd").alias("event_date"),
         (_micros(F.col("ts")) + F.col("after") * 1_000_000).alias("event_timestamp"),
         "event_name", user.cast("string").alias("user_pseudo_id"), params.alias("event_params"),
-        F.struct(F.when(name != "session_start", F.when(d < 11, "desktop").when(d < 19, "mobile").otherwise("tablet"))
+        F.struct(F.when((name != "session_start") & ~F.expr(NO_DEVICE), F.when(d < 11, "desktop").when(d < 19, "mobile").otherwise("tablet"))
                  .alias("category")).alias("device"),
         F.struct("country").alias("geo"),
         F.struct(

@@ -48,7 +48,7 @@ def test_results_document(spark, outputs):
     doc = json.loads(text)
     assert {"overview", "window", "window_overview", "orders", "revenue_gap", "held_weeks", "audit", "funnel_overall", "biggest_drop",
             "search", "follow_up", "checkout", "windows", "segments"} <= set(doc)
-    assert doc["overview"]["totals"]["sessions"] == 397 and len(doc["audit"]) == 14 and len(doc["segments"]) == 9
+    assert doc["overview"]["totals"]["sessions"] == 401 and len(doc["audit"]) == 14 and len(doc["segments"]) == 9
     assert doc["held_weeks"] == [{"week": "2024-W03"}] and doc["window"]["start"] == "2024-01-05"
     baseline = next(w for w in doc["windows"] if w["role"] == "baseline")
     assert baseline["checkout_completion"] is None

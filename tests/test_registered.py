@@ -39,13 +39,13 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_entry(spark):
-    assert registered.entry(spark).count() == 63
+    assert registered.entry(spark).count() == 77
 
 
 def test_anchors_of_the_mapping(ws):
     """Counts published with the mapping for this scale."""
-    assert ws.sessions.count() == 397
+    assert ws.sessions.count() == 401
     flags = ["f_view_item", "f_add_to_cart", "f_checkout", "f_shipping", "f_payment", "f_purchase", "has_purchase"]
-    assert [ws.sessions.where(f).count() for f in flags] == [297, 172, 102, 102, 56, 38, 42]
+    assert [ws.sessions.where(f).count() for f in flags] == [298, 172, 102, 102, 56, 38, 42]
     assert ws.sessions.where("has_purchase AND NOT has_begin_checkout").count() == 1
-    assert [ws.sessions.where(c).count() for c in ("n_session_start = 0", "n_session_start > 1", "device_category IS NULL")] == [4, 2, 0]
+    assert [ws.sessions.where(c).count() for c in ("n_session_start = 0", "n_session_start > 1", "device_category IS NULL")] == [15, 9, 24]
