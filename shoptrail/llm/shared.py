@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 DIR = "spark.checkpoint.dir"
+_MADE: list[str] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -19,7 +20,15 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError(f"{DIR} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set(DIR, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes every folder that this process made; frames that read them can then no longer be used."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
