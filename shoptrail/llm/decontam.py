@@ -89,7 +89,8 @@ def template(text: str, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, list
     """(hashes, 0 for an unknown word; whether each is a placeholder; tokens) of a text without sentence ends."""
     tokens = TOKEN.findall(text)
     get = known.place.get
-    at = np.array([get(t) or other(t) for t in tokens], np.int32)
+    # most unknown words begin with a small letter, and are neither number nor name
+    at = np.array([get(t) or (0 if "a" <= t[0] <= "z" else other(t)) for t in tokens], np.int32)
     if not len(at):
         return np.empty(0, np.uint64), np.empty(0, bool), []
     end = at == END
@@ -119,7 +120,9 @@ def windows(text: str | None, known: Vocabulary, sizes: list[int], wanted: np.nd
         for k in range(n):
             total += h[good + k] * STEPS[k]
         if wanted is not None:
-            found = np.isin(total, wanted)
+            near = np.searchsorted(wanted, total)
+            near[near == len(wanted)] = 0
+            found = wanted[near] == total if len(wanted) else np.zeros(len(total), bool)
             good, total = good[found], total[found]
         for i, w in zip(good.tolist(), total.view(np.int64).tolist()):
             yield i, w, [kind[int(h[j])] + tokens[j] for j in range(i, i + n) if slot[j]] if slots[i + n] > slots[i] else []
