@@ -7,8 +7,8 @@ more for each further part. A context value of at least `hard` is a secret of ki
 Base kinds: 'assign' (span of the whole match), 'access', 'hex'; ASCII letters only, in either case where said; matches
 are leftmost and do not overlap within a kind, and those that fail the length test are dropped.
 
-Defined cases: a null or empty text has no spans; repeated rows are repeated results; spans count code points. A value
-longer than `LONGEST` is certainly hard (brute force of its shortest distinct part is), and is not cut further.
+Defined cases: a null or empty text has no spans; repeated rows are repeated results; spans count code points. Values
+are taken whole, however long: a start that costs no less than the whole value, or than ENOUGH, is not followed further.
 """
 from __future__ import annotations
 
@@ -51,8 +51,9 @@ BESIDE |= {(a, b) for up, down in zip(ROWS, ROWS[1:]) for x, y in zip(up, down)
 DATE = re.compile(r"(?:19|20)[0-9]{2}(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12][0-9]|3[01]))?)?"
                   r"|(?:0[1-9]|[12][0-9]|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?[0-9]{2}")
 PLACEHOLDER = re.compile(r"(?:\$\{?|%|<|\{|\*{3}|x{6}|\.{3})", re.I)
-LONGEST = 256
-HARD = 10.0  # ten thousand million guesses
+HARD = 10.0    # ten thousand million guesses
+ENOUGH = 30.0  # higher costs are not told apart
+SPAN, UNIT = 64, 8  # characters of a brute-force span or a walk, and of a unit that repeats, at most
 
 
 def _pool(c: str) -> float:
@@ -64,23 +65,30 @@ def _pool(c: str) -> float:
 
 @lru_cache(1 << 14)
 def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of value needs; 0 for an empty one."""
-    value = value[:LONGEST]
+    """log10 of the guesses that the cheapest segmentation of value needs, or ENOUGH if that is less; 0 for an empty one."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    parts = 1.0  # log10 factor of ten for every part after the first
+    brute, ends = [0.0], list(range(1, n + 1))  # cost of all characters so far; where a keyboard walk from here ends
+    for c in value:
+        brute.append(brute[-1] + _pool(c))
+    for a in range(n - 2, -1, -1):
+        if (low[a], low[a + 1]) in BESIDE:
+            ends[a] = ends[a + 1]
+    repeats = {}  # unit -> how often the unit from here on stands in a row
+    for unit in range(1, min(UNIT, n // 2) + 1):
+        times = repeats[unit] = [1] * (n + 1)
+        for a in range(n - 2 * unit, -1, -1):
+            if value[a:a + unit] == value[a + unit:a + 2 * unit]:
+                times[a] = times[a + unit] + 1
 
     def offer(a: int, b: int, cost: float) -> None:
-        total = best[a] + cost + (parts if a else 0)
-        if total < best[b] - 1e-12:
-            best[b] = total
+        best[b] = min(best[b], best[a] + cost + (1.0 if a else 0.0))  # ten times as many guesses for a further part
 
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + _pool(c))
     for a in range(n):
-        for b in range(a + 1, n + 1):  # brute force
+        if best[a] >= min(best[n], ENOUGH):  # costs only grow: no cheaper way leads through here
+            continue
+        for b in range(a + 1, min(n, a + SPAN) + 1):  # brute force
             offer(a, b, brute[b] - brute[a] + 0.3)
         for size in range(3, min(MOST_WORD, n - a) + 1):  # words, with capitals or letters exchanged
             word = low[a:a + size]
@@ -91,21 +99,16 @@ def guess_cost(value: str) -> float:
                 offer(a, a + size, cost + (0.3 if word != value[a:a + size] else 0))
         if m := DATE.match(value, a):
             offer(a, m.end(), math.log10(365 * 120) if m.end() - a > 4 else math.log10(120))
-        b = a + 1  # keyboard walks
-        turns, last = 0, None
-        while b < n and (low[b - 1], low[b]) in BESIDE:
-            step = ord(low[b]) - ord(low[b - 1])
-            turns, last = turns + (last is not None and (step > 0) != (last > 0)), step
-            b += 1
+        turns, last = 0, None  # keyboard walks
+        for b in range(a + 2, min(ends[a], a + SPAN) + 1):
+            step = ord(low[b - 1]) > ord(low[b - 2])
+            turns, last = turns + (last is not None and step != last), step
             if b - a >= 3:
                 offer(a, b, math.log10(48 * (b - a)) + 0.6 * turns)
-        for unit in range(1, min(8, (n - a) // 2) + 1):  # repeats of a short unit
-            k = 1
-            while value.startswith(value[a:a + unit], a + unit * k):
-                k += 1
-            if k > 1:
-                offer(a, a + unit * k, brute[a + unit] - brute[a] + math.log10(k) + 0.3)
-    return best[n]
+        for unit, times in repeats.items():  # repeats of a short unit
+            if times[a] > 1:
+                offer(a, a + unit * times[a], brute[a + unit] - brute[a] + math.log10(times[a]) + 0.3)
+    return min(best[n], ENOUGH)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
