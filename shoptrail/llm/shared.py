@@ -41,9 +41,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+#: Rows of whole texts that Spark hands to Python at once; its own default is meant for narrow rows.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the package to the Python workers of an application, once."""
+    """Gives the package to the Python workers of an application, once, and keeps batches of texts small in this session."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId not in _SHIPPED:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         into = tempfile.mkdtemp(prefix="ship-")  # the driver's own; Spark sends the file to the executors

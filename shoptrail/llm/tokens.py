@@ -11,7 +11,7 @@ import os
 import re
 from array import array
 
-HELD = 900_000  # pieces that a process keeps; others are encoded whenever they come
+HELD = 300_000  # pieces that a process keeps; others are encoded whenever they come
 
 #: White space other than space and line end, as Python sees it, and marks that end many words.
 ODD_SPACE = re.compile(r"[^\S \n]")
