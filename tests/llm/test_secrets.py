@@ -23,7 +23,7 @@ def test_query_equals_brute_force(spark):
     at = SF.replace("sf0.001", "sf0.01")
     docs = dict(duckdb.connect().execute(f"SELECT doc_id, coalesce(text, '') FROM '{at}/documents.parquet'").fetchall())
     got = secrets.op7(spark, at).collect()
-    assert len(got) == len(docs) and all(sum(r[k] for r in got) for k in ("n_assign", "n_access", "n_hex"))
+    assert len(got) == len(docs) and any(r.spans for r in got)
     for r in got:
         want = base(docs[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
