@@ -99,8 +99,9 @@ def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         EXPANSION, "event_type string, event_name string, lo long, hi long, after long"))
     hits = (source.join(steps, "event_type").where("k BETWEEN lo AND hi").drop("lo", "hi")
             .where((F.col("event_name") != "add_payment_info") | (F.col("day") >= F.lit(ONSET))))
-    # A plain equality join: adaptive execution broadcasts a small side and splits a hot (user, day) over tasks.
-    hits = hits.join(user_days.select("user_id", "day", "session_number"), ["user_id", "day"], "left")
+    # A sort-merge join, whatever the sizes: it deals the events out by user and day, however few files they come in, and
+    # adaptive execution splits a hot (user, day) over tasks.
+    hits = hits.join(user_days.select("user_id", "day", "session_number").hint("merge"), ["user_id", "day"], "left")
     starts = (user_days.where("first.k NOT IN (33, 66)")
               .select("user_id", "day", "session_number", "first.*",
                       F.explode(F.when(F.col("first.k") == 50, F.expr("array(-1L, -2L)"))
