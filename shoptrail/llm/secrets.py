@@ -29,11 +29,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Words before a value that say it is a credential, and URLs with one.
+#: Words before a value that say it is a credential, also as part of a longer name, and URLs with one.
+NAME = (r"""(?:password|passwd|secret|token|api[_-]?key|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|credentials?|auth"""
+        r"""|authorization|bearer|signature|private[_-]?key|access[_-]?key))(?:[_-][A-Za-z0-9]{1,64}+){0,8}+""")
+VALUE = r"""(?:(?![&,;](?:[\s"']|$|[A-Za-z_][A-Za-z0-9_]*["']?[=:]))[^\s"'<>]){6,}"""  # up to the next name or the end of a clause
 CONTEXT = re.compile(
-    r"""(?:\b(?:pwd|pass|passphrase|passcode|pin|credentials?|auth|authorization|bearer|signature|private_?key|access_?key"""
-    r"""|client_?secret|(?:db|user|admin|root)_?pass(?:word)?)\b["']?\x20*[:=]\x20*["']?|\bbearer\x20+|://[A-Za-z0-9._-]+:)"""
-    r"""([^\s"'<>@,;]{6,})""", re.I | re.A)
+    rf"""(?:{NAME}["']?\x20*[:=]\x20*(?:(?:bearer|basic|digest|token)\x20+)?|(?<![A-Za-z0-9])bearer\x20+)"""
+    rf"""(?:"(?P<double>[^"\s]{{6,}})"|'(?P<single>[^'\s]{{6,}})'|["']?(?P<bare>{VALUE}))"""
+    r"""|://[A-Za-z0-9._-]+:(?P<url>[^\s"'<>@,;]{6,})""", re.I | re.A)
 
 #: Frequent words of passwords and credentials, most frequent first.
 WORDS = """password the secret token admin user login pass key test qwerty welcome monkey dragon master hello love money
@@ -50,7 +53,10 @@ BESIDE = {(a, b) for row in ROWS for x, y in zip(row, row[1:]) for a, b in ((x,
 BESIDE |= {(a, b) for up, down in zip(ROWS, ROWS[1:]) for x, y in zip(up, down) for a, b in ((x, y), (y, x))}
 DATE = re.compile(r"(?:19|20)[0-9]{2}(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12][0-9]|3[01]))?)?"
                   r"|(?:0[1-9]|[12][0-9]|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?[0-9]{2}")
-PLACEHOLDER = re.compile(r"(?:\$\{?|%|<|\{|\*{3}|x{6}|\.{3})", re.I)
+MARK = re.compile(r"\[(?:ASSIGN|ACCESS|HEX|GUESS)\]")  # what redaction leaves
+#: Values that are placeholders as a whole.
+PLACEHOLDER = re.compile(r"\$?\{+[^{}]*\}+|%[A-Z0-9_]+%|<[^<>]*>|\*+|x+|\.+", re.I | re.A)
+LONGEST = 80   # characters before the end of a value in which the name of another one may stand
 HARD = 10.0    # ten thousand million guesses
 ENOUGH = 30.0  # higher costs are not told apart
 SPAN, UNIT = 64, 8  # characters of a brute-force span or a walk, and of a unit that repeats, at most
@@ -122,15 +128,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of whole values in credential contexts that are no placeholders."""
+    if "=" not in text and ":" not in text and "earer" not in text and "EARER" not in text:
+        return
+    at = 0
+    while m := CONTEXT.search(text, at):
+        value, start, end = m[m.lastgroup], m.start(m.lastgroup), m.end(m.lastgroup)
+        if not PLACEHOLDER.fullmatch(value):
+            yield start, end
+        at = max(start, end - LONGEST) if value[-1] in ":=" else end  # it may be the name of a credential itself
+
+
 def guess_spans(text: str, hard: float = HARD) -> list[tuple[int, int, int]]:
     """(start, kind, end) of values in credential contexts that need at least 10 ** hard guesses."""
-    if "=" not in text and ":" not in text and "earer" not in text and "EARER" not in text:
-        return []
-    out = []
-    for m in CONTEXT.finditer(text):
-        value = m[1]
-        if not PLACEHOLDER.match(value) and guess_cost(value) >= hard:
-            out.append((m.start(1), 3, m.end(1)))
+    out: list[tuple[int, int, int]] = []
+    for start, end in values(text):
+        if (not out or start >= out[-1][2]) and guess_cost(MARK.sub("", text[start:end])) >= hard:
+            out.append((start, 3, end))
     return out
 
 
@@ -173,7 +188,11 @@ def redact(text: Column) -> Column:
 
 def redacted(text: str) -> str:
     out, at, upto = [], 0, -1
-    for start, kind, end in sorted(base_spans(text) + guess_spans(text)):
+    whole = {}  # where the value that a base span cuts short ends
+    for start, end in values(text):
+        whole[start] = end
+    base = [(a, kind, max(b, whole.get(ASSIGN.match(text, a).start(2), b) if kind == 0 else b)) for a, kind, b in base_spans(text)]
+    for start, kind, end in sorted(base + guess_spans(text)):
         if start >= upto:
             out += [text[at:start], f"[{KINDS[kind].upper()}]"]
         at = upto = max(upto, end)

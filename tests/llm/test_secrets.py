@@ -100,3 +100,24 @@ def test_redaction_and_defined_cases(spark):
     s = {r.spans: r.s for r in docs.select("spans", secrets.scan(F.col("text")).alias("s")).collect()}
     assert s[1].base == s[2].base == "" and s[3].base == "assign:2:32,hex:8:32,access:35:55"
     assert secrets.redact_stage(spark, docs.limit(0), SF).count() == 0
+
+
+HIDDEN = ['password = "x!9fK2#pQz7Lw"', "token: $k9!fQ2pLz7", "secret_key: kJ8s7Df6gH5jK4l3", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPx",
+          "STRIPE_PRIVATE_KEY=kJ8s7Df6gH5jK4l3", "SMTP_PASS=kJ8s7Df6gH5", "password=Tr0ub4dor&3xYz9", "Authorization: Bearer kJ8s7Df6gH5jK4l3",
+          "auth: password: x!9fK2#pQ", "pwd=x!9fK2@pQz,7Lw", "pass=%9fK!2pQz7Lw", "password='ab@cd,Ef;12!x9'"]
+
+
+@pytest.mark.parametrize("text", HIDDEN)
+def test_whole_values_of_common_contexts(text):
+    """The value is one span up to its end, and nothing of it is left."""
+    value = re.split(r"[=:] ?(?:Bearer )?", text)[-1].strip("\"'")
+    assert [text[a:b] for a, _, b in secrets.guess_spans(text)] == [value]
+    left = secrets.redacted(f"a {text} b")
+    assert not any(value[i:i + 3] in left for i in range(len(value) - 2)) and secrets.redacted(left) == left
+
+
+def test_placeholders_and_ends_of_values():
+    text = "pass=${X_VALUE_A} pass=%PASS_WORD% token={secret_name} pwd=******** pwd=xxxxxxxxxx password=<mypassword> compass: qpwoeiruty1x"
+    assert secrets.guess_spans(text) == []
+    assert secrets.redacted("u?token=kJ8s7Df6gH5jK4l3&user=bobby") == "u?[ASSIGN]&user=bobby"
+    assert secrets.redacted("password=abcdef&1 b") == "[ASSIGN] b"
