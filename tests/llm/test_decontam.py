@@ -101,3 +101,12 @@ def test_planted_passages_are_found(spark, rows):
     held = {(d, i) for i, b in rows("SELECT item_id, text FROM '@benchmark.parquet'") for d, t in docs if b in (t or "")}
     got = {(r.doc_id, r.item_id) for r in decontam.op1(spark, SF).collect()}
     assert held and held <= got
+
+
+def test_a_sentence_may_begin_elsewhere(spark):
+    """A copy is found where its first word does not begin a sentence any more, and names that begin one are exchanged too."""
+    items = [(1, "What is the capital of France?"), (2, "Tom has 5 apples. Ann has 7 apples. How many apples do they have in total?")]
+    docs = [(1, "Question: What is the capital of France?"), (2, "Sam has 5 apples. Eve has 7 apples. How many apples do they have in total?"),
+            (3, "Paris is the capital of France."), (4, "Q: Tom has 9 apples. Ann has 3 apples. How many apples do they have in total?")]
+    got = pairs(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (4, 2)} and got[1, 1].literal and not got[2, 2].literal
