@@ -169,6 +169,19 @@ def windows(text: str | None, known: Vocabulary, sizes: list[int], wanted: np.nd
         light = light[those(at[light], total[light])]
         for i, w, x, plain_ in zip(at[light].tolist(), total[light].view(np.int64).tolist(), turned[light].tolist(), (turned == strict)[light].tolist()):
             yield i, w, [t.kind[j] + t.tokens[j] for j in range(i, i + n) if slot[j] and not x >> (j - i) & 1], plain_
+        # mainly placeholders, but not figures alone: these match with the same values only
+        heavy = heavy[figures[heavy + n] - figures[heavy] < n]
+        if len(heavy):
+            if literal is None:
+                literal = t.free.copy()
+                for j in np.flatnonzero(slot).tolist():
+                    literal[j] = xxhash.xxh64_intdigest((plain(t.tokens[j]) if t.kind[j] == "@" else t.kind[j] + t.tokens[j]).encode())
+            total = np.full(len(heavy), LITERAL + n, np.uint64)
+            for k in range(n):
+                total += literal[heavy + k] * STEPS[k]
+            found = those(heavy, total)
+            for i, w in zip(heavy[found].tolist(), total[found].view(np.int64).tolist()):
+                yield i, w, [], False
 
 
 def window_rows(docs: DataFrame, key: str, sizes: list[int], known: Vocabulary | None = None, wanted: np.ndarray | None = None,

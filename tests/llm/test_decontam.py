@@ -110,3 +110,11 @@ def test_a_sentence_may_begin_elsewhere(spark):
             (3, "Paris is the capital of France."), (4, "Q: Tom has 9 apples. Ann has 3 apples. How many apples do they have in total?")]
     got = pairs(spark, docs, items)
     assert set(got) == {(1, 1), (2, 2), (4, 2)} and got[1, 1].literal and not got[2, 2].literal
+
+
+def test_items_of_figures_and_names_are_found_as_literal_copies(spark):
+    items = [(1, "Compute 12 + 34 * 56 - 78"), (2, "From Lima to Oslo via Rome 12 km and 15 kg")]
+    docs = [(1, "It says: Compute 12 + 34 * 56 - 78 and no more"), (2, "Compute 1 + 2 * 3 - 4"), (3, "x. From Lima to Oslo via Rome 12 km and 15 kg"),
+            (4, "From Bonn to Kiel via Hamm 11 km and 16 kg")]
+    got = pairs(spark, docs, items)
+    assert {(1, 1), (3, 2)} <= set(got) and (2, 1) not in got and got[1, 1].literal
