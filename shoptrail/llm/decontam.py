@@ -223,9 +223,9 @@ def benchmark_windows(items: DataFrame) -> tuple[DataFrame, list[int]]:
     rows = made.select(F.col("doc").alias("item_id"), F.col("text_hash").alias("item_text"), F.col("pos").alias("item_pos"), "hash",
                        F.col("slots").alias("item_slots"), F.col("strict").alias("item_strict")).distinct()
     rows = stage(rows, "windows")
-    count = rows.groupBy("item_id").agg(F.count_distinct(F.when(F.col("item_strict"), F.struct("item_text", "item_pos"))).alias("n_strict"),
-                                                     F.count_distinct("item_text", "item_pos").alias("n_free"))
-    same = rows.item_id.eqNullSafe(count.item_id)
+    count = rows.groupBy("item_id", "item_text").agg(F.count_distinct(F.when(F.col("item_strict"), F.col("item_pos"))).alias("n_strict"),
+                                                     F.count_distinct("item_pos").alias("n_free"))
+    same = rows.item_id.eqNullSafe(count.item_id) & (rows.item_text == count.item_text)
     return rows.join(count, same).select(rows["*"], "n_strict", "n_free"), sizes
 
 
@@ -247,11 +247,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = window_rows(docs, "doc_id", sizes, known, wanted, True).join(bench, "hash")
     pairs = F.arrays_zip(F.col("slots").alias("own"), F.col("item_slots").alias("its"))
     layers = F.when(F.col("strict") & F.col("item_strict"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    item = ["doc", "text_hash", "item_id", "layer", "n_windows"]
+    item = ["doc", "text_hash", "item_id", "item_text", "layer", "n_windows"]
     diagonal = (hits.withColumn("pairs", pairs).withColumn("layer", F.explode(layers))
                 .withColumn("n_windows", F.when(F.col("layer") == 0, F.col("n_strict")).otherwise(F.col("n_free")))
                 .groupBy(*item, (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-                .agg(F.collect_set(F.struct("item_text", "item_pos")).alias("seen"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
+                .agg(F.collect_set("item_pos").alias("seen"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
     n = F.size("pairs")
     consistent = diagonal.filter((F.size(F.array_distinct("pairs.own")) == n) & (F.size(F.array_distinct("pairs.its")) == n))
     covered = F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).cast("long")
@@ -261,7 +261,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
              .withColumn("coverage", F.col("matched") / F.col("n_windows"))
              .filter((F.col("coverage") >= SHARE) | (F.col("longest") >= RUN)))
     figures = ["matched", "n_windows", "coverage", "longest", "literal"]
-    best = F.max_by(F.struct(*figures), F.struct(-F.col("layer"), "coverage", "longest", "matched", "literal")).alias("best")
+    best = F.max_by(F.struct(*figures), F.struct(-F.col("layer"), "coverage", "longest", "matched", "literal", "item_text")).alias("best")
     return (found.groupBy("doc", "text_hash", "item_id").agg(best)
             .select(F.col("doc").alias("doc_id"), "text_hash", "item_id", *(f"best.{c}" for c in figures)))
 

@@ -118,3 +118,9 @@ def test_items_of_figures_and_names_are_found_as_literal_copies(spark):
             (4, "From Bonn to Kiel via Hamm 11 km and 16 kg")]
     got = pairs(spark, docs, items)
     assert {(1, 1), (3, 2)} <= set(got) and (2, 1) not in got and got[1, 1].literal
+
+
+def test_texts_of_one_item_do_not_disturb_each_other(spark):
+    text = "if {} cats eat all of the fish then how many fish do {} dogs eat in the end"
+    got = pairs(spark, [(1, text.format(3, 5)), (2, text.format(4, 9)), (3, text.format(6, 6))], [(1, text.format(3, 5)), (1, text.format(4, 9))])
+    assert set(got) == {(1, 1), (2, 1)} and got[1, 1].literal and got[1, 1].coverage == 1.0
