@@ -4,10 +4,10 @@ Fingerprints: ASCII lower case, words between ASCII white space, shingles of k w
 words: all of them as one shingle), XXH64 with seed 42 of each; a bit of the fingerprint is 1 if it is set in over half
 of the hashes.
 
-Join: the distinct fingerprints are the leaves of a binary trie. Its top levels are cut into units, one for each prefix;
-a fingerprint goes home to its own unit, and as a guest to the units of smaller prefixes that differ in few enough bits.
-Within a unit the trie is traversed in pairs of nodes: each pair has the differing bits of its common depth, and is dropped
-as soon as they exceed the error budget. Two nodes whose leaves are known to be connected need not be compared either, so
+Join: the distinct fingerprints are the leaves of a binary trie. Its top levels are cut into units, one for each prefix (a
+longer one where a unit would hold too many); the unit of work is a pair of prefixes that differ in few enough bits, and
+holds the fingerprints of these two alone. There the trie is traversed in pairs of nodes: each pair has the differing bits
+of its common depth, and is dropped as soon as they exceed the error budget. Two nodes whose leaves are known to be connected need not be compared either, so
 a large group of copies does not cost its square; what a unit returns is a spanning forest of its links. Components are
 then joined over all units by star contraction.
 
@@ -31,6 +31,7 @@ from .shared import ship, stage
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 TOP = 6          # levels of the trie above the units
 UNIT = 1 << 18   # fingerprints that a unit's own part should hold on average
+DEEPER = 6       # levels by which a unit that holds more than UNIT may be split further
 CHUNK = 1 << 17  # pairs of nodes that are taken on at once
 
 
@@ -110,9 +111,10 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def near_forest(keys: np.ndarray, home: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def near_forest(keys: np.ndarray, home: np.ndarray, budget: int, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as (key, root) without roots, of the links of at most `budget` bits between sorted distinct keys;
-    home marks the keys of the unit itself, and links between two guests are left to their own units' joins."""
+    links between two keys that are not marked home are left out. Across: only links between the two halves that the
+    keys' first differing bit makes."""
     n = len(keys)
     label = np.arange(n)
     if n < 2:
@@ -123,7 +125,7 @@ def near_forest(keys: np.ndarray, home: np.ndarray, budget: int) -> tuple[np.nda
     marks = trie.marks(label)
     common = np.array([(1 << 64) - (1 << (64 - d)) for d in range(65)], np.uint64)  # the first d bits
     zero = np.zeros(1, np.int32)
-    todo: list[tuple[np.ndarray, np.ndarray]] = [(zero, zero)]
+    todo: list[tuple[np.ndarray, np.ndarray]] = [(trie.left[:1], trie.right[:1]) if across else (zero, zero)]
     found_a: list[np.ndarray] = []
     found_b: list[np.ndarray] = []
     waiting = 0
@@ -165,21 +167,63 @@ def near_forest(keys: np.ndarray, home: np.ndarray, budget: int) -> tuple[np.nda
     return keys[linked], keys[label[linked]]
 
 
+def prefixes(distinct: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, depths) of the units: all prefixes of `top` bits that occur, split further, by DEEPER levels at most, as long
+    as they hold more than UNIT fingerprints."""
+    deep = max(top, min(top + DEEPER, 20))
+    found = distinct.groupBy(F.shiftrightunsigned("fp", 64 - deep).alias("p")).count().toArrow()
+    at, n = found.column("p").to_numpy(), found.column("count").to_numpy()
+    order = np.argsort(at)
+    at, sums = at[order], np.concatenate(([0], np.cumsum(n[order])))
+    out: list[tuple[int, int]] = []
+    todo = [(p, top) for p in np.unique(at >> (deep - top)).tolist()]
+    while todo:
+        p, d = todo.pop()
+        lo, hi = np.searchsorted(at, [p << (deep - d), (p + 1) << (deep - d)])
+        held = sums[hi] - sums[lo]
+        if held > UNIT and d < deep:
+            todo += [(2 * p, d + 1), (2 * p + 1, d + 1)]
+        elif held:
+            out.append((p << (64 - d), d))
+    out.sort()
+    return np.array([p for p, _ in out], np.uint64), np.array([d for _, d in out], np.int64)
+
+
+def unit_pairs(distinct: DataFrame, budget: int, starts: np.ndarray, depths: np.ndarray) -> DataFrame:
+    """(fp, low, high): each fingerprint once for each pair of its own unit and one that differs in few enough bits."""
+    common = np.array([(1 << 64) - (1 << (64 - d)) for d in range(65)], np.uint64)  # the first d bits
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fp = np.sort(batch.column(0).to_numpy().view(np.uint64))
+            own = np.searchsorted(starts, fp, "right") - 1
+            for u in np.unique(own).tolist():
+                if u not in near:
+                    mask = common[np.minimum(depths, depths[u])]
+                    near[u] = np.flatnonzero(np.bitwise_count((starts ^ starts[u]) & mask) <= budget)
+            if len(fp):
+                other = np.concatenate([near[u] for u in own.tolist()])
+                times = np.array([len(near[u]) for u in own.tolist()])
+                own = np.repeat(own, times)
+                parts = (np.repeat(fp.view(np.int64), times), np.minimum(own, other), np.maximum(own, other))
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["fp", "low", "high"])
+    return distinct.select("fp").mapInArrow(spread, "fp long, low long, high long")
+
+
 def links(distinct: DataFrame, budget: int, rows: int, top: int | None = None) -> DataFrame:
     """Links (a, b) that connect all of the distinct fingerprints (column fp) within `budget` bits of each other."""
     top = top if top is not None else max(TOP, math.ceil(math.log2(max(rows, 2) / UNIT)))
-    masks = [m for m in range(1 << top) if m.bit_count() <= budget]
-
-    def join(_, rows):
-        fp = rows.column("fp").to_numpy().view(np.uint64)
-        order = np.argsort(fp)
-        a, b = near_forest(fp[order], rows.column("home").to_numpy(zero_copy_only=False)[order], budget)
+    starts, depths = prefixes(distinct, top)
+
+    def join(key, rows):
+        fp = np.sort(rows.column("fp").to_numpy().view(np.uint64))
+        low, high = (k.as_py() for k in key)
+        if low != high and (fp[-1] < starts[high] or fp[0] >= starts[high]):  # one of the two units alone
+            fp = fp[:0]
+        a, b = near_forest(fp, np.ones(len(fp), bool), budget, low != high)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    spread = (distinct.select("fp", F.shiftrightunsigned("fp", 64 - top).alias("own"))
-              .withColumn("unit", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: m.bitwiseXOR(F.col("own")))))
-              .filter("unit <= own").select("fp", "unit", (F.col("unit") == F.col("own")).alias("home")))
-    return spread.groupBy("unit").applyInArrow(join, "a long, b long")
+    return unit_pairs(distinct, budget, starts, depths).groupBy("low", "high").applyInArrow(join, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -110,3 +110,20 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, fp string, first int"))
     assert got.columns == ["doc_id", "text", "fp", "first"]
     assert sorted(r["first"] for r in got.collect()) == [2, 4, 5, 6, 7]
+
+
+def test_no_unit_holds_more_than_two_prefixes(spark, monkeypatch):
+    """The work is spread over pairs of prefixes, and a prefix that holds too much is split."""
+    monkeypatch.setattr(simhash, "UNIT", 100)
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.concatenate((rng.integers(0, 2**64, 600, np.uint64), rng.integers(0, 2**59, 600, np.uint64))))
+    keys = np.unique(np.concatenate((keys, keys[::3] ^ (np.uint64(1) << rng.integers(0, 64, len(keys[::3])).astype(np.uint64)))))
+    distinct = spark.createDataFrame([(k,) for k in keys.view(np.int64).tolist()], "fp long")
+    starts, depths = simhash.prefixes(distinct, 3)
+    assert depths.max() > 3
+    held = simhash.unit_pairs(distinct, 4, starts, depths).groupBy("low", "high").count().agg({"count": "max"}).first()[0]
+    assert held <= 200
+    got = [tuple(r) for r in simhash.links(distinct, 4, len(keys), 3).collect()]
+    ids = keys.view(np.int64).tolist()
+    near = [(ids[i], ids[j]) for i in range(len(keys)) for j in np.flatnonzero(np.bitwise_count(keys ^ keys[i]) <= 4).tolist() if i != j]
+    assert roots(ids, got) == roots(ids, near)
