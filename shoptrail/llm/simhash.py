@@ -11,6 +11,9 @@ of its common depth, and is dropped as soon as they exceed the error budget. Two
 a large group of copies does not cost its square; what a unit returns is a spanning forest of its links. Components are
 then joined over all units by star contraction.
 
+The pipeline's stage asks for a Jaccard of SIMILAR on sets of shingles, which is about ten bits of a fingerprint with a wide
+spread. Its candidates share one of BANDS keys of MINS least hashes, and each link is confirmed on the whole texts.
+
 Defined cases: null or blank texts have fingerprint zero and link like any other; repeated rows are copies; a null doc_id
 belongs to a component but cannot name it (unless it has no other); an empty table gives an empty one.
 """
@@ -34,25 +37,60 @@ UNIT = 1 << 18   # fingerprints that a unit's own part should hold on average
 DEEPER = 6       # levels by which a unit that holds more than UNIT may be split further
 CHUNK = 1 << 17  # pairs of nodes that are taken on at once
 
+SIMILAR = 0.8          # Jaccard of the shingle sets from which two texts are near copies in the pipeline
+BANDS, MINS = 24, 6    # keys of a text, and least hashes in each: a pair of 0.8 shares a key in 0.9993 of all cases
+SMALL = 16             # texts of a key up to which all its pairs are compared at once
+TURNS = np.array([xxhash.xxh64_intdigest(b"turn", i) | 1 for i in range(BANDS * MINS)], np.uint64)
+SHIFTS = np.array([xxhash.xxh64_intdigest(b"shift", i) for i in range(BANDS * MINS)], np.uint64)
 
-def fingerprint(text: str | None, k: int) -> int:
+
+def shingle_hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles of a text, BLOCK at a time."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - k + 1)
     starts = [0, *(ends[:n - 1] + 1).tolist()]
     stops = ends[min(k, len(words)) - 1:].tolist()
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        h = np.array([digest(line[a:b], 42) for a, b in zip(starts[at:at + BLOCK], stops[at:at + BLOCK])], "<u8")
+        yield np.array([digest(line[a:b], 42) for a, b in zip(starts[at:at + BLOCK], stops[at:at + BLOCK])], "<u8")
+
+
+def fingerprint(text: str | None, k: int) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, k):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(h)
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones > n))
 
 
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text, k)]))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Likeness of two sets of shingles; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def bands(text: str | None, k: int) -> list[int]:
+    """BANDS signed keys, each of MINS least hashes; texts without words share a single one."""
+    shingles = shingle_set(text, k)
+    if not len(shingles):
+        return [0]
+    least = np.full(len(TURNS), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[None, at:at + 4096] * TURNS[:, None] + SHIFTS[:, None]).min(axis=1))
+    parts = least.reshape(BANDS, MINS)
+    return np.array([xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts)], np.uint64).view(np.int64).tolist()
+
+
 def fingerprints(docs: DataFrame, text: str = "text", k: int = 4, name: str = "fp") -> DataFrame:
     """docs with a column of signed 64-bit fingerprints of whole texts."""
     @pandas_udf("long")
@@ -268,13 +306,68 @@ def near_groups(docs: DataFrame, k: int = 4, budget: int = 4, text: str = "text"
     return own.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, budget: int = 6) -> DataFrame:
-    """docs with one row of each component: that with the smallest doc_id (a null one counts as largest)."""
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similar: float) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes whose shingle sets are alike by `similar` at least; texts: node, text."""
+    pairs = stage(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    held = stage(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "held")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, its = None, None
+        for batch in batches:
+            good = []
+            for i in range(batch.num_rows):
+                b = batch.column(1)[i].as_py()
+                if its is None or b != last:
+                    last, its = b, shingle_set(batch.column(3)[i].as_py(), k)
+                if jaccard(shingle_set(batch.column(2)[i].as_py(), k), its) >= similar:
+                    good.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+    both = (pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
+    return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "confirmed")
+
+
+def similar_roots(banded: DataFrame, texts: DataFrame, k: int, similar: float) -> DataFrame:
+    """(node, root) of the texts (node, bands) that are linked with another one.
+
+    Candidates share a band. Of a band of up to SMALL texts all pairs are compared; of a larger one each text with the
+    first, and then those that the links so far do not connect with the first one with all they are not connected with."""
+    keys = stage(banded.select("node", F.explode("bands").alias("key")), "keys")
+    buckets = stage(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1"), "buckets")
+    members = stage(keys.join(buckets, "key"), "members")
+    small, large = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL)
+    one, two = small.select("key", F.col("node").alias("a")), small.select("key", F.col("node").alias("b"))
+    edges = confirmed(one.join(two, "key").filter("a > b").select("a", "b").union(
+        large.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))), texts, k, similar)
+    roots = stage(components(edges), "roots")
+    if large.isEmpty():
+        return roots
+    first = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+    rooted = stage(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                   .join(first, "leader", "left").withColumn("leader_root", F.coalesce("leader_root", "leader")), "rooted")
+    apart = rooted.filter("root <> leader_root").select("key", F.col("node").alias("a"), F.col("root").alias("a_root"))
+    if apart.isEmpty():
+        return roots
+    rest = (apart.join(rooted.filter("node <> leader").select("key", F.col("node").alias("b"), F.col("root").alias("b_root")), "key")
+            .filter("a_root <> b_root").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    return components(edges.union(confirmed(rest, texts, k, similar)))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """docs with one row of each component of texts whose sets of k-word shingles have a Jaccard of `similar` at least: that
+    with the smallest doc_id (a null one counts as largest)."""
+    @pandas_udf("array<long>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series([bands(t, k) for t in part], dtype=object)
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    own = stage(fingerprints(keyed.select("doc_id", "_hash", "text"), "text", k, "fp").select("doc_id", "_hash", "fp"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("first")
-    stays = (own.groupBy("fp").agg(first).join(group_roots(own, budget), "fp")
-             .groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first._hash"))
+    own = stage(keyed.select("doc_id", F.col("_hash").alias("node"), of("text").alias("bands")), "bands")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("node").alias("_hash"))).alias("first")
+    nodes = stage(own.groupBy("node").agg(F.first("bands").alias("bands"), first), "nodes")
+    roots = similar_roots(nodes.select("node", "bands"), keyed.select(F.col("_hash").alias("node"), "text"), k, similar)
+    stays = (nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+             .agg(F.min("first").alias("first")).select("first.doc_id", "first._hash"))
     both = keyed.doc_id.eqNullSafe(stays.doc_id) & (keyed["_hash"] == stays["_hash"])
     return keyed.join(stays, both, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 

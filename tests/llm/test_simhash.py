@@ -127,3 +127,20 @@ def test_no_unit_holds_more_than_two_prefixes(spark, monkeypatch):
     ids = keys.view(np.int64).tolist()
     near = [(ids[i], ids[j]) for i in range(len(keys)) for j in np.flatnonzero(np.bitwise_count(keys ^ keys[i]) <= 4).tolist() if i != j]
     assert roots(ids, got) == roots(ids, near)
+
+
+def changed(words, n):
+    """words with n of them exchanged, each far from the next one."""
+    out = list(words)
+    for i in range(n):
+        out[10 + 12 * i] = f"new{i}"
+    return out
+
+
+def test_copies_of_eight_tenths_are_one(spark):
+    """Of pairs at 0.815 one stays, of pairs at 0.73 both, and a large group of near copies is one, with a straggler of 0.73."""
+    base = [[f"w{j}x{i}" for i in range(200)] for j in range(31)]
+    docs = [(100 * j + v, " ".join(changed(base[j], n))) for j in range(30) for v, n in ((0, 0), (1, 4 if j < 20 else 6))]
+    docs += [(5000 + i, " ".join([*base[30][:190 + i % 9], f"end{i}"])) for i in range(40)] + [(6000, " ".join(changed(base[30], 7)))]
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {100 * j for j in range(30)} | {100 * j + 1 for j in range(20, 30)} | {5000, 6000}
