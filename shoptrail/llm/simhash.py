@@ -12,7 +12,8 @@ a large group of copies does not cost its square; what a unit returns is a spann
 then joined over all units by star contraction.
 
 The pipeline's stage asks for a Jaccard of SIMILAR on sets of shingles, which is about ten bits of a fingerprint with a wide
-spread. Its candidates share one of BANDS keys of MINS least hashes, and each link is confirmed on the whole texts.
+spread. Its candidates share one of BANDS keys of MINS least hashes, and each of these links is confirmed on the whole texts;
+fingerprints within the budget are linked as before.
 
 Defined cases: null or blank texts have fingerprint zero and link like any other; repeated rows are copies; a null doc_id
 belongs to a component but cannot name it (unless it has no other); an empty table gives an empty one.
@@ -354,18 +355,23 @@ def similar_roots(banded: DataFrame, texts: DataFrame, k: int, similar: float) -
     return components(edges.union(confirmed(rest, texts, k, similar)))
 
 
-def one_of_each(docs: DataFrame, k: int = 5, similar: float = SIMILAR) -> DataFrame:
-    """docs with one row of each component of texts whose sets of k-word shingles have a Jaccard of `similar` at least: that
-    with the smallest doc_id (a null one counts as largest)."""
+def one_of_each(docs: DataFrame, k: int = 5, budget: int = 6, similar: float = SIMILAR) -> DataFrame:
+    """docs with one row of each component of texts whose sets of k-word shingles have a Jaccard of `similar` at least, or
+    whose fingerprints are within `budget` bits: that with the smallest doc_id (a null one counts as largest)."""
     @pandas_udf("array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([bands(t, k) for t in part], dtype=object)
+            yield pd.Series([[*bands(t, k), int(np.uint64(fingerprint(t, k)).view(np.int64))] for t in part], dtype=object)
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     own = stage(keyed.select("doc_id", F.col("_hash").alias("node"), of("text").alias("bands")), "bands")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("node").alias("_hash"))).alias("first")
     nodes = stage(own.groupBy("node").agg(F.first("bands").alias("bands"), first), "nodes")
-    roots = similar_roots(nodes.select("node", "bands"), keyed.select(F.col("_hash").alias("node"), "text"), k, similar)
+    last = F.size("bands") - 1  # the fingerprint
+    roots = similar_roots(nodes.select("node", F.slice("bands", F.lit(1), last).alias("bands")), keyed.select(F.col("_hash").alias("node"), "text"), k, similar)
+    own = nodes.select("node", F.get("bands", last).alias("fp"))
+    near = stage(own.join(group_roots(own, budget), "fp").select("node", "root"), "near")
+    near = near.join(near.groupBy("root").agg(F.min("node").alias("leader")), "root").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(near))
     stays = (nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
              .agg(F.min("first").alias("first")).select("first.doc_id", "first._hash"))
     both = keyed.doc_id.eqNullSafe(stays.doc_id) & (keyed["_hash"] == stays["_hash"])
