@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, packing, quality, secrets, simhash, sketch, tokenfiles, urllists, warc
+from . import chat, decontam, negatives, packing, quality, secrets, simhash, sketch, tokenfiles, urllists, warc
 from .shared import ship
 
 
@@ -27,9 +27,11 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op8_quality": quality.op8,
     "op9_sketch": sketch.op9,
     "op10_url_lists": urllists.op10,
+    "op13_negatives": negatives.op13,
 }.items()}
 
 ORACLE = {
     "op2_chat_format": chat.OP2_SQL,
     "op10_url_lists": urllists.OP10_SQL,
+    "op13_negatives": negatives.OP13_SQL,
 }

@@ -5,7 +5,7 @@ import pytest
 from conftest import SF
 from shoptrail.llm import queries as llm
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 NATIVE = ("op2_chat_format", "op9_sketch", "op10_url_lists")
 
 
@@ -32,5 +32,5 @@ def test_native_queries_run_no_python(spark, name):
         assert operator not in plan, operator
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 14))
