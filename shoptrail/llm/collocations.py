@@ -132,10 +132,10 @@ def starts(rows: Rows, at: pa.Array) -> np.ndarray:
 def counted(relation: DataFrame, k: int, filter_=None) -> DataFrame:
     """(lang, w1 .. wk, n): the groups of k words of the relation of k - 1, joined with R1 at the next position. The filter has
     the frequent words for k = 2; for k = 3 the positions of the relation are those of frequent pairs."""
-    names = [f"w{i + 1}" for i in range(k)]
+    names, held = [f"w{i + 1}" for i in range(k)], HELD
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, table in by_lang(batches, HELD):
+        for lang, table in by_lang(batches, held):
             rows = Rows(chunk(table["words"]))
             codes, v = rows.codes, len(rows.words)
             if k == 1:
@@ -165,8 +165,10 @@ def counted(relation: DataFrame, k: int, filter_=None) -> DataFrame:
 
 def pair_starts(relation: DataFrame, words, pairs) -> DataFrame:
     """R2: (lang, words, at) with the positions in R1 at which frequent pairs start; rows without any are left out."""
+    held = HELD
+
     def semi(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, table in by_lang(batches, HELD):
+        for lang, table in by_lang(batches, held):
             rows = Rows(chunk(table["words"]))
             h = rows.seeds(lang)
             good = passes(words.value, h)[rows.codes] & rows.inside
