@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, collocations, decontam, negatives, packing, quality, secrets, simhash, sketch, tokenfiles, urllists, warc
+from . import chat, collocations, decontam, negatives, packing, passages, quality, secrets, simhash, sketch, tokenfiles, urllists, warc
 from .shared import ship
 
 
@@ -27,6 +27,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op8_quality": quality.op8,
     "op9_sketch": sketch.op9,
     "op10_url_lists": urllists.op10,
+    "op11_passages": passages.op11,
     "op12_collocations": collocations.op12,
     "op13_negatives": negatives.op13,
 }.items()}

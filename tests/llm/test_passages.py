@@ -1,0 +1,97 @@
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from conftest import SF
+from shoptrail.llm import passages, suffixes
+
+
+def plain(docs, length):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from a count of all windows."""
+    texts = [(d, (t or "").encode()) for d, t in docs]
+    count = Counter(hashlib.md5(b[i:i + length]).digest() for _, b in texts for i in range(len(b) - length + 1))
+    out = []
+    for d, b in texts:
+        gone = np.zeros(len(b) + 2, np.int64)
+        for i in range(len(b) - length + 1):
+            if count[hashlib.md5(b[i:i + length]).digest()] > 1:
+                gone[i] += 1
+                gone[i + length] -= 1
+        hit = np.cumsum(gone)[:len(b)] > 0
+        edges = int(np.count_nonzero(np.diff(np.concatenate(([0], hit.astype(int)))) == 1))
+        kept = bytes(x for x, h in zip(b, hit) if not h)
+        out.append((d, len(b), int(hit.sum()), edges, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def removed(spark, docs, length=400):
+    table = spark.createDataFrame([(d, t, "x", 1, "k") for d, t in docs], "doc_id long, text string, id string, key int, digest string")
+    rows = passages.without_repeats(table, length).selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "sha2(kept, 256)").collect()
+    return sorted(map(tuple, rows), key=str)
+
+
+def words(rng, n, pool=3000):
+    return " ".join(f"{'abcdefgh'[w % 8]}{w}" for w in rng.integers(0, pool, n))
+
+
+def corpus():
+    rng = np.random.default_rng(3)
+    shared, nearly = words(rng, 100), words(rng, 60)[:395]
+    docs = [(i, words(rng, int(rng.integers(0, 200)))) for i in range(40)]
+    docs += [(100 + i, words(rng, 30) + shared + words(rng, 30)) for i in range(8)]                  # a passage
+    docs += [(200 + i, words(rng, 30) + nearly + words(rng, 30)) for i in range(30)]                 # one just too short
+    docs += [(300 + i, docs[5][1] + " " + docs[45][1].replace("a", "b", i)) for i in range(6)]       # near copies
+    docs += [(400, docs[41][1]), (400, docs[41][1]), (None, docs[42][1]), (401, None), (402, ""), (403, "é" * 450), (404, "é" * 199),
+             (405, "ab" * 900), (406, "x" * 399), (407, "y" * 400), (408, "z" * 401), (409, shared[:420] + "q" + shared[20:]), (410, "a" * 1300 + "b")]
+    return docs
+
+
+@pytest.mark.parametrize("group, batch, part", ((1 << 21, 1 << 20, 1 << 22), (2000, 3000, 150)))
+def test_equals_brute_force(spark, monkeypatch, group, batch, part):
+    """Also with large groups dealt out by windows, small batches and texts cut in parts."""
+    monkeypatch.setattr(passages, "GROUP", group)
+    monkeypatch.setattr(passages, "BATCH", batch)
+    docs = corpus()
+    want = plain(docs, 400)
+    assert sum(r[2] > 0 for r in want) > 15 and removed(spark, docs) == want
+    assert removed(spark, docs, 64) == plain(docs, 64)
+
+
+def test_query_equals_brute_force(spark, rows):
+    got = sorted(map(tuple, passages.op11(spark, SF).collect()), key=str)
+    assert got == plain(rows("SELECT doc_id, text FROM '@documents.parquet'"), 400)
+
+
+def test_cutting_puts_each_window_into_one_span(monkeypatch):
+    monkeypatch.setattr(passages, "PART", 700)
+    data = (words(np.random.default_rng(1), 900) + "aaaa" * 300).encode()
+    found = list(passages.cut(data, 400))
+    assert [i for s, n, *_ in found for i in range(s, s + n)] == list(range(len(data) - 399))
+    assert list(passages.cut(data[:399], 400)) == []
+
+
+def test_no_documents(spark):
+    assert removed(spark, []) == [] and removed(spark, [(1, None)])[0][:4] == (1, 0, 0, 0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_array(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(300):
+        s = [*rng.integers(1, 2 + int(rng.integers(0, 5)), int(rng.integers(0, 40))).tolist(), 0]
+        assert suffixes.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+@pytest.mark.parametrize("length", (4, 8, 40))
+def test_repeats_equal_brute_force(length):
+    rng = np.random.default_rng(length)
+    pool = ["ab", "ba", "e", "the", "of", "   ", "nd", "aa", "", "x" * 30]
+    for _ in range(150):
+        parts = [" ".join(rng.choice(pool, int(rng.integers(0, 25)))) for _ in range(3)]
+        pieces = [("".join(rng.choice(parts, int(rng.integers(1, 4)))) + "ab x"[int(rng.integers(0, 4))])[int(rng.integers(0, 4)):].encode() for _ in range(4)]
+        pieces = [p for p in pieces if p]
+        count = Counter(p[i:i + length] for p in pieces for i in range(len(p) - length + 1))
+        want = {(k, i) for k, p in enumerate(pieces) for i in range(len(p) - length + 1) if count[p[i:i + length]] > 1}
+        assert {(k, i) for k, a, z in suffixes.repeats(pieces, length) for i in range(a, z)} == want
