@@ -87,9 +87,9 @@ STEP_ROWS = """('view','page_view',0,99,0),('view','view_item',0,99,1),
 CTES: dict[str, str] = {}
 
 CTES["src"] = """
- SELECT *, dense_rank() OVER (PARTITION BY user_id, user_id % 7 = 3 AND day >= DATE '2024-01-22' ORDER BY day) AS session_number,
-        row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS nth_of_day
- FROM (SELECT event_id, user_id, event_type, value, ts, CAST(ts AS DATE) AS day,
+ SELECT *, dense_rank() OVER (PARTITION BY user_id, user_id % 7 = 3 AND visit_day >= DATE '2024-01-22' ORDER BY visit_day) AS session_number,
+        row_number() OVER (PARTITION BY user_id, visit_day ORDER BY ts, event_id) AS nth_of_visit
+ FROM (SELECT event_id, user_id, event_type, value, ts, CAST(ts AS DATE) AS day, CAST(ts - INTERVAL 30 MINUTE AS DATE) AS visit_day,
               CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)"""
 
 CTES["steps"] = f" SELECT * FROM (VALUES {STEP_ROWS}) AS t(event_type, event_name, lo, hi, after)"
@@ -98,9 +98,9 @@ CTES["hit"] = """
  SELECT src.*, event_name, after FROM src JOIN steps USING (event_type)
  WHERE k BETWEEN lo AND hi AND NOT (event_name = 'add_payment_info' AND day < DATE '2024-01-05')
  UNION ALL
- SELECT *, 'session_start', -1 FROM src WHERE nth_of_day = 1 AND k NOT IN (33, 66)
+ SELECT *, 'session_start', -1 FROM src WHERE nth_of_visit = 1 AND k NOT IN (33, 66)
  UNION ALL
- SELECT *, 'session_start', -2 FROM src WHERE nth_of_day = 1 AND k = 50"""
+ SELECT *, 'session_start', -2 FROM src WHERE nth_of_visit = 1 AND k = 50"""
 
 CTES["shaped"] = """
  SELECT *, (user_id + user_id // 20) % 10 AS m, user_id % 20 AS dv,
@@ -111,7 +111,7 @@ CTES["shaped"] = """
 
 CTES["ev"] = """
  SELECT day AS event_date, ts + to_seconds(after) AS event_ts, event_name, CAST(user_id AS VARCHAR) AS user_pseudo_id,
-  CASE WHEN event_type = 'view' AND k = 97 THEN NULL ELSE CAST(CAST(ts - INTERVAL 30 MINUTE AS DATE) - DATE '2024-01-01' + 1 AS BIGINT) END AS ga_session_id,
+  CASE WHEN event_type = 'view' AND k = 97 THEN NULL ELSE CAST(visit_day - DATE '2024-01-01' + 1 AS BIGINT) END AS ga_session_id,
   session_number AS ga_session_number,
   CASE WHEN event_name = 'page_view' AND k % 50 <> 7 THEN 'https://shop.example/p/' || k END AS page_location,
   CASE WHEN event_name = 'page_view' AND k % 12 <> 0 THEN 'Page ' || k END AS page_title,

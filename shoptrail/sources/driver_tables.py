@@ -71,20 +71,20 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source events with k and their day."""
+    """Source events with k, their day and the day their visit began."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return (events.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"),
                           F.get_json_object("props", "$.k").cast("long").alias("k"))
-            .withColumn("day", F.to_date("ts")))
+            .withColumns({"day": F.to_date("ts"), "visit_day": F.to_date(F.col("ts") - F.expr(f"INTERVAL {LATE} MINUTES"))}))
 
 
-def _user_days(source: DataFrame) -> DataFrame:
-    """One row per user and day: the first event of the day and the running number of the day for that user."""
-    first = F.min(F.struct("ts", "event_id", "event_type", "k", "value")).alias("first")
-    # A user has at most one row per calendar day here, so the window never holds more than the days of the data.
-    cleared = F.expr(CLEARED_USERS) & (F.col("day") >= F.lit(CLEARED))
-    return (source.groupBy("user_id", "day").agg(first).withColumn("cleared", cleared)
-            .withColumn("session_number", F.row_number().over(Window.partitionBy("user_id", "cleared").orderBy("day")).cast("long")))
+def _visits(source: DataFrame) -> DataFrame:
+    """One row per user and day a visit began: its first event and the running number of the visit for that user."""
+    first = F.min(F.struct("ts", "event_id", "event_type", "k", "value", "day")).alias("first")
+    # A user has at most one visit per calendar day here, so the window never holds more than the days of the data.
+    cleared = F.expr(CLEARED_USERS) & (F.col("visit_day") >= F.lit(CLEARED))
+    return (source.groupBy("user_id", "visit_day").agg(first).withColumn("cleared", cleared)
+            .withColumn("session_number", F.row_number().over(Window.partitionBy("user_id", "cleared").orderBy("visit_day")).cast("long")))
 
 
 def _micros(ts: Column) -> Column:
@@ -93,17 +93,17 @@ def _micros(ts: Column) -> Column:
 
 
 def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _source(spark, sf_dir)
-    user_days = _user_days(source)
+    # Dealt out before anything is expanded, however few files the events come in; adaptive execution sets the number.
+    source = _source(spark, sf_dir).repartition("event_id")
+    visits = _visits(source)
     steps = F.broadcast(spark.createDataFrame(
         EXPANSION, "event_type string, event_name string, lo long, hi long, after long"))
-    hits = (source.join(steps, "event_type").where("k BETWEEN lo AND hi").drop("lo", "hi")
+    # The narrow source rows meet their visit; the three rows that each becomes are made after that.
+    hits = (source.join(visits.select("user_id", "visit_day", "session_number"), ["user_id", "visit_day"], "left")
+            .join(steps, "event_type").where("k BETWEEN lo AND hi").drop("lo", "hi")
             .where((F.col("event_name") != "add_payment_info") | (F.col("day") >= F.lit(ONSET))))
-    # A sort-merge join, whatever the sizes: it deals the events out by user and day, however few files they come in, and
-    # adaptive execution splits a hot (user, day) over tasks.
-    hits = hits.join(user_days.select("user_id", "day", "session_number").hint("merge"), ["user_id", "day"], "left")
-    starts = (user_days.where("first.k NOT IN (33, 66)")
-              .select("user_id", "day", "session_number", "first.*",
+    starts = (visits.where("first.k NOT IN (33, 66)")
+              .select("user_id", "visit_day", "session_number", "first.*",
                       F.explode(F.when(F.col("first.k") == 50, F.expr("array(-1L, -2L)"))
                                 .otherwise(F.expr("array(-1L)"))).alias("after"))
               .withColumn("event_name", F.lit("session_start")))
@@ -118,7 +118,7 @@ def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, m = F.pmod(user, F.lit(20)), F.pmod(user + F.floor(user / 20), F.lit(10))
     incident = F.col("day").between(F.lit(INCIDENT[0]), F.lit(INCIDENT[1])) & (k < 12)
     session = F.when((F.col("event_type") == "view") & (k == 97), F.lit(None)).otherwise(
-        F.datediff((F.col("ts") - F.expr(f"INTERVAL {LATE} MINUTES")).cast("date"), F.lit(FIRST_DAY)) + 1).cast("long")
+        F.datediff("visit_day", F.lit(FIRST_DAY)) + 1).cast("long")
     lists_items = name.isin("view_item", "add_to_cart", "begin_checkout", "purchase")
     n_items = F.when(lists_items, F.when(k == 9, 0).when((name == "add_to_cart") & (k >= 92), 9)
                      .otherwise(1 + F.pmod(k, F.lit(4)))).cast("int")
