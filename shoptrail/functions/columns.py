@@ -21,6 +21,16 @@ def exprs(columns: dict[str, str]) -> list[Column]:
     return [F.expr(sql).alias(name) for name, sql in columns.items()]
 
 
+def weighted(sessions: DataFrame) -> DataFrame:
+    """A session table, or cells of one, with the number of sessions that each row stands for."""
+    return sessions if "n_sessions" in sessions.columns else sessions.withColumn("n_sessions", F.lit(1).cast("long"))
+
+
+def sessions_sql(rule: str = "TRUE") -> str:
+    """The number of sessions of a weighted table that a rule holds for, as SQL text."""
+    return f"coalesce(sum(n_sessions) FILTER (WHERE {rule}), 0L)"
+
+
 def iso_week(date: Column) -> Column:
     """ISO week label such as 2020-W53."""
     return F.concat(F.extract(F.lit("YEAROFWEEK"), date).cast("string"), F.lit("-W"),

@@ -2,11 +2,11 @@
 frequent groups before the next length.
 
 R1 is the written relation of all word occurrences: a row holds those of one document, in order of piece and position (a
-word `\\n` ends a piece), so that the merge join with the next position is a walk along the row. Rk has, in the same rows,
-the positions at which a frequent phrase of k words starts. Each length is one pass: join Rk-1 with R1 at the next position, count the
-groups (each task adds up what it has before it sends it), keep those of at least `least` occurrences, write the positions
-that are left. The semi-join runs by a filter of a fixed number of bits, which may let rare groups pass but loses none;
-what passed in vain is removed by its count, which is exact.
+word `\\n` ends a piece), so that the merge join with the next position is a walk along the row. R2 has, in the same rows,
+the positions at which a frequent phrase of two words starts. Each length joins Rk-1 with R1 at the next position and
+counts the groups, by hashes of 48 bits: each task adds up what it has before it sends it. Groups whose hash comes less than `least` times are
+rare and left out by a semi-join before the next length, which runs by a filter of a fixed number of bits. Hash and filter
+may let rare groups pass but lose none; a last pass counts by their words those that passed, which is exact.
 
 Scores are compared as whole numbers of up to 38 digits, which hold counts below 10^14.
 
@@ -28,7 +28,8 @@ from .shared import stage
 
 ENDS = b".,;:!?\n\x0b\x0c\r"   # bytes that end a piece
 BITS = 1 << 26                 # bits of the filter of frequent groups
-HELD = 1 << 24                 # bytes of texts that a task joins and counts at once
+HELD = 1 << 23                 # bytes of texts that a task joins at once
+GROUPS = 1 << 22               # groups that a task adds up before it sends them
 TABLE = bytes(10 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -72,20 +73,12 @@ def joined(first: np.ndarray, then: np.ndarray) -> np.ndarray:
 
 
 def bits(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(11)) & np.uint64(BITS - 1)
+    return (hashes >> np.uint64(20)) & np.uint64(BITS - 1)
 
 
 def frequent_filter(groups: DataFrame) -> np.ndarray:
-    """BITS bits in which those of the groups (lang, w1[, w2]) are set."""
-    width = len(groups.columns) - 1
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, *words = [c.to_pylist() for c in batch.columns]
-            seeds = {x: xxhash.xxh64_intdigest(x) for x in set(langs)}
-            h = [np.array([xxhash.xxh64_intdigest(w, seeds[x]) for x, w in zip(langs, c)], np.uint64) for c in words]
-            yield pa.RecordBatch.from_arrays([pa.array(bits(h[0] if width == 1 else joined(*h)).astype(np.int64) + 1)], names=["bit"])
-    made = (groups.mapInArrow(places, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("at"))
+    """BITS bits in which those of the hashes (column h) are set."""
+    made = (groups.select((F.expr(f"shiftright(h, 20) & {BITS - 1}") + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("part")))
     out = np.zeros(BITS // 8, np.uint8)
     for row in made.collect():  # BITS / 32768 rows of 4 KB at most
@@ -129,74 +122,133 @@ def starts(rows: Rows, at: pa.Array) -> np.ndarray:
     return on[:-1]
 
 
-def counted(relation: DataFrame, k: int, filter_=None) -> DataFrame:
-    """(lang, w1 .. wk, n): the groups of k words of the relation of k - 1, joined with R1 at the next position. The filter has
-    the frequent words for k = 2; for k = 3 the positions of the relation are those of frequent pairs."""
-    names, held = [f"w{i + 1}" for i in range(k)], HELD
+def frequent_pairs(rows: Rows, h: np.ndarray, words) -> np.ndarray:
+    """Positions at which two words start that are frequent both."""
+    good = passes(words.value, h)[rows.codes] & rows.inside
+    return np.flatnonzero(good[:-1] & good[1:] & ~rows.last[:-1])
+
+
+def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+
+
+def tally(relation: DataFrame, k: int, least: int, words=None) -> DataFrame:
+    """The hashes (column h) that the groups of k words, from the relation of k - 1 joined with R1 at the next position, have
+    at least `least` times. words: the filter of frequent words, for k = 2; for k = 3 the relation has frequent pairs."""
+    held, most = HELD, GROUPS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
         for lang, table in by_lang(batches, held):
             rows = Rows(chunk(table["words"]))
-            codes, v = rows.codes, len(rows.words)
+            h = rows.seeds(lang)
             if k == 1:
-                n = np.bincount(codes[rows.inside], minlength=v)
-                found = np.flatnonzero(n)
-                parts, n = [found], n[found]
+                found = h[rows.codes[rows.inside]]
             else:
-                if k == 2:
-                    good = passes(filter_.value, rows.seeds(lang))[codes] & rows.inside
-                    i = np.flatnonzero(good[:-1] & good[1:] & ~rows.last[:-1])
-                    group = codes[i]
-                else:
-                    on = starts(rows, chunk(table["at"]))
-                    i = np.flatnonzero(on[:-1] & on[1:])
-                    pairs, group = np.unique(codes[i] * v + codes[i + 1], return_inverse=True)
-                found, n = np.unique(group * v + codes[i + k - 1], return_counts=True)
-                parts = [found // v, found % v]
+                i = frequent_pairs(rows, h, words) if k == 2 else paired(starts(rows, chunk(table["at"])))
+                found = joined(h[rows.codes[i]], h[rows.codes[i + 1]])
                 if k == 3:
-                    parts = [pairs[parts[0]] // v, pairs[parts[0]] % v, parts[1]]
-            for a in range(0, len(n), 100_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n[a:a + 100_000]), pa.string()), *(rows.words.take(pa.array(p[a:a + 100_000])) for p in parts),
-                     pa.array(n[a:a + 100_000].astype(np.int64))], names=["lang", *names, "n"])
-    schema = ", ".join(f"{c} string" for c in ["lang", *names]) + ", n long"
-    return relation.mapInArrow(count, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+                    found = joined(found, h[rows.codes[i + 2]])
+            found, more = np.unique((found >> np.uint64(16)).astype(np.int64), return_counts=True)
+            keys, n = add_up(np.concatenate((keys, found)), np.concatenate((n, more)))
+            if len(keys) > most:
+                yield from sent(keys, n)
+                keys, n = keys[:0], n[:0]
+        yield from sent(keys, n)
 
+    def sent(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in (keys, n)], names=["h", "n"])
+    return (relation.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            .select(F.shiftleft("h", 16).alias("h")))
 
-def pair_starts(relation: DataFrame, words, pairs) -> DataFrame:
-    """R2: (lang, words, at) with the positions in R1 at which frequent pairs start; rows without any are left out."""
+
+def paired(on: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(on[:-1] & on[1:])
+
+
+def counted(r1: DataFrame, words, pairs, triples) -> DataFrame:
+    """(lang, w1, w2, w3, n): exact counts of the groups that pass the filters, missing words null; a row without any word counts
+    all words of its lang."""
+    held, most = HELD, GROUPS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, int] = {}
+        for lang, table in by_lang(batches, held):
+            rows = Rows(chunk(table["words"]))
+            h, codes, names = rows.seeds(lang), rows.codes, rows.words.to_pylist()
+            v = np.int64(len(names))
+            sums[lang, None, None, None] = sums.get((lang, None, None, None), 0) + int(rows.inside.sum())
+            i = frequent_pairs(rows, h, words)
+            two = joined(h[codes[i]], h[codes[i + 1]])
+            ok = passes(pairs.value, two)
+            i, two = i[ok], two[ok]
+            place, pair_n = np.unique(codes[i] * v + codes[i + 1], return_counts=True)
+            on = np.zeros(len(codes) + 1, bool)
+            on[i] = True
+            three = np.flatnonzero(on[i + 1])
+            j = i[three]
+            ok = passes(triples.value, joined(two[three], h[codes[j + 2]]))
+            j = j[ok]
+            of_pair = np.searchsorted(place, codes[j] * v + codes[j + 1])
+            triple, triple_n = np.unique(of_pair * v + codes[j + 2], return_counts=True)
+            one = np.bincount(codes[rows.inside], minlength=int(v))
+            seen = np.flatnonzero(one * passes(words.value, h))
+            take = lambda x: [names[c] for c in x.tolist()]
+            found = [(take(seen), [None] * len(seen), [None] * len(seen), one[seen].tolist()),
+                     (take(place // v), take(place % v), [None] * len(place), pair_n.tolist()),
+                     (take(place[triple // v] // v), take(place[triple // v] % v), take(triple % v), triple_n.tolist())]
+            for a, b, c, n in found:
+                for x, y, z, m in zip(a, b, c, n):
+                    sums[lang, x, y, z] = sums.get((lang, x, y, z), 0) + m
+            if len(sums) > most // 4:
+                yield from sent(sums)
+                sums = {}
+        yield from sent(sums)
+
+    def sent(sums: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
+        keys, n = list(sums), list(sums.values())
+        for at in range(0, len(keys), 50_000):
+            columns = list(zip(*keys[at:at + 50_000]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(n[at:at + 50_000], pa.int64())], names=["lang", "w1", "w2", "w3", "n"])
+    key = ["lang", "w1", "w2", "w3"]
+    return r1.mapInArrow(count, "lang string, w1 string, w2 string, w3 string, n long").groupBy(*key).agg(F.sum("n").alias("n"))
+
+
+def pair_starts(r1: DataFrame, words, pairs) -> DataFrame:
+    """R2: (lang, words, at) with the positions in R1 at which frequent pairs start; rows without two of them are left out."""
     held = HELD
 
     def semi(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, table in by_lang(batches, held):
             rows = Rows(chunk(table["words"]))
             h = rows.seeds(lang)
-            good = passes(words.value, h)[rows.codes] & rows.inside
-            i = np.flatnonzero(good[:-1] & good[1:] & ~rows.last[:-1])
+            i = frequent_pairs(rows, h, words)
             i = i[passes(pairs.value, joined(h[rows.codes[i]], h[rows.codes[i + 1]]))]
             row = np.searchsorted(rows.offsets, i, "right") - 1
             ends = np.searchsorted(row, np.arange(table.num_rows + 1))
             at = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((i - rows.offsets[row]).astype(np.int32)))
             whole = pa.Table.from_arrays([table["lang"], table["words"], at], names=["lang", "words", "at"])
             yield from whole.filter(pa.array(np.diff(ends) > 1)).combine_chunks().to_batches(max_chunksize=1000)
-    return relation.mapInArrow(semi, "lang string, words string, at array<int>")
+    return r1.mapInArrow(semi, "lang string, words string, at array<int>")
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each lang's first `top` phrases. A phrase inside a longer one that has `share`
     percent of its occurrences, or more, is left out."""
     spark = docs.sparkSession
-    keep = lambda bits_: spark.sparkContext.broadcast(bits_)
-    often = F.col("n") >= least
+    keep = lambda groups: spark.sparkContext.broadcast(frequent_filter(groups))
     r1 = stage(occurrences(docs), "r1")
-    all_words = stage(counted(r1, 1), "words")
-    totals = all_words.groupBy("lang").agg(F.sum("n").alias("total"))
-    c1 = stage(all_words.filter(often), "c1")
-    words = keep(frequent_filter(c1.select("lang", "w1")))
-    c2 = stage(counted(r1, 2, words).filter(often), "c2")
-    pairs = keep(frequent_filter(c2.select("lang", "w1", "w2")))
+    words = keep(tally(r1, 1, least))
+    pairs = keep(tally(r1, 2, least, words))
     r2 = stage(pair_starts(r1, words, pairs), "r2")
-    c3 = stage(counted(r2, 3).filter(often), "c3")
+    triples = keep(tally(r2, 3, least))
+    counts = stage(counted(r1, words, pairs, triples).filter((F.col("n") >= least) | F.col("w1").isNull()), "counts")
+    totals = counts.filter("w1 IS NULL").select("lang", F.col("n").alias("total"))
+    c1 = counts.filter("w1 IS NOT NULL AND w2 IS NULL")
+    c2 = counts.filter("w2 IS NOT NULL AND w3 IS NULL").drop("w3")
+    c3 = counts.filter("w3 IS NOT NULL")
 
     one = lambda name, n: c1.select("lang", F.col("w1").alias(name), F.col("n").alias(n))
     two = lambda a, b, n: c2.select("lang", F.col("w1").alias(a), F.col("w2").alias(b), F.col("n").alias(n))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contract import ECOMMERCE_EVENTS, MONEY, MONEY_TOTAL
-from ..functions.columns import exprs
+from ..functions.columns import exprs, sessions_sql, weighted
 from ..functions.skew import exact_median, salted_join
 
 COVERAGE_TARGET = 0.95
@@ -142,11 +142,11 @@ def audit_scorecard(spark: SparkSession, profile: DataFrame, sessions: DataFrame
         "search_terms_obfuscated": (tally("placeholder_term", "view_search_results"), tally("n", "view_search_results")),
         "page_views_without_location": (tally("no_location", "page_view"), tally("n", "page_view")),
     })
-    session_checks = _long(sessions, {
-        "sessions_without_session_start": ("count_if(n_session_start = 0)", "count(*)"),
-        "sessions_with_repeated_session_start": ("count_if(n_session_start > 1)", "count(*)"),
+    session_checks = _long(weighted(sessions), {
+        "sessions_without_session_start": (sessions_sql("n_session_start = 0"), sessions_sql()),
+        "sessions_with_repeated_session_start": (sessions_sql("n_session_start > 1"), sessions_sql()),
         "purchase_sessions_without_checkout": (
-            "count_if(has_purchase AND NOT has_begin_checkout)", "count_if(has_purchase)"),
+            sessions_sql("has_purchase AND NOT has_begin_checkout"), sessions_sql("has_purchase")),
     })
     purchase_checks = _long(purchases, {
         "duplicate_purchase_events": ("sum(n_repeats)", "sum(n_events)"),

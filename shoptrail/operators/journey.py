@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import exprs, total_sql
+from ..functions.columns import exprs, sessions_sql, total_sql, weighted
 from ..functions.stats import with_two_proportions, with_wilson
 
 # Funnel step labels with their flag (the first step is every session).
@@ -34,8 +34,8 @@ def funnel(sessions: DataFrame) -> DataFrame:
     small result, so no session row is repeated. A NULL group stays NULL.
     """
     dims = [column for _, column in BREAKDOWNS if column]
-    counts = {f"s{i}": f"count_if({flag or 'true'})" for i, (_, flag) in enumerate(STEPS)}
-    cells = sessions.groupBy(*dims).agg(*exprs(counts))
+    counts = {f"s{i}": sessions_sql(flag or "TRUE") for i, (_, flag) in enumerate(STEPS)}
+    cells = weighted(sessions).groupBy(*dims).agg(*exprs(counts))
     sets = cells.groupingSets([[F.col(column)] if column else [] for _, column in BREAKDOWNS], *[F.col(d) for d in dims]).agg(
         *exprs({f"no_{d}": f"grouping({d})" for d in dims}), *exprs({c: f"sum({c})" for c in counts}))
     # grouping() tells a NULL group from a rolled-up column.
@@ -78,7 +78,7 @@ def automatic_steps(funnel: DataFrame) -> DataFrame:
 
 def untracked_orders(sessions: DataFrame) -> DataFrame:
     """Ordering sessions that miss an earlier tracked step, so they count in conversion but not in the funnel."""
-    return (sessions.agg(F.expr("count_if(has_purchase) AS ordering_sessions"), F.expr("count_if(f_purchase) AS funnel_sessions"))
+    return (weighted(sessions).agg(*exprs({"ordering_sessions": sessions_sql("has_purchase"), "funnel_sessions": sessions_sql("f_purchase")}))
             .selectExpr("*", "ordering_sessions - funnel_sessions AS missing_a_step")
             .selectExpr("*", "try_divide(missing_a_step, ordering_sessions) AS share_missing"))
 
@@ -86,8 +86,8 @@ def untracked_orders(sessions: DataFrame) -> DataFrame:
 def checkout_by_device(sessions: DataFrame) -> DataFrame:
     """Of the sessions that began checkout, how many took each later step, per device."""
     later = {"added_delivery": "has_shipping", "added_payment": "has_payment", "purchased": "has_purchase"}
-    rows = (sessions.where("has_begin_checkout").groupBy("device_category")
-            .agg(F.expr("count(*) AS began_checkout"), *exprs({c: f"count_if({flag})" for c, flag in later.items()})))
+    rows = (weighted(sessions).where("has_begin_checkout").groupBy("device_category")
+            .agg(*exprs({"began_checkout": sessions_sql(), **{c: sessions_sql(flag) for c, flag in later.items()}})))
     return with_wilson(rows, "ci", "purchased", "began_checkout").selectExpr(
         "device_category", "began_checkout", *later, *[f"try_divide({c}, began_checkout) AS {c}_rate" for c in later],
         "ci.lo AS completion_lo", "ci.hi AS completion_hi")
@@ -104,13 +104,15 @@ def mobile_vs_desktop(checkout: DataFrame) -> DataFrame:
 
 
 def segments(sessions: DataFrame, rules=SEGMENTS) -> DataFrame:
-    """Overlapping segments in one scan: every rule is a conditional aggregate, so empty segments still appear."""
+    """Overlapping segments in one scan: every rule is a conditional aggregate, so empty segments still appear.
+
+    Rules may use every column of the table given: those of the cells, or of the sessions for any other rule."""
     parts = [F.struct(F.lit(i).alias("segment_order"), F.lit(name).alias("segment"), F.lit(rule).alias("definition"), *exprs({
-        "sessions": f"count_if({rule})",
-        "purchasing_sessions": f"count_if(({rule}) AND has_purchase)",
+        "sessions": sessions_sql(rule),
+        "purchasing_sessions": sessions_sql(f"({rule}) AND has_purchase"),
         "revenue_usd": total_sql(f"CASE WHEN {rule} THEN revenue_usd END"),
     })) for i, (name, rule) in enumerate(rules)]
-    rows = (sessions.agg(F.expr("count(*) AS total"), F.array(*parts).alias("parts"))
+    rows = (weighted(sessions).agg(F.expr(f"{sessions_sql()} AS total"), F.array(*parts).alias("parts"))
             .selectExpr("total", "inline(parts)"))
     return with_wilson(rows, "ci", "purchasing_sessions", "sessions").selectExpr(
         "segment_order", "segment", "definition", "sessions", "try_divide(sessions, total) AS share_of_sessions",

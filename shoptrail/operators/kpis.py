@@ -3,28 +3,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import exprs, total_sql, week_start
+from ..functions.columns import exprs, sessions_sql, total_sql, week_start, weighted
 from ..functions.stats import with_two_proportions
+from .cells import users_by_day
 
 PURCHASE_METRICS = ("purchase_events", "purchases_missing_id", "empty_purchase_events", "repeat_purchase_events",
                     "orders_without_id")
 
 
-def daily_kpis(sessions: DataFrame, purchases: DataFrame, calendar: DataFrame, timeline: DataFrame) -> DataFrame:
-    """One row per day with sessions. Session metrics use the session's day, purchase metrics the event's."""
-    visits = sessions.groupBy(F.col("session_date").alias("date")).agg(*exprs({
-        "sessions": "count(*)",
-        "users": "count(DISTINCT user_pseudo_id)",
-        "purchasing_sessions": "count_if(has_purchase)",
+def daily_kpis(sessions: DataFrame, purchases: DataFrame, calendar: DataFrame, timeline: DataFrame,
+               visitors: DataFrame | None = None) -> DataFrame:
+    """One row per day with sessions. Session metrics use the session's day, purchase metrics the event's. For cells of sessions
+    the users come from `visitors`, the bitmaps of the days."""
+    visits = weighted(sessions).groupBy(F.col("session_date").alias("date")).agg(*exprs({
+        "sessions": sessions_sql(),
+        "users": "count(DISTINCT user_pseudo_id)" if visitors is None else "0L",
+        "purchasing_sessions": sessions_sql("has_purchase"),
         "orders": "sum(orders)",
         "revenue_usd": total_sql("revenue_usd"),
-        "search_sessions": "count_if(has_search)",
-        "product_view_sessions": "count_if(has_view_item)",
-        "basket_sessions": "count_if(has_add_to_cart)",
-        "checkout_sessions": "count_if(has_begin_checkout)",
-        "checkout_completed": "count_if(has_begin_checkout AND has_purchase)",
-        "sessions_missing_start": "count_if(n_session_start = 0)",
+        "search_sessions": sessions_sql("has_search"),
+        "product_view_sessions": sessions_sql("has_view_item"),
+        "basket_sessions": sessions_sql("has_add_to_cart"),
+        "checkout_sessions": sessions_sql("has_begin_checkout"),
+        "checkout_completed": sessions_sql("has_begin_checkout AND has_purchase"),
+        "sessions_missing_start": sessions_sql("n_session_start = 0"),
     }))
+    if visitors is not None:
+        came = users_by_day(visitors).select(F.col("date").alias("day"), F.col("users").alias("came"))
+        visits = (visits.join(came, F.col("date").eqNullSafe(F.col("day")), "left")
+                  .withColumn("users", F.coalesce("came", F.lit(0))).drop("day", "came"))
     sent = purchases.groupBy(F.col("event_date").alias("date")).agg(*exprs({
         "purchase_events": "sum(n_events)",
         "purchases_missing_id": "sum(n_events) FILTER (WHERE NOT has_valid_id)",

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..contract import MONEY, MONEY_TOTAL, valid_id
-from ..functions.columns import exprs, one_row
+from ..functions.columns import exprs, one_row, sessions_sql, weighted
 
 PURCHASE_KEY = ("user_pseudo_id", "ga_session_id", "event_ts", "event_date", "transaction_id", "purchase_revenue_usd")
 
@@ -74,8 +74,8 @@ def order_summary(purchases: DataFrame, sessions: DataFrame) -> DataFrame:
         "orders": "coalesce(sum(n_orders), 0L)",
         "orders_without_id": "coalesce(sum(n_orders) FILTER (WHERE NOT has_valid_id), 0L)",
     }))
-    converted = sessions.agg(*exprs({
-        "conversion_orders": "try_divide(count_if(has_purchase), count(*))",
-        "conversion_raw_events": "try_divide(count_if(has_purchase_event), count(*))",
+    converted = weighted(sessions).agg(*exprs({
+        "conversion_orders": f"try_divide({sessions_sql('has_purchase')}, {sessions_sql()})",
+        "conversion_raw_events": f"try_divide({sessions_sql('has_purchase_event')}, {sessions_sql()})",
     }))
     return counted.withColumn("c", one_row(converted)).select("*", "c.*").drop("c")

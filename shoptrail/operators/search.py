@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import exprs, week_start
+from ..functions.columns import exprs, sessions_sql, week_start, weighted
 from ..functions.stats import standardised_difference, with_n_per_arm, with_two_proportions
+from .cells import user_days
 from .kpis import window_days
 
 # Attributes that are settled when a visit begins: searching cannot have changed them.
@@ -16,13 +17,13 @@ BOUGHT, SAW_PRODUCTS = "Bought within the week", "Saw products in a search sessi
 
 def search_cells(sessions: DataFrame) -> DataFrame:
     """Counts per stratum for searching and other sessions, NULL devices included."""
-    return sessions.groupBy(*STRATA).agg(*exprs({
-        "n_search": "count_if(has_search)",
-        "x_search": "count_if(has_search AND has_purchase)",
-        "n_other": "count_if(NOT has_search)",
-        "x_other": "count_if(NOT has_search AND has_purchase)",
-        "v_search": "count_if(has_search AND has_view_item)",
-        "v_other": "count_if(NOT has_search AND has_view_item)",
+    return weighted(sessions).groupBy(*STRATA).agg(*exprs({
+        "n_search": sessions_sql("has_search"),
+        "x_search": sessions_sql("has_search AND has_purchase"),
+        "n_other": sessions_sql("NOT has_search"),
+        "x_other": sessions_sql("NOT has_search AND has_purchase"),
+        "v_search": sessions_sql("has_search AND has_view_item"),
+        "v_other": sessions_sql("NOT has_search AND has_view_item"),
     }))
 
 
@@ -72,15 +73,15 @@ def search_verdict(summary: DataFrame) -> DataFrame:
 def experiment_sizing(sessions: DataFrame, trading_windows: DataFrame, lifts=LIFTS) -> DataFrame:
     """Users per arm and weeks of traffic for two candidate metrics, from the weeks marked for sizing.
 
-    The unit is a user's week. The sizing days are a short day list, so the range becomes a semi-join that drops
-    other sessions before the one shuffle.
+    The unit is a user's week, added up from the days of users, or from sessions. The sizing days are a short day list, so the
+    range becomes a semi-join that drops other rows before the one shuffle.
     """
     days = (window_days(trading_windows.where("role = 'sizing'"))
             .select(F.col("date").alias("session_date")).distinct())
-    user_weeks = (sessions.join(F.broadcast(days), "session_date", "left_semi")
+    came = sessions if "saw_products" in sessions.columns else user_days(sessions)
+    user_weeks = (came.join(F.broadcast(days), "session_date", "left_semi")
                   .groupBy(week_start(F.col("session_date")).alias("week_start"), "user_pseudo_id")
-                  .agg(*exprs({"searched": "bool_or(has_search)", "bought": "bool_or(has_purchase)",
-                               "saw_products": "bool_or(has_search AND has_view_item)"})))
+                  .agg(*exprs({c: f"bool_or({c})" for c in ("searched", "bought", "saw_products")})))
     weeks = user_weeks.groupBy("week_start").agg(*exprs({
         "searchers": "count_if(searched)", "buyers": "count_if(searched AND bought)", "viewers": "count_if(saw_products)"}))
     base = (weeks.agg(*exprs({"searchers": "sum(searchers)", "buyers": "sum(buyers)", "viewers": "sum(viewers)",

@@ -5,9 +5,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import exprs, ratio, total_sql
+from ..functions.columns import exprs, ratio, sessions_sql, total_sql, weighted
 from ..functions.skew import salted_join
 from ..functions.stats import with_wilson
+from .cells import distinct_users
 from .orders import session_orders
 
 SESSION_KEY = ("user_pseudo_id", "ga_session_id")
@@ -100,19 +101,22 @@ def sessions(events: DataFrame, purchases: DataFrame,
     return with_journey(keep(session_core(events, purchases)))
 
 
-def overview(sessions: DataFrame, n_events: DataFrame) -> DataFrame:
-    """One row of headline figures over `sessions`; `n_events` is a one-row frame counting all events."""
-    row = sessions.agg(*exprs({
+def overview(sessions: DataFrame, n_events: DataFrame, visitors: DataFrame | None = None) -> DataFrame:
+    """One row of headline figures over `sessions` or their cells; `n_events` is a one-row frame counting all events, `visitors` the
+    bitmaps of the same days, which cells need as they do not hold users."""
+    row = weighted(sessions).agg(*exprs({
         "first_day": "min(session_date)",
         "last_day": "max(session_date)",
-        "sessions": "count(*)",
-        "users": "count(DISTINCT user_pseudo_id)",
-        "purchasing_sessions": "count_if(has_purchase)",
+        "sessions": sessions_sql(),
+        **({} if visitors is not None else {"users": "count(DISTINCT user_pseudo_id)"}),
+        "purchasing_sessions": sessions_sql("has_purchase"),
         "orders": "coalesce(sum(orders), 0L)",
         "revenue_usd": total_sql("revenue_usd"),
-        "searching": "count_if(has_search)",
-        "engaged": "count_if(is_engaged)",
+        "searching": sessions_sql("has_search"),
+        "engaged": sessions_sql("is_engaged"),
     }))
+    if visitors is not None:
+        row = row.withColumn("users", distinct_users(visitors).scalar())
     row = with_wilson(row.withColumn("events", n_events.scalar()), "ci", "purchasing_sessions", "sessions")
     return row.selectExpr(
         "first_day", "last_day", "events", "sessions", "users", "purchasing_sessions", "orders", "revenue_usd",
@@ -124,7 +128,7 @@ def overview(sessions: DataFrame, n_events: DataFrame) -> DataFrame:
 
 def mix(sessions: DataFrame, column: str, top: int = 5) -> DataFrame:
     """The `top` largest groups of a column and their share of all sessions."""
-    groups = sessions.groupBy(F.col(column).alias("grp")).agg(F.count(F.lit(1)).alias("sessions"))
+    groups = weighted(sessions).groupBy(F.col(column).alias("grp")).agg(F.sum("n_sessions").alias("sessions"))
     # The total adds up the same groups, so both read one exchange and the sessions are scanned once.
     total = groups.agg(F.sum("sessions")).scalar()
     return (groups.orderBy(F.desc("sessions"), F.asc_nulls_last("grp")).limit(top)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..contract import JOURNEY_EVENTS, PLACEHOLDERS, valid_id
 
-from ..functions.columns import exprs, one_row, ratio, week_start
+from ..functions.columns import exprs, one_row, ratio, sessions_sql, week_start, weighted
 
 # An event counts as tracked on a day when its rate over the three days to that day is at least this share of typical.
 TRACKED_SHARE = 0.25
@@ -35,7 +35,7 @@ def tracking_timeline(sessions: DataFrame, profile: DataFrame) -> DataFrame:
         F.sum(F.when(name == "purchase", F.col("with_id"))).alias("purchases_with_id"),
         F.sum(F.when(name == "begin_checkout", F.col("with_items"))).alias("checkouts_with_items"))
     counts = [*JOURNEY_EVENTS, "purchases_with_id", "checkouts_with_items"]
-    days = (sessions.groupBy(F.col("session_date").alias("date")).agg(F.count(F.lit(1)).alias("sessions"))
+    days = (weighted(sessions).groupBy(F.col("session_date").alias("date")).agg(F.sum("n_sessions").alias("sessions"))
             .join(per_day, "date", "left").fillna(0, counts))
     # One row per day: the unpartitioned windows below hold the calendar, not the data. Both count days present.
     last_3, all_days = "(ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", Window.partitionBy()
@@ -76,8 +76,8 @@ def analysis_sessions(sessions: DataFrame, days: DataFrame) -> DataFrame:
 def analysis_summary(analysis: DataFrame, window: DataFrame, gate: DataFrame) -> DataFrame:
     """One row describing the analysis window."""
     held = gate.where("held").agg(F.array_join(F.array_sort(F.collect_list("week")), ", ").alias("weeks"))
-    return (analysis.agg(F.min("session_date").alias("first_day"), F.max("session_date").alias("last_day"),
-                         F.count(F.lit(1)).alias("sessions"))
+    return (weighted(analysis).agg(F.min("session_date").alias("first_day"), F.max("session_date").alias("last_day"),
+                                   F.expr(sessions_sql()).alias("sessions"))
             .withColumn("w", one_row(window)).withColumn("excluded_weeks", held.scalar())
             .select("w.start", "w.detected", "first_day", "last_day", "sessions", "excluded_weeks"))
 

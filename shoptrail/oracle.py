@@ -489,6 +489,12 @@ QUERIES: dict[str, str] = {
     "sessions": pick("ses", SESSION_COLS, "revenue_usd"),
     "prior_purchaser": """SELECT s.user_pseudo_id, s.ga_session_id, EXISTS (SELECT 1 FROM ses AS e
   WHERE e.user_pseudo_id = s.user_pseudo_id AND e.has_purchase AND e.start_ts < s.start_ts) AS prior_purchaser FROM ses AS s""",
+    "session_cells": f"""SELECT session_date, device_category, user_type, medium_group, prior_purchaser, has_search, is_engaged, {', '.join(c for c, _ in _HAS)},
+  has_purchase, least(n_session_start, 2) AS n_session_start, {', '.join(_NESTED)}, count(*) AS n_sessions, {big('sum(orders)')} AS orders,
+  {r6(cents('revenue_usd'))} AS revenue_usd FROM ses GROUP BY ALL""",
+    "users_by_day": "SELECT session_date AS date, count(DISTINCT user_pseudo_id) AS users FROM ses GROUP BY 1",
+    "users_by_week": """SELECT CAST(date_trunc('week', session_date) AS DATE) AS week_start, count(DISTINCT user_pseudo_id) AS users,
+  count(DISTINCT session_date) AS days FROM ses GROUP BY 1""",
     "overview": pick("ov", *OVERVIEW),
     "window_overview": pick("ovw", *OVERVIEW),
     "device_mix": mix("device_category"),

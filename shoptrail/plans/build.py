@@ -29,7 +29,7 @@ def marts(ws: Workspace) -> dict[str, DataFrame]:
         "funnel": ws.funnel,
         "search_strata": search.search_strata(ws.search_cells),
         "checkout_by_device": ws.checkout,
-        "segments": journey.segments(ws.analysis),
+        "segments": journey.segments(ws.analysis_cells),
         "daily_kpis": ws.daily,
         "trading_windows": kpis.compare_windows(ws.daily, ws.tables.trading_windows, ws.gate, ws.window),
     }
@@ -60,15 +60,15 @@ def results_document(ws: Workspace, written: dict[str, DataFrame]) -> DataFrame:
     def shares(column: str, source: DataFrame) -> Column:
         return rows(sessions.mix(source, column))
 
-    def described(totals: DataFrame, source: DataFrame) -> Column:
+    def described(totals: DataFrame, source: DataFrame, countries: DataFrame) -> Column:
         return F.struct(one_row(totals).alias("totals"), shares("device_category", source).alias("device_mix"),
-                        shares("country", source).alias("country_mix"), shares("medium_group", source).alias("channel_mix"))
+                        shares("country", countries).alias("country_mix"), shares("medium_group", source).alias("channel_mix"))
 
     summary = search.search_vs_intent(ws.search_cells)
     parts = {
-        "overview": described(ws.overview, ws.sessions),
-        "window": one_row(tracking.analysis_summary(ws.analysis, ws.window, ws.gate)),
-        "window_overview": described(ws.window_overview, ws.analysis),
+        "overview": described(ws.overview, ws.cells, ws.country_days),
+        "window": one_row(tracking.analysis_summary(ws.analysis_cells, ws.window, ws.gate)),
+        "window_overview": described(ws.window_overview, ws.analysis_cells, ws.in_analysis(ws.country_days)),
         "orders": one_row(ws.order_summary),
         "revenue_gap": one_row(ws.revenue_gap),
         "held_weeks": rows(weekly.held_weeks(ws.gate), "week"),

@@ -5,7 +5,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import audit, journey, kpis, orders, search, sessions, tracking, weekly
+from ..operators import audit, cells, journey, kpis, orders, search, sessions, tracking, weekly
 from .stages import Stages
 
 
@@ -41,6 +41,24 @@ class Workspace:
     def sessions(self) -> DataFrame:
         return self._keep(sessions.with_journey(self.session_core), "sessions")
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Sessions added up by day and every attribute the reports use."""
+        return self._keep(cells.session_cells(self.sessions), "session_cells")
+
+    @cached_property
+    def country_days(self) -> DataFrame:
+        return self._keep(cells.country_days(self.sessions), "country_days")
+
+    @cached_property
+    def user_days(self) -> DataFrame:
+        return self._keep(cells.user_days(self.sessions), "user_days")
+
+    @cached_property
+    def visitors(self) -> DataFrame:
+        """The users of each day as bitmaps."""
+        return self._keep(cells.visitor_bitmaps(self.user_days, cells.user_numbers(self.user_days, self._keep)), "visitor_bitmaps")
+
     @cached_property
     def profile(self) -> DataFrame:
         """Event counts per day and name; the only event scan the timeline, audit and coverage need."""
@@ -48,12 +66,12 @@ class Workspace:
 
     @cached_property
     def timeline(self) -> DataFrame:
-        return self._keep(tracking.tracking_timeline(self.sessions, self.profile), "timeline")
+        return self._keep(tracking.tracking_timeline(self.cells, self.profile), "timeline")
 
     @cached_property
     def daily(self) -> DataFrame:
         return self._keep(
-            kpis.daily_kpis(self.sessions, self.purchases, self.tables.calendar, self.timeline), "daily_kpis")
+            kpis.daily_kpis(self.cells, self.purchases, self.tables.calendar, self.timeline, self.visitors), "daily_kpis")
 
     @cached_property
     def weekly(self) -> DataFrame:
@@ -76,6 +94,14 @@ class Workspace:
         """Sessions inside the journey window and outside held weeks."""
         return tracking.analysis_sessions(self.sessions, self.analysis_days)
 
+    def in_analysis(self, table: DataFrame) -> DataFrame:
+        """The rows of a table by session day that analyses may use."""
+        return tracking.analysis_sessions(table, self.analysis_days)
+
+    @property
+    def analysis_cells(self) -> DataFrame:
+        return self.in_analysis(self.cells)
+
     @cached_property
     def pairs(self) -> DataFrame:
         return self._keep(audit.revenue_pairs(self.purchases, self.tables.items), "revenue_pairs")
@@ -87,7 +113,7 @@ class Workspace:
     @cached_property
     def scorecard(self) -> DataFrame:
         return self._keep(audit.audit_scorecard(
-            self.spark, self.profile, self.sessions, self.purchases, self.pairs, self.coverage), "audit_scorecard")
+            self.spark, self.profile, self.cells, self.purchases, self.pairs, self.coverage), "audit_scorecard")
 
     @cached_property
     def revenue_gap(self) -> DataFrame:
@@ -95,31 +121,31 @@ class Workspace:
 
     @cached_property
     def overview(self) -> DataFrame:
-        return self._keep(sessions.overview(self.sessions, self.n_events), "overview")
+        return self._keep(sessions.overview(self.cells, self.n_events, self.visitors), "overview")
 
     @cached_property
     def window_overview(self) -> DataFrame:
-        return self._keep(sessions.overview(self.analysis, self.n_events), "window_overview")
+        return self._keep(sessions.overview(self.analysis_cells, self.n_events, self.in_analysis(self.visitors)), "window_overview")
 
     @cached_property
     def order_summary(self) -> DataFrame:
-        return self._keep(orders.order_summary(self.purchases, self.analysis), "order_summary")
+        return self._keep(orders.order_summary(self.purchases, self.analysis_cells), "order_summary")
 
     @cached_property
     def funnel(self) -> DataFrame:
-        return self._keep(journey.funnel(self.analysis), "funnel")
+        return self._keep(journey.funnel(self.analysis_cells), "funnel")
 
     @cached_property
     def search_cells(self) -> DataFrame:
-        return self._keep(search.search_cells(self.analysis), "search_cells")
+        return self._keep(search.search_cells(self.analysis_cells), "search_cells")
 
     @cached_property
     def checkout(self) -> DataFrame:
-        return self._keep(journey.checkout_by_device(self.analysis), "checkout_by_device")
+        return self._keep(journey.checkout_by_device(self.analysis_cells), "checkout_by_device")
 
     @cached_property
     def sizing(self) -> DataFrame:
-        return self._keep(search.experiment_sizing(self.analysis, self.tables.trading_windows), "experiment_sizing")
+        return self._keep(search.experiment_sizing(self.in_analysis(self.user_days), self.tables.trading_windows), "experiment_sizing")
 
     @property
     def n_events(self) -> DataFrame:

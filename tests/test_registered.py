@@ -48,4 +48,4 @@ def test_anchors_of_the_mapping(ws):
     flags = ["f_view_item", "f_add_to_cart", "f_checkout", "f_shipping", "f_payment", "f_purchase", "has_purchase"]
     assert [ws.sessions.where(f).count() for f in flags] == [298, 172, 102, 102, 56, 38, 42]
     assert ws.sessions.where("has_purchase AND NOT has_begin_checkout").count() == 1
-    assert [ws.sessions.where(c).count() for c in ("n_session_start = 0", "n_session_start > 1", "device_category IS NULL")] == [15, 9, 24]
+    assert [ws.sessions.where(c).count() for c in ("n_session_start = 0", "n_session_start > 1", "device_category IS NULL")] == [5, 2, 24]
