@@ -181,7 +181,7 @@ def compared(texts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(named: DataFrame, length: int) -> DataFrame:
-    """(id, runs): the ranges of bytes of each document that go, as an array of (lo, hi)."""
+    """(id, spans): the repeats of each document, as an array of (start of a span, runs of windows in it)."""
     found = stage(spans(named, length), "spans")
     again = found.groupBy("key").agg(F.sum("places").alias("n")).filter("n > 1").select("key")
     found = stage(found.join(again, "key"), "spans-again")
@@ -201,10 +201,17 @@ def repeated(named: DataFrame, length: int) -> DataFrame:
         "s.parts"), "span-texts")
     marked = (whole.union(ordered(texts.filter("parts = 0").drop("parts"), length))
               .union(compared(texts.filter("parts > 0"), length)))
-    marked = stage(marked, "repeats")
-    return (found.join(marked, ["key", "digest"])
-            .select("id", F.struct((F.col("start") + F.col("a")).alias("lo"), (F.col("start") + F.col("z") + length - 1).alias("hi")).alias("run"))
-            .groupBy("id").agg(F.collect_set("run").alias("runs")))
+    # one row for each different span, so that the join gives one row for each span, however its repeats were found
+    runs_ = marked.groupBy("key", "digest").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("runs"))
+    runs_ = stage(runs_.select("key", "digest", F.expr(MERGED).alias("runs")), "repeats")
+    return (found.join(runs_, ["key", "digest"]).groupBy("id").agg(F.collect_set(F.struct("start", "runs")).alias("spans")))
+
+
+#: Sorted runs with those joined that meet.
+MERGED = """aggregate(runs, cast(array() AS array<struct<a: bigint, z: bigint>>), (done, r) -> CASE
+    WHEN size(done) > 0 AND r.a <= element_at(done, -1).z
+    THEN concat(slice(done, 1, size(done) - 1), array(named_struct('a', element_at(done, -1).a, 'z', greatest(element_at(done, -1).z, r.z))))
+    ELSE concat(done, array(r)) END)"""
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -214,9 +221,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, gone = [], []
-            for text, ranges in zip(batch.column(1), batch.column(2).to_pylist()):
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
                 data, parts, cuts, at = text.as_py(), [], [], 0
-                for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or []):
+                ranges = [(s["start"] + r["a"], s["start"] + r["z"] + length - 1) for s in spans or [] for r in s["runs"]]
+                for lo, hi in sorted(ranges):
                     if cuts and lo <= cuts[-1][1]:
                         cuts[-1][1] = max(cuts[-1][1], hi)
                     else:
@@ -229,7 +237,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64()),
                                               pa.array(gone, kind)], names=["doc_id", "kept", "n_bytes", "spans"])
-    rows = named.join(repeated(named, length), "id", "left").select("doc_id", "text", "runs")
+    rows = named.join(repeated(named, length), "id", "left").select("doc_id", "text", "spans")
     made = rows.mapInArrow(keep, f"doc_id {dict(docs.dtypes)['doc_id']}, kept binary, n_bytes long, spans array<struct<lo: long, hi: long>>")
     return made.withColumn("n_removed", F.col("n_bytes") - F.octet_length("kept"))
 
