@@ -26,7 +26,7 @@ NESTED_STEPS = {"f_view_item": "has_view_item", "f_add_to_cart": "has_add_to_car
                 "f_shipping": "has_shipping", "f_payment": "has_payment", "f_purchase": "has_purchase"}
 
 
-def _slices(events: DataFrame) -> DataFrame:
+def slices(events: DataFrame) -> DataFrame:
     """Events of a session that agree on day, device, country and medium, merged.
 
     Almost every session has one or two slices. The event rows are merged here, map side, by a hash aggregate whose
@@ -50,9 +50,9 @@ def _first_known(column: str) -> str:
     return f"min(struct(first_ts, {column})) FILTER (WHERE {column} IS NOT NULL AND first_ts IS NOT NULL).{column}"
 
 
-def session_core(events: DataFrame, purchases: DataFrame) -> DataFrame:
-    """One row per session: first-touch attributes, counts, step flags, orders and revenue."""
-    merged = _slices(events).groupBy(*SESSION_KEY).agg(*exprs({
+def merge_slices(parts: DataFrame) -> DataFrame:
+    """One row per session from its slices: first-touch attributes, counts, the bits of its step events, and the days it reaches over."""
+    return parts.groupBy(*SESSION_KEY).agg(*exprs({
         "start_ts": "min(first_ts)",
         "session_date": _first_known("event_date"),
         "device_category": _first_known("device_category"),
@@ -62,7 +62,18 @@ def session_core(events: DataFrame, purchases: DataFrame) -> DataFrame:
         **{column: f"sum({column})" for column in COUNTED_EVENTS},
         "engaged": "bool_or(engaged)",
         "steps": "bit_or(steps)",
+        "first_day": "min(event_date)",
+        "last_day": "max(event_date)",
     }))
+
+
+def session_core(events: DataFrame, purchases: DataFrame) -> DataFrame:
+    """One row per session: first-touch attributes, counts, step flags, orders and revenue."""
+    return with_orders(merge_slices(slices(events)).drop("first_day", "last_day"), purchases)
+
+
+def with_orders(merged: DataFrame, purchases: DataFrame) -> DataFrame:
+    """Merged sessions with their step flags, orders and revenue."""
     flags = {column: f"steps & {1 << i} <> 0" for i, column in enumerate(STEP_EVENTS)}
     own = [c for c in merged.columns if c != "steps"]
     return (merged.join(session_orders(purchases), list(SESSION_KEY), "left")

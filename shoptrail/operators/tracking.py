@@ -73,6 +73,15 @@ def analysis_sessions(sessions: DataFrame, days: DataFrame) -> DataFrame:
     return sessions.join(F.broadcast(days.withColumnRenamed("date", "session_date")), "session_date", "left_semi")
 
 
+def analysis_event_counts(events: DataFrame, daily: DataFrame, gate: DataFrame) -> DataFrame:
+    """Per event name: events and days in the analysis window. From a table stored by day only the window's days are read: its day
+    list, known when the query runs, prunes the partitions."""
+    days = (daily.where("journey_tracked AND sessions > 0").withColumn("week_start", week_start(F.col("date")))
+            .join(F.broadcast(gate.where("held").select("week_start")), "week_start", "left_anti").select(F.col("date").alias("event_date")))
+    return (events.join(F.broadcast(days), "event_date", "left_semi").groupBy("event_name")
+            .agg(*exprs({"events": "count(*)", "days": "count(DISTINCT event_date)", "no_session": "count_if(ga_session_id IS NULL)"})))
+
+
 def analysis_summary(analysis: DataFrame, window: DataFrame, gate: DataFrame) -> DataFrame:
     """One row describing the analysis window."""
     held = gate.where("held").agg(F.array_join(F.array_sort(F.collect_list("week")), ", ").alias("weeks"))

@@ -591,6 +591,56 @@ QUERIES: dict[str, str] = {
  FROM ov, asum, os, ovw, sv LEFT JOIN bd ON true LEFT JOIN md ON true""",
 }
 
+QUERIES["ordered_before"] = QUERIES["prior_purchaser"]
+QUERIES["sessions_by_state"] = QUERIES["sessions"]
+QUERIES["stored_event_profile"] = """SELECT event_date AS date, event_name, count(*) AS n, count(*) FILTER (WHERE ga_session_id IS NULL) AS no_session,
+  count(*) FILTER (WHERE n_items > 0) AS with_items, count(*) FILTER (WHERE n_items > 5) AS many_items, count(*) FILTER (WHERE COALESCE(transaction_id, '') NOT IN ('', '(not set)')) AS with_id,
+  count(*) FILTER (WHERE purchase_revenue_usd > 0) AS with_revenue, count(*) FILTER (WHERE COALESCE(search_term, '') = '') AS no_term,
+  count(*) FILTER (WHERE search_term IN ('<Other>', '(not set)', '(data deleted)', '<obfuscated>')) AS placeholder_term,
+  count(*) FILTER (WHERE COALESCE(page_location, '') = '') AS no_location FROM ev GROUP BY ALL"""
+QUERIES["analysis_event_counts"] = """SELECT event_name, count(*) AS events, count(DISTINCT event_date) AS days, count(*) FILTER (WHERE ga_session_id IS NULL) AS no_session
+ FROM ev WHERE event_date IN (SELECT date FROM dk WHERE journey_tracked)
+  AND CAST(date_trunc('week', event_date) AS DATE) NOT IN (SELECT week_start FROM gt WHERE held) GROUP BY 1"""
+
+
+def _object(query: str) -> str:
+    return f"(SELECT to_json(t) FROM ({query}) AS t)"
+
+
+def _list(query: str, order: str) -> str:
+    return f"(SELECT to_json(list(t ORDER BY {order})) FROM ({query}) AS t)"
+
+
+def _described(totals: str, table: str) -> str:
+    mixes = ", ".join(f"{name}_mix := " + _list(mix(column).replace("FROM ana", f"FROM {table}"), 'sessions DESC, "group"')
+                      for name, column in (("device", "device_category"), ("country", "country"), ("channel", "medium_group")))
+    return f"struct_pack(totals := {_object(QUERIES[totals])}, {mixes})"
+
+
+_DOCUMENT = {
+    "overview": _described("overview", "ses"),
+    "window": _object(QUERIES["analysis_sessions_summary"]),
+    "window_overview": _described("window_overview", "ana"),
+    "orders": _object(QUERIES["order_summary"]),
+    "revenue_gap": _object(QUERIES["revenue_gap"]),
+    "held_weeks": _list(QUERIES["held_weeks"], "week"),
+    "audit": _list(QUERIES["audit_scorecard"], "check_order"),
+    "funnel_overall": _list(f"SELECT * FROM ({QUERIES['funnel']}) WHERE breakdown = 'overall'", "step_order"),
+    "biggest_drop": _object(QUERIES["biggest_drop"]),
+    "search": _object(QUERIES["search_vs_intent"]),
+    "search_verdict": _object(QUERIES["search_verdict"]),
+    "follow_up": _list(QUERIES["experiment_sizing"], "metric_order, relative_lift"),
+    "checkout": _object(QUERIES["checkout_mobile_vs_desktop"]),
+    "windows": _list(QUERIES["trading_windows"], '"start", "window"'),
+    "segments": _list(QUERIES["segments"], "segment_order"),
+}
+QUERIES["results_document"] = f"""SELECT substr(fullkey, 3) AS path,
+  CASE type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind,
+  CASE WHEN type IN ('BOOLEAN', 'VARCHAR') THEN atom ->> '$' END AS text,
+  CASE WHEN type NOT IN ('NULL', 'BOOLEAN', 'VARCHAR', 'OBJECT', 'ARRAY') THEN round(CAST(atom AS DOUBLE), 6) END AS number
+ FROM (SELECT to_json(struct_pack({', '.join(f'"{k}" := {v}' for k, v in _DOCUMENT.items())})) AS j) AS whole, json_tree(whole.j)
+ WHERE type NOT IN ('OBJECT', 'ARRAY') AND COALESCE(key, '') NOT IN ('check_order', 'segment_order')"""
+
 
 def sql(query: str) -> str:
     """The query with the shared tables it needs, directly or through others."""

@@ -1,11 +1,15 @@
 """The full build: every mart and the results document, from one workspace."""
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import one_row
 from ..operators import journey, kpis, search, sessions, tracking, weekly
-from .workspace import Workspace
+
+if TYPE_CHECKING:
+    from .workspace import Workspace
 
 # Mart -> the order of its rows; columns marked with * only carry that order and are dropped.
 MARTS = {

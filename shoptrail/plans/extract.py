@@ -1,33 +1,24 @@
-"""Nested export -> flat tables by day. Running some days again replaces those days only."""
+"""Nested export -> flat tables by day. Running some days again replaces those days only, in all tables at once."""
 from __future__ import annotations
 
 import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources import export, tables
-
-
-def _days(df: DataFrame) -> set[dt.date]:
-    """The days of a table; at most as many as the calendar has."""
-    return {r[0] for r in df.select("event_date").distinct().collect() if r[0] is not None}
+from ..sources import export
+from ..sources.days import replace_days
 
 
 def extract(nested: DataFrame, out: str, first: dt.date | None = None, last: dt.date | None = None) -> None:
     """Write `events`, `items` and `param_inventory` below `out`, each partitioned by day.
 
-    The days run are those from `first` to `last`, if both are given, and all days of the input. A table that has no rows
-    for such a day loses what an earlier run wrote for it.
+    The days run are those from `first` to `last`, if both are given, and else all days of the input, which every event has. A
+    table that has no rows for such a day loses what an earlier run wrote for it. Readers see the tables of the last run that
+    ended.
     """
-    spark = nested.sparkSession
     given = export.in_days(nested, first, last)
-    run = _days(given.select(F.to_date("event_date", "yyyyMMdd").alias("event_date")))
-    if first and last:
-        run |= {first + dt.timedelta(days=i) for i in range((last - first).days + 1)}
-    inventory = export.param_inventory(given, per_day=True)
-    for name, table in (("events", export.flatten_events(given)), ("items", export.flatten_items(given))):
-        tables.write_days(table, f"{out}/{name}")
-        tables.drop_days(spark, f"{out}/{name}", sorted(run - _days(table)))
-    (inventory.repartition("event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("event_date").parquet(f"{out}/param_inventory"))
-    tables.drop_days(spark, f"{out}/param_inventory", sorted(run - _days(inventory)))
+    days = {first + dt.timedelta(days=i) for i in range((last - first).days + 1)} if first and last else None
+    tables = {"events": export.flatten_events(given), "items": export.flatten_items(given),
+              "param_inventory": export.param_inventory(given, per_day=True)}
+    # A row without a day belongs to no partition a run could replace.
+    replace_days(nested.sparkSession, out, {n: t.where(F.col("event_date").isNotNull()) for n, t in tables.items()}, days)

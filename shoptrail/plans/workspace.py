@@ -1,12 +1,18 @@
 """The shared tables of one export and the order they depend on each other."""
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import audit, cells, journey, kpis, orders, search, sessions, tracking, weekly
+from ..sources.days import resolve
+from ..sources.inputs import FlatInputs
+from . import build
+from .extract import extract
 from .stages import Stages
+from .state import SessionState
 
 
 def use_utc(spark: SparkSession) -> None:
@@ -14,6 +20,12 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def state_days(events: DataFrame) -> tuple[dt.date, dt.date, dt.date]:
+    """The first and last day of the events, and a day in between."""
+    first, last = events.agg(F.min("event_date"), F.max("event_date")).first()
+    return first, last, first + dt.timedelta(days=(last - first).days // 3)
+
+
 class Workspace:
     """Shared tables over the flat inputs, each built on first use and stored as a stage table.
 
@@ -102,6 +114,32 @@ class Workspace:
     def analysis_cells(self) -> DataFrame:
         return self.in_analysis(self.cells)
 
+    @cached_property
+    def stored(self) -> FlatInputs:
+        """The flat tables as the daily extraction writes them, read back through their manifest. Needs a workspace on an export."""
+        raw = f"{self.stages.root}/raw"
+        if not resolve(self.spark, f"{raw}/events"):
+            extract(self.tables.nested, raw)
+        return FlatInputs(self.spark, raw, f"{self.stages.root}/reference")
+
+    @cached_property
+    def state(self) -> SessionState:
+        """Sessions as stored states: all days loaded with a week lacking its purchases and every third user, and that week run again."""
+        state = SessionState(self.spark, f"{self.stages.root}/state", self.stages)
+        if not state.store.versions():
+            first, last, again = state_days(self.tables.events)
+            week = F.col("event_date").between(F.lit(again), F.lit(again + dt.timedelta(days=6)))
+            state.update(self.tables.events.where(~(week & F.expr("event_name = 'purchase' OR crc32(user_pseudo_id) % 3 = 0"))), first, last)
+            state.update(self.tables.events, again, again + dt.timedelta(days=6))
+        return state
+
+    @cached_property
+    def document(self) -> DataFrame:
+        """The results document of the build, written and read back."""
+        out = f"{self.stages.root}/build"
+        build.build(self, out)
+        return self.spark.read.text(f"{out}/results.json", wholetext=True)
+
     @cached_property
     def pairs(self) -> DataFrame:
         return self._keep(audit.revenue_pairs(self.purchases, self.tables.items), "revenue_pairs")

@@ -57,6 +57,12 @@ def trading_windows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(WINDOW_ROWS, TRADING_WINDOWS)
 
 
+def write_reference(spark: SparkSession, folder: str) -> None:
+    """The two reference tables as CSV."""
+    for name, table in (("calendar", calendar(spark)), ("trading_windows", trading_windows(spark))):
+        table.coalesce(1).write.mode("overwrite").csv(f"{folder}/{name}.csv", header=True)
+
+
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k -> its nine products in order. 100 rows of nine: k is two digits and a basket has at most nine lines."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

@@ -7,6 +7,7 @@ from shoptrail.contract import CALENDAR, EVENTS, EXPORT, INVENTORY, ITEMS, Contr
 from shoptrail.plans.extract import extract
 from shoptrail.plans.workspace import Workspace
 from shoptrail.sources import export, tables
+from shoptrail.sources import days
 from shoptrail.sources.inputs import FlatInputs
 
 
@@ -196,3 +197,69 @@ def test_flat_inputs_feed_a_workspace(spark, nested, tmp_path):
     ws = Workspace(spark, FlatInputs(spark, raw, str(ref)))
     r = ws.daily.first()
     assert (r.date, r.sessions, r.calendar_label) == (dt.date(2020, 12, 1), 2, "Giving Tuesday")
+
+
+def test_a_run_that_dies_between_tables_changes_nothing(spark, nested, tmp_path, monkeypatch):
+    out, day = str(tmp_path / "raw"), dt.date(2020, 12, 2)
+    extract(nested, out)
+    read = lambda name, schema: sorted(map(str, tables.read_table(spark, f"{out}/{name}", schema, name).collect()))
+    before = read("events", EVENTS), read("items", ITEMS)
+    again = nested.withColumn("event_name", F.lit("changed"))
+    write = days.DayTables.write
+
+    def dies(self, table, rows, run):
+        if table == "items":
+            raise RuntimeError("lost")
+        return write(self, table, rows, run)
+    monkeypatch.setattr(days.DayTables, "write", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        extract(again, out, day, day)
+    assert (read("events", EVENTS), read("items", ITEMS)) == before
+    monkeypatch.undo()
+    extract(again, out, day, day)
+    events = tables.read_table(spark, f"{out}/events", EVENTS, "events")
+    assert events.where("event_name = 'changed'").count() == events.where(F.col("event_date") == day).count() > 0
+    # what the dead run left is gone: a plain reader sees the same rows
+    assert spark.read.parquet(f"{out}/events").count() == events.count()
+
+
+def test_of_two_runs_at_a_time_one_raises(spark, nested, tmp_path):
+    out = str(tmp_path / "raw")
+    extract(nested, out)
+    store = days.DayTables(spark, out)
+    version, now = store.current()
+    store.switch(version, now)
+    with pytest.raises(days.ConcurrentRunError):
+        store.switch(version, now)
+    assert store.current() == (version + 1, now)
+
+
+def test_a_folder_without_a_manifest_is_not_written_over(spark, nested, tmp_path):
+    export.flatten_events(nested).write.partitionBy("event_date").parquet(f"{tmp_path}/events")
+    with pytest.raises(ValueError, match="without a manifest"):
+        extract(nested, str(tmp_path))
+
+
+@pytest.mark.parametrize("text, shown", (("date,label\n2024-13-45,x\n", "2024-13-45"), ("date,label\nnot a date,x\n", "not a date"),
+                                         ("date,label\n2024-01-01\n", "2024-01-01"), ("label,date\nx,2024-01-01\n", "label"),
+                                         ("date,label\n2024-01-01,a,b\n", "2024-01-01,a,b")))
+def test_lines_of_reference_files_that_do_not_fit_are_shown(spark, tmp_path, text, shown):
+    (tmp_path / "calendar.csv").write_text(text)
+    with pytest.raises(ContractError, match=shown):
+        tables.read_calendar(spark, str(tmp_path / "calendar.csv"))
+
+
+def test_reference_files_that_fit(spark, tmp_path):
+    (tmp_path / "calendar.csv").write_text('date,label\n2024-01-01,"New Year, a holiday"\n2024-01-02,x\n')
+    assert [r.label for r in tables.read_calendar(spark, str(tmp_path / "calendar.csv")).collect()] == ["New Year, a holiday", "x"]
+
+
+def test_every_file_is_looked_at(spark, tmp_path):
+    """One file of many lacks a column, another holds a different type; the first one is right."""
+    path = str(tmp_path / "raw" / "calendar")
+    for i, table in enumerate(("SELECT DATE '2024-01-01' AS date, 'a' AS label", "SELECT DATE '2024-01-02' AS date", "SELECT '2024-01-03' AS date, 'c' AS label")):
+        spark.sql(table).write.mode("append").parquet(path)
+    found = {(r.column, r.fault) for r in tables.drift(spark, [path], CALENDAR).collect()}
+    assert found == {("label", "missing"), ("date", "is string")}
+    with pytest.raises(ContractError):
+        tables.read_table(spark, path, CALENDAR, "calendar")
