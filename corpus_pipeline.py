@@ -1,4 +1,9 @@
-"""The corpus pipeline: STAGES are applied one after the other, each to the written result of the one before."""
+"""The corpus pipeline: STAGES are applied one after the other, each to the written result of the one before.
+
+Defined cases: documents with a null text count as empty ones and are judged like any other; a null doc_id, lang, source or n_chars is
+kept as it is; of repeated rows, and of rows with equal texts, one stays (that with the smallest doc_id, null ones last); rows that share a
+doc_id but not their text are documents of their own; very long texts go through whole; columns beyond those of documents stay up to packing, whatever
+their names; an empty table gives an empty one, and without labels no document is told from another (all scores are 0.5, so none stays)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
