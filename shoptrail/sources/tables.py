@@ -75,6 +75,12 @@ def drift(spark: SparkSession, places: Sequence[str], contract: T.StructType, ba
     return files.mapInArrow(look, "file string, column string, fault string")
 
 
+def drift_by_day(spark: SparkSession, path: str, contract: T.StructType) -> DataFrame:
+    """(event_date, column, fault, files) of a table stored by day: which days' files lack a column or hold another type."""
+    day = F.regexp_extract("file", "event_date=([0-9-]+)", 1).cast("date")
+    return drift(spark, [path], contract).groupBy(day.alias("event_date"), "column", "fault").agg(F.count(F.lit(1)).alias("files"))
+
+
 def read_or_empty(spark: SparkSession, path: str, contract: T.StructType, what: str) -> DataFrame:
     """As read_table, but no rows are no error: an export without a single parameter has an empty inventory."""
     try:
