@@ -7,9 +7,9 @@ within the part: int64 each but the magic), doc_ids int64, null flags uint8, tok
 expansion lengths uint32, symbols uint16, crc32 uint32 of all before. Ids below the first rule's symbol are themselves; rule
 k is symbol first + k, and refers to smaller symbols only.
 
-Method: each round counts all neighbouring pairs, takes those of at least `least` occurrences, most frequent first, as long
-as symbols are left, and replaces them from left to right; rounds follow until none is that frequent (or the round limit is
-met; a limit leaves the file larger, never different in content).
+Method: each round counts all neighbouring pairs, takes those that are at least 1/SPREAD as frequent as the most frequent one,
+most frequent first, and replaces them from left to right. Rounds follow until no symbol is free or no pair pays for its
+rule: a rule takes RULE bytes and saves a symbol of two bytes at each occurrence.
 
 Defined cases: a null text is an empty one, with its end id; null doc_ids come first; rows of equal doc_id are ordered by
 their text; a document longer than a shard has a shard of its own; no rows, no files.
@@ -33,7 +33,9 @@ MAGIC = b"RPG1"
 END = 1
 IDS = 49408            # ids of the vocabulary; the rest of 16 bits is for rules
 SHARD = 1 << 20        # ids after which a shard is closed
-LEAST, ROUNDS = 200, 4  # occurrences that a pair needs, and rounds
+RULE = 8               # bytes of a rule and its length
+LEAST = RULE // 2 + 1  # occurrences from which a pair pays
+SPREAD = 128           # how much rarer than the most frequent pair those may be that are taken in the same round
 HEAD = struct.Struct("<4s5q")
 
 
@@ -41,46 +43,52 @@ class Broken(ValueError):
     """A file that does not keep the format."""
 
 
-def replace(x: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """x with the pairs that start at pair[i] >= 0 replaced by that symbol; of overlapping ones the left one."""
-    hit = pair >= 0
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return x
+def apart(at: np.ndarray) -> np.ndarray:
+    """Of places of pairs, sorted, those that do not overlap; of overlapping ones the left one."""
     run = np.concatenate(([True], np.diff(at) > 1))
     start = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-    at = at[(at - start) % 2 == 0]
-    out = x.copy()
-    out[at] = pair[at]
-    return np.delete(out, at + 1)
+    return (at - start) % 2 == 0
 
 
-def grammar(ids: np.ndarray, first: int = IDS, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols) of ids: rules is a table of pairs, symbols what is left."""
-    x, rules = ids.astype(np.int32), np.empty((0, 2), np.int32)
-    for _ in range(rounds):
+def paying(at: np.ndarray, pair: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """at and pair of the replacements: places of pairs, sorted, and their numbers below n. Pairs that overlap with others so often
+    that fewer than `least` places are left to them are given up for this round."""
+    take = apart(at)
+    at, pair = at[take], pair[take]
+    good = (np.bincount(pair, minlength=n) >= least)[pair]
+    return at[good], pair[good]
+
+
+def grammar(ids: np.ndarray, first: int = IDS, least: int = LEAST, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols) of ids: rules is a table of pairs, symbols what is left. rounds: None for as many as there are."""
+    x, rules, done = ids.astype(np.int32), np.empty((0, 2), np.int32), 0
+    while done != rounds:
+        done += 1
         room = (1 << 16) - first - len(rules)
         if len(x) < 2 or room <= 0:
             break
         key = (x[:-1].astype(np.uint32) << np.uint32(16)) | x[1:].astype(np.uint32)
         slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        often = np.bincount(slot, minlength=1 << 20)[slot] >= least  # no pair is rarer than its slot says
+        counts = np.bincount(slot, minlength=1 << 20)
+        often = counts[slot] >= max(least, int(counts.max()) // SPREAD)  # no pair is more frequent than its slot
         keys, counts = np.unique(key[often], return_counts=True)
-        good = counts >= least
+        good = counts >= max(least, int(counts.max(initial=0)) // SPREAD)
         keys, counts = keys[good], counts[good]
         if not len(keys):
             break
         keys = keys[np.argsort(-counts, kind="stable")[:room]]
-        new = first + len(rules) + np.arange(len(keys))
-        order = np.argsort(keys)
-        keys, new = keys[order], new[order]
-        place = np.flatnonzero(often)
-        found = np.minimum(np.searchsorted(keys, key[place]), len(keys) - 1)
-        pair = np.full(len(key), -1, np.int32)
-        pair[place] = np.where(keys[found] == key[place], new[found], -1)
-        added = np.empty((len(keys), 2), np.int32)
-        added[new - first - len(rules)] = np.column_stack((keys >> np.uint32(16), keys & np.uint32(0xFFFF)))
-        rules, x = np.concatenate((rules, added)), replace(x, pair)
+        number = np.zeros(1 << 20, np.int32)  # of two keys in one slot the other one waits for the next round
+        number[(keys * np.uint32(0x9E3779B1)) >> np.uint32(12)] = np.arange(len(keys))
+        found = number[slot]
+        hit = np.flatnonzero(keys[found] == key)
+        at, pair = paying(hit, found[hit], len(keys), least)
+        if not len(at):
+            break
+        used, pair = np.unique(pair, return_inverse=True)
+        x = x.copy()
+        x[at] = first + len(rules) + pair
+        x = np.delete(x, at + 1)
+        rules = np.concatenate((rules, np.column_stack((keys[used] >> np.uint32(16), keys[used] & np.uint32(0xFFFF))).astype(np.int32)))
     return rules, x
 
 

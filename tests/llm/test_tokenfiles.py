@@ -37,6 +37,19 @@ def test_grammar_replaces_left_pairs_first():
     assert tokenfiles.grammar(x[:0].astype(np.uint32))[1].tolist() == []
 
 
+def test_rules_are_taken_until_none_pays():
+    """No pair is left that would save more bytes than its rule takes, as long as symbols are free; the file is smaller for it."""
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([np.tile(rng.integers(0, 3000, 12), 6) for _ in range(400)] + [rng.integers(0, 3000, 5000)]).astype(np.uint32)
+    rules, left = tokenfiles.grammar(ids)
+    assert len(rules) < (1 << 16) - tokenfiles.IDS
+    # pairs of equal symbols overlap, so that fewer can be replaced than stand there
+    pairs = [p for p in zip(left[:-1].tolist(), left[1:].tolist()) if p[0] != p[1]]
+    assert max(pairs.count(p) for p in set(pairs)) < 2 * tokenfiles.LEAST  # those that are left overlap
+    size = lambda r, x: tokenfiles.RULE * len(r) + 2 * len(x)
+    assert size(rules, left) < 0.8 * size([], ids) and size(rules, left) < size(*tokenfiles.grammar(ids, least=200))
+
+
 def test_broken_files():
     good = tokenfiles.shard_bytes([1], [3], np.array([5, 6, 1], np.uint32), 0)
     tokenfiles.Shard(good)
