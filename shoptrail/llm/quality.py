@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from .shared import ship
 
 WIDTH, FILTERS, HIDDEN, CHUNK = 6, 16, 16, 128
-SAMPLE, PART, STEPS, BATCH, RATE, SEED = 4000, 4096, 400, 64, 0.01, 7
+SAMPLE, STEPS, BATCH, RATE, SEED = 4000, 400, 64, 0.01, 7
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 BLOCK = 512  # chunks that are answered at once
@@ -54,11 +54,15 @@ def start(rng: np.random.Generator) -> Weights:
 
 def answers(w: Weights, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(largest answer, place of it) of each filter in each chunk."""
-    total = w["table"][0][rows[:, :CHUNK]]
-    for k in range(1, WIDTH):
-        total += w["table"][k][rows[:, k:k + CHUNK]]
-    where = total.argmax(axis=1)
-    return np.take_along_axis(total, where[:, None, :], 1)[:, 0] + w["bias"], where
+    most, where = np.empty((len(rows), FILTERS), w["table"].dtype), np.empty((len(rows), FILTERS), np.int64)
+    for at in range(0, len(rows), BLOCK):
+        some = rows[at:at + BLOCK]
+        total = w["table"][0][some[:, :CHUNK]]
+        for k in range(1, WIDTH):
+            total += w["table"][k][some[:, k:k + CHUNK]]
+        place = total.argmax(axis=1)
+        most[at:at + BLOCK], where[at:at + BLOCK] = np.take_along_axis(total, place[:, None, :], 1)[:, 0] + w["bias"], place
+    return most, where
 
 
 def peaks(w: Weights, rows: np.ndarray) -> np.ndarray:
@@ -93,11 +97,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Weig
         w["w2"][:] = 0
         w["b2"][:] = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))
         return w
-    docs = []
-    for t in texts:
-        rows = chunks((t or "").encode())
-        most = max(1, PART // CHUNK)
-        docs.append(rows if len(rows) <= most else rows[np.sort(rng.choice(len(rows), most, replace=False))])
+    docs = [chunks((t or "").encode()) for t in texts]
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     order = np.empty(0, np.int64)
@@ -148,22 +148,13 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
     known = (labels.filter(F.col("quality").isin(0, 1)).filter(fold(F.col("doc_id")) != HELD_OUT)
              .groupBy("doc_id").agg(F.max("quality").alias("label")))
     picked = known.join(docs.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    # at most `size` rows with the first PART * 4 characters' worth of evenly spread pieces each
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-            .select("doc_id", "label", spread(F.col("text")).alias("text")).collect())
+            .collect())
     rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows], np.array([r.label for r in rows], np.int64)
 
 
-def spread(text: Column, pieces: int = 8, size: int = PART // 8) -> Column:
-    """A short text itself, of a long one evenly spread pieces: only what training takes from it."""
-    n = F.length(text)
-    at = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)),
-                     lambda i: F.substring(text, F.floor((n - size) * i / (pieces - 1)).cast("int") + 1, F.lit(size)))
-    return F.when(n <= pieces * size, text).otherwise(F.array_join(at, ""))
-
-
 def model(docs: DataFrame, labels: DataFrame) -> Weights:
     return train(*sample(docs, labels))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shoptrail.llm import quality
 
-SF = "/root/testdata/sf0.01"
+SF, SF_SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def test_held_out_accuracy(spark, rows):
@@ -77,7 +77,33 @@ def test_defined_cases(spark):
     assert quality.probability(one, np.zeros((1, 3 * quality.FILTERS)))[0] > 0.999
 
 
-def test_sample_takes_evenly_spread_pieces(spark):
-    text = "".join(chr(97 + i % 26) * 100 for i in range(300))
-    row = spark.createDataFrame([(text,)], "text string").select(quality.spread(F.col("text")).alias("s")).first()
-    assert len(row.s) == quality.PART and row.s[:512] == text[:512] and row.s[-512:] == text[-512:]
+def test_training_sees_whole_texts(spark):
+    """What tells good from bad stands in the middle of long texts."""
+    rng = np.random.default_rng(2)
+    filler = lambda: "".join(rng.choice(list("abcdef "), 9000))
+    texts = [filler() + (" good mark " if i % 2 else " bad sign ") + filler() for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got, _ = quality.sample(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int"))
+    assert got == [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2]
+    w = quality.train(texts, np.arange(120) % 2)
+    p = quality.probability(w, np.array([quality.pooled(w, t) for t in texts]))
+    assert p[1::2].mean() > 0.8 and p[::2].mean() < 0.2
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    """Every score of the query again from the weights, window by window in plain loops over bytes."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    w = quality.model(docs, spark.read.parquet(f"{SF_SMALL}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.op8(spark, SF_SMALL).collect()}
+    some = sorted(docs.collect(), key=lambda r: len(r.text or ""))
+    table = w["table"].astype(np.float64)
+    for r in some[:20] + some[90:100] + some[-2:]:
+        data = (r.text or "").encode()
+        best = []
+        for start in range(0, max(len(data) - quality.WIDTH + 1, 1), quality.CHUNK):
+            part = data[start:start + quality.CHUNK + quality.WIDTH - 1].ljust(quality.CHUNK + quality.WIDTH - 1, b"\0")
+            each = [sum(table[k][part[i + k]] for k in range(quality.WIDTH)) + w["bias"] for i in range(quality.CHUNK)]
+            best.append([max(0.0, *(e[f] for e in each)) for f in range(quality.FILTERS)])
+        x = np.concatenate((np.mean(best, axis=0), np.max(best, axis=0), np.min(best, axis=0)))
+        z = np.tanh(x @ w["w1"] + w["b1"]) @ w["w2"] + w["b2"][0]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
