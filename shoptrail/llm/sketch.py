@@ -4,8 +4,11 @@ of documents of very unequal size compare (and merge) by plain set operations. C
 Shingles are five words between ASCII white space, in ASCII lower case (fewer words: all of them as one); a shingle's hash
 is XXH64 over the hashes of its words. A fingerprint is the sorted kept hashes in hex, 16 digits each.
 
-Defined cases: a null text is an empty one and has an empty sketch; so may a text of a few words; two equal fingerprints
-are alike by 1, an empty and another one by 0. Rows of equal doc_id are ordered by their text, null doc_ids come first; an
+Of a text none of whose hashes is below the bound (one of a few words), the least one is kept, so different texts have different
+sketches; sketches still merge, and such a hash goes when another text brings one below the bound.
+
+Defined cases: a null text is an empty one and, like one without words, has an empty sketch; two equal fingerprints
+are alike by 1, an empty and another one by 0. A very long text is one row's array of word hashes, 8 bytes a word. Rows of equal doc_id are ordered by their text, null doc_ids come first; an
 empty table gives an empty one. A single document is its own next one.
 """
 from __future__ import annotations
@@ -32,7 +35,18 @@ def sketch(text: Column, words: int = WORDS, fraction: int = FRACTION) -> Column
         return F.when(F.size(h) > 0, full).otherwise(F.array().cast("array<bigint>"))
     # once(h) binds the array of hashes, which would otherwise be computed for every use
     once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-    return once(hashes, lambda h: F.array_sort(F.array_distinct(F.filter(shingles(h), lambda x: x < bound))))
+    # where no hash is below the bound the least one stands for the text
+    few = lambda all_: once(F.filter(all_, lambda x: x < bound), lambda kept: F.when(
+        (F.size(kept) > 0) | (F.size(all_) == 0), F.array_sort(F.array_distinct(kept))).otherwise(F.array(F.array_min(all_))))
+    return once(hashes, lambda h: once(shingles(h), few))
+
+
+def merged(a: Column, b: Column, fraction: int = FRACTION) -> Column:
+    """The sketch of two texts' shingles together, from their sketches."""
+    bound = F.lit(-(1 << 63) + (1 << 64) // fraction)
+    both = F.array_sort(F.array_union(a, b))
+    kept = F.filter(both, lambda x: x < bound)
+    return F.when((F.size(kept) > 0) | (F.size(both) == 0), kept).otherwise(F.slice(both, 1, 1))
 
 
 def fingerprint(sketch_: Column) -> Column:

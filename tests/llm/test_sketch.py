@@ -13,7 +13,7 @@ def signed(n):
     return n - (1 << 64) if n >> 63 else n
 
 
-def plain_sketch(text):
+def all_hashes(text):
     words = [w for w in re.split(r"[\t-\r ]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
     hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
 
@@ -22,8 +22,12 @@ def plain_sketch(text):
         for h in part:
             seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
         return signed(seed)
-    found = {of(hashes[i:i + 5]) for i in range(max(1, len(hashes) - 4))} if hashes else set()
-    return sorted(h for h in found if h < -(1 << 63) + (1 << 61))
+    return {of(hashes[i:i + 5]) for i in range(max(1, len(hashes) - 4))} if hashes else set()
+
+
+def plain_sketch(text):
+    found = all_hashes(text)
+    return sorted(h for h in found if h < -(1 << 63) + (1 << 61)) or sorted(found)[:1]
 
 
 def hexed(s):
@@ -65,6 +69,21 @@ def test_nulls_and_repeats(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in got) == ["5", "5", "None", "None"] and len({r.fingerprint for r in got if r.doc_id == 5}) == 1
 
 
+def test_short_texts_are_told_apart(spark):
+    texts = ["red apples", "blue sky over the sea", "my cat", "totally other thing", "a", "", " \n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sketch.fingerprint(sketch.sketch(F.col("t"))).alias("f")).collect()
+    assert len({r.f for r in rows}) == 6 and [r.t for r in rows if r.f == ""] == ["", " \n"]
+
+
+def test_merging_equals_the_sketch_of_all_shingles(spark):
+    parts = [" ".join(f"w{i}" for i in range(a, z)) for a, z in ((0, 3), (0, 5), (7, 12), (0, 60), (30, 900), (0, 0))]
+    pairs = [(a, b) for a in parts for b in parts]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", sketch.merged(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("m")).collect()
+    for r in rows:
+        both = {h for t in (r.a, r.b) for h in all_hashes(t)}
+        assert r.m == (sorted(h for h in both if h < -(1 << 63) + (1 << 61)) or sorted(both)[:1])
+
+
 def test_sketches_merge(spark):
     """The sketch of a long text holds those of its parts, whatever their sizes."""
     words = [f"w{i}" for i in range(3000)]
