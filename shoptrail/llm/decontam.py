@@ -7,7 +7,7 @@ reading a name is a capitalised token that does not begin a sentence; as sentenc
 pasted, and may begin with a name, windows are also hashed in the free readings: of an item each capitalised token at the
 start of a sentence that is none of OPENERS, of a document each capitalised token is a name as well as a word. A unit is one of UNITS behind a
 number. A window is WINDOW tokens (a shorter item is one window of its own length). If over half of them are placeholders,
-the window matches with the same values only, and figures alone match nothing. Windows on one diagonal (place in the
+the window matches with the same values only. Windows on one diagonal (place in the
 document less place in the item) are consistent if the values of each placeholder type map one to one. A document is
 contaminated by an item if consistent windows cover SHARE of the item's, or RUN of them stand on one diagonal. A pair that
 the strict reading finds has its figures, others those of all readings.
@@ -15,6 +15,9 @@ the strict reading finds has its figures, others those of all readings.
 The benchmark's words and window hashes go to all tasks as a filter if there are at most FILTER of each; beyond that all
 windows of the documents go into the join, with the same result.
 
+The work of a window grows with the readings it has, one more for each capitalised token in it (at most WINDOW); a very long text is
+taken whole, in arrays of its tokens.
+
 Defined cases: null and empty texts, and items without a window, match nothing; rows of equal doc_id and text are one
 document; equal item_ids are one item, of whose texts each is judged alone (the figures are those of the one
 covered best); empty tables give an empty result.
@@ -136,7 +139,7 @@ def windows(text: str | None, known: Vocabulary, sizes: list[int], wanted: np.nd
     their readings; of those in sorted `wanted` only, if given."""
     t = template(text or "", known, anywhere)
     slot = t.kind != ""
-    gaps, slots, figures = (np.concatenate(([0], np.cumsum(x))) for x in (t.free == 0, slot, t.kind == "#"))
+    gaps, slots = (np.concatenate(([0], np.cumsum(x))) for x in (t.free == 0, slot))
     literal = None
 
     def those(at: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -169,8 +172,7 @@ def windows(text: str | None, known: Vocabulary, sizes: list[int], wanted: np.nd
         light = light[those(at[light], total[light])]
         for i, w, x, plain_ in zip(at[light].tolist(), total[light].view(np.int64).tolist(), turned[light].tolist(), (turned == strict)[light].tolist()):
             yield i, w, [t.kind[j] + t.tokens[j] for j in range(i, i + n) if slot[j] and not x >> (j - i) & 1], plain_
-        # mainly placeholders, but not figures alone: these match with the same values only
-        heavy = heavy[figures[heavy + n] - figures[heavy] < n]
+        # mainly placeholders, or figures alone: these match with the same values only
         if len(heavy):
             if literal is None:
                 literal = t.free.copy()
