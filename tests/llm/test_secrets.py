@@ -121,3 +121,24 @@ def test_placeholders_and_ends_of_values():
     assert secrets.guess_spans(text) == []
     assert secrets.redacted("u?token=kJ8s7Df6gH5jK4l3&user=bobby") == "u?[ASSIGN]&user=bobby"
     assert secrets.redacted("password=abcdef&1 b") == "[ASSIGN] b"
+
+
+PLAIN = ["auth: considerations", "see pin: somewhere", "credentials: documentation.", "signature: handwritten", "Authorization: required"]
+
+
+def test_plain_words_of_the_corpus_are_no_secrets(spark):
+    """Words that the corpus uses in its prose are cheap, a value that stands in credentials alone stays hard, however often it is there."""
+    prose = "The considerations, somewhere in the documentation (handwritten notes), are required. "
+    docs = spark.createDataFrame([(i, prose * 3 + PLAIN[i % 5] + " and token: qzxvkjhwpfmt rest") for i in range(40)], "doc_id long, text string")
+    words = secrets.lexicon(docs)
+    assert {"considerations", "documentation", "handwritten"} <= set(words) and "qzxvkjhwpfmt" not in words
+    ranks = secrets.Ranks(words)
+    assert all(secrets.guess_spans(t, ranks=ranks) == [] for t in PLAIN) and len(secrets.guess_spans("pin: qzxvkjhwpfmt", ranks=ranks)) == 1
+    spans = [r.s.spans for r in docs.select(secrets.scan(F.col("text"), words).alias("s")).collect()]
+    assert all(s.count("guess:") == 1 and s.count("assign:") == 1 for s in spans)
+
+
+def test_lexicon_is_ordered_and_bounded(spark):
+    docs = spark.createDataFrame([("bbb aaa aaa ccc ccc. Ddd x = eee eee",), (None,), ("ddd",)], "text string")
+    assert secrets.lexicon(docs) == ["aaa", "ccc", "ddd"] or secrets.lexicon(docs)[:2] == ["aaa", "ccc"]
+    assert secrets.lexicon(docs, 1) == ["aaa"] and secrets.lexicon(docs.limit(0)) == []
