@@ -1,6 +1,7 @@
 """Folders that all executors share, and stage tables in them."""
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 DIR = "spark.checkpoint.dir"
 _MADE: list[str] = []
+_LOCAL: dict[str, str] = {}  # the temporary folder of a local application that names none
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -18,8 +20,8 @@ def folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{DIR} must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set(DIR, base)
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="llm-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return _MADE[-1]
 
@@ -31,6 +33,20 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that are no longer used, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a stage table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage and outlives lost executors."""
     path = folder(df.sparkSession, name)

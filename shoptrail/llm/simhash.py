@@ -12,11 +12,14 @@ a large group of copies does not cost its square; what a unit returns is a spann
 then joined over all units by star contraction.
 
 The pipeline's stage asks for a Jaccard of SIMILAR on sets of shingles, which is about ten bits of a fingerprint with a wide
-spread. Its candidates share one of BANDS keys of MINS least hashes, and each of these links is confirmed on the whole texts;
-fingerprints within the budget are linked as before.
+spread, too many for the trie alone. Texts may be alike if their fingerprints are within the budget (the trie join), or if
+they share one of BANDS keys of MINS least hashes and their least hashes agree often enough; each of these gives a forest of links,
+whose components are clusters. A cluster's texts are brought together once, in blocks of BLOCK, and there the sets are compared as
+they are: only a Jaccard of SIMILAR or more links two texts. No step makes a row per pair.
 
 Defined cases: null or blank texts have fingerprint zero and link like any other; repeated rows are copies; a null doc_id
-belongs to a component but cannot name it (unless it has no other); an empty table gives an empty one.
+belongs to a component but cannot name it (unless it has no other); an empty table gives an empty one. A very long text
+is hashed BLOCK_HASHES shingles at a time; its set of hashes must fit a task. Other columns stay, whatever their names.
 """
 from __future__ import annotations
 
@@ -30,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import ship, stage
+from .shared import ship, stage, tidy
 
-BLOCK = 1 << 16  # shingles whose bits are counted at once
+BLOCK_HASHES = 1 << 16  # shingles whose bits are counted at once
 TOP = 6          # levels of the trie above the units
 UNIT = 1 << 18   # fingerprints that a unit's own part should hold on average
 DEEPER = 6       # levels by which a unit that holds more than UNIT may be split further
@@ -40,13 +43,14 @@ CHUNK = 1 << 17  # pairs of nodes that are taken on at once
 
 SIMILAR = 0.8          # Jaccard of the shingle sets from which two texts are near copies in the pipeline
 BANDS, MINS = 24, 6    # keys of a text, and least hashes in each: a pair of 0.8 shares a key in 0.9993 of all cases
-SMALL = 16             # texts of a key up to which all its pairs are compared at once
+AGREE = 0.66           # share of equal least hashes from which texts may be alike: 4 standard deviations below SIMILAR
+BLOCK = 1024           # texts of a cluster, or of a key, that are compared at once with as many others
 TURNS = np.array([xxhash.xxh64_intdigest(b"turn", i) | 1 for i in range(BANDS * MINS)], np.uint64)
 SHIFTS = np.array([xxhash.xxh64_intdigest(b"shift", i) for i in range(BANDS * MINS)], np.uint64)
 
 
 def shingle_hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
-    """The hashes of all shingles of a text, BLOCK at a time."""
+    """The hashes of all shingles of a text, BLOCK_HASHES at a time."""
     words = (text or "").encode().lower().split()
     if not words:
         return
@@ -56,8 +60,8 @@ def shingle_hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
     starts = [0, *(ends[:n - 1] + 1).tolist()]
     stops = ends[min(k, len(words)) - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
-        yield np.array([digest(line[a:b], 42) for a, b in zip(starts[at:at + BLOCK], stops[at:at + BLOCK])], "<u8")
+    for at in range(0, n, BLOCK_HASHES):
+        yield np.array([digest(line[a:b], 42) for a, b in zip(starts[at:at + BLOCK_HASHES], stops[at:at + BLOCK_HASHES])], "<u8")
 
 
 def fingerprint(text: str | None, k: int) -> int:
@@ -80,16 +84,17 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def bands(text: str | None, k: int) -> list[int]:
-    """BANDS signed keys, each of MINS least hashes; texts without words share a single one."""
+def bands(text: str | None, k: int) -> tuple[list[int], bytes]:
+    """BANDS signed keys, each of MINS least hashes, and a byte of each least hash; texts without words share a single key."""
     shingles = shingle_set(text, k)
     if not len(shingles):
-        return [0]
+        return [0], bytes(len(TURNS))
     least = np.full(len(TURNS), (1 << 64) - 1, np.uint64)
     for at in range(0, len(shingles), 4096):
         least = np.minimum(least, (shingles[None, at:at + 4096] * TURNS[:, None] + SHIFTS[:, None]).min(axis=1))
     parts = least.reshape(BANDS, MINS)
-    return np.array([xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts)], np.uint64).view(np.int64).tolist()
+    keys = np.array([xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts)], np.uint64).view(np.int64).tolist()
+    return keys, (least * TURNS[0] >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def fingerprints(docs: DataFrame, text: str = "text", k: int = 4, name: str = "fp") -> DataFrame:
@@ -307,75 +312,139 @@ def near_groups(docs: DataFrame, k: int = 4, budget: int = 4, text: str = "text"
     return own.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similar: float) -> DataFrame:
-    """Those of the pairs (a, b) of text hashes whose shingle sets are alike by `similar` at least; texts: node, text."""
-    pairs = stage(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = stage(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "held")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, its = None, None
-        for batch in batches:
-            good = []
-            for i in range(batch.num_rows):
-                b = batch.column(1)[i].as_py()
-                if its is None or b != last:
-                    last, its = b, shingle_set(batch.column(3)[i].as_py(), k)
-                if jaccard(shingle_set(batch.column(2)[i].as_py(), k), its) >= similar:
-                    good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-    both = (pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
-    return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "confirmed")
-
-
-def similar_roots(banded: DataFrame, texts: DataFrame, k: int, similar: float) -> DataFrame:
-    """(node, root) of the texts (node, bands) that are linked with another one.
-
-    Candidates share a band. Of a band of up to SMALL texts all pairs are compared; of a larger one each text with the
-    first, and then those that the links so far do not connect with the first one with all they are not connected with."""
-    keys = stage(banded.select("node", F.explode("bands").alias("key")), "keys")
-    buckets = stage(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1"), "buckets")
-    members = stage(keys.join(buckets, "key"), "members")
-    small, large = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL)
-    one, two = small.select("key", F.col("node").alias("a")), small.select("key", F.col("node").alias("b"))
-    edges = confirmed(one.join(two, "key").filter("a > b").select("a", "b").union(
-        large.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))), texts, k, similar)
-    roots = stage(components(edges), "roots")
-    if large.isEmpty():
-        return roots
-    first = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
-    rooted = stage(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-                   .join(first, "leader", "left").withColumn("leader_root", F.coalesce("leader_root", "leader")), "rooted")
-    apart = rooted.filter("root <> leader_root").select("key", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    if apart.isEmpty():
-        return roots
-    rest = (apart.join(rooted.filter("node <> leader").select("key", F.col("node").alias("b"), F.col("root").alias("b_root")), "key")
-            .filter("a_root <> b_root").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    return components(edges.union(confirmed(rest, texts, k, similar)))
-
-
-def one_of_each(docs: DataFrame, k: int = 5, budget: int = 6, similar: float = SIMILAR) -> DataFrame:
-    """docs with one row of each component of texts whose sets of k-word shingles have a Jaccard of `similar` at least, or
-    whose fingerprints are within `budget` bits: that with the smallest doc_id (a null one counts as largest)."""
-    @pandas_udf("array<long>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each group; batches are sorted by their first `keys` columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:keys] != held[-1][:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def forest(nodes: list[int], near) -> Iterator[tuple[int, int]]:
+    """(node, first node of its component) without the first ones; near(i, rest) tells which of the rest are linked with i."""
+    rest = np.arange(len(nodes))
+    while len(rest):
+        first, rest = int(rest[0]), rest[1:]
+        todo = [first]
+        while todo and len(rest):
+            hit = near(todo.pop(), rest)
+            for i in rest[hit].tolist():
+                yield nodes[i], nodes[first]
+                todo.append(i)
+            rest = rest[~hit]
+
+
+def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*edges) if edges else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def in_pairs_of_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows with low and high: a row for each pair of blocks of its group, which are as many as BLOCK rows a block ask for."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")
+    dealt = (rows.join(sizes, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "own", "other")
+
+
+def agreeing(members: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the texts of each key (key, node, sketch) whose least hashes agree often enough."""
+    enough = AGREE
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[int, int]] = []
+        for group in groups_of(batches, 3):
+            sketches = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1)
+            edges += forest([r[3] for r in group], lambda i, rest: (sketches[rest] == sketches[i]).mean(axis=1) >= enough)
+            if len(edges) > 10_000:
+                yield edge_batch(edges)
+                edges = []
+        yield edge_batch(edges)
+    columns = ["key", "low", "high", "node"]
+    return (in_pairs_of_blocks(members, "key").select(*columns, "sketch").repartition("key", "low", "high")
+            .sortWithinPartitions(*columns).mapInArrow(link, "a long, b long"))
+
+
+def alike(texts: DataFrame, k: int, similar: float) -> DataFrame:
+    """Links (a, b) that connect the texts of each cluster (cluster, node, text) whose sets have a Jaccard of `similar`."""
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 3):
+            group = [r for i, r in enumerate(group) if not i or r[3] != group[i - 1][3]]   # repeated rows
+            sets = [shingle_set(r[4], k) for r in group]
+            sizes = np.array([len(x) for x in sets])
+            names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+
+            def near(i: int, rest: np.ndarray) -> np.ndarray:
+                has = np.zeros(len(names) + 1, bool)
+                has[flat[starts[i]:starts[i] + sizes[i]]] = True
+                sums = np.concatenate(([0], np.cumsum(has[flat])))
+                both = sums[starts[rest] + sizes[rest]] - sums[starts[rest]]
+                either = sizes[i] + sizes[rest] - both
+                return np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similar
+            yield edge_batch(list(forest([r[3] for r in group], near)))
+    columns = ["cluster", "low", "high", "node"]
+    return (in_pairs_of_blocks(texts, "cluster").select(*columns, "text").repartition("cluster", "low", "high")
+            .sortWithinPartitions(*columns).mapInArrow(link, "a long, b long"))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like this one that the table does not have."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def one_of_each(docs: DataFrame, k: int = 5, budget: int = 4, similar: float = SIMILAR) -> DataFrame:
+    """docs with one row of each component of texts whose sets of k-word shingles have a Jaccard of `similar` at least: that
+    with the smallest doc_id (a null one counts as largest). Links of up to `budget` bits and shared keys are candidates."""
+    @pandas_udf("keys array<long>, sketch binary, fp long")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            yield pd.Series([[*bands(t, k), int(np.uint64(fingerprint(t, k)).view(np.int64))] for t in part], dtype=object)
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    own = stage(keyed.select("doc_id", F.col("_hash").alias("node"), of("text").alias("bands")), "bands")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("node").alias("_hash"))).alias("first")
-    nodes = stage(own.groupBy("node").agg(F.first("bands").alias("bands"), first), "nodes")
-    last = F.size("bands") - 1  # the fingerprint
-    roots = similar_roots(nodes.select("node", F.slice("bands", F.lit(1), last).alias("bands")), keyed.select(F.col("_hash").alias("node"), "text"), k, similar)
-    own = nodes.select("node", F.get("bands", last).alias("fp"))
-    near = stage(own.join(group_roots(own, budget), "fp").select("node", "root"), "near")
-    near = near.join(near.groupBy("root").agg(F.min("node").alias("leader")), "root").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(near))
-    stays = (nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-             .agg(F.min("first").alias("first")).select("first.doc_id", "first._hash"))
-    both = keyed.doc_id.eqNullSafe(stays.doc_id) & (keyed["_hash"] == stays["_hash"])
-    return keyed.join(stays, both, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+            both = [bands(t, k) for t in part]
+            yield pd.DataFrame({"keys": [x for x, _ in both], "sketch": [y for _, y in both],
+                                "fp": np.array([fingerprint(t, k) for t in part], np.uint64).view(np.int64)})
+    spark, digest = docs.sparkSession, unused("text_digest", docs.columns)
+    named = docs.withColumn(digest, F.unhex(F.md5(F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit(""))).cast("binary"))))
+    own = stage(named.select("doc_id", F.col(digest).alias("digest"), of("text").alias("s")), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    nodes = stage(own.groupBy("digest").agg(F.first("s").alias("s"), F.min(order).alias("first"))
+                  .select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "s.*"), "nodes")
+
+    keys = nodes.select("node", F.explode("keys").alias("key"))
+    again = keys.groupBy("key").count().filter("count > 1").select("key")
+    shared = stage(keys.join(again, "key"), "shared")
+    tidy(spark)
+    # sketches travel only with the keys that texts share
+    members = shared.join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
+    fps = nodes.groupBy("fp").agg(F.min("node").alias("leader"))
+    same_fp = nodes.join(fps, "fp").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    distinct = stage(fps, "distinct")
+    name = lambda c, to: distinct.select(F.col("fp").alias(c), F.col("leader").alias(to))
+    by_trie = (links(distinct.select("fp"), budget, distinct.count()).withColumnsRenamed({"a": "fa", "b": "fb"})
+               .join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b"))
+    near = stage(agreeing(members).union(same_fp).union(by_trie), "candidates")
+    tidy(spark)
+    found = components(near)
+    tidy(spark)
+    clusters = stage(found.select("node", F.col("root").alias("cluster")).join(nodes.select("node", "digest", "doc_id"), "node"), "clusters")
+
+    texts = named.select(F.col(digest).alias("digest"), F.col("doc_id").alias("id"), "text")
+    once = texts.join(clusters, (texts.digest == clusters.digest) & texts.id.eqNullSafe(clusters.doc_id)).select("cluster", "node", "text")
+    near = stage(alike(stage(once, "cluster-texts"), k, similar), "links")
+    tidy(spark)
+    roots = components(near)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    stays = (nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("first"))
+             .select(F.col("first.doc_id").alias("stay_id"), F.col("first.digest").alias("stay_digest")))
+    both = named.doc_id.eqNullSafe(stays.stay_id) & (named[digest] == stays.stay_digest)
+    return named.join(stays, both, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

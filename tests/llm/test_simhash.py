@@ -30,7 +30,7 @@ def roots(ids, near):
 
 
 def test_fingerprints(monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 3)
+    monkeypatch.setattr(simhash, "BLOCK_HASHES", 3)
     texts = [None, "", " \t\n", "one", "One two\x0bTHREE", "a b c d e f g h A B", "É é ß a", "\x1c\x85 x\xa0y z w v", "x " * 50]
     for t in texts:
         for k in (1, 4, 5):
@@ -144,3 +144,38 @@ def test_copies_of_eight_tenths_are_one(spark):
     docs += [(5000 + i, " ".join([*base[30][:190 + i % 9], f"end{i}"])) for i in range(40)] + [(6000, " ".join(changed(base[30], 7)))]
     got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {100 * j for j in range(30)} | {100 * j + 1 for j in range(20, 30)} | {5000, 6000}
+
+
+def sets_of(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def all_pairs(docs, similar=0.8):
+    """Components of a Jaccard of `similar` over every pair of documents."""
+    sets = {d: sets_of(t) for d, t in docs}
+    ids = sorted(sets)
+    alike = lambda a, b: len(a & b) >= similar * len(a | b)
+    return roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if alike(sets[a], sets[b])])
+
+
+@pytest.mark.parametrize("block", (1024, 7))
+def test_what_stays_equals_all_pairs(spark, rows, monkeypatch, block):
+    """The given documents, groups of near copies at many distances and chains, also with blocks of a few texts."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    docs = rows("SELECT doc_id, text FROM '@documents.parquet'")
+    base = [[f"w{j}x{i}" for i in range(150)] for j in range(12)]
+    made = [" ".join(changed(base[j % 12], int(rng.integers(0, 9)))) + f" tail{j % 5}" for j in range(120)]
+    made += [" ".join(f"c{x}" for x in range(4 * i, 4 * i + 100)) for i in range(30)]  # neighbours are alike, the ends are not
+    docs = docs + [(10_000 + i, t) for i, t in enumerate(made)]
+    want = set(all_pairs(docs).values())
+    got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted(want) and len(want) < len(docs) - 80
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["text_digest", "node", "cluster", "digest", "stay_id", "key", "_hash"]
+    docs = spark.createDataFrame([(1, TEXT, *range(7)), (2, TEXT, *range(7)), (3, "b", *range(7))], ["doc_id", "text", *names])
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, TEXT, *range(7)), (3, "b", *range(7))]
