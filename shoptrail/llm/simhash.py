@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import ship, stage, tidy
+from .shared import forget, ship, stage, tidy
 
 BLOCK_HASHES = 1 << 16  # shingles whose bits are counted at once
 TOP = 6          # levels of the trie above the units
@@ -435,16 +435,24 @@ def one_of_each(docs: DataFrame, k: int = 5, budget: int = 4, similar: float = S
     tidy(spark)
     clusters = stage(found.select("node", F.col("root").alias("cluster")).join(nodes.select("node", "digest", "doc_id"), "node"), "clusters")
 
-    texts = named.select(F.col(digest).alias("digest"), F.col("doc_id").alias("id"), "text")
-    once = texts.join(clusters, (texts.digest == clusters.digest) & texts.id.eqNullSafe(clusters.doc_id)).select("cluster", "node", "text")
-    near = stage(alike(stage(once, "cluster-texts"), k, similar), "links")
+    # one key for text and doc_id deals copies out by their doc_id, and the rows that stay need no further exchange
+    key = lambda text_, id_: F.unhex(F.md5(F.concat(F.hex(text_), F.lit(" "), F.coalesce(id_.cast("string"), F.lit("null"))).cast("binary")))
+    row = unused("row_key", docs.columns)
+    keyed = named.withColumn(row, key(F.col(digest), F.col("doc_id")))
+    places = clusters.select(key(F.col("digest"), F.col("doc_id")).alias("place"), "cluster", "node")
+    wanted = keyed.select(F.col(row).alias("key"), F.col("text").alias("body"))
+    once = stage(wanted.join(places, wanted.key == places.place).select("cluster", "node", F.col("body").alias("text")), "cluster-texts")
+    tidy(spark)
+    near = stage(alike(once, k, similar), "links")
+    forget(once)
     tidy(spark)
     roots = components(near)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     stays = (nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("first"))
-             .select(F.col("first.doc_id").alias("stay_id"), F.col("first.digest").alias("stay_digest")))
-    both = named.doc_id.eqNullSafe(stays.stay_id) & (named[digest] == stays.stay_digest)
-    return named.join(stays, both, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)
+             .select(key(F.col("first.digest"), F.col("first.doc_id")).alias("stays")))
+    stays = stage(stays, "stays")
+    tidy(spark)
+    return keyed.join(stays, keyed[row] == stays.stays, "left_semi").dropDuplicates([row]).drop(row, digest)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
