@@ -1,12 +1,12 @@
 """Phrase collocations by SETM: relations of occurrences, joined by adjacent position, counted by group, and cut down to the
 frequent groups before the next length.
 
-R1 is the written relation of all word occurrences: a row holds those of one document, in order of piece and position (a
-word `\\n` ends a piece), so that the merge join with the next position is a walk along the row. R2 has, in the same rows,
-the positions at which a frequent phrase of two words starts. Each length joins Rk-1 with R1 at the next position and
-counts the groups, by hashes of 48 bits: each task adds up what it has before it sends it. Groups whose hash comes less than `least` times are
-rare and left out by a semi-join before the next length, which runs by a filter of a fixed number of bits. Hash and filter
-may let rare groups pass but lose none; a last pass counts by their words those that passed, which is exact.
+A relation holds the occurrences of each document in order of piece and position, so that the merge join with the next position
+is a walk along the row. R1 has the frequent words, R2 the frequent pairs; both are written as runs of neighbouring words, without the
+occurrences that no longer phrase can use. Each length joins the relation with itself at the next position and
+counts the groups: first by hashes of 48 bits, to find the groups that may be frequent, then these by their words, which is exact. A task adds up
+what it has before it sends it. The semi-join with the frequent groups runs by a filter of a fixed number of bits. Hash and filter
+may let rare groups pass but lose none; what passed in vain is removed by its count.
 
 Scores are compared as whole numbers of up to 38 digits, which hold counts below 10^14.
 
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .shared import stage
+from .shared import forget, stage, tidy
 
 ENDS = b".,;:!?\n\x0b\x0c\r"   # bytes that end a piece
 BITS = 1 << 26                 # bits of the filter of frequent groups
@@ -33,38 +33,41 @@ GROUPS = 1 << 22               # groups that a task adds up before it sends them
 TABLE = bytes(10 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """R1: (lang, words), a row per document that has words."""
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t.as_py() or "").encode().translate(TABLE).replace(b"\n", b" \n ").strip(b" \n") for t in batch.column(1)]
-            made = pa.array(texts, pa.binary()).cast(pa.string())
-            out = pa.RecordBatch.from_arrays([batch.column(0), made], names=["lang", "words"])
-            yield out.filter(pc.not_equal(made, ""))
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(words, "lang string, words string")
-
-
 class Rows:
-    """The occurrences of some rows: code of each word, its place in the vocabulary, and the rows' ends."""
+    """The occurrences of some rows: code of each word, its place in the vocabulary, and the rows' ends. `\\n` ends a run."""
 
-    def __init__(self, words: pa.Array):
-        lists = pc.split_pattern(words, " ")
+    def __init__(self, texts: pa.Array):
+        lists = pc.split_pattern(texts, " ")
         coded = pc.dictionary_encode(lists.flatten())
-        self.words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        real = ~np.isin(codes, [i for i, w in enumerate(self.words.to_pylist()) if w == ""])
+        self.words, codes = pa.concat_arrays([coded.dictionary, pa.array(["\n"])]), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        names = self.words.to_pylist()
+        real = ~np.isin(codes, [i for i, w in enumerate(names) if w == ""])
         offsets = lists.offsets.to_numpy()
         before = np.concatenate(([0], np.cumsum(real)))
-        self.codes, self.offsets = codes[real], before[offsets - offsets[0]]
-        stop = pc.index(self.words, "\n").as_py()
-        self.inside = self.codes != stop
-        self.last = np.zeros(len(self.codes) + 1, bool)   # no phrase goes on after the last word of a row
-        self.last[self.offsets[1:] - 1] = True
-        self.last = self.last[:-1]
+        self.codes, self.offsets, self.stop = codes[real], before[offsets - offsets[0]], len(names) - 1
+        self.inside = self.codes != names.index("\n")
+        self.joins = np.zeros(len(self.codes), bool)      # whether the next word stands beside this one
+        self.joins[:-1] = self.inside[:-1] & self.inside[1:]
+        self.joins[self.offsets[1:][np.diff(self.offsets) > 0] - 1] = False
 
     def seeds(self, lang: str) -> np.ndarray:
         seed = xxhash.xxh64_intdigest(lang)
         return np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words.to_pylist()], np.uint64)
 
+    def runs(self, joins: np.ndarray, least: int) -> pa.Array:
+        """The runs of neighbours of each row that have `least` joins or more, as one text."""
+        ends = np.flatnonzero(~joins)
+        sizes = np.diff(np.concatenate(([-1], ends)))
+        kept = np.repeat(sizes > least, sizes)
+        at = np.flatnonzero(kept)
+        last = ~joins[at]
+        out = np.empty(len(at) + int(last.sum()), np.int64)
+        place = np.arange(len(at)) + np.cumsum(last) - last
+        out[place], out[place[last] + 1] = self.codes[at], self.stop
+        before = np.concatenate(([0], np.cumsum(kept.astype(np.int64) + (kept & ~joins))))
+        lists = pa.ListArray.from_arrays(pa.array(before[self.offsets].astype(np.int32)), self.words.take(pa.array(out)))
+        return pc.binary_join(lists, " ")
+
 
 def joined(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     """The hash of a group from that of its first words and that of its last one."""
@@ -91,6 +94,12 @@ def passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def normalised(texts: pa.Array) -> pa.Array:
+    """Lower-case words between spaces, and `\\n` between pieces."""
+    made = [(t.as_py() or "").encode().translate(TABLE).replace(b"\n", b" \n ") for t in texts]
+    return pa.array(made, pa.binary()).cast(pa.string())
+
+
 def by_lang(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[str, pa.Table]]:
     """The rows of each lang, as many as make about `held` bytes at once."""
     waiting: list[pa.RecordBatch] = []
@@ -114,141 +123,161 @@ def chunk(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def starts(rows: Rows, at: pa.Array) -> np.ndarray:
-    """Whether a phrase of the relation starts at each word."""
-    on = np.zeros(len(rows.codes) + 1, bool)
-    counts = np.diff(at.offsets.to_numpy())
-    on[at.flatten().to_numpy() + np.repeat(rows.offsets[:-1], counts)] = True
-    return on[:-1]
-
-
-def frequent_pairs(rows: Rows, h: np.ndarray, words) -> np.ndarray:
-    """Positions at which two words start that are frequent both."""
-    good = passes(words.value, h)[rows.codes] & rows.inside
-    return np.flatnonzero(good[:-1] & good[1:] & ~rows.last[:-1])
-
-
 def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(keys, return_inverse=True)
     return keys, np.bincount(at, n, len(keys)).astype(np.int64)
 
 
-def tally(relation: DataFrame, k: int, least: int, words=None) -> DataFrame:
-    """The hashes (column h) that the groups of k words, from the relation of k - 1 joined with R1 at the next position, have
-    at least `least` times. words: the filter of frequent words, for k = 2; for k = 3 the relation has frequent pairs."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, w1, n) of every word."""
     held, most = HELD, GROUPS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        sums: dict[tuple, int] = {}
         for lang, table in by_lang(batches, held):
-            rows = Rows(chunk(table["words"]))
-            h = rows.seeds(lang)
+            rows = Rows(normalised(chunk(table["text"])))
+            n = np.bincount(rows.codes[rows.inside], minlength=len(rows.words))
+            for w, m in zip(rows.words.to_pylist(), n.tolist()):
+                if m:
+                    sums[lang, w] = sums.get((lang, w), 0) + m
+            if len(sums) > most // 4:
+                yield from sent(sums, 1)
+                sums = {}
+        yield from sent(sums, 1)
+    return docs.mapInArrow(count, "lang string, w1 string, n long").groupBy("lang", "w1").agg(F.sum("n").alias("n"))
+
+
+def sent(sums: dict[tuple, int], k: int) -> Iterator[pa.RecordBatch]:
+    keys, n = list(sums), list(sums.values())
+    for at in range(0, len(keys), 50_000):
+        columns = list(zip(*keys[at:at + 50_000]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(n[at:at + 50_000], pa.int64())],
+                                         names=["lang", *(f"w{i + 1}" for i in range(k)), "n"])
+
+
+def hashed(words: DataFrame) -> DataFrame:
+    """The hashes (column h) of words (lang, w1)."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, names = (c.to_pylist() for c in batch.columns)
+            seeds = {x: xxhash.xxh64_intdigest(x) for x in set(langs)}
+            h = np.array([xxhash.xxh64_intdigest(w, seeds[x]) for x, w in zip(langs, names)], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+    return words.mapInArrow(of, "h long")
+
+
+def relation(rows: DataFrame, k: int, filter_) -> DataFrame:
+    """Rk: (lang, words), the runs of the rows' occurrences in which every group of k words passes the filter and that are
+    longer than k. rows: documents (lang, text) for k = 1, else the relation before."""
+    held = HELD
+
+    def semi(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, table in by_lang(batches, held):
+            texts = chunk(table.column(1))
+            own = Rows(normalised(texts) if k == 1 else texts)
+            h = own.seeds(lang)
             if k == 1:
-                found = h[rows.codes[rows.inside]]
+                good = passes(filter_.value, h)[own.codes]
+                joins = own.joins & good & np.concatenate((good[1:], [False]))
             else:
-                i = frequent_pairs(rows, h, words) if k == 2 else paired(starts(rows, chunk(table["at"])))
-                found = joined(h[rows.codes[i]], h[rows.codes[i + 1]])
-                if k == 3:
-                    found = joined(found, h[rows.codes[i + 2]])
+                joins = own.joins.copy()
+                i = np.flatnonzero(joins)
+                joins[i] = passes(filter_.value, joined(h[own.codes[i]], h[own.codes[i + 1]]))
+            made = own.runs(joins, k)
+            out = pa.Table.from_arrays([table.column(0), made], names=["lang", "words"])
+            yield from out.filter(pc.not_equal(made, "")).combine_chunks().to_batches(max_chunksize=1000)
+    return rows.mapInArrow(semi, "lang string, words string")
+
+
+def starts(rows: Rows, k: int) -> np.ndarray:
+    """The positions at which k neighbours start: the join of a relation with itself at the next position."""
+    on = rows.joins if k == 2 else rows.joins[:-1] & rows.joins[1:]
+    return np.flatnonzero(on)
+
+
+def group_hash(h: np.ndarray, codes: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
+    two = joined(h[codes[i]], h[codes[i + 1]])
+    return two if k == 2 else joined(two, h[codes[i + 2]])
+
+
+def tally(rows: DataFrame, k: int, least: int) -> DataFrame:
+    """The hashes (column h) that groups of k neighbours in the relation have at least `least` times."""
+    held, most = HELD, GROUPS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for lang, table in by_lang(batches, held):
+            own = Rows(chunk(table["words"]))
+            found = group_hash(own.seeds(lang), own.codes, starts(own, k), k)
             found, more = np.unique((found >> np.uint64(16)).astype(np.int64), return_counts=True)
             keys, n = add_up(np.concatenate((keys, found)), np.concatenate((n, more)))
             if len(keys) > most:
-                yield from sent(keys, n)
+                yield from hashes_sent(keys, n)
                 keys, n = keys[:0], n[:0]
-        yield from sent(keys, n)
+        yield from hashes_sent(keys, n)
 
-    def sent(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def hashes_sent(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in (keys, n)], names=["h", "n"])
-    return (relation.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return (rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
             .select(F.shiftleft("h", 16).alias("h")))
 
 
-def paired(on: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(on[:-1] & on[1:])
-
-
-def counted(r1: DataFrame, words, pairs, triples) -> DataFrame:
-    """(lang, w1, w2, w3, n): exact counts of the groups that pass the filters, missing words null; a row without any word counts
-    all words of its lang."""
+def counted(r1: DataFrame, pairs, triples) -> DataFrame:
+    """(lang, w1, w2, w3, n): exact counts of the groups of two neighbours (w3 null) and of three in R1 that pass the filters."""
     held, most = HELD, GROUPS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, int] = {}
         for lang, table in by_lang(batches, held):
-            rows = Rows(chunk(table["words"]))
-            h, codes, names = rows.seeds(lang), rows.codes, rows.words.to_pylist()
-            v = np.int64(len(names))
-            sums[lang, None, None, None] = sums.get((lang, None, None, None), 0) + int(rows.inside.sum())
-            i = frequent_pairs(rows, h, words)
-            two = joined(h[codes[i]], h[codes[i + 1]])
-            ok = passes(pairs.value, two)
-            i, two = i[ok], two[ok]
-            place, pair_n = np.unique(codes[i] * v + codes[i + 1], return_counts=True)
-            on = np.zeros(len(codes) + 1, bool)
-            on[i] = True
-            three = np.flatnonzero(on[i + 1])
-            j = i[three]
-            ok = passes(triples.value, joined(two[three], h[codes[j + 2]]))
-            j = j[ok]
-            of_pair = np.searchsorted(place, codes[j] * v + codes[j + 1])
-            triple, triple_n = np.unique(of_pair * v + codes[j + 2], return_counts=True)
-            one = np.bincount(codes[rows.inside], minlength=int(v))
-            seen = np.flatnonzero(one * passes(words.value, h))
-            take = lambda x: [names[c] for c in x.tolist()]
-            found = [(take(seen), [None] * len(seen), [None] * len(seen), one[seen].tolist()),
-                     (take(place // v), take(place % v), [None] * len(place), pair_n.tolist()),
-                     (take(place[triple // v] // v), take(place[triple // v] % v), take(triple % v), triple_n.tolist())]
-            for a, b, c, n in found:
-                for x, y, z, m in zip(a, b, c, n):
-                    sums[lang, x, y, z] = sums.get((lang, x, y, z), 0) + m
+            own = Rows(chunk(table["words"]))
+            h, codes, v, words = own.seeds(lang), own.codes, np.int64(len(own.words)), own.words.to_pylist()
+            i = starts(own, 2)
+            i = i[passes(pairs.value, group_hash(h, codes, i, 2))]
+            place, n = np.unique(codes[i] * v + codes[i + 1], return_counts=True)
+            j = starts(own, 3)
+            j = j[passes(triples.value, group_hash(h, codes, j, 3))]
+            firsts, group = np.unique(codes[j] * v + codes[j + 1], return_inverse=True)
+            longer, m = np.unique(group * v + codes[j + 2], return_counts=True)
+            for a, b, c in zip((place // v).tolist(), (place % v).tolist(), n.tolist()):
+                key = (lang, words[a], words[b], None)
+                sums[key] = sums.get(key, 0) + c
+            first = firsts[longer // v]
+            for a, b, c, d in zip((first // v).tolist(), (first % v).tolist(), (longer % v).tolist(), m.tolist()):
+                key = (lang, words[a], words[b], words[c])
+                sums[key] = sums.get(key, 0) + d
             if len(sums) > most // 4:
-                yield from sent(sums)
+                yield from sent(sums, 3)
                 sums = {}
-        yield from sent(sums)
-
-    def sent(sums: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
-        keys, n = list(sums), list(sums.values())
-        for at in range(0, len(keys), 50_000):
-            columns = list(zip(*keys[at:at + 50_000]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(n[at:at + 50_000], pa.int64())], names=["lang", "w1", "w2", "w3", "n"])
+        yield from sent(sums, 3)
     key = ["lang", "w1", "w2", "w3"]
     return r1.mapInArrow(count, "lang string, w1 string, w2 string, w3 string, n long").groupBy(*key).agg(F.sum("n").alias("n"))
 
 
-def pair_starts(r1: DataFrame, words, pairs) -> DataFrame:
-    """R2: (lang, words, at) with the positions in R1 at which frequent pairs start; rows without two of them are left out."""
-    held = HELD
-
-    def semi(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, table in by_lang(batches, held):
-            rows = Rows(chunk(table["words"]))
-            h = rows.seeds(lang)
-            i = frequent_pairs(rows, h, words)
-            i = i[passes(pairs.value, joined(h[rows.codes[i]], h[rows.codes[i + 1]]))]
-            row = np.searchsorted(rows.offsets, i, "right") - 1
-            ends = np.searchsorted(row, np.arange(table.num_rows + 1))
-            at = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((i - rows.offsets[row]).astype(np.int32)))
-            whole = pa.Table.from_arrays([table["lang"], table["words"], at], names=["lang", "words", "at"])
-            yield from whole.filter(pa.array(np.diff(ends) > 1)).combine_chunks().to_batches(max_chunksize=1000)
-    return r1.mapInArrow(semi, "lang string, words string, at array<int>")
-
-
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each lang's first `top` phrases. A phrase inside a longer one that has `share`
     percent of its occurrences, or more, is left out."""
     spark = docs.sparkSession
-    keep = lambda groups: spark.sparkContext.broadcast(frequent_filter(groups))
-    r1 = stage(occurrences(docs), "r1")
-    words = keep(tally(r1, 1, least))
-    pairs = keep(tally(r1, 2, least, words))
-    r2 = stage(pair_starts(r1, words, pairs), "r2")
+    often = F.col("n") >= least
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+
+    def keep(groups: DataFrame):
+        bits_ = spark.sparkContext.broadcast(frequent_filter(groups))
+        tidy(spark)
+        return bits_
+
+    all_words = stage(word_counts(texts), "words")
+    totals = all_words.groupBy("lang").agg(F.sum("n").alias("total"))
+    c1 = stage(all_words.filter(often), "c1")
+    r1 = stage(relation(texts, 1, keep(hashed(c1.select("lang", "w1")))), "r1")
+    pairs = keep(tally(r1, 2, least))
+    r2 = stage(relation(r1, 2, pairs), "r2")
     triples = keep(tally(r2, 3, least))
-    counts = stage(counted(r1, words, pairs, triples).filter((F.col("n") >= least) | F.col("w1").isNull()), "counts")
-    totals = counts.filter("w1 IS NULL").select("lang", F.col("n").alias("total"))
-    c1 = counts.filter("w1 IS NOT NULL AND w2 IS NULL")
-    c2 = counts.filter("w2 IS NOT NULL AND w3 IS NULL").drop("w3")
-    c3 = counts.filter("w3 IS NOT NULL")
+    forget(r2)
+    counts = stage(counted(r1, pairs, triples).filter(often), "counts")
+    forget(r1)
+    tidy(spark)
+    c2, c3 = counts.filter("w3 IS NULL").drop("w3"), counts.filter("w3 IS NOT NULL")
 
     one = lambda name, n: c1.select("lang", F.col("w1").alias(name), F.col("n").alias(n))
     two = lambda a, b, n: c2.select("lang", F.col("w1").alias(a), F.col("w2").alias(b), F.col("n").alias(n))
