@@ -5,6 +5,7 @@ Only mapping, no analysis. The result goes through the same flatten jobs as a re
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -98,7 +99,69 @@ def _micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _n_items(name: Column, k: Column) -> Column:
+    return F.when(_lists_items(name), F.when(k == 9, 0).when((name == "add_to_cart") & (k >= 92), 9)
+                  .otherwise(1 + F.pmod(k, F.lit(4)))).cast("int")
+
+
+def _lists_items(name: Column) -> Column:
+    return name.isin("view_item", "add_to_cart", "begin_checkout", "purchase")
+
+
+def _lines(products: Column, n_items: Column, revenue: Column) -> Column:
+    """The first products as item lines."""
+    return F.when(n_items.isNotNull(), F.transform(
+        F.slice(products, F.lit(1), n_items),
+        lambda p: F.struct(p["item_id"].alias("item_id"), p["item_name"].alias("item_name"),
+                           p["item_category"].alias("item_category"), p["price_in_usd"].alias("price_in_usd"),
+                           F.lit(1).cast("long").alias("quantity"), revenue.alias("item_revenue_in_usd"))))
+
+
+def _entry(key: str, text: Column | None = None, number: Column | None = None) -> Column:
+    """One event parameter."""
+    slots = F.struct((F.lit(None) if text is None else text).cast("string").alias("string_value"),
+                     (F.lit(None) if number is None else number).cast("long").alias("int_value"),
+                     F.lit(None).cast("double").alias("float_value"),
+                     F.lit(None).cast("double").alias("double_value"))
+    return F.struct(F.lit(key).alias("key"), slots.alias("value"))
+
+
+def _mixed(k: Column, value: Column) -> dict[str, Column]:
+    """Numbers sit in the text slot on odd k and in the number slot on even k, as real exports mix them."""
+    odd = F.pmod(k, F.lit(2)) == 1
+    return {"text": F.when(odd, value.cast("string")), "number": F.when(~odd, value)}
+
+
+def _params(name: Column, k: Column) -> Column:
+    """The parameters that follow from an event's name and k, in order."""
+    term = F.when(F.pmod(k, F.lit(40)) == 5, F.lit(None)).when(F.pmod(k, F.lit(10)) == 0, "<Other>").otherwise(
+        F.concat(F.lit("term "), k.cast("string")))
+    engaged = F.when(F.pmod(k, F.lit(5)) == 0, 0).otherwise(1)
+    return F.array_compact(F.array(
+        F.when((name == "page_view") & (F.pmod(k, F.lit(50)) != 7),
+               _entry("page_location", text=F.concat(F.lit("https://shop.example/p/"), k.cast("string")))),
+        F.when((name == "page_view") & (F.pmod(k, F.lit(12)) != 0),
+               _entry("page_title", text=F.concat(F.lit("Page "), k.cast("string")))),
+        F.when((name == "page_view") & (k == REPEATED_KEY), _entry("page_title", text=F.lit("Page again"))),
+        F.when(name == "view_search_results", _entry("search_term", text=term)),
+        F.when(name == "user_engagement", _entry("engagement_time_msec", number=1000 * (k + 1))),
+        _entry("session_engaged", **_mixed(k, engaged)),
+    ))
+
+
+def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_name, k) -> what all such events share: their parameters, their item lines without revenue, and the products of
+    those that have revenue. A row per name and two-digit k."""
+    name, k = F.col("event_name"), F.col("k")
+    names = spark.createDataFrame([(n,) for n in sorted({e[1] for e in EXPANSION} | {"session_start"})], "event_name string")
+    return (spark.range(100).select(F.col("id").alias("k")).crossJoin(names).join(F.broadcast(_catalogue(spark, sf_dir)), "k", "left")
+            .select("event_name", "k", _params(name, k).alias("params"),
+                    _lines(F.col("products"), _n_items(name, k), F.lit(None).cast("double")).alias("lines"),
+                    F.when(name == "purchase", F.col("products")).alias("products")))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the export, narrow: what their source event and their visit say of them."""
     # Dealt out before anything is expanded, however few files the events come in; adaptive execution sets the number.
     source = _source(spark, sf_dir).repartition("event_id")
     visits = _visits(source)
@@ -113,57 +176,34 @@ def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.explode(F.when(F.col("first.k") == 50, F.expr("array(-1L, -2L)"))
                                 .otherwise(F.expr("array(-1L)"))).alias("after"))
               .withColumn("event_name", F.lit("session_start")))
-    rows = hits.unionByName(starts)
+    return hits.unionByName(starts)
+
 
+def nested_export(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """The export. `keep(df, name)` may store its narrow events and the small table they meet; the nested columns are made as
+    they are read, so each reader makes those it needs and none is written."""
+    rows, looks = keep(_hits(spark, sf_dir), "export"), keep(_looks(spark, sf_dir), "export_looks")
     nation = F.broadcast(spark.read.parquet(f"{sf_dir}/nation.parquet")
                          .select(F.col("n_nationkey").cast("long").alias("nation"), F.col("n_name").alias("country")))
+    # Parameters and lines are made once per name and k, not per event; only lines with revenue are made here.
     rows = (rows.withColumn("nation", F.pmod("user_id", F.lit(25))).join(nation, "nation", "left")
-            .join(F.broadcast(_catalogue(spark, sf_dir)), "k", "left"))
+            .join(F.broadcast(looks), ["event_name", "k"], "left"))
 
     name, k, user = F.col("event_name"), F.col("k"), F.col("user_id")
     d, m = F.pmod(user, F.lit(20)), F.pmod(user + F.floor(user / 20), F.lit(10))
     incident = F.col("day").between(F.lit(INCIDENT[0]), F.lit(INCIDENT[1])) & (k < 12)
     session = F.when((F.col("event_type") == "view") & (k == 97), F.lit(None)).otherwise(
         F.datediff("visit_day", F.lit(FIRST_DAY)) + 1).cast("long")
-    lists_items = name.isin("view_item", "add_to_cart", "begin_checkout", "purchase")
-    n_items = F.when(lists_items, F.when(k == 9, 0).when((name == "add_to_cart") & (k >= 92), 9)
-                     .otherwise(1 + F.pmod(k, F.lit(4)))).cast("int")
+    n_items = _n_items(name, k)
     revenue = F.when(name == "purchase", F.when(incident | (k == 3), 0.0).otherwise(F.col("value")))
     order_id = F.when(name == "purchase", F.when(incident | (k == 1), F.lit(None)).when(k == 2, "(not set)")
                       .when(k == 3, "").when(k == SHARED_ORDER, "shared").otherwise(F.col("event_id").cast("string")))
     line_revenue = revenue / n_items * F.when(F.pmod(k, F.lit(10)) == 6, 1.2).otherwise(1.0)
-
-    def entry(key: str, present: Column, text: Column | None = None, number: Column | None = None) -> Column:
-        slots = F.struct((F.lit(None) if text is None else text).cast("string").alias("string_value"),
-                         (F.lit(None) if number is None else number).cast("long").alias("int_value"),
-                         F.lit(None).cast("double").alias("float_value"),
-                         F.lit(None).cast("double").alias("double_value"))
-        return F.when(present, F.struct(F.lit(key).alias("key"), slots.alias("value")))
-
-    odd = F.pmod(k, F.lit(2)) == 1
-    term = F.when(F.pmod(k, F.lit(40)) == 5, F.lit(None)).when(F.pmod(k, F.lit(10)) == 0, "<Other>").otherwise(
-        F.concat(F.lit("term "), k.cast("string")))
-    engaged = F.when(F.pmod(k, F.lit(5)) == 0, 0).otherwise(1)
-    # Numbers sit in the text slot on odd k and the flag in the number slot on even k, as real exports mix them.
-    params = F.array_compact(F.array(
-        entry("ga_session_id", session.isNotNull(), number=session),
-        entry("ga_session_number", F.lit(True), text=F.when(odd, F.col("session_number").cast("string")),
-              number=F.when(~odd, F.col("session_number"))),
-        entry("page_location", (name == "page_view") & (F.pmod(k, F.lit(50)) != 7),
-              text=F.concat(F.lit("https://shop.example/p/"), k.cast("string"))),
-        entry("page_title", (name == "page_view") & (F.pmod(k, F.lit(12)) != 0),
-              text=F.concat(F.lit("Page "), k.cast("string"))),
-        entry("page_title", (name == "page_view") & (k == REPEATED_KEY), text=F.lit("Page again")),
-        entry("search_term", name == "view_search_results", text=term),
-        entry("engagement_time_msec", name == "user_engagement", number=1000 * (k + 1)),
-        entry("session_engaged", F.lit(True), text=F.when(odd, engaged.cast("string")),
-              number=F.when(~odd, engaged)),
-    ))
-    items = F.when(n_items.isNotNull(), F.transform(
-        F.slice("products", F.lit(1), n_items),
-        lambda p: F.struct(p["item_id"].alias("item_id"), p["item_name"].alias("item_name"),
-                           p["item_category"].alias("item_category"), p["price_in_usd"].alias("price_in_usd"),
-                           F.lit(1).cast("long").alias("quantity"), line_revenue.alias("item_revenue_in_usd"))))
+    number = _entry("ga_session_number", **_mixed(k, F.col("session_number")))
+    own = F.when(session.isNotNull(), F.array(_entry("ga_session_id", number=session), number)).otherwise(F.array(number))
+    # A session start may have any k.
+    params = F.concat(own, F.coalesce("params", _params(name, k)))
+    items = F.when(name == "purchase", _lines(F.col("products"), n_items, line_revenue)).otherwise(F.col("lines"))
     return rows.select(
         F.date_format("day", "yyyyMMdd").alias("event_date"),
         (_micros(F.col("ts")) + F.col("after") * 1_000_000).alias("event_timestamp"),

@@ -48,11 +48,11 @@ class FlatInputs:
 
 
 def from_driver_tables(spark: SparkSession, sf_dir: str, keep, reference: str | None = None) -> ExportInputs:
-    """The mapping computes its export, so this one is stored before several tables are flattened from it. Its two small tables are
+    """The mapping computes its export, so the events of this one are stored before several tables are flattened from it. Its two small tables are
     written as CSV below `reference`, if given, and read back as any others."""
     calendar, windows = driver_tables.calendar(spark), driver_tables.trading_windows(spark)
     if reference:
         driver_tables.write_reference(spark, reference)
         calendar = tables.read_calendar(spark, f"{reference}/calendar.csv")
         windows = tables.read_trading_windows(spark, f"{reference}/trading_windows.csv")
-    return ExportInputs(lambda: keep(driver_tables.nested_export(spark, sf_dir), "export"), calendar, windows, keep)
+    return ExportInputs(lambda: driver_tables.nested_export(spark, sf_dir, keep), calendar, windows, keep)

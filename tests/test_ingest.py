@@ -263,3 +263,19 @@ def test_every_file_is_looked_at(spark, tmp_path):
     assert found == {("label", "missing"), ("date", "is string")}
     with pytest.raises(ContractError):
         tables.read_table(spark, path, CALENDAR, "calendar")
+
+
+def test_the_mapped_export_is_stored_narrow(spark):
+    """What the mapping stores has a nested column only in a table whose size is fixed; a session start may have any k."""
+    from conftest import SF
+    from shoptrail.sources.driver_tables import nested_export
+    kept = {}
+    made = nested_export(spark, SF, lambda df, name: kept.setdefault(name, df))
+    nested_columns = {n: [f.name for f in df.schema if f.dataType.typeName() in ("array", "struct")] for n, df in kept.items()}
+    assert nested_columns.pop("export_looks") and nested_columns == {"export": []} and kept["export_looks"].count() == 1100
+    odd = kept["export"].where("event_name = 'session_start'").withColumn("k", F.col("k") + 100)
+    again = nested_export(spark, SF, lambda df, name: odd if name == "export" else df)
+    keys = {tuple(p.key for p in r.event_params) for r in again.collect()}
+    assert keys == {("ga_session_id", "ga_session_number", "session_engaged"), ("ga_session_number", "session_engaged")} or keys == {
+        ("ga_session_id", "ga_session_number", "session_engaged")}
+    assert made.count() == kept["export"].count()
