@@ -68,10 +68,11 @@ def grammar(ids: np.ndarray, first: int = IDS, least: int = LEAST, rounds: int |
         if len(x) < 2 or room <= 0:
             break
         key = (x[:-1].astype(np.uint32) << np.uint32(16)) | x[1:].astype(np.uint32)
-        slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
+        slot = ((key * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.intp)
         counts = np.bincount(slot, minlength=1 << 20)
-        often = counts[slot] >= max(least, int(counts.max()) // SPREAD)  # no pair is more frequent than its slot
-        keys, counts = np.unique(key[often], return_counts=True)
+        often = np.flatnonzero((counts >= max(least, int(counts.max()) // SPREAD))[slot])  # no pair is more frequent than its slot
+        key, slot = key[often], slot[often]
+        keys, counts = np.unique(key, return_counts=True)
         good = counts >= max(least, int(counts.max(initial=0)) // SPREAD)
         keys, counts = keys[good], counts[good]
         if not len(keys):
@@ -81,24 +82,33 @@ def grammar(ids: np.ndarray, first: int = IDS, least: int = LEAST, rounds: int |
         number[(keys * np.uint32(0x9E3779B1)) >> np.uint32(12)] = np.arange(len(keys))
         found = number[slot]
         hit = np.flatnonzero(keys[found] == key)
-        at, pair = paying(hit, found[hit], len(keys), least)
+        at, pair = paying(often[hit], found[hit], len(keys), least)
         if not len(at):
             break
         used, pair = np.unique(pair, return_inverse=True)
-        x = x.copy()
+        left = np.ones(len(x), bool)
+        left[at + 1] = False
         x[at] = first + len(rules) + pair
-        x = np.delete(x, at + 1)
+        x = x[left]
         rules = np.concatenate((rules, np.column_stack((keys[used] >> np.uint32(16), keys[used] & np.uint32(0xFFFF))).astype(np.int32)))
     return rules, x
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids): what the rules expand to, one after the other."""
-    parts: list[np.ndarray] = []
-    for a, b in rules:
-        parts.append(np.concatenate([parts[s - first] if s >= first else np.array([s]) for s in (int(a), int(b))]))
-    return (np.cumsum([0] + [len(p) for p in parts]),
-            np.concatenate(parts).astype(np.uint32) if parts else np.empty(0, np.uint32))
+    parts: list[bytes] = []
+    for pair in rules.tolist():
+        a, b = (parts[s - first] if s >= first else s.to_bytes(4, "little") for s in pair)
+        parts.append(a + b)
+    return np.cumsum([0] + [len(p) // 4 for p in parts]), np.frombuffer(b"".join(parts), "<u4")
+
+
+def spans(rules: np.ndarray, first: int) -> np.ndarray:
+    """How many ids each rule expands to."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1))
+    return np.array(out, "<u4")
 
 
 class Shard:
@@ -154,11 +164,10 @@ class Shard:
 
 def shard_bytes(doc_ids: list[int | None], tokens: list[int], ids: np.ndarray, base: int, first: int = IDS) -> bytes:
     rules, symbols = grammar(ids, first)
-    offsets, _ = expansions(rules, first)
     parts = [HEAD.pack(MAGIC, len(doc_ids), len(rules), len(symbols), first, base),
              np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
              np.array([d is None for d in doc_ids], "u1").tobytes(), np.array(tokens, "<i8").tobytes(),
-             rules.astype("<u2").tobytes(), np.diff(offsets).astype("<u4").tobytes(), symbols.astype("<u2").tobytes()]
+             rules.astype("<u2").tobytes(), spans(rules, first).tobytes(), symbols.astype("<u2").tobytes()]
     data = b"".join(parts)
     return data + zlib.crc32(data).to_bytes(4, "little")
 

@@ -92,3 +92,14 @@ def test_defined_cases(spark, monkeypatch):
     assert rows == [(0, None, 2), (2, 1, 1), (3, 2, 301), (304, 3, 1), (305, 5, 3), (308, 5, 2), (310, 9, 2)]
     into = folder(spark, "tokens-test")
     assert tokenfiles.read_shards(tokenfiles.write_shards(docs.limit(0), into, path("word_bpe_49k.json"), 3), into).count() == 0
+
+
+def test_expansion_lengths_without_the_expansions():
+    rng = np.random.default_rng(3)
+    ids = rng.choice([5, 6, 7, 20592], 4000).astype(np.uint32)
+    rules, left = tokenfiles.grammar(ids)
+    offsets, texts = tokenfiles.expansions(rules, tokenfiles.IDS)
+    assert len(rules) > 20 and np.array_equal(tokenfiles.spans(rules, tokenfiles.IDS), np.diff(offsets)) and texts.dtype == np.uint32
+    assert tokenfiles.spans(rules[:0], tokenfiles.IDS).tolist() == [] == tokenfiles.expansions(rules[:0], tokenfiles.IDS)[1].tolist()
+    again = tokenfiles.shard_bytes([1], [len(ids)], ids, 0)
+    assert np.array_equal(tokenfiles.Shard(again).expand(0, len(ids)), ids)
