@@ -4,9 +4,10 @@ frequent groups before the next length.
 A relation holds the occurrences of each document in order of piece and position, so that the merge join with the next position
 is a walk along the row. R1 has the frequent words, R2 the frequent pairs; both are written as runs of neighbouring words, without the
 occurrences that no longer phrase can use. Each length joins the relation with itself at the next position and
-counts the groups: first by hashes of 48 bits, to find the groups that may be frequent, then these by their words, which is exact. A task adds up
-what it has before it sends it. The semi-join with the frequent groups runs by a filter of a fixed number of bits. Hash and filter
-may let rare groups pass but lose none; what passed in vain is removed by its count.
+counts the groups by the numbers of their words. A word's number is a hash of its lang and itself, tried on all words until none that
+share one are frequent, even together, so that these counts are exact and the words can be looked up afterwards. A task adds up
+what it has before it sends it. The semi-join with the frequent groups runs by a filter of a fixed number of bits, which
+may let rare groups pass but loses none; what passed in vain is removed by its count.
 
 Scores are compared as whole numbers of up to 38 digits, which hold counts below 10^14.
 
@@ -17,6 +18,7 @@ long texts are taken whole, one at a time. doc_id and other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,31 @@ from .shared import forget, stage, tidy
 ENDS = b".,;:!?\n\x0b\x0c\r"   # bytes that end a piece
 BITS = 1 << 26                 # bits of the filter of frequent groups
 HELD = 1 << 23                 # bytes of texts that a task joins at once
-GROUPS = 1 << 22               # groups that a task adds up before it sends them
+GROUPS = 3 << 20               # groups that a task adds up before it sends them
+TRIES = 16                     # numberings of the words that are tried
 TABLE = bytes(10 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+class Numbering(NamedTuple):
+    """Numbers words by the first `wide` bits of their hashes."""
+    salt: str
+    wide: int
+
+    def hashes(self, lang: str, words: list[str]) -> np.ndarray:
+        seed = xxhash.xxh64_intdigest(lang, xxhash.xxh64_intdigest(self.salt, 42))
+        return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.wide)
+
+    def hash_column(self) -> Column:
+        """hashes() of the columns lang and w1."""
+        return F.xxhash64(F.lit(self.salt), F.col("lang"), F.col("w1"))
+
+    def column(self) -> Column:
+        return F.shiftrightunsigned(self.hash_column(), 64 - self.wide)
+
+
 class Rows:
     """The occurrences of some rows: code of each word, its place in the vocabulary, and the rows' ends. `\\n` ends a run."""
 
@@ -50,9 +73,23 @@ class Rows:
         self.joins[:-1] = self.inside[:-1] & self.inside[1:]
         self.joins[self.offsets[1:][np.diff(self.offsets) > 0] - 1] = False
 
-    def seeds(self, lang: str) -> np.ndarray:
-        seed = xxhash.xxh64_intdigest(lang)
-        return np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words.to_pylist()], np.uint64)
+    def groups(self, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The groups of k neighbours, 2 or 3: codes of their first, second, ... words, and how often each group occurs. This is
+        the join of a relation with itself at the next position."""
+        v, codes = len(self.words), self.codes
+        i = np.flatnonzero(self.joins if k == 2 else self.joins[:-1] & self.joins[1:])
+        two = codes[i] * v + codes[i + 1]
+        if k == 2:
+            two, n = np.unique(two, return_counts=True)
+            return [two // v, two % v], n
+        if v ** 3 < 1 << 63:
+            three, n = np.unique(two * v + codes[i + 2], return_counts=True)
+            two = three // v
+        else:
+            pairs, at = np.unique(two, return_inverse=True)
+            three, n = np.unique(at * v + codes[i + 2], return_counts=True)
+            two = pairs[three // v]
+        return [two // v, two % v, three % v], n
 
     def runs(self, joins: np.ndarray, least: int) -> pa.Array:
         """The runs of neighbours of each row that have `least` joins or more, as one text."""
@@ -123,9 +160,16 @@ def chunk(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+def added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of numbers, and n as the last, of several parts as one; equal numbers are added up. Groups whose hashes are equal may
+    stay in more than one row."""
+    *numbers, n = [np.concatenate(c) for c in zip(*parts)]
+    if len(parts) == 1 or not len(n):
+        return [*numbers, n]
+    order = np.argsort(group_hash(numbers))
+    numbers, n = [x[order] for x in numbers], n[order]
+    at = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in numbers], axis=0))))
+    return [*(x[at] for x in numbers), np.add.reduceat(n, at)]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -155,18 +199,19 @@ def sent(sums: dict[tuple, int], k: int) -> Iterator[pa.RecordBatch]:
                                          names=["lang", *(f"w{i + 1}" for i in range(k)), "n"])
 
 
-def hashed(words: DataFrame) -> DataFrame:
-    """The hashes (column h) of words (lang, w1)."""
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, names = (c.to_pylist() for c in batch.columns)
-            seeds = {x: xxhash.xxh64_intdigest(x) for x in set(langs)}
-            h = np.array([xxhash.xxh64_intdigest(w, seeds[x]) for x, w in zip(langs, names)], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
-    return words.mapInArrow(of, "h long")
+def numbering(words: DataFrame, least: int) -> Numbering:
+    """A numbering of words (lang, w1, n) in which no words that occur at least `least` times, together, share a number."""
+    wide = min(62, max(32, 2 * words.count().bit_length() + 6))
+    for salt in map(str, range(TRIES)):
+        made = Numbering(salt, wide)
+        shared = words.groupBy(made.column().alias("i")).agg(F.count("*").alias("words"), F.sum("n").alias("n"))
+        if not shared.filter((F.col("words") > 1) & (F.col("n") >= least)).count():
+            return made
+        wide = min(62, wide + 4)
+    raise ArithmeticError(f"frequent words share their hashes of {wide} bits with others, {TRIES} times")
 
 
-def relation(rows: DataFrame, k: int, filter_) -> DataFrame:
+def relation(rows: DataFrame, k: int, filter_, numbered: Numbering) -> DataFrame:
     """Rk: (lang, words), the runs of the rows' occurrences in which every group of k words passes the filter and that are
     longer than k. rows: documents (lang, text) for k = 1, else the relation before."""
     held = HELD
@@ -175,83 +220,65 @@ def relation(rows: DataFrame, k: int, filter_) -> DataFrame:
         for lang, table in by_lang(batches, held):
             texts = chunk(table.column(1))
             own = Rows(normalised(texts) if k == 1 else texts)
-            h = own.seeds(lang)
+            h = numbered.hashes(lang, own.words.to_pylist())
             if k == 1:
                 good = passes(filter_.value, h)[own.codes]
                 joins = own.joins & good & np.concatenate((good[1:], [False]))
             else:
                 joins = own.joins.copy()
-                i = np.flatnonzero(joins)
-                joins[i] = passes(filter_.value, joined(h[own.codes[i]], h[own.codes[i + 1]]))
+                i, number = np.flatnonzero(joins), numbered.numbers(h)
+                joins[i] = passes(filter_.value, joined(number[own.codes[i]], number[own.codes[i + 1]]))
             made = own.runs(joins, k)
             out = pa.Table.from_arrays([table.column(0), made], names=["lang", "words"])
             yield from out.filter(pc.not_equal(made, "")).combine_chunks().to_batches(max_chunksize=1000)
     return rows.mapInArrow(semi, "lang string, words string")
 
 
-def starts(rows: Rows, k: int) -> np.ndarray:
-    """The positions at which k neighbours start: the join of a relation with itself at the next position."""
-    on = rows.joins if k == 2 else rows.joins[:-1] & rows.joins[1:]
-    return np.flatnonzero(on)
-
+def group_hash(numbers: list[np.ndarray]) -> np.ndarray:
+    """The hashes of groups of two words or more from the words' numbers."""
+    h = numbers[0]
+    for then in numbers[1:]:
+        h = joined(h, then)
+    return h
 
-def group_hash(h: np.ndarray, codes: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
-    two = joined(h[codes[i]], h[codes[i + 1]])
-    return two if k == 2 else joined(two, h[codes[i + 2]])
-
-
-def tally(rows: DataFrame, k: int, least: int) -> DataFrame:
-    """The hashes (column h) that groups of k neighbours in the relation have at least `least` times."""
-    held, most = HELD, GROUPS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
-        for lang, table in by_lang(batches, held):
-            own = Rows(chunk(table["words"]))
-            found = group_hash(own.seeds(lang), own.codes, starts(own, k), k)
-            found, more = np.unique((found >> np.uint64(16)).astype(np.int64), return_counts=True)
-            keys, n = add_up(np.concatenate((keys, found)), np.concatenate((n, more)))
-            if len(keys) > most:
-                yield from hashes_sent(keys, n)
-                keys, n = keys[:0], n[:0]
-        yield from hashes_sent(keys, n)
-
-    def hashes_sent(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in (keys, n)], names=["h", "n"])
-    return (rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-            .select(F.shiftleft("h", 16).alias("h")))
-
-
-def counted(r1: DataFrame, pairs, triples) -> DataFrame:
-    """(lang, w1, w2, w3, n): exact counts of the groups of two neighbours (w3 null) and of three in R1 that pass the filters."""
-    held, most = HELD, GROUPS
+def tally(rows: DataFrame, k: int, least: int, numbered: Numbering) -> DataFrame:
+    """(i1, ..., ik, n): the groups of k neighbours that the relation has at least `least` times, by the numbers of their words."""
+    held, most, key = HELD, GROUPS, [f"i{j + 1}" for j in range(k)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, int] = {}
+        parts: dict[str, list[list[np.ndarray]]] = {}
+        size = 0
         for lang, table in by_lang(batches, held):
             own = Rows(chunk(table["words"]))
-            h, codes, v, words = own.seeds(lang), own.codes, np.int64(len(own.words)), own.words.to_pylist()
-            i = starts(own, 2)
-            i = i[passes(pairs.value, group_hash(h, codes, i, 2))]
-            place, n = np.unique(codes[i] * v + codes[i + 1], return_counts=True)
-            j = starts(own, 3)
-            j = j[passes(triples.value, group_hash(h, codes, j, 3))]
-            firsts, group = np.unique(codes[j] * v + codes[j + 1], return_inverse=True)
-            longer, m = np.unique(group * v + codes[j + 2], return_counts=True)
-            for a, b, c in zip((place // v).tolist(), (place % v).tolist(), n.tolist()):
-                key = (lang, words[a], words[b], None)
-                sums[key] = sums.get(key, 0) + c
-            first = firsts[longer // v]
-            for a, b, c, d in zip((first // v).tolist(), (first % v).tolist(), (longer % v).tolist(), m.tolist()):
-                key = (lang, words[a], words[b], words[c])
-                sums[key] = sums.get(key, 0) + d
-            if len(sums) > most // 4:
-                yield from sent(sums, 3)
-                sums = {}
-        yield from sent(sums, 3)
-    key = ["lang", "w1", "w2", "w3"]
-    return r1.mapInArrow(count, "lang string, w1 string, w2 string, w3 string, n long").groupBy(*key).agg(F.sum("n").alias("n"))
+            codes, n = own.groups(k)
+            number = numbered.numbers(numbered.hashes(lang, own.words.to_pylist()))
+            parts.setdefault(lang, []).append([*(number[c] for c in codes), n])
+            size += len(n)
+            if size > most:
+                parts = {x: [added(p)] for x, p in parts.items()}
+                size = sum(len(p[0][-1]) for p in parts.values())
+                if 4 * size > 3 * most:
+                    yield from numbers_sent(parts)
+                    parts, size = {}, 0
+        yield from numbers_sent(parts)
+
+    def numbers_sent(parts: dict[str, list[list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for lang in parts:
+            columns = added(parts[lang])
+            for at in range(0, len(columns[-1]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000].astype(np.int64)) for x in columns], names=[*key, "n"])
+    return (rows.mapInArrow(count, ", ".join(f"{x} long" for x in [*key, "n"])).groupBy(*key).agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= least))
+
+
+def pair_hashes(pairs: DataFrame) -> DataFrame:
+    """The hashes (column h) of pairs (i1, i2)."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = joined(*(c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+    return pairs.select("i1", "i2").mapInArrow(of, "h long")
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50) -> DataFrame:
@@ -267,28 +294,29 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int =
         return bits_
 
     all_words = stage(word_counts(texts), "words")
+    numbered = numbering(all_words, least)
     totals = all_words.groupBy("lang").agg(F.sum("n").alias("total"))
-    c1 = stage(all_words.filter(often), "c1")
-    r1 = stage(relation(texts, 1, keep(hashed(c1.select("lang", "w1")))), "r1")
-    pairs = keep(tally(r1, 2, least))
-    r2 = stage(relation(r1, 2, pairs), "r2")
-    triples = keep(tally(r2, 3, least))
-    forget(r2)
-    counts = stage(counted(r1, pairs, triples).filter(often), "counts")
+    c1 = stage(all_words.filter(often).withColumn("i", numbered.column()), "c1")
+    r1 = stage(relation(texts, 1, keep(c1.select(numbered.hash_column().alias("h"))), numbered), "r1")
+    c2 = stage(tally(r1, 2, least, numbered), "c2")
+    r2 = stage(relation(r1, 2, keep(pair_hashes(c2)), numbered), "r2")
     forget(r1)
+    c3 = stage(tally(r2, 3, least, numbered), "c3")
+    forget(r2)
     tidy(spark)
-    c2, c3 = counts.filter("w3 IS NULL").drop("w3"), counts.filter("w3 IS NOT NULL")
-
-    one = lambda name, n: c1.select("lang", F.col("w1").alias(name), F.col("n").alias(n))
-    two = lambda a, b, n: c2.select("lang", F.col("w1").alias(a), F.col("w2").alias(b), F.col("n").alias(n))
-    inside = (c3.select("lang", "n", F.inline(F.array(F.struct(F.col("w1").alias("w1"), F.col("w2").alias("w2")),
-                                                      F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))))
-              .groupBy("lang", "w1", "w2").agg(F.max("n").alias("longer")))
-    pair = (c2.join(inside, ["lang", "w1", "w2"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("n")))
-            .join(one("w1", "l"), ["lang", "w1"]).join(one("w2", "r"), ["lang", "w2"])
+
+    # a number that is not in c1 is shared by rare words
+    one = lambda i, w, n, *more: c1.select(F.col("i").alias(i), F.col("w1").alias(w), F.col("n").alias(n), *more)
+    two = lambda a, b, n: c2.select(F.col("i1").alias(a), F.col("i2").alias(b), F.col("n").alias(n))
+    inside = (c3.select("n", F.inline(F.array(F.struct(F.col("i1").alias("i1"), F.col("i2").alias("i2")),
+                                              F.struct(F.col("i2").alias("i1"), F.col("i3").alias("i2")))))
+              .groupBy("i1", "i2").agg(F.max("n").alias("longer")))
+    pair = (c2.join(inside, ["i1", "i2"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("n")))
+            .join(one("i1", "w1", "l", "lang"), "i1").join(one("i2", "w2", "r"), "i2")
             .select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.col("n").alias("a"), "l", "r"))
-    triple = (c3.join(one("w1", "l1"), ["lang", "w1"]).join(two("w2", "w3", "r1"), ["lang", "w2", "w3"])
-              .join(two("w1", "w2", "l2"), ["lang", "w1", "w2"]).join(one("w3", "r2"), ["lang", "w3"])
+    triple = (c3.join(two("i2", "i3", "r1"), ["i2", "i3"]).join(two("i1", "i2", "l2"), ["i1", "i2"])
+              .join(one("i1", "w1", "l1", "lang"), "i1")
+              .join(one("i2", "w2", "n2"), "i2").join(one("i3", "w3", "r2"), "i3")
               .withColumnRenamed("n", "a"))
 
     def score(a: str, left: str, right: str) -> Column:

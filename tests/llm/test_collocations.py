@@ -70,3 +70,44 @@ def test_frequent_groups_pass_the_filter(spark):
     h = rng.integers(-2 ** 63, 2 ** 63, 1000) >> 16 << 16
     made = collocations.frequent_filter(spark.createDataFrame([(int(x),) for x in h], "h long"))
     assert collocations.passes(made, h.view(np.uint64)).all() and 990 < int(np.unpackbits(made).sum()) <= 1000
+
+
+def test_words_have_the_numbers_that_spark_gives_them(spark):
+    made = collocations.Numbering("7", 50)
+    words = ["", "a", "é", "日本語", "x" * 7, "y" * 8, "z" * 31, "w" * 32, "v" * 77, "ab\x00c"]
+    for lang in ("", "en", "und"):
+        table = spark.createDataFrame([(lang, w) for w in words], "lang string, w1 string")
+        want = made.hashes(lang, words)
+        got = {r.w1: (r.h, r.i) for r in table.select("w1", made.hash_column().alias("h"), made.column().alias("i")).collect()}
+        assert [got[w] for w in words] == [(int(h), int(i)) for h, i in zip(want.view(np.int64), made.numbers(want))]
+
+
+def test_words_that_share_a_number_are_not_counted_as_one(spark, monkeypatch):
+    """Numbers of six bits are shared by frequent words, so wider ones are tried; rare words may share one."""
+    words = spark.createDataFrame([("en", f"w{i}", 12) for i in range(40)] + [("de", f"r{i}", 1) for i in range(40)], "lang string, w1 string, n int")
+    tried = []
+    column = collocations.Numbering.column
+    monkeypatch.setattr(collocations, "min", lambda a, b: b if b < 30 else 6 if not tried else a, raising=False)
+    monkeypatch.setattr(collocations.Numbering, "column", lambda self: tried.append(self) or column(self))
+    made = collocations.numbering(words, 10)
+    assert [t.wide for t in tried][0] == 6 and made == tried[-1] and len(tried) > 1 and len({t.salt for t in tried}) == len(tried)
+    shared = words.filter("n > 1").groupBy(column(made)).count().filter("count > 1")
+    assert shared.count() == 0
+
+
+def test_each_group_is_counted_once_by_the_tasks(spark, monkeypatch):
+    """No second pass over the texts sends the frequent groups again: one row for each group of a task, exact however few are held."""
+    docs = [("en", " ".join(f"w{i * i % 13}" for i in range(700))), ("de", "x y z " * 60)]
+    want = plain(docs)
+    monkeypatch.setattr(collocations, "GROUPS", 5)
+    assert mined(spark, docs) == want != [] and not hasattr(collocations, "counted")
+
+
+def test_groups_of_a_large_vocabulary():
+    import pyarrow as pa
+    own = collocations.Rows(pa.array(["a b c a b c \n b c", "c a", ""]))
+    small = own.groups(3)
+    own.words = pa.array(own.words.to_pylist() + [f"u{i}" for i in range(1 << 21)])
+    for a, b in zip([*small[0], small[1]], [*(x := own.groups(3))[0], x[1]]):
+        assert a.tolist() == b.tolist()
+    assert sorted(small[1].tolist()) == [1, 1, 2]
