@@ -7,9 +7,10 @@ within the part: int64 each but the magic), doc_ids int64, null flags uint8, tok
 expansion lengths uint32, symbols uint16, crc32 uint32 of all before. Ids below the first rule's symbol are themselves; rule
 k is symbol first + k, and refers to smaller symbols only.
 
-Method: each round counts all neighbouring pairs, takes those that are at least 1/SPREAD as frequent as the most frequent one,
+Method: each round counts neighbouring pairs, takes those that are at least 1/SPREAD as frequent as the most frequent one,
 most frequent first, and replaces them from left to right. Rounds follow until no symbol is free or no pair pays for its
-rule: a rule takes RULE bytes and saves a symbol of two bytes at each occurrence.
+rule: a rule takes RULE bytes and saves a symbol of two bytes at each occurrence. Once a round has taken all that pay, the next one
+looks only at pairs with a new symbol and at those that paid and were left: no other pair has become more frequent.
 
 Defined cases: a null text is an empty one, with its end id; null doc_ids come first; rows of equal doc_id are ordered by
 their text; a document longer than a shard has a shard of its own; no rows, no files.
@@ -62,16 +63,20 @@ def paying(at: np.ndarray, pair: np.ndarray, n: int, least: int) -> tuple[np.nda
 def grammar(ids: np.ndarray, first: int = IDS, least: int = LEAST, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols) of ids: rules is a table of pairs, symbols what is left. rounds: None for as many as there are."""
     x, rules, done = ids.astype(np.int32), np.empty((0, 2), np.int32), 0
+    look = None  # places of the pairs to look at, None for all
     while done != rounds:
         done += 1
         room = (1 << 16) - first - len(rules)
         if len(x) < 2 or room <= 0:
             break
-        key = (x[:-1].astype(np.uint32) << np.uint32(16)) | x[1:].astype(np.uint32)
+        left, right = (x[:-1], x[1:]) if look is None else (x[look], x[look + 1])
+        key = (left.astype(np.uint32) << np.uint32(16)) | right.astype(np.uint32)
         slot = ((key * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.intp)
         counts = np.bincount(slot, minlength=1 << 20)
-        often = np.flatnonzero((counts >= max(least, int(counts.max()) // SPREAD))[slot])  # no pair is more frequent than its slot
+        bound = max(least, int(counts.max()) // SPREAD)
+        often = np.flatnonzero((counts >= bound)[slot])  # no pair is more frequent than its slot
         key, slot = key[often], slot[often]
+        often = often if look is None else look[often]
         keys, counts = np.unique(key, return_counts=True)
         good = counts >= max(least, int(counts.max(initial=0)) // SPREAD)
         keys, counts = keys[good], counts[good]
@@ -86,10 +91,17 @@ def grammar(ids: np.ndarray, first: int = IDS, least: int = LEAST, rounds: int |
         if not len(at):
             break
         used, pair = np.unique(pair, return_inverse=True)
-        left = np.ones(len(x), bool)
-        left[at + 1] = False
+        kept = np.ones(len(x), bool)
+        kept[at + 1] = False
         x[at] = first + len(rules) + pair
-        x = x[left]
+        if bound == least:  # all pairs that may pay are in `often`
+            place = np.cumsum(kept) - 1
+            new, old = place[at], place[often[kept[often] & kept[often + 1]]]
+            hot = np.zeros(int(place[-1]) + 2, bool)
+            hot[new], hot[new - 1], hot[old] = True, True, True
+            hot[-2:] = False  # the last symbol has no neighbour; the place before the first one is the last
+            look = np.flatnonzero(hot)
+        x = x[kept]
         rules = np.concatenate((rules, np.column_stack((keys[used] >> np.uint32(16), keys[used] & np.uint32(0xFFFF))).astype(np.int32)))
     return rules, x
 
@@ -176,24 +188,27 @@ def write_shards(docs: DataFrame, into: str, path: str, parts: int, end: int = E
     """Writes docs (doc_id, text) in ascending doc_id order into the folder. One row per shard: file, part, ids."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, base = TaskContext.get(), 0, 0
-        part, coder, stop = task.partitionId(), encoder(path, False), end.to_bytes(4, "little")
+        part, coder = task.partitionId(), encoder(path, False)
         doc_ids: list[int | None] = []
         tokens: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             name = f"part-{part:05d}-{made:05d}-{task.taskAttemptId()}.rpg"
-            put(into, name, shard_bytes(doc_ids, tokens, np.frombuffer(b"".join(held), "<u4"), base))
+            put(into, name, shard_bytes(doc_ids, tokens, np.concatenate(held), base))
             return pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "ids": [sum(tokens)]})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.ids(text.as_py() or "") + stop
+            ids, many = coder.batch(batch.column(1))
+            stops = np.cumsum(many)
+            ids = np.insert(ids, stops, end)
+            stops += np.arange(1, len(many) + 1)
+            for doc_id, n, stop in zip(batch.column(0).to_pylist(), (many + 1).tolist(), stops.tolist()):
                 doc_ids.append(doc_id)
-                tokens.append(len(ids) // 4)
-                held.append(ids)
-                size += tokens[-1]
+                tokens.append(n)
+                held.append(ids[stop - n:stop])
+                size += n
                 if size >= SHARD:
                     yield close()
                     base, made, doc_ids, tokens, held, size = base + size, made + 1, [], [], [], 0

@@ -3,7 +3,8 @@
 The library splits a text into words before it merges, and no word goes over a space or a line end, or from a letter into a
 mark, so the ids of a text are the ids of its pieces in a row. Each Python process keeps the pieces it has seen first, which
 spares most of the work; texts in which white space meets white space, where a split could matter, are given to the
-library whole.
+library whole. A vocabulary without spaces takes many texts at once: each different piece is looked up once, and one that is a word
+and marks is put together from both.
 """
 from __future__ import annotations
 
@@ -11,11 +12,17 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 HELD = 300_000  # pieces that a process keeps; others are encoded whenever they come
+WORDS = 1 << 20  # the same for vocabularies without spaces, whose pieces have few ids
 
 #: White space other than space and line end, as Python sees it, and marks that end many words.
 ODD_SPACE = re.compile(r"[^\S \n]")
 MARKS = ",."
+RUN = ".,;:!?*&#$%"
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,6 +43,7 @@ class Encoder:
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
         self.first: dict[str, bytes] = {}   # pieces at the start of a line
         self.later: dict[str, bytes] = {} if spaces else self.first
+        self.model = self.tokenizer.model
         self.line = self._whole("\n")
         self.marks = {m: self._whole(m) for m in MARKS}
         self.letters = byte_letters()
@@ -53,26 +61,46 @@ class Encoder:
         if piece[-1:] in self.marks and len(piece) > 1 and piece[-2].isalpha() and piece[-2] < "\u0100":
             got = self._piece(piece[:-1], start) + self.marks[piece[-1]]
         elif piece.isalpha() and max(piece) < "\u0100":  # one word of the vocabulary's own split
-            word = piece if self.spaces else piece.lower()
-            word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            got = array("I", [t.id for t in self.tokenizer.model.tokenize(word if start or not self.spaces else self.space + word)]).tobytes()
+            got = self._word(piece, "" if start else self.space)
         else:
-            got = self._whole(piece if start or not self.spaces else " " + piece)
+            got = self._whole(piece if start else " " + piece)
         if len(memory) < HELD:
             memory[piece] = got
         return got
 
+    def _word(self, word: str, before: str = "") -> bytes:
+        word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(before + word)]).tobytes()
+
+    def _bare(self, piece: str) -> bytes:
+        """The ids of a piece that is not in memory, for a vocabulary of lower-case words without spaces. Words are kept by themselves, in
+        lower case; as they stand, with their case and marks, when they come again."""
+        memory, word = self.first, piece.rstrip(RUN)
+        if word.isascii() and word.isalpha() or word.isalpha() and max(word) < "\u0100":
+            low = word.lower()
+            got = memory.get(low)
+            known = got is not None
+            if not known:
+                got = self._word(low)
+                if len(memory) < WORDS:
+                    memory[low] = got
+            if len(word) < len(piece):
+                marks = piece[len(word):]
+                tail = memory.get(marks)
+                got += self._bare(marks) if tail is None else tail
+        else:
+            got, known = self._whole(piece), True
+        if known and len(memory) < WORDS:
+            memory[piece] = got
+        return got
+
     def _lines(self, piece: str) -> bytes:
         head, *rest = piece.split("\n")
         return self.line.join([self._piece(head, False), *(self._piece(p, True) for p in rest)])
 
     def ids(self, text: str) -> bytes:
         if not self.spaces:
-            pieces = text.replace("\n", " ").split(" ")
-            found = list(map(self.later.get, pieces))
-            for i in [i for i, x in enumerate(found) if x is None]:
-                found[i] = self._piece(pieces[i], False)
-            return b"".join(found)
+            return self.batch(pa.array([text], pa.string()))[0].tobytes()
         if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or ODD_SPACE.search(text):
             return self._whole(text)
         head, *pieces = text.split(" ")
@@ -81,6 +109,22 @@ class Encoder:
             found[i] = self._lines(pieces[i])
         return self.line.join([self._piece(p, True) for p in head.split("\n")]) + b"".join(found)
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and how many each text has; a null is an empty text. For vocabularies without
+        spaces."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        pieces, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        found = list(map(self.first.get, pieces))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self._bare(pieces[i])
+        width = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, wide = np.cumsum(width) - width, width[codes]
+        ends = np.concatenate(([0], np.cumsum(wide)))
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[codes] - ends[:-1], wide) + np.arange(ends[-1])]
+        offsets = lists.offsets.to_numpy()
+        return ids, np.diff(ends[offsets - offsets[0]])
+
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 

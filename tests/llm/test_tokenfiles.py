@@ -103,3 +103,41 @@ def test_expansion_lengths_without_the_expansions():
     assert tokenfiles.spans(rules[:0], tokenfiles.IDS).tolist() == [] == tokenfiles.expansions(rules[:0], tokenfiles.IDS)[1].tolist()
     again = tokenfiles.shard_bytes([1], [len(ids)], ids, 0)
     assert np.array_equal(tokenfiles.Shard(again).expand(0, len(ids)), ids)
+
+
+def test_a_batch_is_its_texts(rows, monkeypatch):
+    """Nulls, empty texts and slices; words, and words with marks, are put together from what is known, few or many of them kept."""
+    import pyarrow as pa
+    texts = [None, "", *ODD, "Word. word, WORD!! word*** 'word word's (word) ...", "ßa. ÿ!", None] + [t for _, t in rows("SELECT doc_id, text FROM '@documents.parquet'")]
+    column = pa.array(["x"] + texts, pa.string()).slice(1)
+    for kept in (0, 500, 1 << 20):
+        monkeypatch.setattr(tokens, "WORDS", kept)
+        coder = tokens.Encoder(path("word_bpe_49k.json"), False)
+        for _ in range(2):
+            ids, many = coder.batch(column)
+            want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+            assert many.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(coder.first) <= kept
+    ids, many = coder.batch(column.slice(0, 0))
+    assert len(ids) == len(many) == 0
+
+
+def test_a_word_is_encoded_once_whatever_its_case_and_marks(monkeypatch):
+    import pyarrow as pa
+    coder = tokens.Encoder(path("word_bpe_49k.json"), False)
+    seen, encode = [], coder._word
+    monkeypatch.setattr(coder, "_word", lambda word, before="": seen.append(word) or encode(word, before))
+    coder.batch(pa.array(["Anthouing anthouing, ANTHOUING!! anthouing***", "anthouing. and anthouing"]))
+    assert sorted(seen) == ["and", "anthouing"]
+
+
+def test_rounds_that_look_at_a_few_pairs_find_what_all_pairs_give():
+    rng = np.random.default_rng(8)
+    for ids in (rng.integers(0, 60, 30_000), np.concatenate([np.tile(rng.integers(0, 90, 9), 7) for _ in range(900)]), np.repeat(rng.integers(0, 9, 4000), 5)):
+        rules, left, first, whole = [], ids.astype(np.uint32), tokenfiles.IDS, tokenfiles.grammar(ids.astype(np.uint32))
+        while True:
+            more, left = tokenfiles.grammar(left, first + len(rules), rounds=1)
+            if not len(more):
+                break
+            rules += more.tolist()
+        assert len(rules) > 100 and whole[0].tolist() == rules and whole[1].tolist() == left.tolist()
