@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .shared import ship, stage
-from .tokens import encoder
+from .tokens import encoder, portions
 
 CAPACITY = 1024
 END = 2
@@ -40,10 +40,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """The pieces of all documents (doc_id, text), as PIECES."""
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, stop = encoder(path, True), end.to_bytes(4, "little")
-        for batch in batches:
+        for part in (batch.slice(a, z - a) for batch in batches for a, z in portions(batch.column(1))):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(coder.ids(text.as_py() or "") + stop)
+            found, many = coder.batch(part.column(1))
+            for doc_id, own in zip(part.column(0).to_pylist(), np.split(found, np.cumsum(many)[:-1])):
+                ids = memoryview(own.tobytes() + stop)
                 out += [(doc_id, i, at, n, zlib.crc32(ids[4 * at:4 * (at + n)]))
                         for i, (at, n) in enumerate(cut(len(ids) // 4, capacity))]
             if out:

@@ -3,14 +3,14 @@
 The library splits a text into words before it merges, and no word goes over a space or a line end, or from a letter into a
 mark, so the ids of a text are the ids of its pieces in a row. Each Python process keeps the pieces it has seen first, which
 spares most of the work; texts in which white space meets white space, where a split could matter, are given to the
-library whole. A vocabulary without spaces takes many texts at once: each different piece is looked up once, and one that is a word
-and marks is put together from both.
+library whole. Many texts are taken at once: each different piece is looked up once, and one that is a word and marks is put together
+from both.
 """
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,11 @@ import pyarrow.compute as pc
 
 HELD = 300_000  # pieces that a process keeps; others are encoded whenever they come
 WORDS = 1 << 20  # the same for vocabularies without spaces, whose pieces have few ids
+PORTION = 1 << 23  # bytes of texts that are taken at once, about
 
-#: White space other than space and line end, as Python sees it, and marks that end many words.
-ODD_SPACE = re.compile(r"[^\S \n]")
-MARKS = ",."
+#: White space other than space and line end, white space that meets white space, and marks that end many words.
+ODD_SPACE = "\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD = f"[ \n][ \n]|[{ODD_SPACE}]"
 RUN = ".,;:!?*&#$%"
 
 
@@ -32,6 +33,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of texts in a row, of which those behind the first have PORTION bytes at most."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    edges = (np.flatnonzero(np.diff(ends // PORTION)) + 1).tolist()
+    return zip([0, *edges], [*edges, len(texts)])
+
+
 class Encoder:
     """ids(text): little-endian unsigned 32-bit ids of a text, without special tokens."""
 
@@ -41,11 +49,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the cores out
         from tokenizers import Tokenizer
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
-        self.first: dict[str, bytes] = {}   # pieces at the start of a line
+        self.first: dict[str, bytes] = {}   # pieces at the start of a line, and marks behind a word
         self.later: dict[str, bytes] = {} if spaces else self.first
         self.model = self.tokenizer.model
         self.line = self._whole("\n")
-        self.marks = {m: self._whole(m) for m in MARKS}
         self.letters = byte_letters()
         self.space = self.letters[32]
 
@@ -58,12 +65,13 @@ class Encoder:
         got = memory.get(piece)
         if got is not None:
             return got
-        if piece[-1:] in self.marks and len(piece) > 1 and piece[-2].isalpha() and piece[-2] < "\u0100":
-            got = self._piece(piece[:-1], start) + self.marks[piece[-1]]
-        elif piece.isalpha() and max(piece) < "\u0100":  # one word of the vocabulary's own split
-            got = self._word(piece, "" if start else self.space)
-        else:
+        word = piece.rstrip(RUN)
+        if not word.isalpha() or not word.isascii() and max(word) >= "\u0100":
             got = self._whole(piece if start else " " + piece)
+        elif len(word) < len(piece):
+            got = self._piece(word, start) + self._piece(piece[len(word):], True)
+        else:  # one word of the vocabulary's own split
+            got = self._word(word, "" if start else self.space)
         if len(memory) < HELD:
             memory[piece] = got
         return got
@@ -94,36 +102,42 @@ class Encoder:
             memory[piece] = got
         return got
 
-    def _lines(self, piece: str) -> bytes:
-        head, *rest = piece.split("\n")
-        return self.line.join([self._piece(head, False), *(self._piece(p, True) for p in rest)])
+    def _line(self, piece: str) -> bytes:
+        """The ids of a piece that is not in memory; it stands behind a space or begins with a line end."""
+        return self.line + self._piece(piece[1:], True) if piece[:1] == "\n" else self._piece(piece, False)
 
     def ids(self, text: str) -> bytes:
-        if not self.spaces:
-            return self.batch(pa.array([text], pa.string()))[0].tobytes()
-        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or ODD_SPACE.search(text):
-            return self._whole(text)
-        head, *pieces = text.split(" ")
-        found = list(map(self.later.get, pieces))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = self._lines(pieces[i])
-        return self.line.join([self._piece(p, True) for p in head.split("\n")]) + b"".join(found)
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts, one after the other, and how many each text has; a null is an empty text. For vocabularies without
-        spaces."""
-        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        """The ids of texts, one after the other, and how many each text has; a null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        if self.spaces:
+            # each line begins with a line end, the first one too, so that its first piece differs from those behind a space
+            odd = pc.match_substring_regex(texts, ODD)
+            texts, wholes = pc.if_else(odd, "", texts), texts.filter(odd)
+            lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        else:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pc.dictionary_encode(lists.flatten())
         pieces, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
-        found = list(map(self.first.get, pieces))
+        offsets = lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        found, missing = list(map(self.later.get, pieces)), self._line if self.spaces else self._bare
         for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = self._bare(pieces[i])
+            found[i] = missing(pieces[i])
+        if self.spaces and len(wholes):
+            codes = codes.copy()
+            codes[offsets[:-1][odd.to_numpy(zero_copy_only=False)]] = np.arange(len(wholes)) + len(found)
+            found += [self.line + self._whole(text) for text in wholes.to_pylist()]
         width = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin, wide = np.cumsum(width) - width, width[codes]
+        begin, wide = (np.cumsum(width) - width)[codes], width[codes]
+        if self.spaces:  # without the line end before each text
+            begin[offsets[:-1]] += 1
+            wide[offsets[:-1]] -= 1
         ends = np.concatenate(([0], np.cumsum(wide)))
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[codes] - ends[:-1], wide) + np.arange(ends[-1])]
-        offsets = lists.offsets.to_numpy()
-        return ids, np.diff(ends[offsets - offsets[0]])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin - ends[:-1], wide) + np.arange(ends[-1])]
+        return ids, np.diff(ends[offsets])
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -141,3 +141,46 @@ def test_rounds_that_look_at_a_few_pairs_find_what_all_pairs_give():
                 break
             rules += more.tolist()
         assert len(rules) > 100 and whole[0].tolist() == rules and whole[1].tolist() == left.tolist()
+
+
+def test_many_texts_with_spaces_are_encoded_at_once(rows, monkeypatch):
+    """A different piece is looked up once for all texts, and its word apart from its marks, even if nothing is kept; nulls, slices, odd texts."""
+    import pyarrow as pa
+    texts = [None, "", *ODD, "heat$$$ heat*** A### heat.%%%\nheat$$$ (heat) it's\n'tis", "ßa!! ÿ.\nÿ..", None] + [t for _, t in rows("SELECT doc_id, text FROM '@documents.parquet'")]
+    column = pa.array(["x"] + texts, pa.string()).slice(1)
+    for kept in (0, 500, 1 << 20):
+        monkeypatch.setattr(tokens, "HELD", kept)
+        coder = tokens.Encoder(path("byte_bpe_50k.json"), True)
+        for _ in range(2):
+            ids, many = coder.batch(column)
+            want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+            assert many.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert max(len(coder.first), len(coder.later)) <= kept
+    ids, many = coder.batch(column.slice(0, 0))
+    assert len(ids) == len(many) == 0
+    monkeypatch.setattr(tokens, "HELD", 0)
+    coder = tokens.Encoder(path("byte_bpe_50k.json"), True)
+    seen, word, whole = [], coder._word, coder._whole
+    monkeypatch.setattr(coder, "_word", lambda w, before="": seen.append(before + w) or word(w, before))
+    monkeypatch.setattr(coder, "_whole", lambda text: seen.append(text) or whole(text))
+    coder.batch(pa.array(["a heat$$$ heat$$$", "b heat$$$\nheat"]))
+    assert sorted(seen) == ["$$$", "a", "b", "heat", "Ġheat"]
+
+
+def test_odd_white_space_is_pythons():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = pc.match_substring_regex(pa.array(letters), tokens.ODD).to_pylist()
+    assert [c for c, x in zip(letters, odd) if x] == [c for c in letters if c.isspace() and c not in " \n"]
+    assert pc.match_substring_regex(pa.array(["a b\nc", "a  b", "a \n", "\n a", "\n\n"]), tokens.ODD).to_pylist() == [False] + [True] * 4
+
+
+def test_portions_hold_every_text_once(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(tokens, "PORTION", 10)
+    texts = pa.array(["x"] + [None, "a" * 4, "é" * 4, "", "b" * 35, "c", None, "d" * 9] * 3, pa.string()).slice(1)
+    cuts = list(tokens.portions(texts))
+    assert [i for a, z in cuts for i in range(a, z)] == list(range(len(texts))) and len(cuts) > 6
+    assert all(sum(len((t or "").encode()) for t in texts.slice(a + 1, max(z - a - 1, 0)).to_pylist()) <= 10 for a, z in cuts)
+    assert list(tokens.portions(texts.slice(0, 0))) == [(0, 0)]
