@@ -46,17 +46,17 @@ class Broken(ValueError):
 
 def apart(at: np.ndarray) -> np.ndarray:
     """Of places of pairs, sorted, those that do not overlap; of overlapping ones the left one."""
-    run = np.concatenate(([True], np.diff(at) > 1))
-    start = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-    return (at - start) % 2 == 0
+    begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    place = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))
+    return place & 1 == 0
 
 
 def paying(at: np.ndarray, pair: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """at and pair of the replacements: places of pairs, sorted, and their numbers below n. Pairs that overlap with others so often
     that fewer than `least` places are left to them are given up for this round."""
-    take = apart(at)
+    take = np.flatnonzero(apart(at))
     at, pair = at[take], pair[take]
-    good = (np.bincount(pair, minlength=n) >= least)[pair]
+    good = np.flatnonzero((np.bincount(pair, minlength=n) >= least)[pair])
     return at[good], pair[good]
 
 
@@ -90,7 +90,8 @@ def grammar(ids: np.ndarray, first: int = IDS, least: int = LEAST, rounds: int |
         at, pair = paying(often[hit], found[hit], len(keys), least)
         if not len(at):
             break
-        used, pair = np.unique(pair, return_inverse=True)
+        there = np.bincount(pair, minlength=len(keys)) > 0
+        used, pair = np.flatnonzero(there), (np.cumsum(there) - 1)[pair]
         kept = np.ones(len(x), bool)
         kept[at + 1] = False
         x[at] = first + len(rules) + pair
@@ -101,7 +102,7 @@ def grammar(ids: np.ndarray, first: int = IDS, least: int = LEAST, rounds: int |
             hot[new], hot[new - 1], hot[old] = True, True, True
             hot[-2:] = False  # the last symbol has no neighbour; the place before the first one is the last
             look = np.flatnonzero(hot)
-        x = x[kept]
+        x = x[np.flatnonzero(kept)]
         rules = np.concatenate((rules, np.column_stack((keys[used] >> np.uint32(16), keys[used] & np.uint32(0xFFFF))).astype(np.int32)))
     return rules, x
 
@@ -145,12 +146,12 @@ class Shard:
         self.doc_ids, self.nulls, self.tokens = part("<i8", docs), part("u1", docs), part("<i8", docs)
         self.rules = part("<u2", 2 * rules).reshape(-1, 2)
         self.spans, self.symbols = part("<u4", rules), part("<u2", symbols)
-        self.offsets, self.texts = expansions(self.rules, self.first)
-        if not np.array_equal(np.diff(self.offsets), self.spans):
+        offsets, texts = expansions(self.rules, self.first)
+        if not np.array_equal(np.diff(offsets), self.spans):
             raise Broken("expansion lengths")
-        width = np.ones(symbols, np.int64)
-        big = self.symbols >= self.first
-        width[big] = self.spans[self.symbols[big].astype(np.int64) - self.first]
+        self.table = np.concatenate((np.arange(self.first, dtype=np.uint32), texts))
+        self.places = np.concatenate((np.arange(self.first), self.first + offsets))
+        width = np.concatenate((np.ones(self.first, np.int64), self.spans))[self.symbols]
         self.ends = np.cumsum(width)
         self.starts = np.concatenate(([0], np.cumsum(self.tokens)))
         if self.starts[-1] != (self.ends[-1] if symbols else 0):
@@ -162,16 +163,11 @@ class Shard:
             return np.empty(0, np.uint32)
         a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
         symbols = self.symbols[a:b].astype(np.int64)
-        begin = int(self.ends[a - 1]) if a else 0
-        width = np.diff(self.ends[a:b], prepend=begin)
-        out = np.empty(int(width.sum()), np.uint32)
-        to = np.cumsum(width) - width
-        big = symbols >= self.first
-        out[to[~big]] = symbols[~big]
-        w = width[big]
-        inside = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        out[np.repeat(to[big], w) + inside] = self.texts[np.repeat(self.offsets[symbols[big] - self.first], w) + inside]
-        return out[start - begin:stop - begin]
+        begin, ends = int(self.ends[a - 1]) if a else 0, self.ends[a:b]
+        width = np.diff(ends, prepend=begin)
+        # what a symbol expands to stands in one table: ids are themselves, rules follow them
+        ids = self.table[np.repeat(self.places[symbols] - ends + width, width) + np.arange(begin, int(ends[-1]))]
+        return ids[start - begin:stop - begin]
 
 
 def shard_bytes(doc_ids: list[int | None], tokens: list[int], ids: np.ndarray, base: int, first: int = IDS) -> bytes:

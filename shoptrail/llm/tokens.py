@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,12 @@ HELD = 300_000  # pieces that a process keeps; others are encoded whenever they
 WORDS = 1 << 20  # the same for vocabularies without spaces, whose pieces have few ids
 PORTION = 1 << 23  # bytes of texts that are taken at once, about
 
-#: White space other than space and line end, white space that meets white space, and marks that end many words.
+#: White space other than space and line end, white space that meets white space, marks that end many words, and
+#: the letters whose lower case is one letter of the same kind.
 ODD_SPACE = "\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD = f"[ \n][ \n]|[{ODD_SPACE}]"
 RUN = ".,;:!?*&#$%"
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,6 +43,17 @@ def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
     return zip([0, *edges], [*edges, len(texts)])
 
 
+def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all parts, one after the other, and how many each part has."""
+    return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+
+def stretches(ids: np.ndarray, begin: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The ids from each begin on, as many as wide says, one stretch after the other."""
+    ends = np.cumsum(wide)
+    return ids[np.repeat(begin - ends + wide, wide) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """ids(text): little-endian unsigned 32-bit ids of a text, without special tokens."""
 
@@ -49,9 +63,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the cores out
         from tokenizers import Tokenizer
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
-        self.first: dict[str, bytes] = {}   # pieces at the start of a line, and marks behind a word
-        self.later: dict[str, bytes] = {} if spaces else self.first
+        # pieces at the start of a line, and marks behind a word; without spaces, the numbers of words in table
+        self.first: dict[str, bytes] | dict[str, int] = {}
+        self.later: dict[str, bytes] = {}
+        self.table, self.width = np.empty(0, "<u4"), np.empty(0, np.int64)
         self.model = self.tokenizer.model
+        if not spaces:
+            self.model._resize_cache(0)  # the words it would hold do not come again
         self.line = self._whole("\n")
         self.letters = byte_letters()
         self.space = self.letters[32]
@@ -80,27 +98,37 @@ class Encoder:
         word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(before + word)]).tobytes()
 
-    def _bare(self, piece: str) -> bytes:
-        """The ids of a piece that is not in memory, for a vocabulary of lower-case words without spaces. Words are kept by themselves, in
-        lower case; as they stand, with their case and marks, when they come again."""
-        memory, word = self.first, piece.rstrip(RUN)
-        if word.isascii() and word.isalpha() or word.isalpha() and max(word) < "\u0100":
-            low = word.lower()
-            got = memory.get(low)
-            known = got is not None
-            if not known:
-                got = self._word(low)
-                if len(memory) < WORDS:
-                    memory[low] = got
-            if len(word) < len(piece):
-                marks = piece[len(word):]
-                tail = memory.get(marks)
-                got += self._bare(marks) if tail is None else tail
-        else:
-            got, known = self._whole(piece), True
-        if known and len(memory) < WORDS:
-            memory[piece] = got
-        return got
+    def _bare(self, word: str) -> bytes:
+        """The ids of a lower-case word without marks, or of any other piece as it stands."""
+        plain = word.isalpha() and (word.isascii() or max(word) < "\u0100")
+        return self._word(word) if plain else self._whole(word)
+
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of different words in a table, its ids, and how many of them each word there has."""
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        held = len(self.first)
+        codes = np.fromiter(map(self.first.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(codes < 0)
+        names = [names[i] for i in new.tolist()]
+        codes[new] = np.arange(held, held + len(new))
+        table, width = (np.concatenate(x) for x in zip((self.table, self.width), joined([self._bare(word) for word in names])))
+        if held < WORDS:
+            self.first.update(zip(names[:WORDS - held], range(held, held + len(names))))
+            self.width = width[:len(self.first)]
+            self.table = table[:self.width.sum()]
+        return codes, table, width
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces, one after the other, and how many each has, for a vocabulary of lower-case words without spaces.
+        A word is looked up apart from its case and the marks behind it, and a piece that is no such word as it stands."""
+        words, marks = pc.utf8_rtrim(pieces, characters=RUN), pc.utf8_ltrim(pieces, characters=LETTERS)
+        plain = pc.equal(pc.add(pc.binary_length(words), pc.binary_length(marks)), pc.binary_length(pieces))
+        words, marks = pc.if_else(plain, pc.utf8_lower(words), pieces), pc.if_else(plain, marks, "")
+        coded = pc.dictionary_encode(pa.concat_arrays([words, marks]))
+        codes, ids, width = self._numbers(coded.dictionary)
+        codes = codes[coded.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()]  # the word and the marks of each piece
+        wide = width[codes]
+        return stretches(ids, (np.cumsum(width) - width)[codes], wide), wide[::2] + wide[1::2]
 
     def _line(self, piece: str) -> bytes:
         """The ids of a piece that is not in memory; it stands behind a space or begins with a line end."""
@@ -120,24 +148,27 @@ class Encoder:
         else:
             lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pc.dictionary_encode(lists.flatten())
-        pieces, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
         offsets = lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
-        found, missing = list(map(self.later.get, pieces)), self._line if self.spaces else self._bare
-        for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = missing(pieces[i])
-        if self.spaces and len(wholes):
-            codes = codes.copy()
-            codes[offsets[:-1][odd.to_numpy(zero_copy_only=False)]] = np.arange(len(wholes)) + len(found)
-            found += [self.line + self._whole(text) for text in wholes.to_pylist()]
-        width = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        if self.spaces:
+            pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found = list(map(self.later.get, pieces))
+            for i in [i for i, x in enumerate(found) if x is None]:
+                found[i] = self._line(pieces[i])
+            if len(wholes):
+                codes = codes.copy()
+                codes[offsets[:-1][odd.to_numpy(zero_copy_only=False)]] = np.arange(len(wholes)) + len(found)
+                found += [self.line + self._whole(text) for text in wholes.to_pylist()]
+            ids, width = joined(found)
+        else:
+            ids, width = self._pieces(coded.dictionary)
         begin, wide = (np.cumsum(width) - width)[codes], width[codes]
         if self.spaces:  # without the line end before each text
             begin[offsets[:-1]] += 1
             wide[offsets[:-1]] -= 1
         ends = np.concatenate(([0], np.cumsum(wide)))
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin - ends[:-1], wide) + np.arange(ends[-1])]
-        return ids, np.diff(ends[offsets])
+        return stretches(ids, begin, wide), np.diff(ends[offsets])
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -184,3 +184,27 @@ def test_portions_hold_every_text_once(monkeypatch):
     assert [i for a, z in cuts for i in range(a, z)] == list(range(len(texts))) and len(cuts) > 6
     assert all(sum(len((t or "").encode()) for t in texts.slice(a + 1, max(z - a - 1, 0)).to_pylist()) <= 10 for a, z in cuts)
     assert list(tokens.portions(texts.slice(0, 0))) == [(0, 0)]
+
+
+def test_memory_holds_words_apart_from_case_and_marks():
+    """A word takes one place however it is written; what is no such word is kept as it stands."""
+    import pyarrow as pa
+    coder = tokens.Encoder(path("word_bpe_49k.json"), False)
+    texts = ["Word. word, WORD!! ÉTÉ", "été. it's It's 9! ... \u0130\u0130.", "word"] * 2
+    for _ in range(2):
+        ids, many = coder.batch(pa.array(texts))
+        want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert many.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert sorted(coder.first) == sorted(["word", "été", "", ".", ",", "!!", "...", "it's", "It's", "9!", "\u0130\u0130."])
+        assert [coder.table[a:a + n].tolist() for a, n in zip(np.cumsum(coder.width) - coder.width, coder.width)] == [
+            coder.tokenizer.encode(w, add_special_tokens=False).ids for w in coder.first]
+
+
+def test_pairs_that_overlap_are_taken_from_the_left():
+    rng = np.random.default_rng(5)
+    for at in (np.empty(0, np.int64), np.array([0]), np.arange(7), np.flatnonzero(rng.random(3000) < 0.7), np.flatnonzero(rng.random(3000) < 0.1)):
+        taken = []
+        for i in at.tolist():
+            if not taken or taken[-1] < i - 1:
+                taken.append(i)
+        assert at[tokenfiles.apart(at)].tolist() == taken
