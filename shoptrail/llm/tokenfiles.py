@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .files import put
 from .shared import folder, stage
-from .tokens import encoder
+from .tokens import encoder, gathered
 
 MAGIC = b"RPG1"
 END = 1
@@ -195,7 +195,7 @@ def write_shards(docs: DataFrame, into: str, path: str, parts: int, end: int = E
             put(into, name, shard_bytes(doc_ids, tokens, np.concatenate(held), base))
             return pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "ids": [sum(tokens)]})
 
-        for batch in batches:
+        for batch in gathered(batches):
             ids, many = coder.batch(batch.column(1))
             stops = np.cumsum(many)
             ids = np.insert(ids, stops, end)

@@ -43,6 +43,19 @@ def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
     return zip([0, *edges], [*edges, len(texts)])
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that hold PORTION bytes of text, the second column, or a little more; the last one may hold less."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= PORTION:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all parts, one after the other, and how many each part has."""
     return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4

@@ -208,3 +208,13 @@ def test_pairs_that_overlap_are_taken_from_the_left():
             if not taken or taken[-1] < i - 1:
                 taken.append(i)
         assert at[tokenfiles.apart(at)].tolist() == taken
+
+
+def test_gathered_batches_hold_every_row_once(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(tokens, "PORTION", 100)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(["x" * n, None] * n, pa.string())[:n]}) for n in (3, 0, 1, 40, 2, 0, 9)]
+    got = list(tokens.gathered(iter(batches)))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(batches).combine_chunks())
+    assert 1 < len(got) < len(batches) and all(b.column(1).nbytes >= 100 for b in got[:-1])
+    assert list(tokens.gathered(iter([]))) == []
